@@ -1,4 +1,7 @@
+import random
+
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -17,7 +20,7 @@ def test_pieces_match_the_library():
     path = public_tokenizers.path("piece_bpe_32k.model")
     own, library = PieceTokenizer(path), sentencepiece.SentencePieceProcessor(model_file=path)
     assert own.cuts
-    assert own.counts(ODD) == [len(x) for x in library.encode(ODD)]
+    assert own.counts(pa.array(ODD)).tolist() == [len(x) for x in library.encode(ODD)]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -25,7 +28,21 @@ def test_words_match_the_library(name):
     path = public_tokenizers.path(name)
     own, library = WordTokenizer(path), Tokenizer.from_file(path)
     assert own.drops_white == (name == "word_bpe_49k.json")
-    assert own.counts(ODD) == [len(library.encode(x, add_special_tokens=False).ids) for x in ODD]
+    assert own.counts(pa.array(ODD)).tolist() == [len(library.encode(x, add_special_tokens=False).ids) for x in ODD]
+
+
+def test_random_ascii_chunks_match_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, library = WordTokenizer(path), Tokenizer.from_file(path)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abSTdl'!<|>9 .\x1c\x0b\n") for _ in range(rng.randrange(12))) for _ in range(3000)]
+    assert own.counts(pa.array(texts)).tolist() == [len(library.encode(x, add_special_tokens=False).ids) for x in texts]
+
+
+def test_cache_generations(monkeypatch):
+    monkeypatch.setattr("waymark.llm.tokens.KEEP", 5)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert PieceTokenizer(path).counts(pa.array(ODD * 2)).tolist() == PieceTokenizer(path).counts(pa.array(ODD)).tolist() * 2
 
 
 def test_whole_table(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import table
 from waymark.llm.line_dedup import drop_frequent_lines
+from waymark.llm.packing import pack_documents
 from waymark.llm.token_counts import count_tokens
 
 
@@ -33,12 +34,17 @@ FROM keyed LEFT JOIN often o ON keyed.k = o.k GROUP BY r, doc_id
 """
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=0)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
 }
 ORACLES: dict[str, str] = {

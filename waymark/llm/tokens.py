@@ -2,9 +2,9 @@
 
 Both libraries tokenize a text as the concatenation of its chunks when it is
 cut only at *safe boundaries*, places that no token of the vocabulary crosses.
-Chunks repeat a lot, so each worker keeps the ids of the chunks it has met
-(up to ``KEEP`` of them) and sends only new ones to the library, in batches
-balanced by bytes.
+Chunks repeat a lot, so each worker keeps the ids of the chunks it has met (two
+generations of up to ``KEEP``) and sends only new ones to the library, in
+batches balanced by bytes.
 
 Safe boundaries, each proved from the model's file when it is loaded:
 
@@ -19,18 +19,23 @@ Any other file has none: its texts go to the library whole.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
 from array import array
 
-#: Chunks kept by a worker, about 100 bytes each.
-KEEP = 300_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
+
+#: Chunks in a generation, about 200 bytes each.
+KEEP = 250_000
 #: Bytes of new chunks sent to the library at a time.
 BATCH_BYTES = 1 << 18
 
 _MARK = "▁"
-_WHITE = str.maketrans("\t\n\r", "   ")
 
 
 def _batches(chunks: list[str], most: int):
@@ -47,23 +52,43 @@ def _batches(chunks: list[str], most: int):
 
 
 class _Kept(dict):
-    """chunk -> value; ``fill`` makes the values of new chunks."""
+    """chunk -> value; ``fill`` makes the values of new chunks. When full, it becomes the old generation of an empty one."""
 
     def __init__(self, fill):
         super().__init__()
-        self.fill = fill
+        self.fill, self.old = fill, {}
 
-    def meet(self, chunks: list[str]) -> None:
-        new = [c for c in set(chunks) if c not in self]
+    def meet(self, chunks) -> None:
+        met = set(chunks)
+        new = met.difference(self)
         if len(self) + len(new) > KEEP:
+            self.old = self.copy()
             self.clear()
-            new = list(set(chunks))
-        for batch in _batches(new, BATCH_BYTES):
+            new = met
+        old = self.old
+        known = new.intersection(old)
+        self.update((c, old[c]) for c in known)
+        for batch in _batches(list(new - known), BATCH_BYTES):
             self.update(zip(batch, self.fill(batch), strict=True))
 
+    def values(self, chunks: list[str]) -> list:
+        self.meet(chunks)
+        return list(map(self.__getitem__, chunks))
+
+
+def _spread(lists: pa.ListArray) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Of lists of chunks: each chunk's number, the unlike chunks, and where the lists begin and end."""
+    coded = lists.values.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), lists.offsets.to_numpy()
+
+
+def _sums(numbers: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(numbers, dtype=np.int64)])
+    return total[bounds[1:]] - total[bounds[:-1]]
+
 
 class WordTokenizer:
-    """A ``tokenizers`` file. ``ids(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
+    """A ``tokenizers`` file."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -84,26 +109,49 @@ class WordTokenizer:
             and re.sub(r"\[\^\\s[^\]]*\]", "", pattern).find("\\s") < 0
             and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in said["added_tokens"])
         )
-        self.kept = _Kept(self._encode)
+        # Printable ASCII chunks go on to the pre-tokenizer's words, in lower case, where far fewer are unlike.
+        normal = [(x["type"], x.get("pattern", {}).get("Regex")) for x in (said.get("normalizer") or {}).get("normalizers", [])]
+        plain = normal == [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)] and all("<|" in t["content"] for t in said["added_tokens"])
+        self.split = regex.compile(pattern).findall if plain and self.drops_white else None
+        self.words, self.kept = _Kept(self._words), _Kept(self._chunks if self.split else self._encode)
+        ends = {i for word, i in self.library.get_vocab().items() if word.endswith("</w>")}
+        self.ends = np.array([i in ends for i in range(self.library.get_vocab_size())])
+
+    def _words(self, batch: list[str]) -> list[bytes]:
+        """The ids of the pre-tokenizer's words: encoded as one text, cut where a word's end has its own kind of token."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(batch)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) != len(batch):
+            return self._encode(batch)
+        raw, cuts = ids.tobytes(), [0, *ends.tolist()]
+        return [raw[a:b] for a, b in itertools.pairwise(cuts)]
+
+    def _chunks(self, batch: list[str]) -> list[bytes]:
+        parts = [self.split(c.lower()) if c.isascii() and c.isprintable() and "<|" not in c else None for c in batch]
+        self.words.meet(x for own in parts if own for x in own)
+        rest = iter(self._encode([c for c, own in zip(batch, parts, strict=True) if own is None]))
+        return [next(rest) if own is None else b"".join(map(self.words.__getitem__, own)) for own in parts]
 
     def _encode(self, batch: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch(batch, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(batch, add_special_tokens=False)]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids as little-endian unsigned 32-bit numbers, and where each text's ids begin and end."""
         if not self.drops_white:
-            return [x for batch in _batches(texts, BATCH_BYTES) for x in self._encode(batch)]
-        out, kept = [], self.kept
-        for text in texts:
-            chunks = text.translate(_WHITE).split(" ") if "\t" in text or "\r" in text else text.replace("\n", " ").split(" ")
-            try:
-                out.append(b"".join(map(kept.__getitem__, chunks)))
-            except KeyError:
-                kept.meet(chunks)
-                out.append(b"".join(map(kept.__getitem__, chunks)))
-        return out
-
-    def counts(self, texts: list[str]) -> list[int]:
-        return [len(x) // 4 for x in self.ids(texts)]
+            own = [x for batch in _batches(texts.to_pylist(), BATCH_BYTES) for x in self._encode(batch)]
+            return np.frombuffer(b"".join(own), "<u4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in own], dtype=np.int64)])
+        for white in "\n\t\r":
+            texts = pc.replace_substring(texts, white, " ")
+        codes, chunks, bounds = _spread(pc.split_pattern(texts, " "))
+        values = self.kept.values(chunks)
+        lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        starts, n = np.cumsum(lengths) - lengths, lengths[codes]
+        where = np.concatenate([[0], np.cumsum(n)])
+        pool = np.frombuffer(b"".join(values), "<u4")
+        return pool[np.repeat(starts[codes] - where[:-1], n) + np.arange(where[-1])], where[bounds]
+
+    def counts(self, texts: pa.StringArray) -> np.ndarray:
+        return np.diff(self.ids(texts)[1])
 
 
 class PieceTokenizer:
@@ -128,7 +176,7 @@ class PieceTokenizer:
             and not any(p.type == 4 for p in said.pieces)
             and not any("\n" in p or _MARK in p.lstrip(_MARK) for p in pieces)
         )
-        self.kept = _Kept(self._count)
+        self.kept, self.plain = _Kept(self._count), _Kept(self._lengths)
 
     def _lengths(self, batch: list[str]) -> list[int]:
         return [len(ids) for ids in self.library.encode(batch, num_threads=1)]
@@ -149,17 +197,17 @@ class PieceTokenizer:
                 off.append(1)
         return [n - k for n, k in zip(self._lengths(asked), off, strict=True)]
 
-    def counts(self, texts: list[str]) -> list[int]:
+    def counts(self, texts: pa.StringArray) -> np.ndarray:
         if not self.cuts:
-            return [x for batch in _batches(texts, BATCH_BYTES) for x in self._lengths(batch)]
-        out, kept = [], self.kept
-        for text in texts:
-            chunks = chunked(text)
-            try:
-                out.append(sum(map(kept.__getitem__, chunks)))
-            except KeyError:
-                kept.meet(chunks)
-                out.append(sum(map(kept.__getitem__, chunks)))
+            return np.array([x for batch in _batches(texts.to_pylist(), BATCH_BYTES) for x in self._lengths(batch)], np.int64)
+        # Where no two spaces meet and none stands at an end, the chunks are what lies between spaces.
+        odd = pc.match_substring_regex(texts, f"^ | $|  |{_MARK}|^$").to_numpy(zero_copy_only=False)
+        codes, words, bounds = _spread(pc.split_pattern(texts.filter(pa.array(~odd)), " "))
+        values = np.array(self.plain.values(words), np.int64)
+        out = np.zeros(len(texts), np.int64)
+        out[~odd] = _sums(values[codes], bounds)
+        for at in np.flatnonzero(odd).tolist():
+            out[at] = sum(self.kept.values(chunked(texts[at].as_py())))
         return out
 
 
