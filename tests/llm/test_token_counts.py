@@ -35,7 +35,7 @@ def test_random_ascii_chunks_match_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     own, library = WordTokenizer(path), Tokenizer.from_file(path)
     rng = random.Random(3)
-    texts = ["".join(rng.choice("abSTdl'!<|>9 .\x1c\x0b\n") for _ in range(rng.randrange(12))) for _ in range(3000)]
+    texts = ["".join(rng.choice("abSTdl'!<|>9 .\x1c\x0b\nÀéßİſªº²½ʰ\xa0\xadΣ\u0301한ǅ") for _ in range(rng.randrange(12))) for _ in range(3000)]
     assert own.counts(pa.array(texts)).tolist() == [len(library.encode(x, add_special_tokens=False).ids) for x in texts]
 
 

@@ -92,7 +92,7 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
@@ -109,17 +109,21 @@ class WordTokenizer:
             and re.sub(r"\[\^\\s[^\]]*\]", "", pattern).find("\\s") < 0
             and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in said["added_tokens"])
         )
-        # Printable ASCII chunks go on to the pre-tokenizer's words, in lower case, where far fewer are unlike.
+        # Printable chunks of code points below U+0300, which NFC leaves alone, go on to the pre-tokenizer's
+        # words, in lower case, where far fewer are unlike. Those need no normalizer and no pattern any more.
         normal = [(x["type"], x.get("pattern", {}).get("Regex")) for x in (said.get("normalizer") or {}).get("normalizers", [])]
         plain = normal == [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)] and all("<|" in t["content"] for t in said["added_tokens"])
         self.split = regex.compile(pattern).findall if plain and self.drops_white else None
         self.words, self.kept = _Kept(self._words), _Kept(self._chunks if self.split else self._encode)
         ends = {i for word, i in self.library.get_vocab().items() if word.endswith("</w>")}
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.array([i in ends for i in range(self.library.get_vocab_size())])
 
     def _words(self, batch: list[str]) -> list[bytes]:
         """The ids of the pre-tokenizer's words: encoded as one text, cut where a word's end has its own kind of token."""
-        ids = np.array(self.library.encode_batch_fast([" ".join(batch)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.bare.encode_batch_fast([" ".join(batch)], add_special_tokens=False)[0].ids, "<u4")
         ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
         if len(ends) != len(batch):
             return self._encode(batch)
@@ -127,7 +131,7 @@ class WordTokenizer:
         return [raw[a:b] for a, b in itertools.pairwise(cuts)]
 
     def _chunks(self, batch: list[str]) -> list[bytes]:
-        parts = [self.split(c.lower()) if c.isascii() and c.isprintable() and "<|" not in c else None for c in batch]
+        parts = [self.split(c.lower()) if c.isprintable() and (c.isascii() or max(c) < "\u0300") and "<|" not in c else None for c in batch]
         self.words.meet(x for own in parts if own for x in own)
         rest = iter(self._encode([c for c, own in zip(batch, parts, strict=True) if own is None]))
         return [next(rest) if own is None else b"".join(map(self.words.__getitem__, own)) for own in parts]
