@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from waymark.llm.common import table
 from waymark.llm.line_dedup import drop_frequent_lines
 from waymark.llm.packing import pack_documents
+from waymark.llm.simhash import hexed, near_duplicates
 from waymark.llm.token_counts import count_tokens
 
 
@@ -42,10 +43,16 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
+    return found.select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
