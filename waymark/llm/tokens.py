@@ -31,49 +31,36 @@ import pyarrow.compute as pc
 import regex
 
 #: Chunks in a generation, about 200 bytes each.
-KEEP = 250_000
-#: Bytes of new chunks sent to the library at a time.
-BATCH_BYTES = 1 << 18
+KEEP = 300_000
+#: New chunks sent to the library at a time.
+BATCH = 1 << 13
 
 _MARK = "▁"
 
 
-def _batches(chunks: list[str], most: int):
-    """``chunks`` in lists of about ``most`` characters, at least one chunk each."""
-    batch, size = [], 0
-    for chunk in chunks:
-        if batch and size + len(chunk) > most:
-            yield batch
-            batch, size = [], 0
-        batch.append(chunk)
-        size += len(chunk)
-    if batch:
-        yield batch
-
-
-class _Kept(dict):
-    """chunk -> value; ``fill`` makes the values of new chunks. When full, it becomes the old generation of an empty one."""
+class _Kept:
+    """The values of chunks met before; ``fill`` makes new ones. When full, it starts an empty generation and keeps the last."""
 
     def __init__(self, fill):
-        super().__init__()
-        self.fill, self.old = fill, {}
-
-    def meet(self, chunks) -> None:
-        met = set(chunks)
-        new = met.difference(self)
-        if len(self) + len(new) > KEEP:
-            self.old = self.copy()
-            self.clear()
-            new = met
-        old = self.old
-        known = new.intersection(old)
-        self.update((c, old[c]) for c in known)
-        for batch in _batches(list(new - known), BATCH_BYTES):
-            self.update(zip(batch, self.fill(batch), strict=True))
+        self.fill, self.now, self.old = fill, {}, {}
 
     def values(self, chunks: list[str]) -> list:
-        self.meet(chunks)
-        return list(map(self.__getitem__, chunks))
+        out = list(map(self.now.get, chunks))
+        new = [i for i, x in enumerate(out) if x is None]
+        if len(self.now) + len(new) > KEEP:
+            self.now, self.old = {}, self.now
+        rest = []
+        for i in new:
+            if (x := self.old.get(chunks[i])) is None:
+                rest.append(i)
+            else:
+                out[i] = x
+        for at in range(0, len(rest), BATCH):
+            part = rest[at : at + BATCH]
+            for i, x in zip(part, self.fill([chunks[i] for i in part]), strict=True):
+                out[i] = x
+        self.now.update((chunks[i], out[i]) for i in new)
+        return out
 
 
 def _spread(lists: pa.ListArray) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -82,11 +69,21 @@ def _spread(lists: pa.ListArray) -> tuple[np.ndarray, list[str], np.ndarray]:
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), lists.offsets.to_numpy()
 
 
+def _joined(own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(own), "<u4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in own], dtype=np.int64)])
+
+
 def _sums(numbers: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(numbers, dtype=np.int64)])
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+#: The pre-tokenizer's pattern that the fast path knows, and what a text may not hold there: code
+#: points from U+0300 on, where NFC may compose, control and format characters, U+0130, and what may be a special token.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ODD = r"[^\x20-\x7e\xa1-\xac\xae-\x{2ff}]|\x{130}|<\|"
+
+
 class WordTokenizer:
     """A ``tokenizers`` file."""
 
@@ -111,8 +108,10 @@ class WordTokenizer:
         )
         # Printable chunks of code points below U+0300, which NFC leaves alone, go on to the pre-tokenizer's
         # words, in lower case, where far fewer are unlike. Those need no normalizer and no pattern any more.
+        # Whole texts of such code points are set out in those words at once.
         normal = [(x["type"], x.get("pattern", {}).get("Regex")) for x in (said.get("normalizer") or {}).get("normalizers", [])]
         plain = normal == [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)] and all("<|" in t["content"] for t in said["added_tokens"])
+        plain = plain and pattern == _PATTERN
         self.split = regex.compile(pattern).findall if plain and self.drops_white else None
         self.words, self.kept = _Kept(self._words), _Kept(self._chunks if self.split else self._encode)
         ends = {i for word, i in self.library.get_vocab().items() if word.endswith("</w>")}
@@ -123,18 +122,19 @@ class WordTokenizer:
 
     def _words(self, batch: list[str]) -> list[bytes]:
         """The ids of the pre-tokenizer's words: encoded as one text, cut where a word's end has its own kind of token."""
+        whole, batch = batch, [w for w in batch if w]
         ids = np.array(self.bare.encode_batch_fast([" ".join(batch)], add_special_tokens=False)[0].ids, "<u4")
         ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
         if len(ends) != len(batch):
-            return self._encode(batch)
-        raw, cuts = ids.tobytes(), [0, *ends.tolist()]
-        return [raw[a:b] for a, b in itertools.pairwise(cuts)]
+            return self._encode(whole)
+        raw, cuts = ids.tobytes(), itertools.pairwise([0, *ends.tolist()])
+        return [raw.__getitem__(slice(*next(cuts))) if w else b"" for w in whole]
 
     def _chunks(self, batch: list[str]) -> list[bytes]:
         parts = [self.split(c.lower()) if c.isprintable() and (c.isascii() or max(c) < "\u0300") and "<|" not in c else None for c in batch]
-        self.words.meet(x for own in parts if own for x in own)
+        ready = iter(self.words.values([x for own in parts if own for x in own]))
         rest = iter(self._encode([c for c, own in zip(batch, parts, strict=True) if own is None]))
-        return [next(rest) if own is None else b"".join(map(self.words.__getitem__, own)) for own in parts]
+        return [next(rest) if own is None else b"".join(itertools.islice(ready, len(own))) for own in parts]
 
     def _encode(self, batch: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(batch, add_special_tokens=False)]
@@ -142,12 +142,30 @@ class WordTokenizer:
     def ids(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids as little-endian unsigned 32-bit numbers, and where each text's ids begin and end."""
         if not self.drops_white:
-            own = [x for batch in _batches(texts.to_pylist(), BATCH_BYTES) for x in self._encode(batch)]
-            return np.frombuffer(b"".join(own), "<u4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in own], dtype=np.int64)])
+            return _joined(self._encode(texts.to_pylist()))
         for white in "\n\t\r":
             texts = pc.replace_substring(texts, white, " ")
+        if not self.split:
+            return self._looked_up(self.kept, texts)
+        odd = pc.match_substring_regex(texts, _ODD)
+        if not pc.any(odd).as_py():
+            return self._looked_up(self.words, self._spaced(texts))
+        own = np.array([None] * len(texts), object)
+        for mask, kept in ((odd, self.kept), (pc.invert(odd), self.words)):
+            part = texts.filter(mask)
+            ids, bounds = self._looked_up(kept, part if kept is self.kept else self._spaced(part))
+            own[mask.to_numpy(zero_copy_only=False)] = [ids[a:b].tobytes() for a, b in itertools.pairwise(bounds.tolist())] or None
+        return _joined(own.tolist())
+
+    @staticmethod
+    def _spaced(texts: pa.StringArray) -> pa.StringArray:
+        """The pre-tokenizer's words in lower case, with spaces between: letters stay, all other tokens are set apart."""
+        return pc.replace_substring_regex(pc.utf8_lower(texts), "('s|'t|'re|'ve|'m|'ll|'d|\\p{N}|[^ \\p{L}\\p{N}]+)", " \\1 ")
+
+    @staticmethod
+    def _looked_up(kept: _Kept, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         codes, chunks, bounds = _spread(pc.split_pattern(texts, " "))
-        values = self.kept.values(chunks)
+        values = kept.values(chunks)
         lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
         starts, n = np.cumsum(lengths) - lengths, lengths[codes]
         where = np.concatenate([[0], np.cumsum(n)])
@@ -203,7 +221,7 @@ class PieceTokenizer:
 
     def counts(self, texts: pa.StringArray) -> np.ndarray:
         if not self.cuts:
-            return np.array([x for batch in _batches(texts.to_pylist(), BATCH_BYTES) for x in self._lengths(batch)], np.int64)
+            return np.array(self._lengths(texts.to_pylist()), np.int64)
         # Where no two spaces meet and none stands at an end, the chunks are what lies between spaces.
         odd = pc.match_substring_regex(texts, f"^ | $|  |{_MARK}|^$").to_numpy(zero_copy_only=False)
         codes, words, bounds = _spread(pc.split_pattern(texts.filter(pa.array(~odd)), " "))
