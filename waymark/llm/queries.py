@@ -14,8 +14,10 @@ from waymark.llm.exact_topk import exact_top_k
 from waymark.llm.line_dedup import drop_frequent_lines
 from waymark.llm.packing import pack_documents
 from waymark.llm.prefix_forest import nearest
+from waymark.llm.secret_scan import find_secrets
 from waymark.llm.simhash import hexed, near_duplicates
 from waymark.llm.token_counts import count_tokens
+from waymark.llm.url_filter import judge_urls
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +59,18 @@ FROM scored QUALIFY rank <= 20
 """
 
 
+#: Fixed values of the contract: verdict, host, start of the path.
+OP4_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), OP4_RULES)
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=0)
 
@@ -74,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_prefix_forest": op2_prefix_forest,
     "op3_exact_topk": op3_exact_topk,
+    "op4_url_filters": op4_url_filters,
+    "op7_secret_scan": op7_secret_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
