@@ -13,7 +13,9 @@ from waymark.llm.common import table
 from waymark.llm.exact_topk import exact_top_k
 from waymark.llm.line_dedup import drop_frequent_lines
 from waymark.llm.packing import pack_documents
+from waymark.llm.piece_sampling import sample_pieces
 from waymark.llm.prefix_forest import nearest
+from waymark.llm.quality import with_quality
 from waymark.llm.secret_scan import find_secrets
 from waymark.llm.simhash import hexed, near_duplicates
 from waymark.llm.token_counts import count_tokens
@@ -67,6 +69,20 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), OP4_RULES)
 
 
+def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), seed=0, alpha=1.0)
+
+
+#: Documents below this score are rejected. It leans towards keeping: a clean document lost costs more than junk kept.
+KEEP_FROM = 0.3
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    keep = F.coalesce(F.col("quality.score") >= KEEP_FROM, F.lit(True))
+    return found.select("doc_id", "quality.text_score", "quality.meta_score", F.col("quality.score").alias("quality_score"), keep.alias("keep"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
@@ -89,6 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_prefix_forest": op2_prefix_forest,
     "op3_exact_topk": op3_exact_topk,
     "op4_url_filters": op4_url_filters,
+    "op5_piece_sampling": op5_piece_sampling,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_secret_scan": op7_secret_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
