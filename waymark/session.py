@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[*]", partitions: int = 8, **extra: str) -> SparkSession:
@@ -19,3 +21,11 @@ def build_session(master: str = "local[*]", partitions: int = 8, **extra: str) -
     spark = SparkSession.builder.master(master).appName("waymark").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def cut_lineage(frame: DataFrame) -> DataFrame:
+    """``frame`` written once to the session's spark.checkpoint.dir; only where that is unset, as in tests, to a temporary folder."""
+    context = frame.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    return frame.checkpoint()
