@@ -1,13 +1,16 @@
 """Raster cells as rows (row, col, value); no data is null.
 
 Neighbourhoods are equi joins on shifted indices or windows along rows and columns, so a grid of any
-size is dealt by cell. Depression filling and accumulation relax cell by cell in written rounds.
+size is dealt by cell. Accumulation doubles pointers and depression filling floods blocks, in written rounds.
 """
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,20 +81,47 @@ def flow_accumulation(directions: DataFrame, most_rounds: int = 10_000) -> DataF
     return now.select("row", "col", "acc")
 
 
-def fill_depressions(cells: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """The lowest surface, nowhere below the given one, from which every cell drains to the edge (cells beside no data are edge)."""
-    valid = cells.where("value IS NOT NULL")
+def _flooded(group: pd.DataFrame) -> pd.DataFrame:
+    """One block: the lowest levels that its edge cells and the cells around it allow, by a priority flood."""
+    rows, cols = group["row"].to_numpy(), group["col"].to_numpy()
+    r0, c0 = rows.min(), cols.min()
+    shape = (rows.max() - r0 + 1, cols.max() - c0 + 1)
+    value, level = np.full(shape, np.nan), np.full(shape, np.inf)
+    value[rows - r0, cols - c0], level[rows - r0, cols - c0] = group["value"], group["level"]
+    queue = [(x, int(r), int(c)) for x, r, c in zip(group["level"], rows - r0, cols - c0, strict=True) if x < np.inf]
+    heapq.heapify(queue)
+    while queue:
+        at, r, c = heapq.heappop(queue)
+        if at > level[r, c]:
+            continue
+        for dr, dc in DIRECTIONS.values():
+            y, x = r + dr, c + dc
+            if 0 <= y < shape[0] and 0 <= x < shape[1] and (reach := max(value[y, x], at)) < level[y, x]:
+                level[y, x] = reach
+                heapq.heappush(queue, (reach, y, x))
+    mine = group[group["mine"]]
+    new = level[mine["row"] - r0, mine["col"] - c0]
+    return pd.DataFrame({"row": mine["row"], "col": mine["col"], "value": mine["value"], "level": new, "moved": new != mine["level"]})
+
+
+def fill_depressions(cells: DataFrame, block: int = 256, most_rounds: int = 10_000) -> DataFrame:
+    """The lowest surface, nowhere below the given one, from which every cell drains to the edge (cells beside no data are edge).
+
+    Blocks of cells, each with the cells around it, are flooded on their own, again until no level moves: a task holds one
+    block, and the rounds follow the number of blocks that water crosses, not that of cells.
+    """
+    valid = cells.where("value IS NOT NULL").select("row", "col", F.col("value").cast("double").alias("value"))
     inner = _neighbours(cells).groupBy("row", "col").count().where("count = 8").select("row", "col", F.lit(True).alias("inner"))
-    start = valid.join(inner, ["row", "col"], "left").select("row", "col", "value", F.when(F.col("inner"), F.lit(float("inf"))).otherwise(F.col("value")).alias("level"))
-    now = cut_lineage(start)
+    now = cut_lineage(valid.join(inner, ["row", "col"], "left").select("row", "col", "value", F.when(F.col("inner"), F.lit(float("inf"))).otherwise(F.col("value")).alias("level")))
+    spots = F.array_distinct(F.array(*(F.struct(F.floor((F.col("row") + r) / block).alias("r"), F.floor((F.col("col") + c) / block).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1))))
+    own = (F.col("b.r") == F.floor(F.col("row") / block)) & (F.col("b.c") == F.floor(F.col("col") / block))
     for _ in range(most_rounds):
-        lowest = _neighbours(now.select("row", "col", F.col("level").alias("value"))).groupBy("row", "col").agg(F.min("n_value").alias("low"))
-        after = now.join(lowest, ["row", "col"], "left").withColumn("next", F.greatest("value", F.least("level", F.coalesce("low", F.col("level")))))
-        after = cut_lineage(after.select("row", "col", "value", F.col("level").alias("was"), F.col("next").alias("level")))
-        if after.where("level <> was").isEmpty():
+        dealt = now.withColumn("b", F.explode(spots)).withColumn("mine", own)
+        after = cut_lineage(dealt.groupBy("b").applyInPandas(_flooded, "row int, col int, value double, level double, moved boolean"))
+        now = after.drop("moved")
+        if after.where("moved").isEmpty():
             break
-        now = after.drop("was")
-    return after.select("row", "col", F.col("level").alias("value"))
+    return now.select("row", "col", F.col("level").alias("value"))
 
 
 def streams(accumulation: DataFrame, directions: DataFrame, least: int) -> DataFrame:

@@ -1,10 +1,578 @@
-"""Registry of the parity queries: name -> (Spark plan, DuckDB text)."""
+"""Registry of the parity queries: name -> Spark plan, and name -> DuckDB text.
+
+Doubles end in round(x, 6) on both sides, money and quantities are summed as
+decimals, and every limit, rank and best-of has a total order.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from waymark.functions import geo, text
+from waymark.operators import evidence, graph, grid, index, joins, linear, quality, stats, temporal
+from waymark.operators.ranking import with_global_rank
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def keep(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return keep
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(column, places: int = 6):
+    return F.round(F.col(column) if isinstance(column, str) else column, places)
+
+
+def _rounded(frame: DataFrame, *names: str) -> DataFrame:
+    return frame.withColumns({n: _r(n) for n in names})
+
+
+def _money(column: str):
+    return F.sum(F.col(column).cast("decimal(18,2)")).cast("double")
+
+
+# ---- flagship: composite index over suppliers -------------------------------------------------------------------
+
+GROUPS = {"sub_volume": ["quantity", "revenue"], "sub_reach": ["n_parts", "n_orders"], "sub_terms": ["discount", "tax", "late_share"]}
+
+
+def supplier_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "lineitem")
+    facts = items.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
+        _money("l_quantity").alias("quantity"), _money("l_extendedprice").alias("revenue"), F.countDistinct("l_partkey").cast("double").alias("n_parts"), F.countDistinct("l_orderkey").cast("double").alias("n_orders"),
+        (_money("l_discount") / F.count("l_discount")).alias("discount"), (_money("l_tax") / F.count("l_tax")).alias("tax"), F.avg((F.col("l_returnflag") == "R").cast("double")).alias("late_share"),
+    )
+    return joins.star(_table(spark, sf_dir, "supplier").select("s_suppkey"), [facts], ["s_suppkey"]).where("quantity IS NOT NULL")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = index.composite(supplier_features(spark, sf_dir), GROUPS, logs=("revenue",))
+    return scored.withColumns({c: _r(c) for c in (*GROUPS, "score")})
+
+
+_FEATURES_SQL = """
+f AS (
+  SELECT l_suppkey AS s_suppkey, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS quantity, ln(1 + sum(l_extendedprice::DECIMAL(18,2))::DOUBLE) AS revenue,
+         count(DISTINCT l_partkey)::DOUBLE AS n_parts, count(DISTINCT l_orderkey)::DOUBLE AS n_orders,
+         sum(l_discount::DECIMAL(18,2))::DOUBLE / count(*) AS discount, sum(l_tax::DECIMAL(18,2))::DOUBLE / count(*) AS tax,
+         avg((l_returnflag = 'R')::INT) AS late_share
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1)"""
+_COLUMNS = [c for own in GROUPS.values() for c in own]
+_INDEX_SQL = f"""{_FEATURES_SQL},
+p AS (SELECT {", ".join(f"quantile_cont({c}, 0.05) AS lo_{c}, quantile_cont({c}, 0.95) AS hi_{c}" for c in _COLUMNS)} FROM f),
+n AS (SELECT s_suppkey, {", ".join(f"(least(greatest({c}, lo_{c}), hi_{c}) - lo_{c}) / (hi_{c} - lo_{c}) AS {c}" for c in _COLUMNS)} FROM f, p),
+g AS (SELECT s_suppkey, {", ".join(f"({' + '.join(own)}) / {len(own)} AS {name}" for name, own in GROUPS.items())} FROM n),
+i AS (SELECT s_suppkey, {", ".join(f"round({g}, 6) AS {g}" for g in GROUPS)}, round(({" + ".join(GROUPS)}) / 3 * 100, 6) AS score FROM g)"""
+
+
+@_query(f"""WITH {_INDEX_SQL},
+e AS (SELECT [round(x, 6) FOR x IN quantile_cont(score, [0.2, 0.4, 0.6, 0.8])] AS q FROM i)
+SELECT i.*, rank() OVER (ORDER BY score DESC)::INT AS ranking,
+       CASE WHEN score <= q[1] THEN 'muy_baja' WHEN score <= q[2] THEN 'baja' WHEN score <= q[3] THEN 'media' WHEN score <= q[4] THEN 'alta' ELSE 'muy_alta' END AS class
+FROM i, e""")
+def exposure_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Star join, robust scaling, sub-indices, composite, rank and quintile class."""
+    scored = _index(spark, sf_dir).select("s_suppkey", *GROUPS, "score")
+    return index.quantile_class(with_global_rank(scored, "score", "ranking"), "score", "class", places=6)
+
+
+@_query(f"""WITH {_FEATURES_SQL}
+{" UNION ALL ".join(f"SELECT '{c}' AS feature, round(quantile_cont({c}, 0.05), 6) AS p_low, round(quantile_cont({c}, 0.95), 6) AS p_high FROM f" for c in _COLUMNS)}""")
+def scaler_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready = supplier_features(spark, sf_dir).withColumn("revenue", F.log1p("revenue"))
+    return _rounded(index.params_frame(ready, index.scaler_params(ready, _COLUMNS)), "p_low", "p_high")
+
+
+@_query("""WITH e AS (SELECT quantile_cont(p_size, [0.2, 0.4, 0.6, 0.8]) AS q FROM part)
+SELECT p_partkey, CASE WHEN p_size <= q[1] THEN 'muy_baja' WHEN p_size <= q[2] THEN 'baja' WHEN p_size <= q[3] THEN 'media' WHEN p_size <= q[4] THEN 'alta' ELSE 'muy_alta' END AS class FROM part, e""")
+def quantile_class_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.quantile_class(_table(spark, sf_dir, "part"), "p_size", "class").select("p_partkey", "class")
+
+
+@_query("""SELECT p_partkey, round((rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2) / count(*) OVER () * 100, 6) AS pct FROM part""")
+def pct_rank_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.percentile_rank(_table(spark, sf_dir, "part"), "p_size", "pct").select("p_partkey", _r("pct").alias("pct"))
+
+
+@_query("SELECT o_orderkey, rank() OVER (ORDER BY o_totalprice DESC)::INT AS ranking FROM orders")
+def global_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_global_rank(_table(spark, sf_dir, "orders"), "o_totalprice", "ranking").select("o_orderkey", "ranking")
+
+
+@_query(f"""WITH {_INDEX_SQL}
+SELECT s_suppkey, CASE greatest(sub_volume, sub_reach, sub_terms) WHEN sub_volume THEN 'sub_volume' WHEN sub_reach THEN 'sub_reach' ELSE 'sub_terms' END AS dimension FROM i""")
+def dominant_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).select("s_suppkey", index.dominant(list(GROUPS)).alias("dimension"))
+
+
+@_query(f"""WITH {_INDEX_SQL},
+d AS (SELECT s_suppkey, unnest([{{'v': sub_volume, 'n': 'sub_volume'}}, {{'v': sub_reach, 'n': 'sub_reach'}}, {{'v': sub_terms, 'n': 'sub_terms'}}]) AS d FROM i),
+r AS (SELECT s_suppkey, d.n AS n, row_number() OVER (PARTITION BY s_suppkey ORDER BY d.v DESC, d.n DESC) AS k FROM d)
+SELECT s_suppkey, string_agg(n, '|' ORDER BY k) AS drivers FROM r WHERE k <= 2 GROUP BY 1""")
+def top2_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = index.top_drivers(list(GROUPS))
+    return _index(spark, sf_dir).select("s_suppkey", F.array_join(F.transform(best, lambda d: d["name"]), "|").alias("drivers"))
+
+
+# ---- summaries ----------------------------------------------------------------------------------------------------
+
+
+@_query("""SELECT c_mktsegment, count(c_acctbal) AS n, round(avg(c_acctbal), 6) AS mean, round(median(c_acctbal), 6) AS median, min(c_acctbal) AS least, max(c_acctbal) AS most FROM customer GROUP BY 1""")
+def level_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(stats.level_summary(_table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal"), "mean", "median")
+
+
+@_query("""WITH b AS (SELECT l.quality AS q, l.toxic AS t, d.n_chars::DOUBLE AS v FROM documents d JOIN labels l USING (doc_id))
+SELECT 'quality' AS flag, count(*) FILTER (q = 1) AS n_with, count(*) FILTER (q = 0) AS n_without, round(avg(v) FILTER (q = 1), 6) AS mean_with, round(avg(v) FILTER (q = 0), 6) AS mean_without, round(median(v) FILTER (q = 1), 6) AS median_with, round(median(v) FILTER (q = 0), 6) AS median_without, round(avg(v) FILTER (q = 1) - avg(v) FILTER (q = 0), 6) AS difference FROM b
+UNION ALL SELECT 'toxic', count(*) FILTER (t = 1), count(*) FILTER (t = 0), round(avg(v) FILTER (t = 1), 6), round(avg(v) FILTER (t = 0), 6), round(median(v) FILTER (t = 1), 6), round(median(v) FILTER (t = 0), 6), round(avg(v) FILTER (t = 1) - avg(v) FILTER (t = 0), 6) FROM b""")
+def cohort_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id").withColumns({"quality_v": F.col("n_chars").cast("double"), "toxic_v": F.col("n_chars").cast("double")})
+    found = stats.cohort_contrast(both, [("quality", "quality_v"), ("toxic", "toxic_v")]).withColumn("flag", F.regexp_replace("dimension", "_v$", "")).drop("dimension")
+    return _rounded(found, "mean_with", "mean_without", "median_with", "median_without", "difference")
+
+
+@_query(" UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS least, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75, round(max({c}), 6) AS most FROM lineitem" for c in ("l_quantity", "l_discount")))
+def describe_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(stats.describe_exact(_table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"]), "mean", "std", "least", "q25", "q50", "q75", "most")
+
+
+_ERRORS = "(SELECT l_extendedprice AS model, l_quantity * p_retailprice AS truth FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+@_query(f"""SELECT count(*) AS n, round(avg(abs(model - truth)), 4) AS mae, round(sqrt(avg((model - truth) * (model - truth))), 4) AS rmse, round(avg(model - truth), 4) AS bias, round(max(abs(model - truth)), 4) AS max_abs FROM {_ERRORS}""")
+def error_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_extendedprice").alias("model"), (F.col("l_quantity") * F.col("p_retailprice")).alias("truth"))
+    return stats.error_metrics(both, "model", "truth").select("n", *(_r(c, 4).alias(c) for c in ("mae", "rmse", "bias", "max_abs")))
+
+
+@_query("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
+def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.value_counts(_table(spark, sf_dir, "orders"), "o_orderpriority", nulls=True)
+
+
+@_query("SELECT 'c_name' AS feature, count(*) - count(c_name) AS n_null FROM customer UNION ALL SELECT 'c_acctbal', count(*) - count(c_acctbal) FROM customer")
+def null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.null_counts(_table(spark, sf_dir, "customer"), ["c_name", "c_acctbal"])
+
+
+@_query(" UNION ALL ".join(f"SELECT {t}.0::DOUBLE AS threshold, count(*) FILTER (l_extendedprice >= {t}) AS n FROM lineitem" for t in (500, 1000, 2500, 5000, 10000)))
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.threshold_sweep(_table(spark, sf_dir, "lineitem"), "l_extendedprice", [500, 1000, 2500, 5000, 10000])
+
+
+@_query("""WITH t AS (SELECT o_custkey, sum(o_totalprice::DECIMAL(18,2)) AS v FROM orders GROUP BY 1)
+SELECT round((100 * (SELECT sum(v) FROM (SELECT v FROM t ORDER BY v DESC LIMIT 10)) / (SELECT sum(v) FROM t))::DOUBLE, 6) AS share_pct""")
+def topn_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(_money("o_totalprice").alias("v"))
+    return _rounded(stats.top_share(totals, "v", 10), "share_pct")
+
+
+@_query("""WITH r AS (SELECT (o_orderpriority = '1-URGENT')::INT AS flag, rank() OVER (ORDER BY o_totalprice DESC) AS k FROM orders)
+SELECT 13 AS top, round(avg(flag) FILTER (k <= 13), 6) AS capture, round(avg(flag), 6) AS base_rate FROM r UNION ALL SELECT 26, round(avg(flag) FILTER (k <= 26), 6), round(avg(flag), 6) FROM r""")
+def topn_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flagged = _table(spark, sf_dir, "orders").withColumn("flag", (F.col("o_orderpriority") == "1-URGENT").cast("int"))
+    return _rounded(stats.top_capture(flagged, "o_totalprice", "flag", [13, 26]), "capture", "base_rate")
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
+def top_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(15).select("o_orderkey", "o_totalprice")
+
+
+@_query("SELECT c_mktsegment, arg_max(c_custkey, struct_pack(a := c_acctbal, b := -c_custkey)) AS best FROM customer GROUP BY 1")
+def first_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.max_by("c_custkey", F.struct("c_acctbal", -F.col("c_custkey"))).alias("best"))
+
+
+# ---- intervals and evidence ---------------------------------------------------------------------------------------
+
+#: Made-up hazards with touching, nested, one-kilometre and outlying spans, and one unknown level.
+HAZARDS = [(0, 10, "flood", "hidrologico", "summer", "medio"), (10, 12, "snow", "climatico", "winter", "alto"), (11, 12, "rockfall", "topografico", "all", "alto_medio"), (12, 40, "wind", "climatico", "all", "medio"), (30, 35, "flood", "hidrologico", "summer", "alto"), (34, 60, "landslide", "geologico", "summer", "alto_medio"), (59, 60, "animals", "fauna", "all", "none"), (70, 95, "altitude", "altitudinal", "all", "alto"), (90, 140, "traffic", "operacional", "all", "medio"), (128, 135, "snow", "climatico", "winter", "alto")]
+_HAZARDS_SQL = "h(km_inicio, km_fin, peligro, categoria, estacionalidad, nivel) AS (VALUES " + ", ".join(map(str, HAZARDS)) + ")"
+_SEGMENTS_SQL = "s AS (SELECT range::INT AS km_inicio, (range + 1)::INT AS km_fin FROM range(130))"
+
+
+def segments(spark: SparkSession, n: int = 130) -> DataFrame:
+    return spark.range(n).select(F.col("id").cast("int").alias("km_inicio"), (F.col("id") + 1).cast("int").alias("km_fin"))
+
+
+def hazards(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(HAZARDS, "km_inicio int, km_fin int, peligro string, categoria string, estacionalidad string, nivel string")
+
+
+_SPANS_SQL = """WITH o AS (SELECT o_orderkey, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS a, date_diff('day', DATE '1992-01-01', max(l_shipdate)::DATE) + 1 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderdate),
+c AS (SELECT range::INT AS term, range * 90 AS c, range * 90 + 60 AS d FROM range(40))
+SELECT term, count(*) AS n FROM o JOIN c ON c < b AND d > a AND b > a GROUP BY term"""
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1992-01-01").cast("date"))
+    last = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg((day_of_last() + 1).alias("b"))
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", day("o_orderdate").alias("a")).join(last, F.col("o_orderkey") == F.col("l_orderkey")).where("b > a").select("o_orderkey", "a", "b")
+    terms = spark.range(40).select(F.col("id").cast("int").alias("term"), (F.col("id") * 90).cast("int").alias("c"), (F.col("id") * 90 + 60).cast("int").alias("d"))
+    return orders, terms
+
+
+def day_of_last():
+    return F.datediff(F.max("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
+
+
+@_query(_SPANS_SQL)
+def interval_overlap_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, terms = _spans(spark, sf_dir)
+    return joins.overlap_theta(orders, F.broadcast(terms), ("a", "b"), ("c", "d")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@_query(_SPANS_SQL)
+def interval_overlap_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, terms = _spans(spark, sf_dir)
+    return joins.overlap_binned(orders, terms, ("a", "b"), ("c", "d"), width=60).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@_query(f"""WITH {_HAZARDS_SQL}, {_SEGMENTS_SQL},
+j AS (SELECT s.km_inicio AS a, s.km_fin AS b, h.*, list_position(['medio', 'alto_medio', 'alto'], nivel) AS k FROM s LEFT JOIN h ON h.km_inicio < s.km_fin AND h.km_fin > s.km_inicio)
+SELECT a AS km_inicio, b AS km_fin, count(peligro)::INT AS n_peligros_campo, arg_max(nivel, k) AS nivel_campo_max,
+  {", ".join(f"(count(*) FILTER (categoria = '{c}'))::INT AS n_{c}_campo, (count(*) FILTER (categoria = '{c}') > 0)::INT AS campo_{c}" for c in evidence.CATEGORIES)},
+  coalesce(string_agg(DISTINCT peligro, '|' ORDER BY peligro), '') AS peligros_campo, coalesce(string_agg(DISTINCT estacionalidad, '|' ORDER BY estacionalidad), '') AS estacionalidades_campo
+FROM j GROUP BY 1, 2""")
+def evidence_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.rollup(segments(spark), hazards(spark))
+
+
+@_query(f"""WITH {_HAZARDS_SQL}, {_SEGMENTS_SQL}
+SELECT km_inicio, (EXISTS (SELECT 1 FROM h WHERE h.km_inicio < s.km_fin AND h.km_fin > s.km_inicio AND categoria IN ('hidrologico', 'climatico', 'topografico')))::INT AS evidencia_modelada FROM s""")
+def disjunctive_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rolled = evidence.rollup(segments(spark), hazards(spark))
+    return rolled.select("km_inicio", evidence.any_flag(["campo_hidrologico", "campo_climatico", "campo_topografico"]).alias("evidencia_modelada"))
+
+
+# ---- temporal -----------------------------------------------------------------------------------------------------
+
+
+def _plan() -> temporal.ChangePlan:
+    return temporal.ChangePlan("surface", "index", "sim_a", "2030-01-01T00:00:00Z", "2030-02-01T00:00:00Z", "2030-02-02T00:00:00Z", zones=[(20, 25, -12.0), (60, 66, 6.5)], source="simulated_demo")
+
+
+_K_SQL = """k AS (SELECT range AS k, 70 + (range * 17 % 21 - 10) * 0.5 AS base,
+  CASE WHEN range >= 20 AND range < 25 THEN -12.0 WHEN range >= 60 AND range < 66 THEN 6.5 ELSE [-2.0, -1.0, 0.0, 1.0, 2.0][range % 5 + 1] END::DOUBLE AS delta FROM range(130))"""
+_CLASS_SQL = "CASE WHEN abs(delta) >= 10 THEN 'major' WHEN abs(delta) >= 5 THEN 'moderate' WHEN abs(delta) >= 2.5 THEN 'minor' ELSE 'stable' END"
+_DIRECTION_SQL = "CASE WHEN delta > 0 THEN 'increase' WHEN delta < 0 THEN 'decrease' ELSE 'stable' END"
+
+
+@_query(f"""WITH {_K_SQL} SELECT format('seg_{{:03d}}_{{:03d}}', k, k + 1) AS segment_id, round(base::DOUBLE, 6) AS baseline_value, round(base + delta, 6) AS current_value, round(delta, 6) AS delta_abs, round(100 * delta / nullif(base, 0), 6) AS delta_pct, {_DIRECTION_SQL} AS change_direction, {_CLASS_SQL} AS change_class, true AS is_simulated FROM k""")
+def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = _plan()
+    found = temporal.change_events(temporal.snapshots(segments(spark), plan), F.to_timestamp(F.lit(plan.baseline_at)), F.to_timestamp(F.lit(plan.current_at)), plan.thresholds)
+    return _rounded(found.select("segment_id", "baseline_value", "current_value", "delta_abs", "delta_pct", "change_direction", "change_class", "is_simulated"), "baseline_value", "current_value", "delta_abs", "delta_pct")
+
+
+@_query(f"""WITH {_K_SQL}, b AS (SELECT k, unnest([{{'at': '2030-01-01 00:00:00', 'v': base::DOUBLE}}, {{'at': '2030-02-01 00:00:00', 'v': base + delta}}]) AS x FROM k)
+SELECT format('seg_{{:03d}}_{{:03d}}', k, k + 1) AS segment_id, x.at AS observed, round(x.v, 6) AS metric_value, round(x.v - 3, 6) AS uncertainty_lower, round(x.v + 3, 6) AS uncertainty_upper FROM b""")
+def snapshots_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shots = temporal.latest(temporal.snapshots(segments(spark), _plan())).withColumn("observed", F.date_format("observed_at_utc", "yyyy-MM-dd HH:mm:ss"))
+    return _rounded(shots.select("segment_id", "observed", "metric_value", "uncertainty_lower", "uncertainty_upper"), "metric_value", "uncertainty_lower", "uncertainty_upper")
+
+
+@_query("""WITH m AS (SELECT event_type, ts::DATE AS day, sum(value::DECIMAL(18,6))::DOUBLE AS v FROM events GROUP BY 1, 2),
+d AS (SELECT event_type, day, v, lag(v) OVER (PARTITION BY event_type ORDER BY day) AS base FROM m)
+SELECT event_type, strftime(day, '%Y-%m-%d') AS day, round(v - base, 4) AS delta, round(100 * (v - base) / nullif(base, 0), 4) AS pct FROM d WHERE base IS NOT NULL""")
+def daily_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = _table(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum(F.col("value").cast("decimal(18,6)")).cast("double").alias("v"))
+    base = F.lag("v").over(Window.partitionBy("event_type").orderBy("day"))
+    return days.withColumn("base", base).where("base IS NOT NULL").select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), _r(F.col("v") - F.col("base"), 4).alias("delta"), _r(100 * (F.col("v") - F.col("base")) / F.nullif("base", F.lit(0.0)), 4).alias("pct"))
+
+
+_DAYS_SQL = "d AS (SELECT event_type, ts::DATE AS day, min(value) AS least, max(value) AS most, sum(value::DECIMAL(18,6))::DOUBLE AS total, count(value) AS n FROM events GROUP BY 1, 2)"
+
+
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.daily(_table(spark, sf_dir, "events").withColumn("value", F.col("value").cast("decimal(18,6)")), ["event_type"], "ts", "value").withColumns({c: F.col(c).cast("double") for c in ("least", "most", "total")})
+
+
+@_query(f"WITH {_DAYS_SQL} SELECT event_type, strftime(day, '%Y-%m-%d') AS day, round(least, 4) AS least, round(most, 4) AS most, round(total, 4) AS total, n FROM d")
+def daily_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _days(spark, sf_dir).select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), *(_r(c, 4).alias(c) for c in ("least", "most", "total")), "n")
+
+
+@_query(f"""WITH {_DAYS_SQL}, y AS (SELECT event_type, year(day) AS y, sum((round(least, 4) < 5 AND round(most, 4) > 90)::INT) AS hits, sum(total) AS total FROM d GROUP BY 1, 2)
+SELECT event_type, round(avg(hits), 6) AS hits, round(avg(total), 4) AS total FROM y GROUP BY 1""")
+def annual_mean_of_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = _days(spark, sf_dir)
+    hits = temporal.annual_mean(days, ["event_type"], F.coalesce((_r("least", 4) < 5) & (_r("most", 4) > 90), F.lit(False)).cast("int"), "hits")
+    return hits.join(temporal.annual_mean(days, ["event_type"], F.col("total"), "total"), "event_type").select("event_type", _r("hits").alias("hits"), _r("total", 4).alias("total"))
+
+
+@_query("SELECT event_type, round(avg((value > 0)::INT), 6) AS over0, round(avg((value >= 10)::INT), 6) AS over10, round(avg((value >= 50)::INT), 6) AS over50 FROM events GROUP BY 1")
+def fraction_over_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    shares = [_r(temporal.true_share(c)).alias(n) for n, c in (("over0", v > 0), ("over10", v >= 10), ("over50", v >= 50))]
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(*shares)
+
+
+@_query("SELECT l_returnflag, round(avg(sqrt(l_quantity * l_quantity + l_tax * l_tax)), 6) AS mean, round(quantile_cont(sqrt(l_quantity * l_quantity + l_tax * l_tax), 0.95), 6) AS p95 FROM lineitem GROUP BY 1")
+def vector_magnitude_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = temporal.magnitude(F.col("l_quantity"), F.col("l_tax"))
+    return _table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(_r(F.avg(size)).alias("mean"), _r(F.percentile(size, 0.95)).alias("p95"))
+
+
+@_query("""WITH s AS (SELECT c_custkey AS e, k AS scenario, round(c_acctbal * (1 + k * 0.1) + c_custkey * (k % 3), 4) AS score FROM customer, (SELECT range AS k FROM range(9)) WHERE c_nationkey < 12),
+r AS (SELECT e, rank() OVER (PARTITION BY scenario ORDER BY score DESC) AS k FROM s)
+SELECT e, quantile_cont(k, 0.5) AS rank_median, round(quantile_cont(k, 0.1), 6) AS rank_p10, round(quantile_cont(k, 0.9), 6) AS rank_p90, round(avg((k <= 10)::INT), 6) AS p_top10, round(avg((k <= 20)::INT), 6) AS p_top20 FROM r GROUP BY e""")
+def rank_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = _table(spark, sf_dir, "customer").where("c_nationkey < 12").withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(8))))
+    scored = some.select(F.col("c_custkey").alias("e"), "scenario", _r(F.col("c_acctbal") * (1 + F.col("scenario") * 0.1) + F.col("c_custkey") * (F.col("scenario") % 3), 4).alias("score"))
+    return _rounded(temporal.rank_stability(scored, "e", "scenario", "score"), "rank_p10", "rank_p90", "p_top10", "p_top20")
+
+
+# ---- graph --------------------------------------------------------------------------------------------------------
+
+
+@_query(f"""WITH {_SEGMENTS_SQL} SELECT format('seg_{{:03d}}_{{:03d}}', a.km_inicio, a.km_fin) AS segment_id, a.km_inicio, a.km_fin, format('seg_{{:03d}}_{{:03d}}', b.km_inicio, b.km_fin) AS neighbor_segment_id, b.km_inicio AS neighbor_km_inicio, b.km_fin AS neighbor_km_fin, 1 AS distance_order, 1.0::DOUBLE AS weight, 'derived' AS fuente
+FROM s a JOIN s b ON abs(a.km_inicio - b.km_inicio) = 1""")
+def segment_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.linear_neighbours(segments(spark))
+
+
+def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations by a customer's and a supplier's nation of one order line: a directed graph."""
+    items, orders, customers, suppliers = (_table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    way = items.where("l_quantity >= 50").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    return way.where("c_nationkey <> s_nationkey AND (c_nationkey + s_nationkey) % 3 = 0").groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.min(F.col("l_tax") + 1).alias("w"))
+
+
+_TRADE_SQL = "g AS (SELECT c_nationkey AS src, s_nationkey AS dst, min(l_tax + 1) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 50 AND c_nationkey <> s_nationkey AND (c_nationkey + s_nationkey) % 3 = 0 GROUP BY 1, 2)"
+
+
+@_query(f"WITH {_TRADE_SQL} SELECT src, count(*) AS degree FROM g GROUP BY 1")
+def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(_trade(spark, sf_dir))
+
+
+@_query(f"WITH {_TRADE_SQL} SELECT src, dst FROM g WHERE NOT EXISTS (SELECT 1 FROM g r WHERE r.src = g.dst AND r.dst = g.src)")
+def missing_reciprocal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.missing_reciprocals(_trade(spark, sf_dir))
+
+
+@_query(f"""WITH RECURSIVE {_TRADE_SQL}, t AS (SELECT 0 AS node, 0.0::DOUBLE AS cost, 0 AS hops UNION SELECT dst, round(cost + w, 6), hops + 1 FROM t JOIN g ON node = src WHERE hops < 8)
+SELECT node, round(min(cost), 4) AS cost FROM t GROUP BY 1""")
+def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.shortest_costs(_trade(spark, sf_dir), 0).select("node", _r("cost", 4).alias("cost"))
+
+
+@_query(f"""WITH RECURSIVE {_TRADE_SQL}, t AS (SELECT 0 AS node, 0 AS hops UNION SELECT dst, hops + 1 FROM t JOIN g ON node = src WHERE hops < 25)
+SELECT node, min(hops) AS hops FROM t GROUP BY 1""")
+def bfs_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reached(_trade(spark, sf_dir), 0)
+
+
+@_query("""SELECT 'self_loop' AS rule, count(*) AS n FROM events WHERE user_id = event_id % 100 UNION ALL
+SELECT 'duplicate', count(*) FROM (SELECT user_id, event_id % 100 AS d FROM events GROUP BY 1, 2 HAVING count(*) > 1) UNION ALL
+SELECT 'no_reciprocal', count(*) FROM events e WHERE NOT EXISTS (SELECT 1 FROM events r WHERE r.user_id = e.event_id % 100 AND r.event_id % 100 = e.user_id)""")
+def graph_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.violations(_table(spark, sf_dir, "events").select(F.col("user_id").alias("src"), (F.col("event_id") % 100).alias("dst")))
+
+
+# ---- linear referencing and geometry ------------------------------------------------------------------------------
+
+#: Made-up anchors, kilometre to way along the line.
+ANCHORS = [(0.0, 0.4), (10.0, 10.1), (42.5, 41.0), (90.0, 91.25), (130.0, 127.5)]
+_ANCHORS_SQL = "a(km, s) AS (VALUES " + ", ".join(f"({k}::DOUBLE, {s}::DOUBLE)" for k, s in ANCHORS) + "), b AS (SELECT km AS k0, s AS s0, lead(km) OVER (ORDER BY km) AS k1, lead(s) OVER (ORDER BY km) AS s1 FROM a)"
+
+
+@_query(f"WITH {_ANCHORS_SQL} SELECT range::INT AS km, round(s0 + (range - k0) * (s1 - s0) / (k1 - k0), 6) AS s FROM range(131) JOIN b ON range <= k1 AND (range > k0 OR (range = 0 AND k0 = 0))")
+def anchor_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = spark.range(131).select(F.col("id").cast("int").alias("km"))
+    return _rounded(joins.interpolate(points, spark.createDataFrame(ANCHORS, "k double, v double"), "km", "k", "v", "s", 10.0), "s").select("km", "s")
+
+
+@_query("""WITH w AS (SELECT user_id, event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS dv, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS da FROM events WHERE value IS NOT NULL)
+SELECT event_id, round(dv / da, 6) AS gradient FROM w WHERE da > 20""")
+def consecutive_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linear.gradients(_table(spark, sf_dir, "events"), ["user_id"], "event_id", "value", 20).select("event_id", _r("gradient").alias("gradient"))
+
+
+@_query("""WITH w AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+SELECT user_id, event_id FROM w WHERE n = 1 OR event_type IS DISTINCT FROM b""")
+def consecutive_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("x"), F.lit(0).alias("y"))
+    return linear.without_repeats(rows, "user_id", "event_id").select("user_id", "event_id")
+
+
+@_query("""WITH v AS (SELECT user_id, event_id, (event_id % 97)::DOUBLE AS x, (event_id % 89)::DOUBLE AS y FROM events),
+e AS (SELECT user_id, sqrt((lead(x) OVER w - x) ** 2 + (lead(y) OVER w - y) ** 2) AS d FROM v WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, round(sum(d), 4) AS length, count(*) FILTER (d > 0) AS n FROM e WHERE d > 0 GROUP BY 1""")
+def polyline_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vertices = _table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 97).cast("double").alias("x"), (F.col("event_id") % 89).cast("double").alias("y"))
+    pieces = linear.measured(linear.edges(vertices, "user_id", "event_id"), "user_id", "event_id")
+    return pieces.groupBy("user_id").agg(_r(F.max("s1"), 4).alias("length"), F.count("*").alias("n"))
+
+
+_PLACES = "((s_suppkey * 37) % 1000 / 100.0)::DOUBLE AS x, ((s_suppkey * 59) % 1000 / 100.0)::DOUBLE AS y FROM supplier"
+_ASKED = "((c_custkey * 73) % 997 / 100.0)::DOUBLE AS x, ((c_custkey * 41) % 991 / 100.0)::DOUBLE AS y FROM customer"
+
+
+def _places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    there = _table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") * 37 % 1000 / 100.0).alias("tx"), (F.col("s_suppkey") * 59 % 1000 / 100.0).alias("ty"))
+    asked = _table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 73 % 997 / 100.0).alias("x"), (F.col("c_custkey") * 41 % 991 / 100.0).alias("y"))
+    return asked, there
+
+
+@_query(f"""WITH t AS (SELECT s_suppkey, {_PLACES}), p AS (SELECT c_custkey, {_ASKED}),
+d AS (SELECT c_custkey, s_suppkey, round(2 * 6371000.0 * asin(sqrt(least(1.0, sin(radians(t.y - p.y) / 2) ** 2 + cos(radians(p.y)) * cos(radians(t.y)) * sin(radians(t.x - p.x) / 2) ** 2))), 4) AS d FROM p, t)
+SELECT c_custkey, s_suppkey, d AS distance FROM d QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY d, s_suppkey) = 1""")
+def nearest_point_haversine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, there = _places(spark, sf_dir)
+    way = _r(geo.haversine(F.col("x"), F.col("y"), F.col("tx"), F.col("ty")), 4)
+    return joins.nearest_of_few(asked, there, way, "c_custkey", "s_suppkey")
+
+
+@_query(f"""WITH t AS (SELECT s_suppkey, {_PLACES}), p AS (SELECT c_custkey, {_ASKED}),
+d AS (SELECT c_custkey, s_suppkey, round(sqrt((t.x - p.x) ** 2 + (t.y - p.y) ** 2), 6) AS d FROM p, t)
+SELECT c_custkey, s_suppkey, d AS distance FROM d WHERE d <= 0.5 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY d, s_suppkey) = 1""")
+def nearest_within_tol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, there = _places(spark, sf_dir)
+    way = _r(F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty")))
+    return joins.nearest_within(asked, there, 0.5, way, "c_custkey", "s_suppkey", F.lit(False), (F.col("x"), F.col("y")), (F.col("tx"), F.col("ty")))
+
+
+@_query(f"""WITH v AS (SELECT s_suppkey, {_PLACES}), e AS (SELECT s_suppkey // 10 AS line, x AS ax, y AS ay, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM v WINDOW w AS (PARTITION BY s_suppkey // 10 ORDER BY s_suppkey)),
+p AS (SELECT c_custkey, {_ASKED}),
+t AS (SELECT c_custkey, x, y, e.*, least(greatest(((x - ax) * dx + (y - ay) * dy) / (dx ** 2 + dy ** 2), 0), 1) AS t FROM p, e WHERE dx IS NOT NULL),
+d AS (SELECT c_custkey, line, round(sqrt((x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2), 6) AS d FROM t)
+SELECT c_custkey, line, min(d) AS distance FROM d WHERE d <= 0.25 GROUP BY 1, 2""")
+def points_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, there = _places(spark, sf_dir)
+    vertices = there.select(F.floor(F.col("s_suppkey") / 10).alias("line"), F.col("s_suppkey").alias("seq"), F.col("tx").alias("x"), F.col("ty").alias("y"))
+    near = joins.within_of_lines(asked.withColumnsRenamed({"x": "px", "y": "py"}), linear.edges(vertices), 0.26, "c_custkey", "line")
+    return _rounded(near, "distance").where("distance <= 0.25")
+
+
+# ---- grid ---------------------------------------------------------------------------------------------------------
+
+_GRID_SQL = "c AS (SELECT (range // 40)::INT AS row, (range % 40)::INT AS col, ((range // 40) * (range // 40) * 0.3 + (range % 40) * 1.7 + (range * 31 % 17) * 0.4)::DOUBLE AS value FROM range(1200))"
+
+
+def _cells(spark: SparkSession) -> DataFrame:
+    r, c = F.floor(F.col("id") / 40), F.col("id") % 40
+    return spark.range(1200).select(r.cast("int").alias("row"), c.cast("int").alias("col"), (r * r * 0.3 + c * 1.7 + (F.col("id") * 31 % 17) * 0.4).alias("value"))
+
+
+@_query(f"""WITH {_GRID_SQL}, g AS (SELECT row, col,
+ CASE WHEN col = 0 THEN (lead(value) OVER r - value) / 10 WHEN col = 39 THEN (value - lag(value) OVER r) / 10 ELSE (lead(value) OVER r - lag(value) OVER r) / 20 END AS gx,
+ CASE WHEN row = 0 THEN (lead(value) OVER k - value) / 10 WHEN row = 29 THEN (value - lag(value) OVER k) / 10 ELSE (lead(value) OVER k - lag(value) OVER k) / 20 END AS gy
+ FROM c WINDOW r AS (PARTITION BY row ORDER BY col), k AS (PARTITION BY col ORDER BY row))
+SELECT row, col, round(sqrt(gx * gx + gy * gy) * 100, 6) AS slope FROM g""")
+def grid_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.slope_percent(_cells(spark), 10.0, 10.0).select("row", "col", _r("value").alias("slope"))
+
+
+_D8_SQL = """m(code, dr, dc) AS (VALUES (64, -1, 0), (128, -1, 1), (1, 0, 1), (2, 1, 1), (4, 1, 0), (8, 1, -1), (16, 0, -1), (32, -1, -1)),
+n AS (SELECT c.row, c.col, code, d.row AS to_row, d.col AS to_col, (c.value - d.value) / CASE WHEN dr = 0 OR dc = 0 THEN 1 ELSE sqrt(2) END AS drop FROM c, m JOIN c d ON d.row = c.row + dr AND d.col = c.col + dc),
+b AS (SELECT * FROM n WHERE drop > 0 QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY drop DESC, code) = 1)"""
+
+
+@_query(f"WITH {_GRID_SQL}, {_D8_SQL} SELECT c.row, c.col, coalesce(code, 0) AS direction FROM c LEFT JOIN b USING (row, col)")
+def d8_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.d8_direction(_cells(spark)).select("row", "col", "direction")
+
+
+@_query(f"""WITH RECURSIVE {_GRID_SQL}, {_D8_SQL}, t AS (SELECT row AS r0, col AS c0, row, col FROM c UNION ALL SELECT r0, c0, to_row, to_col FROM t JOIN b USING (row, col))
+SELECT row, col, count(*) AS acc FROM t GROUP BY 1, 2""")
+def flow_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.flow_accumulation(grid.d8_direction(_cells(spark)))
+
+
+@_query(f"""WITH RECURSIVE {_GRID_SQL}, {_D8_SQL}, t AS (SELECT row, col FROM c UNION ALL SELECT to_row, to_col FROM t JOIN b USING (row, col)), a AS (SELECT row, col, count(*) AS acc FROM t GROUP BY 1, 2 HAVING count(*) >= 5)
+SELECT b.row, b.col, b.to_row, b.to_col FROM b JOIN a USING (row, col) JOIN a d ON d.row = b.to_row AND d.col = b.to_col""")
+def stream_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ways = grid.d8_direction(_cells(spark))
+    return grid.streams(grid.flow_accumulation(ways), ways, 5).select("row", "col", "to_row", "to_col")
+
+
+@_query(None)
+def fill_depressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.fill_depressions(_cells(spark))
+
+
+@_query(f"WITH {_GRID_SQL} SELECT (row // 10)::INT AS zone, count(*) AS n, min(value) AS least, round(avg(value), 6) AS mean, max(value) AS most, round(max(value) - min(value), 6) AS relief, round(quantile_cont(value, 0.9), 6) AS p90 FROM (SELECT row, col, round(value, 6) AS value FROM c) GROUP BY 1")
+def zonal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zones = _cells(spark).select(F.floor(F.col("row") / 10).cast("int").alias("zone"), _r("value").alias("value"))
+    return _rounded(grid.zonal(zones, "zone", "value"), "mean", "relief", "p90")
+
+
+@_query(f"""WITH {_GRID_SQL}, p AS (SELECT range::INT AS id, (range * 7 % 280) / 10.0 AS i, (range * 11 % 380) / 10.0 AS j FROM range(200)),
+q AS (SELECT id, i, j, floor(i)::INT AS i0, floor(j)::INT AS j0 FROM p),
+w AS (SELECT id, i0 + a AS row, j0 + b AS col, (CASE a WHEN 1 THEN i - i0 ELSE 1 - (i - i0) END) * (CASE b WHEN 1 THEN j - j0 ELSE 1 - (j - j0) END) AS w FROM q, (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(b))
+SELECT id, round(sum(w * value)::DOUBLE, 6) AS value FROM w JOIN c USING (row, col) GROUP BY 1""")
+def bilinear_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = spark.range(200).select(F.col("id").cast("int").alias("id"), (F.col("id") * 7 % 280 / 10.0).alias("i"), (F.col("id") * 11 % 380 / 10.0).alias("j"))
+    return _rounded(joins.bilinear(points, _cells(spark), F.col("i"), F.col("j"), "id", "value", "value"), "value")
+
+
+# ---- quality, sets and texts --------------------------------------------------------------------------------------
+
+
+@_query("""SELECT 'price' AS rule, count(*) FILTER (NOT coalesce(o_totalprice > 1000, false)) AS n FROM orders UNION ALL SELECT 'status', count(*) FILTER (NOT coalesce(o_orderstatus IN ('O', 'F'), false)) FROM orders
+UNION ALL SELECT 'finite', count(*) FILTER (o_totalprice IS NULL OR isnan(o_totalprice) OR isinf(o_totalprice)) FROM orders""")
+def quality_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.summary(_table(spark, sf_dir, "orders"), {"price": F.col("o_totalprice") > 1000, "status": F.col("o_orderstatus").isin("O", "F"), "finite": quality.finite("o_totalprice")})
+
+
+@_query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repeated_keys(_table(spark, sf_dir, "orders"), ["o_custkey"])
+
+
+@_query("SELECT c_custkey AS k, 'missing' AS problem FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def key_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    have = _table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("k")).distinct()
+    return quality.coverage(have, _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), ["k"])
+
+
+@_query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def orphan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.orphans(_table(spark, sf_dir, "documents").select("doc_id"), _table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@_query("SELECT o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 50000 EXCEPT ALL SELECT o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
+def except_all_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", "o_totalprice")
+    return orders.where("o_totalprice > 50000").drop("o_totalprice").exceptAll(orders.where("o_orderstatus = 'F'").drop("o_totalprice"))
+
+
+@_query("SELECT c_custkey AS k, c_name AS name, NULL::INT AS size FROM customer UNION ALL SELECT p_partkey, p_name, p_size FROM part")
+def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers, parts = _table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_name AS name"), _table(spark, sf_dir, "part").selectExpr("p_size AS size", "p_partkey AS k", "p_name AS name")
+    return customers.unionByName(parts, allowMissingColumns=True)
+
+
+@_query("SELECT n_nationkey, n_name, r_name AS n_name_region FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
+def suffixed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = _table(spark, sf_dir, "region").selectExpr("r_regionkey AS n_regionkey", "r_name AS n_name")
+    return joins.join_with_suffix(_table(spark, sf_dir, "nation"), regions, ["n_regionkey"], "_region").select("n_nationkey", "n_name", "n_name_region")
+
+
+@_query("SELECT o_custkey, round(avg(v) OVER w, 6) AS context, o_orderkey FROM (SELECT o_custkey, o_orderkey, o_totalprice AS v FROM orders) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 500 PRECEDING AND 500 FOLLOWING)")
+def local_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = linear.local_context(_table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice", 500, ["o_custkey"], "context")
+    return near.select("o_custkey", "o_orderkey", _r("context").alias("context"))
+
+
+@_query("SELECT c_custkey, format('seg_{:03d}_{:03d}', c_custkey % 130, c_custkey % 130 + 1) AS segment_id, format('km {}–{}', c_custkey % 130, c_custkey % 130 + 1) AS label, 'Muy Alta' AS title, lower(trim('  ' || c_mktsegment || ' ')) AS code, printf('%.3f', round(c_acctbal, 2)) AS amount FROM customer")
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey") % 130
+    return _table(spark, sf_dir, "customer").select("c_custkey", text.segment_id(k, k + 1).alias("segment_id"), text.km_label(k, k + 1).alias("label"), text.title(F.lit("muy_alta")).alias("title"), text.clean_code(F.concat(F.lit("  "), "c_mktsegment", F.lit(" "))).alias("code"), text.fixed(F.round("c_acctbal", 2), 3).alias("amount"))

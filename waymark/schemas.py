@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_KINDS = {"int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "date": T.DateType(), "timestamp": T.TimestampType()}
+
+
 def _schema(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in map(str.split, spec.split(", "))])
 
 
 SEGMENTS = _schema("km_inicio int, km_fin int, s_inicio_km double, s_fin_km double, longitud_traza_km double, factor_local double, metodo_calibracion string")
