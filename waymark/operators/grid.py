@@ -134,19 +134,20 @@ def streams(accumulation: DataFrame, directions: DataFrame, least: int) -> DataF
 
 
 def stream_lines(links: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """line (its head's cell as text), seq, row and col: the links between heads, as lines, by pointer doubling."""
-    name = F.concat_ws("_", "row", "col")
-    heads = {r: c for r, c in (("row", "to_row"), ("col", "to_col"))}
-    back = links.select(*(F.col(c).alias(r) for r, c in heads.items()), F.col("row").alias("p_row"), F.col("col").alias("p_col"))
-    now = links.join(back, ["row", "col"], "left").select("row", "col", "to_row", "to_col", "head", F.when(~F.col("head"), F.col("p_row")).alias("p_row"), F.when(~F.col("head"), F.col("p_col")).alias("p_col"), F.lit(0).alias("seq"))
-    now = now.withColumn("seq", F.when(F.col("head"), 0).otherwise(1))
+    """line (its head's cell as text), seq, row, col, to_row and to_col: the links from each head on, by pointer doubling."""
+    above = links.select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), F.col("row").alias("u_row"), F.col("col").alias("u_col"))
+    heads = links.where("head").withColumns({"p_row": F.col("row"), "p_col": F.col("col"), "seq": F.lit(0)})
+    others = links.where("NOT head").join(above, ["row", "col"]).withColumnsRenamed({"u_row": "p_row", "u_col": "p_col"}).withColumn("seq", F.lit(1))
+    now = cut_lineage(heads.unionByName(others))
     for _ in range(most_rounds):
-        if now.where("p_row IS NOT NULL AND NOT head").isEmpty():
+        up = now.select(F.col("row").alias("p_row"), F.col("col").alias("p_col"), F.col("p_row").alias("u_row"), F.col("p_col").alias("u_col"), F.col("seq").alias("u_seq"))
+        step = now.join(up, ["p_row", "p_col"])
+        moved = (F.col("p_row") != F.col("u_row")) | (F.col("p_col") != F.col("u_col"))
+        after = cut_lineage(step.select("row", "col", "to_row", "to_col", "head", F.col("u_row").alias("p_row"), F.col("u_col").alias("p_col"), (F.col("seq") + F.col("u_seq")).alias("seq"), moved.alias("moved")))
+        now = after.drop("moved")
+        if after.where("moved").isEmpty():
             break
-        up = now.select(F.col("row").alias("p_row"), F.col("col").alias("p_col"), F.col("p_row").alias("__r"), F.col("p_col").alias("__c"), F.col("seq").alias("__s"), F.col("head").alias("__h"))
-        step = now.join(up, ["p_row", "p_col"], "left")
-        now = cut_lineage(step.select("row", "col", "to_row", "to_col", (F.col("head") | F.coalesce("__h", F.lit(False))).alias("head"), F.when(F.coalesce("__h", F.lit(True)), F.col("p_row")).otherwise(F.col("__r")).alias("p_row"), F.when(F.coalesce("__h", F.lit(True)), F.col("p_col")).otherwise(F.col("__c")).alias("p_col"), (F.col("seq") + F.coalesce("__s", F.lit(0))).alias("seq")))
-    return now.select(F.coalesce(F.concat_ws("_", F.col("p_row"), F.col("p_col")), name).alias("line"), "seq", "row", "col", "to_row", "to_col").withColumn("line", F.when(F.col("line") == "", name).otherwise(F.col("line")))
+    return now.select(F.concat_ws("_", "p_row", "p_col").alias("line"), "seq", "row", "col", "to_row", "to_col")
 
 
 def sampled(points: DataFrame, cells: DataFrame, x: Column, y: Column, x0: float, y0: float, size: float) -> DataFrame:
