@@ -47,13 +47,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     worded = F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
     found = near_duplicates(docs.where(worded).select("doc_id", "text"), WORDS, RADIUS)
     stays = cut_lineage(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
-    kept = docs.where(worded).join(stays, "doc_id", "left_semi")
-    twice = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    # The join has put each id's rows together; the window needs no exchange of its own.
     first = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")
-    once = kept.join(twice, "doc_id", "left_anti")
-    again = kept.join(twice, "doc_id", "left_semi").withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank")
-    rest = docs.where(F.coalesce(~worded, F.lit(True)))
-    return once.select(*docs.columns).union(again.select(*docs.columns)).union(rest)
+    kept = docs.where(worded).join(stays, "doc_id", "left_semi").withColumn("__rank", F.row_number().over(first)).where("__rank = 1")
+    return kept.select(*docs.columns).union(docs.where(F.coalesce(~worded, F.lit(True))))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -156,13 +156,14 @@ def pieces(batches, model_path: str, size: int, end_id: int):
     words = tokenizer(model_path)
     for batch in batches:
         keys, sizes, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
-        for a, b in parts_by_bytes(sizes, 16 << 20):
+        for a, b in parts_by_bytes(sizes, 8 << 20):
             ids, bounds = words.ids(batch.column(1).slice(a, b - a))
             for i, key in enumerate(keys[a:b]):
                 own = ids[bounds[i] : bounds[i + 1]].tobytes() + end
                 for k, at in enumerate(range(0, len(own), 4 * size)):
                     part = own[at : at + 4 * size]
                     out.append((key, k, at // 4, len(part) // 4, zlib.crc32(part)))
+        pa.default_memory_pool().release_unused()
         yield out
 
 
