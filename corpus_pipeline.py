@@ -16,10 +16,10 @@ from waymark.llm.packing import pack_documents
 from waymark.llm.quality import keep_good
 from waymark.llm.queries import KEEP_FROM
 from waymark.llm.secret_scan import hide_secrets
-from waymark.llm.simhash import near_duplicates
+from waymark.llm.simhash import similar_documents
 
-#: Near duplicates here: five-word shingles; see README.md on the radius.
-WORDS, RADIUS = 5, 3
+#: Near duplicates here: five-word shingles, near in any of so many fingerprints; README.md has what that finds.
+WORDS, RADIUS, PRINTS = 5, 3, 8
 MIN_DOCS = 10
 
 
@@ -45,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words and rows without an id say nothing about being copies, and stay.
     """
     worded = F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
-    found = near_duplicates(docs.where(worded).select("doc_id", "text"), WORDS, RADIUS)
+    found = similar_documents(docs.where(worded).select("doc_id", "text"), WORDS, RADIUS, PRINTS)
     stays = cut_lineage(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
     # The join has put each id's rows together; the window needs no exchange of its own.
     first = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")

@@ -3,7 +3,7 @@ import re
 import corpus_pipeline as pipeline
 from test_line_dedup import brute as lines_brute
 from test_simhash import brute as groups_brute
-from test_simhash import fingerprint
+from waymark.llm.simhash import fingerprints
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,8 +29,8 @@ def test_stages_against_brute_force(spark):
     assert rows_of(lined) == sorted(((r.doc_id, t, r.lang, r.source, len(t)) for r, t in zip(have, want, strict=True)), key=str)
 
     single = pipeline.near_dedup(spark, docs, SF)
-    prints = [fingerprint(r.text, 5) for r in have]
-    least = groups_brute(prints, [r.doc_id for r in have], 3)
+    prints = fingerprints([r.text for r in have], 5, pipeline.PRINTS).tolist()
+    least = groups_brute(prints, [r.doc_id for r in have], pipeline.RADIUS)
     assert rows_of(single) == sorted((tuple(r) for r, k in zip(have, least, strict=True) if r.doc_id == k), key=str)
 
     hidden = pipeline.secret_scan(spark, docs, SF)

@@ -29,7 +29,8 @@ def brute(prints, ids, radius):
 
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= radius:
+            several = isinstance(prints[i], list)  # fingerprints, of which any two may be near
+            if any((a ^ b).bit_count() <= radius for a, b in (zip(prints[i], prints[j], strict=True) if several else [(prints[i], prints[j])])):
                 up[root(i)] = root(j)
     least = {}
     for i, key in enumerate(ids):
@@ -95,3 +96,13 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_several_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TREE", 16)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 300")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    prints = simhash.fingerprints([t for _, t in rows], 5, 3)
+    assert [f"{int(p):016x}" for p in prints[:, 0]] == [f"{fingerprint(t, 5):016x}" for _, t in rows]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, 5, 3, 3).collect()}
+    assert [got[i] for i, _ in rows] == brute(prints.tolist(), [i for i, _ in rows], 3)

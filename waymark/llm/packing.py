@@ -156,7 +156,7 @@ def pieces(batches, model_path: str, size: int, end_id: int):
     words = tokenizer(model_path)
     for batch in batches:
         keys, sizes, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
-        for a, b in parts_by_bytes(sizes, 8 << 20):
+        for a, b in parts_by_bytes(sizes, 4 << 20):
             ids, bounds = words.ids(batch.column(1).slice(a, b - a))
             for i, key in enumerate(keys[a:b]):
                 own = ids[bounds[i] : bounds[i + 1]].tobytes() + end

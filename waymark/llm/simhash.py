@@ -51,16 +51,29 @@ def shingles(text: str | None, words: int) -> list[bytes]:
     return [joined[a : b - 1] for a, b in zip(starts, ends[words - 1 :], strict=False)]
 
 
-def fingerprints(texts: list[str | None], words: int) -> np.ndarray:
-    """The fingerprint of each text, unsigned."""
-    out = np.zeros(len(texts), np.uint64)
+def _rehashed(hashes: np.ndarray, prints: int) -> np.ndarray:
+    """A column of hashes for each fingerprint: the given ones, and mixes of them."""
+    out = np.empty((len(hashes), prints), "<u8")
+    out[:, 0] = hashes
+    for k in range(1, prints):
+        x = hashes + np.uint64(0x9E3779B97F4A7C15 * k & (2**64 - 1))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, k] = x ^ (x >> np.uint64(31))
+    return out
+
+
+def fingerprints(texts: list[str | None], words: int, prints: int = 1) -> np.ndarray:
+    """The fingerprints of each text, unsigned: a column for each."""
+    out = np.zeros((len(texts), prints), np.uint64)
     for i, text in enumerate(texts):
         if own := shingles(text, words):
             hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in own), "<u8", len(own))
-            ones = np.zeros(64, np.int64)
-            for at in range(0, len(own), 1 << 16):  # bounded, however long the text
-                ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[i] = np.packbits(ones * 2 > len(own), bitorder="little").view("<u8")[0]
+            ones = np.zeros(64 * prints, np.int64)
+            for at in range(0, len(own), 1 << 14):  # bounded, however long the text
+                raw = _rehashed(hashes[at : at + (1 << 14)], prints).view(np.uint8)
+                ones += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            out[i] = np.packbits(ones * 2 > len(own), bitorder="little").view("<u8")
     return out
 
 
@@ -69,7 +82,7 @@ def with_fingerprints(frame: DataFrame, words: int, text: str) -> DataFrame:
 
     def mapped(batches):
         for batch in batches:
-            found = fingerprints(batch.column(1).to_pylist(), words).view(np.int64)
+            found = fingerprints(batch.column(1).to_pylist(), words)[:, 0].view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["id", "fp"])
 
     return frame.select("id", text).mapInArrow(mapped, f"id {frame.schema['id'].dataType.simpleString()}, fp long")
@@ -131,20 +144,20 @@ class _Groups:
 
 
 def links_of_trees(shards: DataFrame, radius: int) -> DataFrame:
-    """a, b: links of fingerprints. ``shards``: shard, tree, asks (0: member, 1: query only) and fp."""
+    """which, a, b: links of fingerprints. ``shards``: shard, tree, asks (0: member, 1: query only) and fp."""
 
-    def one(members: list[int], queries: list[int]):
+    def one(key: tuple | None, members: list[int], queries: list[int]):
         tree, groups = BKTree(), _Groups()
         for x in members:
             for y in tree.near(x, radius):
                 a, b = groups.root(x), groups.root(y)
                 if a != b:
                     groups.up[a] = b
-                    yield x, y
+                    yield key[1], x, y
             tree.add(x)
         for x in queries:
             for y in {groups.root(y): y for y in tree.near(x, radius)}.values():
-                yield x, y
+                yield key[1], x, y
 
     def mapped(batches):
         """Rows come sorted by (shard, mask, tree): a job's rows lie together, members before queries."""
@@ -154,25 +167,26 @@ def links_of_trees(shards: DataFrame, radius: int) -> DataFrame:
             prints = batch.column(4).to_numpy().view(np.uint64).tolist()  # unsigned, for bit_count()
             for shard, which, tree, asks, fp in zip(*(batch.column(k).to_pylist() for k in range(4)), prints, strict=True):
                 if (shard, which, tree) != key or len(queries) >= 4 * TREE:
-                    found += one(members, queries)
+                    found += one(key, members, queries)
                     if (shard, which, tree) != key:
                         key, members = (shard, which, tree), []
                     queries = []
                 (queries if asks else members).append(fp)
             yield _links(found)
-        yield _links(list(one(members, queries)))
+        yield _links(list(one(key, members, queries)))
 
     def _links(found):
-        both = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+        both = np.array([x[1:] for x in found], np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["which", "a", "b"])
 
-    return shards.select("shard", "which", "tree", "asks", "fp").mapInArrow(mapped, "a long, b long")
+    return shards.select("shard", "which", "tree", "asks", "fp").mapInArrow(mapped, "which int, a long, b long")
 
 
 def near_links(unlike: DataFrame, radius: int) -> DataFrame:
-    """a, b: links between the fingerprints fp of ``unlike`` that hold each component together."""
+    """a, b: links between the fingerprints fp of ``unlike`` that hold each component together. Only rows of one ``print`` (where there is that column) meet."""
     masks = _blocks(radius)
-    pairs = F.array(*(F.struct(F.lit(k).cast("int").alias("which"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("shard")) for k, m in enumerate(masks)))
+    kind = F.col("print") * len(masks) if "print" in unlike.columns else F.lit(0)
+    pairs = F.array(*(F.struct((kind + k).cast("int").alias("which"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("shard")) for k, m in enumerate(masks)))
     dealt = unlike.select("fp", F.inline(pairs))
     many = dealt.groupBy("which", "shard").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     rows = dealt.join(many, ["which", "shard"]).withColumn("trees", F.ceil(F.col("n") / TREE).cast("int"))
@@ -181,7 +195,10 @@ def near_links(unlike: DataFrame, radius: int) -> DataFrame:
     # A tree's own members ask it while it grows; a later tree need not ask an earlier one back.
     asked = asked.where(F.col("tree") <= F.col("own")).withColumn("asks", (F.col("tree") < F.col("own")).cast("int"))
     jobs = asked.repartition("which", "shard", "tree").sortWithinPartitions("which", "shard", "tree", "asks", "fp")
-    return links_of_trees(jobs, radius).distinct()
+    found = links_of_trees(jobs, radius)
+    if "print" in unlike.columns:
+        return found.select(F.floor(F.col("which") / len(masks)).cast("int").alias("print"), "a", "b").distinct()
+    return found.select("a", "b").distinct()
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -219,6 +236,38 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, key: str =
     return prints.join(named, "fp").select(F.col("id").alias(key), "fp", "component_id")
 
 
+def similar_documents(docs: DataFrame, words: int = 5, radius: int = 3, prints: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and component_id of every row, by several independent fingerprints: near in any of them is near.
+
+    One fingerprint at radius 3 finds nearly all pairs from a similarity of 0.9 on, but few at 0.8, and a
+    larger radius would link strangers in a large corpus. ``prints`` fingerprints find far more of those pairs,
+    while the chance of strangers grows only by that factor. Equal word sequences are one node; nodes of one
+    fingerprint hang on the least of them.
+    """
+    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+
+    def mapped(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            found = fingerprints(texts, words, prints).view(np.int64)
+            nodes = np.fromiter((xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), 7) for t in texts), np.uint64, len(texts)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(list(found), pa.list_(pa.int64()))], names=["id", "node", "fps"])
+
+    kind = source.schema["id"].dataType.simpleString()
+    rows = cut_lineage(source.mapInArrow(mapped, f"id {kind}, node long, fps array<long>"))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("least"), F.first("fps").alias("fps"))
+    each = cut_lineage(nodes.select("node", F.posexplode("fps").alias("print", "fp")))
+    heads = each.groupBy("print", "fp").agg(F.min("node").alias("head"), F.count("*").alias("n"))
+    same = each.join(heads.where("n > 1"), ["print", "fp"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    far = near_links(heads.select("print", "fp"), radius)
+    ends = heads.select("print", "fp", "head")
+    far = far.join(ends.withColumnsRenamed({"fp": "a", "head": "ha"}), ["print", "a"]).join(ends.withColumnsRenamed({"fp": "b", "head": "hb"}), ["print", "b"])
+    roots = components(same.union(far.select("ha", "hb")))
+    linked = cut_lineage(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    best = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.join(linked.join(best, "root").select("node", "component_id"), "node").select(F.col("id").alias(key), "component_id")
+
+
 def hexed(column):
     """A signed long as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))

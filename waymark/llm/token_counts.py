@@ -33,7 +33,7 @@ def parts_by_bytes(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def count_tokens(frame: DataFrame, model_path: str, limit: int, key: str = "doc_id", text: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
+def count_tokens(frame: DataFrame, model_path: str, limit: int, key: str = "doc_id", text: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
     """``key``, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of each row."""
 
     def lengths(batches):

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Chunks in a generation, about 200 bytes each.
-KEEP = 100_000
+KEEP = 80_000
 #: New chunks sent to the library at a time.
 BATCH = 1 << 13
 
