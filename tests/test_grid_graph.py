@@ -79,6 +79,16 @@ def test_mosaic_mask_sample_and_completeness(spark):
     assert grid.complete(b).first().whole and not grid.complete(a).first().whole
 
 
+def test_reprojection_is_exact_on_a_plane(spark):
+    source = cells_of(spark, [[2.0 * c - 3.0 * r for c in range(9)] for r in range(9)])
+    target = spark.range(9).selectExpr("int(id / 3) AS row", "int(id % 3) AS col")
+    found = table(grid.reprojected(target, source, lambda x, y: (x / 10 + 1, -y / 10 + 1), (0.0, 0.0), 5.0, (0.0, 0.0), (1.0, 1.0)))
+    for (r, c), v in found.items():
+        assert v == pytest.approx(2.0 * ((c + 0.5) / 2 + 1) - 3.0 * ((r + 0.5) / 2 + 1))
+    away = grid.reprojected(target, source, lambda x, y: (x + 100, y), (0.0, 0.0), 5.0, (0.0, 0.0), (1.0, 1.0))
+    assert set(table(away).values()) == {None}
+
+
 LATTICE = [((r, c), (r + a, c + b)) for r in range(3) for c in range(3) for a, b in ((0, 1), (1, 0)) if r + a < 3 and c + b < 3]
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import close_to
+from waymark.operators.joins import bilinear
 from waymark.session import cut_lineage
 
 #: Codes of the eight directions, clockwise from north, with their steps in rows and columns.
@@ -156,6 +157,18 @@ def sampled(points: DataFrame, cells: DataFrame, x: Column, y: Column, x0: float
     return at.join(cells.select("row", "col", "value"), ["row", "col"], "left")
 
 
+def reprojected(target: DataFrame, source: DataFrame, back, origin: tuple[float, float], size: float, source_origin: tuple[float, float], steps: tuple[float, float]) -> DataFrame:
+    """``source`` resampled to the centres of ``target``'s cells (row, col), bilinear; null outside.
+
+    ``back``: (x, y) columns in the target's frame to the source's, such as ``geo.from_utm``. ``origin``: the target's upper left corner;
+    ``source_origin`` and ``steps``: the centre of the source's cell (0, 0), and its steps down and right.
+    """
+    x, y = F.lit(origin[0]) + (F.col("col") + 0.5) * size, F.lit(origin[1]) - (F.col("row") + 0.5) * size
+    u, v = back(x, y)
+    asked = target.select(F.struct("row", "col").alias("cell"), ((v - source_origin[1]) / steps[0]).alias("i"), ((u - source_origin[0]) / steps[1]).alias("j"))
+    return bilinear(asked, source, F.col("i"), F.col("j"), "cell", "value", "value").select("cell.row", "cell.col", "value")
+
+
 def zonal(pairs: DataFrame, zone: str, value: str) -> DataFrame:
     """n, least, mean, most, range and exact 90th percentile of each zone's cells that have a value."""
     v = F.col(value)
