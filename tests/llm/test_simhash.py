@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -81,6 +82,23 @@ def test_no_link_is_lost_in_large_shards(spark, monkeypatch):
     assert [got.get(p, p) for p in prints] == whole
 
 
+@pytest.mark.parametrize("few", [0, 5])
+def test_trees_walked_together_lose_no_link(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "LEAF", 4)
+    test_no_link_is_lost_in_large_shards(spark, monkeypatch)
+
+
+def test_branches():
+    rng = random.Random(3)
+    members = np.array([rng.getrandbits(14) for _ in range(900)], np.uint64)
+    tree = simhash.BKBranches(members)
+    queries = np.arange(0, 1 << 14, 61, dtype=np.uint64)
+    at, found = tree.near(queries, 2)
+    got = sorted(zip(at.tolist(), found.tolist(), strict=True))
+    assert got == sorted((k, int(m)) for k, q in enumerate(queries.tolist()) for m in members.tolist() if (m ^ q).bit_count() <= 2)
+
+
 def test_bk_tree():
     rng = random.Random(1)
     members = [rng.getrandbits(12) for _ in range(300)]

@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import cut_lineage
 
-#: Members of a BK-tree.
-TREE = 1024
+#: Members of a BK-tree; of a leaf where many queries walk together; trees up to so many members are walked one by one.
+TREE, LEAF, FEW = 1024, 64, 24
 
 
 def shingles(text: str | None, words: int) -> list[bytes]:
@@ -118,6 +118,52 @@ class BKTree:
         return out
 
 
+class BKBranches:
+    """The same tree over an array, walked by many queries together: leaves hold up to ``LEAF`` members."""
+
+    def __init__(self, values: np.ndarray):
+        self.pivot, self.leaf, self.children = None, values, []
+        if len(values) > LEAF:
+            self.pivot, rest = values[0], values[1:]
+            distance = np.bitwise_count(rest ^ self.pivot)
+            self.leaf = rest[distance == 0]
+            self.children = [(int(d), BKBranches(rest[distance == d])) for d in np.unique(distance) if d]
+
+    def near(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of queries, and the members within the radius of them."""
+        at, found = [], []
+        open_ = [(self, np.arange(len(queries)))]
+        while open_:
+            node, some = open_.pop()
+            if len(node.leaf):
+                q, m = np.nonzero(np.bitwise_count(queries[some][:, None] ^ node.leaf) <= radius)
+                at.append(some[q])
+                found.append(node.leaf[m])
+            if node.pivot is not None:
+                distance = np.bitwise_count(queries[some] ^ node.pivot).astype(np.int16)
+                hit = some[distance <= radius]
+                at.append(hit)
+                found.append(np.full(len(hit), node.pivot))
+                for edge, child in node.children:
+                    if len(on := some[np.abs(distance - edge) <= radius]):
+                        open_.append((child, on))
+        return np.concatenate(at), np.concatenate(found)
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least place that each of ``n`` places is linked to."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _blocks(radius: int) -> list[int]:
     """Masks of the pairs of blocks that the 64 bits are cut into."""
     n = radius + 2
@@ -147,6 +193,9 @@ def links_of_trees(shards: DataFrame, radius: int) -> DataFrame:
     """which, a, b: links of fingerprints. ``shards``: shard, tree, asks (0: member, 1: query only) and fp."""
 
     def one(key: tuple | None, members: list[int], queries: list[int]):
+        if len(members) > FEW:
+            yield from together(key[1], np.array(members, np.uint64), np.array(queries, np.uint64))
+            return
         tree, groups = BKTree(), _Groups()
         for x in members:
             for y in tree.near(x, radius):
@@ -159,6 +208,20 @@ def links_of_trees(shards: DataFrame, radius: int) -> DataFrame:
             for y in {groups.root(y): y for y in tree.near(x, radius)}.values():
                 yield key[1], x, y
 
+    def together(which: int, members: np.ndarray, queries: np.ndarray):
+        members = np.unique(members)
+        tree = BKBranches(members)
+        a, b = tree.near(members, radius)
+        root = _roots(len(members), a, np.searchsorted(members, b))
+        for k in np.flatnonzero(root != np.arange(len(members))).tolist():
+            yield which, int(members[k]), int(members[root[k]])
+        if len(queries):
+            a, b = tree.near(queries, radius)
+            pairs = np.unique(np.stack([a, root[np.searchsorted(members, b)]]), axis=1)
+            for q, m in pairs.T.tolist():
+                # The root stands for its group: a link to any member of it holds the component together.
+                yield which, int(queries[q]), int(members[m])
+
     def mapped(batches):
         """Rows come sorted by (shard, mask, tree): a job's rows lie together, members before queries."""
         key, members, queries = None, [], []
@@ -166,7 +229,7 @@ def links_of_trees(shards: DataFrame, radius: int) -> DataFrame:
             found = []
             prints = batch.column(4).to_numpy().view(np.uint64).tolist()  # unsigned, for bit_count()
             for shard, which, tree, asks, fp in zip(*(batch.column(k).to_pylist() for k in range(4)), prints, strict=True):
-                if (shard, which, tree) != key or len(queries) >= 4 * TREE:
+                if (shard, which, tree) != key or len(queries) >= TREE:
                     found += one(key, members, queries)
                     if (shard, which, tree) != key:
                         key, members = (shard, which, tree), []
