@@ -8,7 +8,7 @@ import time
 from waymark.plans.catalogue import QUERIES
 from waymark.session import build_session
 
-HEADLINE = ["exposure_index", "interval_overlap_binned", "interval_overlap_theta", "annual_mean_of_daily_counts", "nearest_point_haversine", "nearest_within_tol", "quantile_class_ties", "pct_rank_average", "global_rank", "describe_exact", "evidence_rollup", "consecutive_gradient", "local_context", "topn_share", "threshold_sweep"]
+HEADLINE = ["interval_overlap_binned", "interval_overlap_theta", "annual_mean_of_daily_counts", "nearest_point_haversine", "nearest_within_tol", "quantile_class_ties", "pct_rank_average", "global_rank", "describe_exact", "evidence_rollup", "consecutive_gradient", "local_context", "topn_share", "threshold_sweep"]
 RUNS = 1
 
 
