@@ -16,9 +16,9 @@ from waymark.llm.packing import pack_documents
 from waymark.llm.quality import keep_good
 from waymark.llm.queries import KEEP_FROM
 from waymark.llm.secret_scan import hide_secrets
-from waymark.llm.simhash import similar_documents
+from waymark.llm.simhash import near_copies, word_key
 
-#: Near duplicates here: five-word shingles, near in any of so many fingerprints; README.md has what that finds.
+#: Near duplicates here: five-word shingles, candidates near in any of so many fingerprints or equal in a band, kept at an exact similarity of 0.8.
 WORDS, RADIUS, PRINTS = 5, 3, 8
 MIN_DOCS = 10
 
@@ -40,17 +40,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays: that of the least doc_id, once if it is there more often.
+    """One row of each near-duplicate component stays: that of the least doc_id, once if it is there more often.
 
+    Rows are told apart by their words, not by doc_id: unlike texts under one id are documents of their own.
     Documents without words and rows without an id say nothing about being copies, and stay.
     """
     worded = F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
-    found = similar_documents(docs.where(worded).select("doc_id", "text"), WORDS, RADIUS, PRINTS)
-    stays = cut_lineage(found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
-    # The join has put each id's rows together; the window needs no exchange of its own.
-    first = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")
-    kept = docs.where(worded).join(stays, "doc_id", "left_semi").withColumn("__rank", F.row_number().over(first)).where("__rank = 1")
-    return kept.select(*docs.columns).union(docs.where(F.coalesce(~worded, F.lit(True))))
+    found = near_copies(docs.where(worded).select("doc_id", "text"), WORDS, RADIUS, PRINTS)
+    stays = cut_lineage(found.where("node = kept").select(F.col("node").alias("__node")))
+    first = Window.partitionBy("__node").orderBy("doc_id", "text", "source", "lang", "n_chars")
+    single = docs.where(worded).withColumn("__node", word_key(F.col("text"))).withColumn("__rank", F.row_number().over(first)).where("__rank = 1")
+    return single.join(stays, "__node", "left_semi").select(*docs.columns).union(docs.where(F.coalesce(~worded, F.lit(True))))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

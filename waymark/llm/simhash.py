@@ -31,13 +31,17 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import cut_lineage
+from waymark.llm.common import ascii_lower, cut_lineage
 
 #: Members of a BK-tree; of a leaf where many queries walk together; trees up to so many members are walked one by one.
 TREE, LEAF, FEW = 1024, 64, 24
+#: Bands of so many least hashes each, by which texts meet to be compared: at a similarity of 0.8 one pair in 8 million has no band in common.
+BANDS, ROWS = 40, 5
+#: Near copies have this similarity or more, as a fraction of whole numbers.
+SHARE = (4, 5)
 
 
 def shingles(text: str | None, words: int) -> list[bytes]:
@@ -68,15 +72,35 @@ def fingerprints(texts: list[str | None], words: int, prints: int = 1) -> np.nda
     out = np.zeros((len(texts), prints), np.uint64)
     for i, text in enumerate(texts):
         if own := shingles(text, words):
-            hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in own), "<u8", len(own))
-            ones = np.zeros(64 * prints, np.int64)
-            for at in range(0, len(own), 1 << 14):  # bounded, however long the text
-                raw = _rehashed(hashes[at : at + (1 << 14)], prints).view(np.uint8)
-                ones += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[i] = np.packbits(ones * 2 > len(own), bitorder="little").view("<u8")
+            out[i] = _prints(_hashed(own), prints)
     return out
 
 
+def _hashed(own: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in own), "<u8", len(own))
+
+
+def _prints(hashes: np.ndarray, prints: int) -> np.ndarray:
+    """The fingerprints of one text's shingles."""
+    ones = np.zeros(64 * prints, np.int64)
+    for at in range(0, len(hashes), 1 << 14):  # bounded, however long the text
+        raw = _rehashed(hashes[at : at + (1 << 14)], prints).view(np.uint8)
+        ones += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+_MIX = np.random.default_rng(8).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+_MIX[0] |= np.uint64(1)
+
+
+def _band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of ``ROWS`` least mixed hashes."""
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 1 << 11):
+        least = np.minimum(least, (hashes[None, at : at + (1 << 11)] * _MIX[0][:, None] + _MIX[1][:, None]).min(axis=1))
+    return np.fromiter((xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))), np.uint64, BANDS)
+
+
 def with_fingerprints(frame: DataFrame, words: int, text: str) -> DataFrame:
     """id and fp (the fingerprint as a signed long) of ``frame``'s columns id and ``text``."""
 
@@ -331,6 +355,94 @@ def similar_documents(docs: DataFrame, words: int = 5, radius: int = 3, prints:
     return rows.join(linked.join(best, "root").select("node", "component_id"), "node").select(F.col("id").alias(key), "component_id")
 
 
+def word_key(text):
+    """A hash of the word sequence, native: equal words in equal order are one text."""
+    return F.xxhash64(F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " ")))
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose sets of shingles have a similarity of ``SHARE`` or more. ``texts``: node and text, one row a node."""
+
+    def mapped(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [np.unique(_hashed(shingles(t, words))).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "own"])
+
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = cut_lineage(texts.join(ends, "node", "left_semi").mapInArrow(mapped, "node long, own array<long>"))
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("own").alias(f"{c}s"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("as", "bs")))
+    return both.where(F.col("common") * SHARE[1] >= (F.size("as") + F.size("bs") - F.col("common")) * SHARE[0]).select("a", "b")
+
+
+def _fits(n, m):
+    """Sets of so many members can reach ``SHARE``."""
+    return F.least(n, m) * SHARE[1] >= F.greatest(n, m) * SHARE[0]
+
+
+def near_copies(docs: DataFrame, words: int = 5, radius: int = 3, prints: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """node, the ``word_key`` of each text, and kept, the node that stands for its component: that of the least ``key``.
+
+    Components link texts whose sets of ``words``-word shingles have a similarity of ``SHARE`` or more, by the exact sets:
+
+    1. Candidates are the links of several fingerprints (as in ``similar_documents``), and each text with
+       one text of each of its bands of least hashes. The exact test keeps what is near; that joins the large groups.
+    2. Bands that still hold several components: every pair of texts of unlike components there is tested too.
+
+    A pair inside one component needs no test, so a large group of near copies costs its members, not their pairs.
+    """
+    source = docs.select(F.col(key).alias("id"), word_key(F.col(text)).alias("node"), F.col(text).alias("text"))
+
+    def mapped(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                hashes = [_hashed(shingles(t, words) or [b""]) for t in part.column(2).to_pylist()]
+                fps = [_prints(h, prints).view(np.int64) for h in hashes]
+                keys = [_band_keys(h).view(np.int64) for h in hashes]
+                sizes = pa.array([len(np.unique(h)) for h in hashes], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sizes, pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "n", "fps", "keys"])
+
+    # One row a text, whichever: the pick is cut to one row a text before rows are dealt out.
+    pick = Window.partitionBy("node").orderBy("id", "text")
+    texts = source.withColumn("__at", F.row_number().over(pick)).where("__at = 1").drop("__at")
+    kind = source.schema["id"].dataType.simpleString()
+    nodes = cut_lineage(texts.mapInArrow(mapped, f"id {kind}, node long, n long, fps array<long>, keys array<long>"))
+    texts = texts.select("node", "text")
+
+    each = cut_lineage(nodes.select("node", F.posexplode("fps").alias("print", "fp")))
+    heads = each.groupBy("print", "fp").agg(F.min("node").alias("head"), F.count("*").alias("many"))
+    same = each.join(heads.where("many > 1"), ["print", "fp"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    ends = heads.select("print", "fp", "head")
+    far = near_links(ends.select("print", "fp"), radius)
+    far = far.join(ends.withColumnsRenamed({"fp": "a", "head": "ha"}), ["print", "a"]).join(ends.withColumnsRenamed({"fp": "b", "head": "hb"}), ["print", "b"])
+
+    banded = nodes.select("node", "n", F.explode("keys").alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("many"), F.min(F.struct(F.xxhash64("band", "node"), "node", "n")).alias("head")).where("many > 1")
+    shared = cut_lineage(banded.join(shared, "band").select("band", "node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("m")))
+    stars = shared.where((F.col("node") != F.col("head")) & _fits(F.col("n"), F.col("m"))).select(F.col("node").alias("a"), F.col("head").alias("b"))
+    ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    first = cut_lineage(ordered(stars.union(same).union(far.select("ha", "hb"))))
+    found = cut_lineage(_alike(first, texts, words))
+
+    roots = components(found)
+    open_ = shared.select("band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    counts = open_.groupBy("band", "root").agg(F.count("*").alias("c"))
+    main = counts.groupBy("band").agg(F.max(F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    open_ = cut_lineage(open_.join(main, "band").select("band", "node", "n", "root", F.col("main.root").alias("main")))
+    one = open_.where("root <> main").select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    two = open_.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main")
+    rest = one.join(two, "band").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & _fits(F.col("na"), F.col("nb")))
+    rest = cut_lineage(ordered(rest).join(first, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        roots = components(found.union(_alike(rest, texts, words)))
+    linked = cut_lineage(nodes.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root")))
+    best = linked.groupBy("root").agg(F.min(F.struct("id", "node")).alias("best"))
+    return linked.join(best, "root").select("node", F.col("best.node").alias("kept"))
+
+
 def hexed(column):
     """A signed long as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
