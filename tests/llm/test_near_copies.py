@@ -61,6 +61,15 @@ def test_a_large_group_and_texts_of_its_bands(spark):
     assert kept(spark, rows) == brute(rows)
 
 
+def test_unlike_texts_of_one_id_stay(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(50))
+    copied = text()
+    rows = [(7, text()) for _ in range(20)] + [(3, copied), (7, copied)]
+    got = kept(spark, rows)
+    assert len(got) == 21 and got == sorted(rows[:21])
+
+
 def test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
