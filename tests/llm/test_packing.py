@@ -67,3 +67,21 @@ def test_local_search_never_loses():
 def test_local_search_empties_a_bin():
     lengths = [6, 4, 5, 3, 2]
     assert len(local_search([[0, 3], [2, 4], [1]], lengths, 10)) == 2
+
+
+def test_local_search_meets_all_underfull_bins():
+    # 200 emptiest bins that can't gain from each other stand before two that can.
+    lengths = [60] * 200 + [41, 36, 66, 16]
+    bins = [[k] for k in range(200)] + [[200, 201], [202, 203]]
+    after = local_search(bins, lengths, 100)
+    assert sorted(i for b in after for i in b) == list(range(len(lengths)))
+    fills = sorted(sum(lengths[i] for i in b) for b in after)
+    assert fills[-1] > 82 and max(fills) <= 100
+
+
+def test_groups_of_one_task_go_together(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 16)
+    texts = ["word " * (37 * i % 50) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    bins, least = checked(pack_documents(docs, PATH, size=64).collect(), list(enumerate(texts)), 64)
+    assert bins <= least + 3

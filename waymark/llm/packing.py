@@ -8,13 +8,13 @@ into pieces of the sequence length. Pieces go to sequences ("bins") in two steps
    local search. Its result, a few dozen bytes a piece, is written once.
 2. The underfull bins that are left are the only ones worth more work. They go
    together by neighbouring tasks (``FAN`` at a time, over and over until one
-   group is left or none gains), are taken apart there and packed again. Full
-   bins never move.
+   group is left), are taken apart there and packed again. Full bins never move.
 
-Local search, over the emptiest bins of a group: move one document, exchange one
-for one or two for one between two underfull bins, whenever that raises the sum
-of squared fills. Fuller bins grow, emptier ones shrink, until some are empty.
-The sum grows with each step, so the search ends; ``ROUNDS`` bounds it anyway.
+Local search, over windows of all underfull bins of a group in the order of their
+fill: move one document, exchange one for one or two for one between two bins of
+a window, whenever that raises the sum of squared fills. Fuller bins grow, emptier
+ones shrink, until some are empty. The sum grows with each step, so the search
+ends: when neither the windows nor those halfway between them gain.
 
 Null and empty texts are the end id alone. Repeated rows are packed as often as
 they stand there; null ids stay null. An empty table gives an empty result.
@@ -39,8 +39,8 @@ from waymark.llm.tokens import tokenizer
 
 #: Pieces packed at a time in a task.
 GROUP = 1 << 16
-#: Bins that a local search looks at, the emptiest ones, and its rounds at most.
-SEARCHED, ROUNDS = 96, 6
+#: Bins of a window of the local search; windows cover all underfull bins.
+SEARCHED = 96
 #: Groups of leftovers that go together in the second step.
 FAN = 32
 #: A bin is underfull below this share of its size.
@@ -108,21 +108,40 @@ def _step(low: list[int], high: list[int], lengths: list[int], room: int) -> boo
     return True
 
 
+def _search(window: list[int], bins: list[list[int]], fill: list[int], changes: list[int], lengths: list[int], size: int) -> bool:
+    """Steps between the bins of one window, emptiest first: True if there was one."""
+    gained = False
+    for at, k in enumerate(window):
+        for other in reversed(window[at + 1 :]):
+            while 0 < fill[k] <= fill[other] < size and _step(bins[k], bins[other], lengths, size - fill[other]):
+                gained = True
+                for x in (k, other):
+                    fill[x] = sum(lengths[i] for i in bins[x])
+                    changes[x] += 1
+            if not fill[k]:
+                break
+    return gained
+
+
 def local_search(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
     """The bins after swaps between underfull ones; empty ones are gone."""
     fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(ROUNDS):
-        loose = sorted((k for k in range(len(bins)) if 0 < fill[k] < size), key=lambda k: (fill[k], k))[:SEARCHED]
+    changes, settled, at_half = [0] * len(bins), set(), 0
+    idle = 0
+    while idle < 2:  # windows of the fill order, then windows between them, until both gain nothing
+        loose = sorted((k for k in range(len(bins)) if 0 < fill[k] < size), key=lambda k: (fill[k], k))
         gained = False
-        for at, k in enumerate(loose):
-            for other in reversed(loose[at + 1 :]):
-                while 0 < fill[k] <= fill[other] < size and _step(bins[k], bins[other], lengths, size - fill[other]):
-                    gained = True
-                    fill[k], fill[other] = (sum(lengths[i] for i in bins[x]) for x in (k, other))
-                if not fill[k]:
-                    break
-        if not gained:
-            break
+        for start in range(-at_half, len(loose), SEARCHED):
+            window = loose[max(0, start) : start + SEARCHED]
+            state = hash(tuple((k, changes[k]) for k in window))
+            if state in settled:
+                continue
+            if _search(window, bins, fill, changes, lengths, size):
+                gained = True
+            else:
+                settled.add(state)
+        idle = 0 if gained else idle + 1
+        at_half = SEARCHED // 2 - at_half
     return [b for b in bins if b]
 
 
@@ -195,16 +214,16 @@ def pack_documents(docs: DataFrame, model_path: str, size: int = 2048, end_id: i
     read = docs.select(F.col(key).cast("long").alias("doc_id"), whole.alias("text"), F.octet_length(whole).alias("size"))
     now = cut_lineage(read.mapInArrow(first_packed, f"{_PIECES}, {_PLACES}"))
     loose = F.col("fill") < int(FULL * size)
-    done, width, bins = [], FAN, -1
+    done, width = [], FAN
+    group = F.floor(F.col("sequence_id") / GROUP)
     while True:
         done.append(now.where(~loose))
         rest = now.where(loose)
-        seen = rest.agg(F.countDistinct("sequence_id").alias("bins"), F.countDistinct(F.shiftright("sequence_id", 36)).alias("tasks")).first()
-        if seen.tasks <= 1 or seen.bins == bins:
+        if rest.agg(F.countDistinct(group)).first()[0] <= 1:
             done.append(rest)
             break
-        bins = seen.bins
-        dealt = rest.withColumn("unit", F.floor(F.shiftright("sequence_id", 36) / width))
+        group = F.floor(F.shiftright("sequence_id", 36) / width)
+        dealt = rest.withColumn("unit", group)
         now = cut_lineage(dealt.groupBy("unit").applyInPandas(again, f"{_PIECES}, {_PLACES}, unit long").drop("unit"))
         width *= FAN
     whole = done[0]
