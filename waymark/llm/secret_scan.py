@@ -8,8 +8,10 @@ key formats, random strings and look-alikes: card and phone numbers, dates,
 commit hashes, paths, slugs, identifiers, placeholders); its trees are then
 written out as CASE expressions.
 
-A candidate is a run of 16 or more letters, digits or ``_+/-`` with a digit in it (or
-an access-key prefix), with up to two ``=`` behind. Features: length, kinds of
+A candidate is, behind a secret's name, any value of 6 or more characters without
+blanks and quotes; with a known key's prefix, a run of 12 or more letters, digits or
+``_+/-``; else such a run of 16 or more with a digit in it, with up to two ``=``
+behind. Features: length, kinds of
 characters and changes between them, different characters, the share that
 dictionary words cover, path signs, and the words next to it.
 
@@ -27,7 +29,16 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?:(?=[A-Za-z_+/\-]*[0-9])|(?=A[KS]IA[A-Z0-9]{16}))[A-Za-z0-9_+/\-]{16,}={0,2}"
+#: Ends of secrets' names, and what stands between them and the value. Each pair is a look behind of its own: these have one width.
+NAMED = "assword asswd assphrase pwd ecret oken api_key apikey api-key API_KEY APIKEY access_key ACCESS_KEY SECRET TOKEN ASSWORD auth earer rivate_key redential redentials".split()
+BETWEEN = ["=", ":", ": ", " = ", " : ", '="', "='", ': "', ": '", ' = "', " = '", '": "', "': '", '":"', ":'", ':"']
+_BEHIND = "|".join(f"(?<={name}{sign})" for name in [*NAMED] for sign in BETWEEN) + "|" + "|".join(f"(?<={name} )" for name in ("earer", "EARER")) + "|" + "|".join(f"(?<={name} is )" for name in ("assword", "asswd", "assphrase", "ecret", "oken"))
+_KNOWN = r"(?=gh[pousr]_|sk_live_|sk_test_|rk_live_|sk-|xox[abp]-|AIza|eyJ|A[KS]IA)"
+#: Behind a name any value without blanks or quotes, from 6 characters on; with a known prefix from 12 on; else a run with a digit.
+CANDIDATE = (
+    r"(?:(?:(?<=[=:\"'])|(?<=[=:] )|(?<=earer )|(?<=EARER )|(?<= is ))(?:" + _BEHIND + r")[^\s\"'`<>]{6,}(?<![.,;:)\]}])"
+    r"|(?<![A-Za-z0-9_+/\-])(?:" + _KNOWN + r"[A-Za-z0-9_+/\-]{12,}={0,2}|(?=[A-Za-z_+/\-]*[0-9])[A-Za-z0-9_+/\-]{16,}={0,2}))"
+)
 HIDDEN = "[SECRET]"
 BEFORE, AFTER = 40, 16
 TREES, DEPTH, ROWS = 24, 6, 2400
@@ -77,6 +88,10 @@ def labelled_findings(spark: SparkSession, rows: int = ROWS) -> DataFrame:
         (f"concat('sk_live_', {mixed('g', 24)})", some(neutral, "'key = '"), "' '", 1),
         (f"concat('eyJ', {mixed('h', 57)})", some("'Authorization: Bearer '", neutral), "' '", 1),
         (mixed("i", "int(32 + pmod(xxhash64(id, 6), 24))"), neutral, "' '", 1),
+        (f"concat('sk_live_', translate({mixed('w', 24)}, '0123456789', 'qWzKpXvJdR'))", some(neutral, "'key = '"), "' '", 1),
+        (f"translate({mixed('z', 'int(8 + pmod(xxhash64(id, 9), 16))')}, '0123456789', 'qWzKpXvJdR')", some("'password='", "'passwd: '", "'secret = '"), "' '", 1),
+        (f"concat({mixed('y', 'int(4 + pmod(xxhash64(id, 10), 6))')}, element_at(array('!', '$', '@', '%', '#'), 1 + int(pmod(xxhash64(id, 12), 5))), {mixed('A', 'int(3 + pmod(xxhash64(id, 11), 6))')})", some("'password='", "'password: '", "'token = '"), "' '", 1),
+        (some(word(3), f"concat({word(3)}, {word(4)})", f"concat({word(3)}, 's')", "'required'", "'undefined'", "'authentication'", "'changeable'"), some("'password: '", "'token='", "'the secret is '", "'password='"), "' '", 0),
         (digits("j", 16), some(neutral, "'card '", "'phone: '", "'token '"), "' '", 0),
         (f"concat('20', {digits('k', 15)})", some("'order '", neutral, "'time='"), "' '", 0),
         (f"concat_ws('-', {hexed('l', 8)}, {hexed('m', 4)}, {hexed('n', 4)}, {hexed('o', 4)}, {hexed('p', 12)})", some("'uuid: '", neutral, "'id='"), "' '", 0),
