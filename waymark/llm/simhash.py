@@ -40,6 +40,8 @@ from waymark.llm.common import ascii_lower, cut_lineage
 TREE, LEAF, FEW = 1024, 64, 24
 #: Bands of so many least hashes each, by which texts meet to be compared: at a similarity of 0.8 one pair in 8 million has no band in common.
 BANDS, ROWS = 40, 5
+#: Candidates' keys that are broadcast at most; more are joined.
+BROADCAST = 1 << 20
 #: Near copies have this similarity or more, as a fraction of whole numbers.
 SHARE = (4, 5)
 
@@ -361,7 +363,7 @@ def word_key(text):
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose sets of shingles have a similarity of ``SHARE`` or more. ``texts``: node and text, one row a node."""
+    """The ``pairs`` (a, b) of nodes whose sets of shingles have a similarity of ``SHARE`` or more. ``texts``: node and text, equal ones as often as they stand there."""
 
     def mapped(batches):
         for batch in batches:
@@ -371,7 +373,11 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "own"])
 
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = cut_lineage(texts.join(ends, "node", "left_semi").mapInArrow(mapped, "node long, own array<long>"))
+    ends = cut_lineage(ends)
+    few = F.broadcast(ends) if ends.count() <= BROADCAST else ends  # so that other texts are not dealt out
+    first = Window.partitionBy("node").orderBy("text")
+    asked = texts.join(few, "node", "left_semi").withColumn("__at", F.row_number().over(first)).where("__at = 1").select("node", "text")
+    sets = cut_lineage(asked.mapInArrow(mapped, "node long, own array<long>"))
     side = lambda c: sets.select(F.col("node").alias(c), F.col("own").alias(f"{c}s"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("as", "bs")))
     return both.where(F.col("common") * SHARE[1] >= (F.size("as") + F.size("bs") - F.col("common")) * SHARE[0]).select("a", "b")
@@ -405,12 +411,11 @@ def near_copies(docs: DataFrame, words: int = 5, radius: int = 3, prints: int =
                 sizes = pa.array([len(np.unique(h)) for h in hashes], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sizes, pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "n", "fps", "keys"])
 
-    # One row a text, whichever: the pick is cut to one row a text before rows are dealt out.
-    pick = Window.partitionBy("node").orderBy("id", "text")
-    texts = source.withColumn("__at", F.row_number().over(pick)).where("__at = 1").drop("__at")
+    # Sketches leave the map, not texts: equal texts have equal ones.
     kind = source.schema["id"].dataType.simpleString()
-    nodes = cut_lineage(texts.mapInArrow(mapped, f"id {kind}, node long, n long, fps array<long>, keys array<long>"))
-    texts = texts.select("node", "text")
+    rows = source.mapInArrow(mapped, f"id {kind}, node long, n long, fps array<long>, keys array<long>")
+    nodes = cut_lineage(rows.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "fps", "keys"))))
+    texts = source.select("node", "text")
 
     each = cut_lineage(nodes.select("node", F.posexplode("fps").alias("print", "fp")))
     heads = each.groupBy("print", "fp").agg(F.min("node").alias("head"), F.count("*").alias("many"))
@@ -419,7 +424,8 @@ def near_copies(docs: DataFrame, words: int = 5, radius: int = 3, prints: int =
     far = near_links(ends.select("print", "fp"), radius)
     far = far.join(ends.withColumnsRenamed({"fp": "a", "head": "ha"}), ["print", "a"]).join(ends.withColumnsRenamed({"fp": "b", "head": "hb"}), ["print", "b"])
 
-    banded = nodes.select("node", "n", F.explode("keys").alias("band"))
+    # Dealt out once: the counts and the join find each band's rows together.
+    banded = nodes.select("node", "n", F.explode("keys").alias("band")).repartition("band")
     shared = banded.groupBy("band").agg(F.count("*").alias("many"), F.min(F.struct(F.xxhash64("band", "node"), "node", "n")).alias("head")).where("many > 1")
     shared = cut_lineage(banded.join(shared, "band").select("band", "node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("m")))
     stars = shared.where((F.col("node") != F.col("head")) & _fits(F.col("n"), F.col("m"))).select(F.col("node").alias("a"), F.col("head").alias("b"))
