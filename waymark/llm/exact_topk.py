@@ -9,10 +9,10 @@ query by partial selection, and the lists are merged in a tree.
 
 Vectors that are null or empty or hold null or non-finite components take no
 part, nor do rows without an id. A query sees vectors of its own dimension only.
-Rows that repeat an id are candidates of their own, but not of a query with that
-id. Ties go to the smaller id. A score outside a long counts as the
-long's bound. An
-empty table gives an empty result. Other columns are not read.
+A query is an id with a vector: rows that repeat both ask once, rows of one id with
+unlike vectors have a list each. Rows that repeat an id are candidates of their own, but
+not of a query with that id. Ties go to the smaller id. A score outside a long counts as
+the long's bound. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -51,17 +51,18 @@ def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 def exact_top_k(frame: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score (long)."""
     def score(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query_id": [], "h": [], "vec_id": [], "score": []}
         if len(queries) and len(vectors):
-            ids, own = vectors["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
+            ids, own, names = vectors["vec_id"].to_numpy(), queries["vec_id"].to_numpy(), queries["h"].to_numpy()
             a, b = (np.floor(scale * np.vstack(x["v"].to_list()).astype(float)) for x in (queries, vectors))
             for at in range(0, len(own), ROWS):
                 block = _scores(a[at : at + ROWS], b)
-                for me, row, best in zip(own[at:], block, top_of_rows(block, ids, own[at : at + ROWS], k), strict=False):
+                for me, name, row, best in zip(own[at:], names[at:], block, top_of_rows(block, ids, own[at : at + ROWS], k), strict=False):
                     out["query_id"] += [me] * len(best)
+                    out["h"] += [name] * len(best)
                     out["vec_id"] += ids[best].tolist()
                     out["score"] += [int(x) for x in row[best]]
         return pd.DataFrame({c: np.array(v, np.int64) for c, v in out.items()})
 
-    lists, shards = tiled(usable(frame, key, vector), every, score, "query_id long, vec_id long, score long")
+    lists, shards = tiled(usable(frame, key, vector), every, k, score, "query_id long, h long, vec_id long, score long")
     return merged(lists, shards, k)
