@@ -1,8 +1,11 @@
 import hashlib
+import random
 import re
 from urllib.parse import urlsplit
 
-from waymark.llm import secret_scan
+import pytest
+
+from waymark.llm import secret_scan, url_filter
 from waymark.llm.queries import OP4_RULES
 from waymark.llm.secret_scan import CANDIDATE, HIDDEN, find_secrets, hide_secrets, labelled_findings
 from waymark.llm.url_filter import judge_urls, labelled_urls, train, with_features
@@ -42,12 +45,26 @@ def test_urls_against_brute_force(spark):
     assert judge_urls(pages.limit(0), OP4_RULES).collect() == []
 
 
-def test_url_method_on_held_out_urls(spark):
-    held = labelled_urls(spark, 2400).where("pmod(xxhash64(url), 3) = 0").select("url", "label")
-    seen = labelled_urls(spark).select("url")
-    judged = train(spark).transform(with_features(held.join(seen, "url", "left_anti")))
-    right, n = judged.selectExpr("avg(int(prediction = label))", "count(*)").first()
-    assert n > 300 and right > 0.9
+def test_url_method_on_held_out_hosts(spark):
+    """Hosts never seen in training: of the same words, and of words that training has none of."""
+    seen = labelled_urls(spark)
+    held = labelled_urls(spark, 18_000).withColumn("host", url_filter.parts(url_filter.F.col("url"))[0]).join(seen.select(url_filter.parts(url_filter.F.col("url"))[0].alias("host")), "host", "left_anti")
+    right, n = train(spark).transform(with_features(held.select("url", "label"))).selectExpr("avg(int(prediction = label))", "count(*)").first()
+    assert n > 2000 and right > 0.95
+    model = train(spark, labelled_urls(spark, words=slice(0, None, 2)))
+    other = model.transform(with_features(labelled_urls(spark, words=slice(1, None, 2))))
+    found, spared = other.selectExpr("avg(CASE WHEN label = 1 THEN int(prediction = 1) END)", "avg(CASE WHEN label = 0 THEN int(prediction = 0) END)").first()
+    print(found, spared)
+    assert found > 0.15 and spared > 0.9
+
+
+def test_url_method_on_pages(spark):
+    """Junk hosts of the table that no rule settles: the model's labelled urls don't come from it."""
+    judged = judge_urls(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), OP4_RULES).where("rule IS NULL AND host <> ''")
+    junk = "host rlike '(cheap-pills|free-bets|adult-x|ads-track|casino-win)'"
+    found, spared, n = judged.selectExpr(f"avg(CASE WHEN {junk} THEN int(verdict = 'block') END)", f"avg(CASE WHEN NOT ({junk}) THEN int(verdict = 'allow') END)", "count(*)").first()
+    print(found, spared)
+    assert n > 1000 and found >= 0.9 and spared >= 0.99
 
 
 TEXTS = {
@@ -88,10 +105,38 @@ def test_candidates_against_brute_force(spark):
 
 
 def test_forest_on_held_out_findings(spark):
-    score = secret_scan.train_forest(spark)
-    held = labelled_findings(spark, 3 * secret_scan.ROWS).exceptAll(labelled_findings(spark)).withColumn("f", secret_scan.F.expr(f"named_struct({secret_scan._features()})"))
-    right = held.selectExpr(f"avg(int(({score} >= 0.5) = (label = 1)))").first()[0]
-    assert right > 0.97
+    model, score = secret_scan.fitted_forest(spark), secret_scan.train_forest(spark)
+    held = labelled_findings(spark, 3 * secret_scan.ROWS).exceptAll(labelled_findings(spark))
+    rows = held.withColumn("f", secret_scan.F.expr(f"named_struct({secret_scan._features()})"))
+    assert rows.selectExpr(f"avg(int(({score} >= 0.5) = (label = 1)))").first()[0] > 0.97
+    # The CASE expressions give the very probabilities of the fitted model.
+    ours = sorted(r[0] for r in rows.selectExpr(score).collect())
+    theirs = sorted(float(r.probability[1]) for r in model.transform(secret_scan.assembled(held)).select("probability").collect())
+    assert ours == pytest.approx(theirs, abs=1e-9)
+
+
+KINDS = {
+    "cloud key": lambda r: ("aws_access_key_id = ", "AKIA" + "".join(r.choices(UP + DIGITS, k=16))),
+    "forge token": lambda r: ("remote token: ", "ghp_" + "".join(r.choices(UP + LOW + DIGITS, k=36))),
+    "payment key": lambda r: ("stripe.api_key = '", "sk_live_" + "".join(r.choices(UP + LOW + DIGITS, k=24))),
+    "hex token": lambda r: ('token = "', "".join(r.choices("0123456789abcdef", k=40))),
+    "password": lambda r: ("password: ", "".join(r.choices(UP + LOW + DIGITS + "!$%#", k=12))),
+    "bearer": lambda r: ("Authorization: Bearer ", "eyJ" + "".join(r.choices(UP + LOW + DIGITS, k=60))),
+    "chat token": lambda r: ("slack ", "xoxb-" + "".join(r.choices(DIGITS, k=12)) + "-" + "".join(r.choices(UP + LOW + DIGITS, k=24))),
+}
+UP, LOW, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+
+
+def test_planted_kinds(spark):
+    """Recall by kind on secrets of another generator, two of the kinds (chat token, bearer in running text) unlike any labelled one; and precision on look-alikes."""
+    rng = random.Random(12)
+    rows = [(name, f"the service uses {b}{v} for it\n") for name, make in KINDS.items() for b, v in (make(rng) for _ in range(200))]
+    alike = ["order 4" + "".join(rng.choices(DIGITS, k=15)) + " paid" for _ in range(200)] + ["fixed in commit " + "".join(rng.choices("0123456789abcdef", k=40)) + " today" for _ in range(200)]
+    alike += ["see docs/reference/section" + str(k) + "/install-guide-for-users.html" for k in range(200)] + ["call TwoStepHandlerFactory" + str(k) + "ForReports() then" for k in range(200)]
+    docs = spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate([*rows, *(("alike", t) for t in alike)])], "doc_id long, kind string, text string")
+    share = {r.kind: r.hidden for r in hide_secrets(docs).groupBy("kind").agg(secret_scan.F.avg(secret_scan.F.col("text").contains(HIDDEN).cast("int")).alias("hidden")).collect()}
+    print(share)
+    assert all(share[k] >= 0.9 for k in KINDS) and share["alike"] <= 0.02
 
 
 def test_letters_and_punctuation_behind_a_name(spark):
@@ -106,3 +151,12 @@ def test_random_letter_only_keys(spark):
     docs = spark.range(300).select("id", rng).selectExpr("id AS doc_id", "concat('key = ', c, ' ') AS text")
     left = hide_secrets(docs).where("text NOT LIKE '%[SECRET]%'").count()
     assert left <= 6
+
+
+def test_clashing_names(spark):
+    names = ["__hits", "____hits_found", "__found", "__gaps", "__rows", "hits"]
+    docs = spark.createDataFrame([(1, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = hide_secrets(docs)
+    row = out.first()
+    assert out.columns == docs.columns and [row[n] for n in names] == names and HIDDEN in row.text
+    assert find_secrets(docs).count() == 1

@@ -39,7 +39,7 @@ def test_table(spark):
 
 
 def test_small_groups_go_together(spark, monkeypatch):
-    monkeypatch.setattr(packing, "FAN", 2)
+    monkeypatch.setattr(packing, "GROUP", 64)
     texts = ["word " * (37 * i % 50) for i in range(200)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
     bins, least = checked(pack_documents(docs, PATH, size=64).collect(), list(enumerate(texts)), 64)
@@ -85,3 +85,23 @@ def test_groups_of_one_task_go_together(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
     bins, least = checked(pack_documents(docs, PATH, size=64).collect(), list(enumerate(texts)), 64)
     assert bins <= least + 3
+
+
+def test_groups_are_bounded_and_mixes_are_packed_tightly(spark, monkeypatch):
+    """Groups of the second step hold about GROUP pieces; three length mixes end within a bin a group of the least number."""
+    held = []
+    real = packing.pack
+    rng = random.Random(8)
+    for low, high in ((1, 64), (20, 28), (11, 31)):
+        lengths = [rng.randint(low, high) for _ in range(4000)]
+        bins = real(lengths, 64)
+        held.append((len(best_fit(lengths, 64)), len(bins), -(-sum(lengths) // 64)))
+        assert len(bins) <= len(best_fit(lengths, 64))
+    assert held[0][1] <= 1.005 * held[0][2]
+    monkeypatch.setattr(packing, "GROUP", 256)
+    texts = ["word " * rng.randint(20, 30) for _ in range(1500)]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string").repartition(5)
+    out = pack_documents(docs, PATH, size=64)
+    assert out.schema["doc_id"].dataType.simpleString() == "string"
+    bins, least = checked(out.collect(), [(str(i), t) for i, t in enumerate(texts)], 64)
+    assert bins <= len(real([len(t.split()) + 1 for t in texts], 64)) + 1500 // 256 + 1 and bins >= least

@@ -1,9 +1,9 @@
 import re
 
 import corpus_pipeline as pipeline
+from pyspark.sql import functions as F
 from test_line_dedup import brute as lines_brute
-from test_simhash import brute as groups_brute
-from waymark.llm.simhash import fingerprints
+from test_near_copies import brute as near_brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,9 +29,7 @@ def test_stages_against_brute_force(spark):
     assert rows_of(lined) == sorted(((r.doc_id, t, r.lang, r.source, len(t)) for r, t in zip(have, want, strict=True)), key=str)
 
     single = pipeline.near_dedup(spark, docs, SF)
-    prints = fingerprints([r.text for r in have], 5, pipeline.PRINTS).tolist()
-    least = groups_brute(prints, [r.doc_id for r in have], pipeline.RADIUS)
-    assert rows_of(single) == sorted((tuple(r) for r, k in zip(have, least, strict=True) if r.doc_id == k), key=str)
+    assert sorted((r.doc_id, r.text) for r in single.collect()) == near_brute([(r.doc_id, r.text) for r in have])
 
     hidden = pipeline.secret_scan(spark, docs, SF)
     texts = {r.doc_id: r.text for r in hidden.collect()}
@@ -56,6 +54,17 @@ def test_odd_rows_through_all_stages(spark):
         assert stage(spark, docs.limit(0), SF).collect() == []
 
 
+def test_clashing_names_through_all_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    names = ["__quality", "__rank", "__node", "__hits", "____hits_found", "n_lines", "n_dropped", "a.b"]
+    now = docs.select("*", *(F.lit(n).alias(n) for n in names))
+    wide = now.schema.simpleString()
+    for _, stage in pipeline.STAGES[:-1]:
+        now = stage(spark, now, SF)
+        assert now.schema.simpleString() == wide
+        assert all(r[n] == n for r in now.collect() for n in names)
+
+
 def test_run(spark):
     out = pipeline.run(spark, SF).collect()
     assert out and {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out[0].asDict())

@@ -41,3 +41,19 @@ def test_same_scores_however_dealt(spark, parts):
     one = {r.doc_id: r.quality.score for r in with_quality(docs, labels).collect()}
     other = {r.doc_id: r.quality.score for r in with_quality(docs.repartition(parts), labels.repartition(parts)).collect()}
     assert other == pytest.approx(one, abs=1e-9)
+
+
+def test_an_id_of_many_rows_and_clashing_names(spark):
+    """One labelled id repeated 100,000 times stands for one row of the fit, and no column is lost."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    first = labels.first().doc_id
+    many = spark.range(100_000).selectExpr(f"{first}L AS doc_id", "concat('same id ', id) AS text", "'en' AS lang", "'s' AS source", "10L AS n_chars")
+    whole = docs.unionByName(many.select([many[f.name].cast(f.dataType).alias(f.name) for f in docs.schema]))
+    sizes, real = [], quality.CoTrained
+    quality.CoTrained = lambda views, y, pools, held: sizes.append(len(y)) or real(views, y, pools, held)
+    try:
+        kept = keep_good(whole.withColumn("__quality", quality.F.lit(7)), labels, 0.3)
+    finally:
+        quality.CoTrained = real
+    assert sizes == [labels.select("doc_id").join(docs, "doc_id").distinct().count()]
+    assert kept.columns == [*docs.columns, "__quality"] and {r[0] for r in kept.select("__quality").distinct().collect()} == {7}

@@ -116,11 +116,29 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
-def test_several_fingerprints(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "TREE", 16)
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 300")
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    prints = simhash.fingerprints([t for _, t in rows], 5, 3)
-    assert [f"{int(p):016x}" for p in prints[:, 0]] == [f"{fingerprint(t, 5):016x}" for _, t in rows]
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, 5, 3, 3).collect()}
-    assert [got[i] for i, _ in rows] == brute(prints.tolist(), [i for i, _ in rows], 3)
+def test_full_shards_are_dealt_again(spark):
+    """20,000 near fingerprints in one shard, which fill nearly all bits left free, and a hundred strangers: trees stay small, no link is lost."""
+    rng = random.Random(9)
+    base = rng.getrandbits(63)
+    prints = {base ^ (k << 40) ^ rng.getrandbits(3) for k in range(20_000)} | {rng.getrandbits(63) for _ in range(100)}
+    frame = spark.createDataFrame([(p,) for p in sorted(prints)], "fp long")
+    sizes = []
+    real = simhash.links_of_trees
+    simhash.links_of_trees = lambda shards, radius: sizes.append(shards.groupBy("which", "shard").count().agg({"count": "max"}).first()[0]) or real(shards, radius)
+    try:
+        got = {r.node: r.root for r in components(near_links(frame, 3)).collect()}
+    finally:
+        simhash.links_of_trees = real
+    assert max(x for x in sizes if x) <= 4 * simhash.TREE
+    tree = simhash.BKBranches(np.array(sorted(prints), np.uint64))
+    members = np.array(sorted(prints), np.uint64)
+    a, b = tree.near(members, 3)
+    root = simhash._roots(len(members), a, np.searchsorted(members, b))
+    assert [got.get(int(p), int(p)) for p in members] == members[root].tolist()
+
+
+def test_masks_leave_few_bits_free():
+    for level in range(simhash.LEVELS):
+        masks = simhash._masks(3, level)
+        assert len(masks) == 10 ** (level + 1)
+    assert max(64 - m.bit_count() for m in masks) <= 16

@@ -24,12 +24,15 @@ def ascii_lower(column):
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """``frame`` written once to the folder that all executors share.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset,
-    as in tests on one machine, a temporary one takes its place.
+    The folder is the session's spark.checkpoint.dir. Only where that is unset and the
+    master is this very machine, as in tests, a temporary folder takes its place; a cluster without one is refused.
     """
     context = frame.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp())
     return frame.checkpoint()
 
 

@@ -6,9 +6,11 @@ into pieces of the sequence length. Pieces go to sequences ("bins") in two steps
 1. Each task tokenizes its documents and packs ``GROUP`` pieces at a time, in
    the same map, so no text and no id is shuffled: best fit decreasing, then the
    local search. Its result, a few dozen bytes a piece, is written once.
-2. The underfull bins that are left are the only ones worth more work. They go
-   together by neighbouring tasks (``FAN`` at a time, over and over until one
-   group is left), are taken apart there and packed again. Full bins never move.
+2. The underfull bins that are left are the only ones worth more work. They are dealt to
+   groups of about ``GROUP`` pieces, in other company each round, taken apart there and packed
+   again, until one group holds them all or a round gains no more than a bin a group: that is
+   what the last, unfilled bin of each group costs. No task ever holds more than a group.
+   Full bins never move.
 
 Local search, over windows of all underfull bins of a group in the order of their
 fill: move one document, exchange one for one or two for one between two bins of
@@ -17,7 +19,7 @@ ones shrink, until some are empty. The sum grows with each step, so the search
 ends: when neither the windows nor those halfway between them gain.
 
 Null and empty texts are the end id alone. Repeated rows are packed as often as
-they stand there; null ids stay null. An empty table gives an empty result.
+they stand there; ids keep their type, null ids stay null. An empty table gives an empty result.
 Other columns are not read.
 """
 
@@ -32,6 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from waymark.llm.common import cut_lineage
 from waymark.llm.token_counts import parts_by_bytes
@@ -41,8 +44,6 @@ from waymark.llm.tokens import tokenizer
 GROUP = 1 << 16
 #: Bins of a window of the local search; windows cover all underfull bins.
 SEARCHED = 96
-#: Groups of leftovers that go together in the second step.
-FAN = 32
 #: A bin is underfull below this share of its size.
 FULL = 0.995
 
@@ -165,7 +166,7 @@ def placed(lengths: np.ndarray, size: int, ids: list[int] | range) -> dict[str,
     return out
 
 
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECES = "piece int, start long, length long, ids_crc32 long"
 _PLACES = "sequence_id long, offset long, fill long"
 
 
@@ -200,7 +201,7 @@ def pack_documents(docs: DataFrame, model_path: str, size: int = 2048, end_id: i
                 columns = list(zip(*now, strict=True))
                 put = placed(np.array(columns[3], np.int64), size, range(unit, unit + len(now)))
                 unit += len(now)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                kinds = (to_arrow_type(id_type), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)] + [pa.array(put[k]) for k in ("sequence_id", "offset", "fill")]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill"])
             if more is None:
@@ -211,21 +212,24 @@ def pack_documents(docs: DataFrame, model_path: str, size: int = 2048, end_id: i
         return group.assign(**put) if put else group
 
     whole = F.coalesce(F.col(text), F.lit(""))
-    read = docs.select(F.col(key).cast("long").alias("doc_id"), whole.alias("text"), F.octet_length(whole).alias("size"))
-    now = cut_lineage(read.mapInArrow(first_packed, f"{_PIECES}, {_PLACES}"))
+    read = docs.select(F.col(key).alias("doc_id"), whole.alias("text"), F.octet_length(whole).alias("size"))
+    id_type = read.schema["doc_id"].dataType
+    schema = f"doc_id {id_type.simpleString()}, {_PIECES}, {_PLACES}"
+    now = cut_lineage(read.mapInArrow(first_packed, schema))
     loose = F.col("fill") < int(FULL * size)
-    done, width = [], FAN
-    group = F.floor(F.col("sequence_id") / GROUP)
+    done, turn, before = [], 0, None
     while True:
         done.append(now.where(~loose))
         rest = now.where(loose)
-        if rest.agg(F.countDistinct(group)).first()[0] <= 1:
+        bins = now.select("sequence_id").distinct().count() if before is not None else 0
+        n, open_ = rest.agg(F.count("*"), F.countDistinct("sequence_id")).first()
+        groups = max(1, -(-n // GROUP))
+        if open_ <= 1 or before is not None and (before[1] == 1 or before[0] - bins <= before[1]):
             done.append(rest)
             break
-        group = F.floor(F.shiftright("sequence_id", 36) / width)
-        dealt = rest.withColumn("unit", group)
-        now = cut_lineage(dealt.groupBy("unit").applyInPandas(again, f"{_PIECES}, {_PLACES}, unit long").drop("unit"))
-        width *= FAN
+        dealt = rest.withColumn("unit", F.pmod(F.xxhash64("sequence_id", F.lit(turn)), F.lit(groups)))
+        now = cut_lineage(dealt.groupBy("unit").applyInPandas(again, f"{schema}, unit long").drop("unit"))
+        turn, before = turn + 1, (open_, groups)
     whole = done[0]
     for part in done[1:]:
         whole = whole.union(part)

@@ -8,9 +8,10 @@ join the other's training rows. Both are then calibrated (Platt) on labelled
 documents held out of that, and a last regression on the two calibrated logits
 weighs the views.
 
-Fitted on bounded samples: at most ``LABELLED`` labelled and ``POOL`` other documents,
-chosen by a hash of their id, whatever the size of the corpus. All documents are
-scored, in one map. Nothing else is gathered.
+Fitted on bounded samples: one row each of at most ``LABELLED`` labelled and ``POOL`` other
+ids, chosen by a hash of the id, whatever the size of the corpus and however often an id
+is there (of its rows that of the least hash stands for it). All documents are scored, in one
+map. Nothing else is gathered.
 
 Null texts and metadata count as empty, unseen sources as their hash bucket.
 Labels with a null id or a quality that isn't 0 or 1 are left out; of several for an
@@ -24,9 +25,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.llm.common import free_name
+
 LABELLED, POOL, ROUNDS = 20_000, 10_000, 5
 #: Share of the pool that a view hands over in a round.
 HANDED = 0.03
@@ -127,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
     judged = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg((F.avg("quality") > 0.5).cast("int").alias("y"))
     chosen = lambda frame, n: frame.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(n)
     some = chosen(judged, LABELLED).withColumn("pool", F.lit(False))
-    rest = chosen(docs.select("doc_id").where("doc_id IS NOT NULL").join(judged, "doc_id", "left_anti"), POOL).distinct().select("doc_id", F.lit(0).alias("y"), F.lit(True).alias("pool"))
+    rest = chosen(docs.select("doc_id").where("doc_id IS NOT NULL").distinct().join(judged, "doc_id", "left_anti"), POOL).select("doc_id", F.lit(0).alias("y"), F.lit(True).alias("pool"))
     width = 10 + SOURCES + LANGS + 2
 
     def seen(batches):
@@ -136,8 +139,11 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(both.tolist(), pa.list_(pa.float64()))], names=["doc_id", "y", "pool", "x"])
 
     # Both sides of this union are limited, so the broadcast has at most LABELLED + POOL rows.
-    picked = docs.join(F.broadcast(some.union(rest)), "doc_id").select("doc_id", "y", "pool", *VIEW)
-    rows = picked.mapInArrow(seen, "doc_id long, y int, pool boolean, x array<double>").toPandas().sort_values(["doc_id"], kind="stable")
+    # The window's limit works before the shuffle: an id that is there ten million times leaves a row from each task.
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*VIEW), "text"))
+    picked = docs.join(F.broadcast(some.union(rest)), "doc_id").withColumn("first", first).where("first = 1").select("doc_id", "y", "pool", *VIEW)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = picked.mapInArrow(seen, f"doc_id {kind}, y int, pool boolean, x array<double>").toPandas().sort_values(["doc_id"], kind="stable")
     x, pool, y = np.array(rows["x"].to_list(), float).reshape(-1, width), rows["pool"].to_numpy(bool), rows["y"].to_numpy(float)
     held = np.array([xxhash.xxh64_intdigest(str(i), 3) % 4 == 0 for i in rows["doc_id"]], bool)
     split = [x[:, :10], x[:, 10:]]
@@ -147,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained | None:
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, out: str = "quality") -> DataFrame:
-    """``docs`` with a struct ``out``: text_score, meta_score and score (of good quality), null where nothing can be judged."""
+    """``docs`` with a struct ``out`` (a column of that name is replaced): text_score, meta_score and score (of good quality), null where nothing can be judged."""
     blank = [F.lit(None).cast("string").alias(c) if c != "n_chars" else F.lit(None).cast("long").alias(c) for c in VIEW if c not in docs.columns]
     model = train(docs.select("doc_id", *(F.col(c) for c in VIEW if c in docs.columns), *blank).select("doc_id", *VIEW), labels)
     kind = "struct<text_score: double, meta_score: double, score: double>"
@@ -167,5 +173,6 @@ def with_quality(docs: DataFrame, labels: DataFrame, out: str = "quality") -> Da
 def keep_good(docs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     """The documents whose score is ``least`` or more, and those that can't be judged."""
     names = docs.columns
-    scored = with_quality(docs, labels, "__quality")
-    return scored.where((F.col("__quality.score") >= least) | F.col("__quality.score").isNull()).select(*(f"`{c}`" for c in names))
+    own = free_name("__quality", names)
+    scored = with_quality(docs, labels, own)
+    return scored.where((F.col(f"{own}.score") >= least) | F.col(f"{own}.score").isNull()).select(*(f"`{c}`" for c in names))

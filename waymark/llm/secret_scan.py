@@ -17,18 +17,18 @@ dictionary words cover, path signs, and the words next to it.
 
 Null and empty texts have no candidates; whole texts are scanned, however long.
 Repeated secrets and rows are findings of their own. Ids stay, nulls too. An empty
-table gives an empty result. Columns named like a work column are not touched.
+table gives an empty result. Other columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.llm.common import free_name
+
 #: Ends of secrets' names, and what stands between them and the value. Each pair is a look behind of its own: these have one width.
 NAMED = "assword asswd assphrase pwd ecret oken api_key apikey api-key API_KEY APIKEY access_key ACCESS_KEY SECRET TOKEN ASSWORD auth earer rivate_key redential redentials".split()
 BETWEEN = ["=", ":", ": ", " = ", " : ", '="', "='", ': "', ": '", ' = "', " = '", '": "', "': '", '":"', ":'", ':"']
@@ -113,36 +113,44 @@ def _features(row: str = "") -> str:
     return ", ".join(f"'{name}', double({sql.replace('@', row)})" for name, sql in FEATURES.items())
 
 
+def assembled(rows: DataFrame) -> DataFrame:
+    """Labelled findings (c, b, a, label) with their features as one vector."""
+    own = rows.selectExpr(f"named_struct({_features()}) AS f", "label").select("f.*", "label")
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(own).select("features", "label")
+
+
+def fitted_forest(spark: SparkSession, findings: DataFrame | None = None) -> RandomForestClassificationModel:
+    learner = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=11, featureSubsetStrategy="sqrt")
+    return learner.fit(assembled(findings if findings is not None else labelled_findings(spark)))
+
+
 def train_forest(spark: SparkSession) -> str:
-    """The share of the trees' votes for a secret, as SQL over a struct f of the features."""
-    rows = labelled_findings(spark).selectExpr(f"named_struct({_features()}) AS f", "label").select("f.*", "label")
-    made = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", "label")
-    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=11, featureSubsetStrategy="sqrt").fit(made)
-    return forest_sql(model.toDebugString)
+    return forest_sql(fitted_forest(spark))
 
 
-def forest_sql(said: str) -> str:
-    """MLlib's printed trees as CASE expressions."""
-    names, trees = list(FEATURES), re.split(r"\n\s*Tree \d+ .*:\n", said)[1:]
+def forest_sql(model: RandomForestClassificationModel) -> str:
+    """The forest's probability of a secret as SQL over a struct f of the features: the mean of its leaves' shares, each tree a CASE expression."""
+    names = list(FEATURES)
 
-    def tree(lines: list[str]) -> str:
-        line = lines.pop(0).strip()
-        if leaf := re.match(r"Predict: ([\d.]+)", line):
-            return leaf[1]
-        split = re.match(r"If \(feature (\d+) <= ([-\d.E]+)\)", line)
-        low = tree(lines)
-        lines.pop(0)
-        return f"CASE WHEN f.{names[int(split[1])]} <= {float(split[2])!r}D THEN {low} ELSE {tree(lines)} END"
+    def tree(node) -> str:
+        if node.subtreeDepth() == 0:
+            counts = list(node.impurityStats().stats())
+            return f"{counts[1] / sum(counts)!r}D"
+        split = node.split()
+        return f"CASE WHEN f.{names[split.featureIndex()]} <= {split.threshold()!r}D THEN {tree(node.leftChild())} ELSE {tree(node.rightChild())} END"
 
-    votes = [tree(one.rstrip().split("\n")) for one in trees]
-    return f"double({' + '.join(f'({v})' for v in votes)}) / {len(votes)}"
+    shares = [tree(one._call_java("rootNode")) for one in model.trees]
+    return f"({' + '.join(f'({v})' for v in shares)}) / {len(shares)}"
 
 
 def scanned(docs: DataFrame, text: str, out: str) -> DataFrame:
     """``docs`` with ``out``: an array of structs (candidate, score, gap), where gap is the text in front; the last one has no candidate."""
     score = train_forest(docs.sparkSession)
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    work = {name: f"__{out}_{name}" for name in ("found", "gaps", "rows")}
+    taken, work = [*docs.columns, out], {}
+    for name in ("found", "gaps", "rows"):
+        work[name] = free_name(f"__{name}", taken)
+        taken.append(work[name])
     have = docs.withColumn(work["found"], F.regexp_extract_all(whole, F.lit(CANDIDATE), F.lit(0)))
     have = have.withColumn(work["gaps"], F.when(F.size(work["found"]) > 0, F.split(whole, CANDIDATE, -1)).otherwise(F.array(whole)))
     zipped = f"transform({work['found']}, (c, i) -> named_struct('c', c, 'b', right(element_at({work['gaps']}, i + 1), {BEFORE}), 'a', left(element_at({work['gaps']}, i + 2), {AFTER}), 'gap', element_at({work['gaps']}, i + 1)))"
@@ -167,6 +175,7 @@ def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", least
 def hide_secrets(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     """``docs`` with each secret in ``text`` replaced by ``HIDDEN``; null texts stay null."""
     names = docs.columns
-    have = scanned(docs, text, "__hits")
-    shown = f"array_join(transform(__hits, x -> concat(x.gap, CASE WHEN x.candidate IS NULL THEN '' WHEN x.score >= {least} THEN '{HIDDEN}' ELSE x.candidate END)), '')"
+    hits = free_name("__hits", names)
+    have = scanned(docs, text, hits)
+    shown = f"array_join(transform({hits}, x -> concat(x.gap, CASE WHEN x.candidate IS NULL THEN '' WHEN x.score >= {least} THEN '{HIDDEN}' ELSE x.candidate END)), '')"
     return have.withColumn(text, F.when(F.col(f"`{text}`").isNotNull(), F.expr(shown))).select(*(f"`{c}`" for c in names))

@@ -8,9 +8,9 @@
    ``radius`` bits agree in at least two of ``radius`` + 2 bit blocks, so each
    goes to one shard for each pair of blocks, keyed by the pair's bits. Shards of
    one member are dropped, counts first, before anything is dealt out.
-   A shard of more than ``TREE`` members, as a large group of near copies makes,
-   is salted into several trees of about ``TREE``; its members ask all of these,
-   each (shard, tree) being a task's job of its own.
+   A shard of more than ``TREE`` members is dealt again, by pairs of blocks of the bits that
+   its members may still differ in, up to ``LEVELS`` times; then so few bits are left free
+   (14 at radius 3) that no shard can be large. No pair of a full shard is walked before.
 3. BK-trees: a tree's children are keyed by their Hamming distance to the parent,
    and a query follows only the edges within the radius of its own distance.
    What a tree finds leaves it as links to one member of each group found in
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import ascii_lower, cut_lineage
 
-#: Members of a BK-tree; of a leaf where many queries walk together; trees up to so many members are walked one by one.
-TREE, LEAF, FEW = 1024, 64, 24
+#: Members of a shard's BK-tree, and how often fuller shards are dealt; members of a leaf where many queries walk together; trees up to so many members are walked one by one.
+TREE, LEVELS, LEAF, FEW = 1024, 3, 64, 24
 #: Bands of so many least hashes each, by which texts meet to be compared: at a similarity of 0.8 one pair in 8 million has no band in common.
 BANDS, ROWS = 40, 5
 #: Candidates' keys that are broadcast at most; more are joined.
@@ -190,12 +190,18 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _blocks(radius: int) -> list[int]:
-    """Masks of the pairs of blocks that the 64 bits are cut into."""
+def _masks(radius: int, level: int) -> list[int]:
+    """Masks of the bits that a shard of each kind holds fixed: at level 0 the pairs of blocks that the 64 bits are cut into, then of what is left."""
     n = radius + 2
-    cuts = [64 * k // n for k in range(n + 1)]
-    masks = [(1 << b) - (1 << a) for a, b in itertools.pairwise(cuts)]
-    return [a | b for a, b in itertools.combinations(masks, 2)]
+    masks = [0]
+    for _ in range(level + 1):
+        dealt = []
+        for mask in masks:
+            free = [b for b in range(64) if not mask >> b & 1]
+            blocks = [sum(1 << b for b in free[len(free) * k // n : len(free) * (k + 1) // n]) for k in range(n)]
+            dealt += [mask | x | y for x, y in itertools.combinations(blocks, 2)]
+        masks = dealt
+    return masks
 
 
 def _signed(mask: int) -> int:
@@ -216,11 +222,11 @@ class _Groups:
 
 
 def links_of_trees(shards: DataFrame, radius: int) -> DataFrame:
-    """which, a, b: links of fingerprints. ``shards``: shard, tree, asks (0: member, 1: query only) and fp."""
+    """a, b: links of fingerprints. ``shards``: which, shard and fp, sorted, so that a shard's rows lie together."""
 
-    def one(key: tuple | None, members: list[int], queries: list[int]):
+    def one(members: list[int]):
         if len(members) > FEW:
-            yield from together(key[1], np.array(members, np.uint64), np.array(queries, np.uint64))
+            yield from together(np.unique(np.array(members, np.uint64)))
             return
         tree, groups = BKTree(), _Groups()
         for x in members:
@@ -228,66 +234,57 @@ def links_of_trees(shards: DataFrame, radius: int) -> DataFrame:
                 a, b = groups.root(x), groups.root(y)
                 if a != b:
                     groups.up[a] = b
-                    yield key[1], x, y
+                    yield x, y
             tree.add(x)
-        for x in queries:
-            for y in {groups.root(y): y for y in tree.near(x, radius)}.values():
-                yield key[1], x, y
 
-    def together(which: int, members: np.ndarray, queries: np.ndarray):
-        members = np.unique(members)
+    def together(members: np.ndarray):
         tree = BKBranches(members)
         a, b = tree.near(members, radius)
         root = _roots(len(members), a, np.searchsorted(members, b))
+        # The root stands for its group: a link to any member of it holds the component together.
         for k in np.flatnonzero(root != np.arange(len(members))).tolist():
-            yield which, int(members[k]), int(members[root[k]])
-        if len(queries):
-            a, b = tree.near(queries, radius)
-            pairs = np.unique(np.stack([a, root[np.searchsorted(members, b)]]), axis=1)
-            for q, m in pairs.T.tolist():
-                # The root stands for its group: a link to any member of it holds the component together.
-                yield which, int(queries[q]), int(members[m])
+            yield int(members[k]), int(members[root[k]])
 
     def mapped(batches):
-        """Rows come sorted by (shard, mask, tree): a job's rows lie together, members before queries."""
-        key, members, queries = None, [], []
+        key, members = None, []
         for batch in batches:
             found = []
-            prints = batch.column(4).to_numpy().view(np.uint64).tolist()  # unsigned, for bit_count()
-            for shard, which, tree, asks, fp in zip(*(batch.column(k).to_pylist() for k in range(4)), prints, strict=True):
-                if (shard, which, tree) != key or len(queries) >= TREE:
-                    found += one(key, members, queries)
-                    if (shard, which, tree) != key:
-                        key, members = (shard, which, tree), []
-                    queries = []
-                (queries if asks else members).append(fp)
+            prints = batch.column(2).to_numpy().view(np.uint64).tolist()  # unsigned, for bit_count()
+            for which, shard, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), prints, strict=True):
+                if (which, shard) != key:
+                    found += one(members)
+                    key, members = (which, shard), []
+                members.append(fp)
             yield _links(found)
-        yield _links(list(one(key, members, queries)))
+        yield _links(list(one(members)))
 
     def _links(found):
-        both = np.array([x[1:] for x in found], np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["which", "a", "b"])
+        both = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
-    return shards.select("shard", "which", "tree", "asks", "fp").mapInArrow(mapped, "which int, a long, b long")
+    return shards.select("which", "shard", "fp").mapInArrow(mapped, "a long, b long")
 
 
 def near_links(unlike: DataFrame, radius: int) -> DataFrame:
-    """a, b: links between the fingerprints fp of ``unlike`` that hold each component together. Only rows of one ``print`` (where there is that column) meet."""
-    masks = _blocks(radius)
-    kind = F.col("print") * len(masks) if "print" in unlike.columns else F.lit(0)
-    pairs = F.array(*(F.struct((kind + k).cast("int").alias("which"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("shard")) for k, m in enumerate(masks)))
-    dealt = unlike.select("fp", F.inline(pairs))
-    many = dealt.groupBy("which", "shard").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    rows = dealt.join(many, ["which", "shard"]).withColumn("trees", F.ceil(F.col("n") / TREE).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
-    asked = rows.withColumn("own", own).select("which", "shard", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
-    # A tree's own members ask it while it grows; a later tree need not ask an earlier one back.
-    asked = asked.where(F.col("tree") <= F.col("own")).withColumn("asks", (F.col("tree") < F.col("own")).cast("int"))
-    jobs = asked.repartition("which", "shard", "tree").sortWithinPartitions("which", "shard", "tree", "asks", "fp")
-    found = links_of_trees(jobs, radius)
-    if "print" in unlike.columns:
-        return found.select(F.floor(F.col("which") / len(masks)).cast("int").alias("print"), "a", "b").distinct()
-    return found.select("a", "b").distinct()
+    """a, b: links between the fingerprints fp of ``unlike`` that hold each component together."""
+    pairs = len(_masks(radius, 0))
+    dealt = unlike.select("fp", F.lit(0).alias("was"), F.lit(0).alias("level"))
+    links, level = None, 0
+    while True:
+        masks = F.array(*(F.lit(_signed(m)).cast("long") for m in _masks(radius, level)))
+        keyed = dealt.select("fp", F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))).alias("k"), "was").select("fp", (F.col("was") * pairs + F.col("k")).cast("int").alias("which"))
+        keyed = keyed.withColumn("shard", F.col("fp").bitwiseAND(F.element_at(masks, F.col("which") + 1)))
+        many = cut_lineage(keyed.groupBy("which", "shard").agg(F.count("*").alias("n")).where(F.col("n") > 1))
+        full = many.where(F.col("n") > TREE) if level + 1 < LEVELS else many.limit(0)
+        deeper = not full.isEmpty()
+        jobs = keyed.join(many.where(F.col("n") <= TREE) if deeper else many, ["which", "shard"]).select("which", "shard", "fp")
+        found = links_of_trees(jobs.repartition("which", "shard").sortWithinPartitions("which", "shard", "fp"), radius)
+        links = found if links is None else links.union(found)
+        if not deeper:
+            return links.distinct()
+        # Members that agree in the fixed bits of one full shard, each once: they are dealt by what else they agree in.
+        dealt = cut_lineage(keyed.join(full.select("which", "shard"), ["which", "shard"]).select("fp", F.col("which").alias("was"), F.lit(level + 1).alias("level")))
+        level += 1
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -325,38 +322,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, key: str =
     return prints.join(named, "fp").select(F.col("id").alias(key), "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, radius: int = 3, prints: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and component_id of every row, by several independent fingerprints: near in any of them is near.
-
-    One fingerprint at radius 3 finds nearly all pairs from a similarity of 0.9 on, but few at 0.8, and a
-    larger radius would link strangers in a large corpus. ``prints`` fingerprints find far more of those pairs,
-    while the chance of strangers grows only by that factor. Equal word sequences are one node; nodes of one
-    fingerprint hang on the least of them.
-    """
-    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-
-    def mapped(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = fingerprints(texts, words, prints).view(np.int64)
-            nodes = np.fromiter((xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), 7) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(list(found), pa.list_(pa.int64()))], names=["id", "node", "fps"])
-
-    kind = source.schema["id"].dataType.simpleString()
-    rows = cut_lineage(source.mapInArrow(mapped, f"id {kind}, node long, fps array<long>"))
-    nodes = rows.groupBy("node").agg(F.min("id").alias("least"), F.first("fps").alias("fps"))
-    each = cut_lineage(nodes.select("node", F.posexplode("fps").alias("print", "fp")))
-    heads = each.groupBy("print", "fp").agg(F.min("node").alias("head"), F.count("*").alias("n"))
-    same = each.join(heads.where("n > 1"), ["print", "fp"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    far = near_links(heads.select("print", "fp"), radius)
-    ends = heads.select("print", "fp", "head")
-    far = far.join(ends.withColumnsRenamed({"fp": "a", "head": "ha"}), ["print", "a"]).join(ends.withColumnsRenamed({"fp": "b", "head": "hb"}), ["print", "b"])
-    roots = components(same.union(far.select("ha", "hb")))
-    linked = cut_lineage(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
-    best = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(linked.join(best, "root").select("node", "component_id"), "node").select(F.col("id").alias(key), "component_id")
-
-
 def word_key(text):
     """A hash of the word sequence, native: equal words in equal order are one text."""
     return F.xxhash64(F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " ")))
@@ -388,13 +353,14 @@ def _fits(n, m):
     return F.least(n, m) * SHARE[1] >= F.greatest(n, m) * SHARE[0]
 
 
-def near_copies(docs: DataFrame, words: int = 5, radius: int = 3, prints: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, radius: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """node, the ``word_key`` of each text, and kept, the node that stands for its component: that of the least ``key``.
 
     Components link texts whose sets of ``words``-word shingles have a similarity of ``SHARE`` or more, by the exact sets:
 
-    1. Candidates are the links of several fingerprints (as in ``similar_documents``), and each text with
-       one text of each of its bands of least hashes. The exact test keeps what is near; that joins the large groups.
+    1. Candidates are the links of the fingerprints' BK-trees, which hold nearly all pairs from a similarity of 0.95 on, and, since a
+       radius that reached down to 0.8 would link strangers, each text with one text of each of its bands of least hashes.
+       The exact test keeps what is near; that joins the large groups.
     2. Bands that still hold several components: every pair of texts of unlike components there is tested too.
 
     A pair inside one component needs no test, so a large group of near copies costs its members, not their pairs.
@@ -406,23 +372,22 @@ def near_copies(docs: DataFrame, words: int = 5, radius: int = 3, prints: int =
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 hashes = [_hashed(shingles(t, words) or [b""]) for t in part.column(2).to_pylist()]
-                fps = [_prints(h, prints).view(np.int64) for h in hashes]
+                fps = np.array([_prints(h, 1)[0] for h in hashes], np.uint64).view(np.int64)
                 keys = [_band_keys(h).view(np.int64) for h in hashes]
                 sizes = pa.array([len(np.unique(h)) for h in hashes], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sizes, pa.array(fps, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "n", "fps", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sizes, pa.array(fps), pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "n", "fp", "keys"])
 
     # Sketches leave the map, not texts: equal texts have equal ones.
     kind = source.schema["id"].dataType.simpleString()
-    rows = source.mapInArrow(mapped, f"id {kind}, node long, n long, fps array<long>, keys array<long>")
-    nodes = cut_lineage(rows.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "fps", "keys"))))
+    rows = source.mapInArrow(mapped, f"id {kind}, node long, n long, fp long, keys array<long>")
+    nodes = cut_lineage(rows.groupBy("node").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("n", "fp", "keys"))))
     texts = source.select("node", "text")
 
-    each = cut_lineage(nodes.select("node", F.posexplode("fps").alias("print", "fp")))
-    heads = each.groupBy("print", "fp").agg(F.min("node").alias("head"), F.count("*").alias("many"))
-    same = each.join(heads.where("many > 1"), ["print", "fp"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    ends = heads.select("print", "fp", "head")
-    far = near_links(ends.select("print", "fp"), radius)
-    far = far.join(ends.withColumnsRenamed({"fp": "a", "head": "ha"}), ["print", "a"]).join(ends.withColumnsRenamed({"fp": "b", "head": "hb"}), ["print", "b"])
+    heads = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("many")))
+    same = nodes.select("node", "fp").join(heads.where("many > 1"), "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    far = near_links(heads.select("fp"), radius)
+    ends = heads.select("fp", "head")
+    far = far.join(ends.withColumnsRenamed({"fp": "a", "head": "ha"}), "a").join(ends.withColumnsRenamed({"fp": "b", "head": "hb"}), "b")
 
     # Dealt out once: the counts and the join find each band's rows together.
     banded = nodes.select("node", "n", F.explode("keys").alias("band")).repartition("band")
