@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import cut_lineage, table
+from waymark.llm.common import cut_lineage, free_name, table
 from waymark.llm.line_dedup import drop_frequent_lines
 from waymark.llm.packing import pack_documents
 from waymark.llm.quality import keep_good
@@ -18,15 +18,15 @@ from waymark.llm.queries import KEEP_FROM
 from waymark.llm.secret_scan import hide_secrets
 from waymark.llm.simhash import near_copies, word_key
 
-#: Near duplicates here: five-word shingles, candidates near in any of so many fingerprints or equal in a band, kept at an exact similarity of 0.8.
-WORDS, RADIUS, PRINTS = 5, 3, 8
+#: Near duplicates here: five-word shingles, candidates with near fingerprints or an equal band, kept at an exact similarity of 0.8.
+WORDS, RADIUS = 5, 3
 MIN_DOCS = 10
 
 
 def _as_documents(frame: DataFrame, like: DataFrame) -> DataFrame:
     """The columns of ``like``, with n_chars of the text as it is now."""
     chars = F.length("text").cast(like.schema["n_chars"].dataType)
-    return frame.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(chars)).select(*like.columns)
+    return frame.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(chars)).select(*(F.col(f"`{c}`") for c in like.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +46,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words and rows without an id say nothing about being copies, and stay.
     """
     worded = F.col("text").rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
-    found = near_copies(docs.where(worded).select("doc_id", "text"), WORDS, RADIUS, PRINTS)
-    stays = cut_lineage(found.where("node = kept").select(F.col("node").alias("__node")))
-    first = Window.partitionBy("__node").orderBy("doc_id", "text", "source", "lang", "n_chars")
-    single = docs.where(worded).withColumn("__node", word_key(F.col("text"))).withColumn("__rank", F.row_number().over(first)).where("__rank = 1")
-    return single.join(stays, "__node", "left_semi").select(*docs.columns).union(docs.where(F.coalesce(~worded, F.lit(True))))
+    found = near_copies(docs.where(worded).select("doc_id", "text"), WORDS, RADIUS)
+    node, rank = free_name("__node", docs.columns), free_name("__rank", docs.columns)
+    stays = cut_lineage(found.where("node = kept").select(F.col("node").alias(node)))
+    first = Window.partitionBy(node).orderBy("doc_id", "text", "source", "lang", "n_chars")
+    single = docs.where(worded).withColumn(node, word_key(F.col("text"))).withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1)
+    return single.join(stays, node, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns)).union(docs.where(F.coalesce(~worded, F.lit(True))))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
