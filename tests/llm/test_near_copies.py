@@ -76,3 +76,31 @@ def test_table(spark):
     got = sorted((r.doc_id, r.text) for r in pipeline.near_dedup(spark, docs, "").collect())
     assert got == brute(rows)
     assert simhash.SHARE == (4, 5)
+
+
+def test_a_group_around_a_hub(spark):
+    """Copies of one text with many and few edits, cuts and copies of copies: links that don't go through the hub are found."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    rows = []
+
+    def edited(words, n):
+        own = list(words)
+        for _ in range(n):
+            at = rng.randrange(len(own))
+            kind = rng.randrange(3)
+            if kind == 0:
+                own[at] = f"e{rng.randrange(30)}"
+            elif kind == 1:
+                del own[at]
+            else:
+                own.insert(at, f"e{rng.randrange(30)}")
+        return own
+
+    for k in range(150):
+        own = edited(base, rng.choice([0, 1, 2, 3, 4, 5, 6, 7, 9]))
+        rows.append((len(rows), " ".join(own)))
+        if k % 10 == 0:
+            rows += [(len(rows) + j, " ".join(edited(own, j))) for j in range(1, 4)]
+    rows += [(len(rows) + k, " ".join(base[: 60 + k])) for k in range(0, 50, 2)]
+    assert kept(spark, rows) == brute(rows)

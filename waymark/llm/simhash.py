@@ -327,8 +327,8 @@ def word_key(text):
     return F.xxhash64(F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " ")))
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose sets of shingles have a similarity of ``SHARE`` or more. ``texts``: node and text, equal ones as often as they stand there."""
+def _sets(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """node and own, the set of its shingles' hashes, of the ``nodes`` (each once). ``texts``: node and text, equal ones as often as they stand there."""
 
     def mapped(batches):
         for batch in batches:
@@ -337,17 +337,46 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 sets = [np.unique(_hashed(shingles(t, words))).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "own"])
 
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ends = cut_lineage(ends)
-    few = F.broadcast(ends) if ends.count() <= BROADCAST else ends  # so that other texts are not dealt out
+    few = F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes  # so that other texts are not dealt out
     first = Window.partitionBy("node").orderBy("text")
     asked = texts.join(few, "node", "left_semi").withColumn("__at", F.row_number().over(first)).where("__at = 1").select("node", "text")
-    sets = cut_lineage(asked.mapInArrow(mapped, "node long, own array<long>"))
+    return cut_lineage(asked.mapInArrow(mapped, "node long, own array<long>"))
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose sets of shingles have a similarity of ``SHARE`` or more."""
+    sets = _sets(cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), texts, words)
     side = lambda c: sets.select(F.col("node").alias(c), F.col("own").alias(f"{c}s"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("as", "bs")))
     return both.where(F.col("common") * SHARE[1] >= (F.size("as") + F.size("bs") - F.col("common")) * SHARE[0]).select("a", "b")
 
 
+def _by_differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: the pairs around a hub that can be alike although one of them is not like the hub. ``members``: hub, node, and out (true: not like the hub).
+
+    Let x add p shingles to the hub's n and lack r of them: its differences. With the similarity s = k / m (here 4 / 5),
+    x and y are alike only if they share c differences with (k + m) c >= w(x) + w(y) - (m - k) n, where w = k p + m r;
+    and w(x) > (m - k) n is what being unlike the hub means. So y must share differences with x, by more than w(y) / (k + m): if its
+    differences stand in the order of their rarity, one of the first (k + m)(|D| - i) >= w(y) + w(x) - (m - k) n. Those are
+    what few others have, so that the pairs of a group of near copies are not walked to find that they are none.
+    """
+    k, m = SHARE
+    own = sets.select("node", "own")
+    around = members.join(own, "node").join(own.select(F.col("node").alias("hub"), F.col("own").alias("theirs")), "hub")
+    around = around.select("hub", "node", "out", F.size("theirs").alias("n"), F.array_except("own", "theirs").alias("more"), F.array_except("theirs", "own").alias("less"))
+    around = around.withColumn("w", k * F.size("more") + m * F.size("less")).withColumn("all", F.size("more") + F.size("less"))
+    # A shingle is added or lacking, as the hub has it or not: its hash alone tells which.
+    each = cut_lineage(around.select("hub", "node", "out", "n", "w", "all", F.explode(F.concat("more", "less")).alias("d")))
+    rare = each.groupBy("hub", "d").agg(F.count("*").alias("often"), F.bool_or("out").alias("asked")).where("often > 1 AND asked")
+    order = Window.partitionBy("hub", "node").orderBy("often", "d")
+    # Differences that nobody shares come first, and are not dealt out: only their number counts.
+    shared = each.join(rare, ["hub", "d"]).withColumn("i", F.col("all") - F.count("*").over(Window.partitionBy("hub", "node")) + F.row_number().over(order) - 1)
+    theirs = shared.withColumn("slack", (k + m) * (F.col("all") - F.col("i")) - F.col("w")).where("slack > 0").select("hub", "d", F.col("node").alias("y"), "slack")
+    ours = shared.where("out").select("hub", "d", F.col("node").alias("x"), (F.col("w") - (m - k) * F.col("n")).alias("excess"))
+    met = ours.join(theirs, ["hub", "d"]).where("excess <= slack AND x <> y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _fits(n, m):
     """Sets of so many members can reach ``SHARE``."""
     return F.least(n, m) * SHARE[1] >= F.greatest(n, m) * SHARE[0]
@@ -361,7 +390,9 @@ def near_copies(docs: DataFrame, words: int = 5, radius: int = 3, key: str = "do
     1. Candidates are the links of the fingerprints' BK-trees, which hold nearly all pairs from a similarity of 0.95 on, and, since a
        radius that reached down to 0.8 would link strangers, each text with one text of each of its bands of least hashes.
        The exact test keeps what is near; that joins the large groups.
-    2. Bands that still hold several components: every pair of texts of unlike components there is tested too.
+    2. Bands that still hold several components: the others' texts are tested with the hub of the band's largest component, the text
+       of most bands. Those not like it are tested with every text of these bands that shares enough of their differences from
+       the hub (``_by_differences``): no other can be like them.
 
     A pair inside one component needs no test, so a large group of near copies costs its members, not their pairs.
     """
@@ -402,13 +433,23 @@ def near_copies(docs: DataFrame, words: int = 5, radius: int = 3, key: str = "do
     open_ = shared.select("band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     counts = open_.groupBy("band", "root").agg(F.count("*").alias("c"))
     main = counts.groupBy("band").agg(F.max(F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    open_ = cut_lineage(open_.join(main, "band").select("band", "node", "n", "root", F.col("main.root").alias("main")))
-    one = open_.where("root <> main").select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    two = open_.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main")
-    rest = one.join(two, "band").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & _fits(F.col("na"), F.col("nb")))
-    rest = cut_lineage(ordered(rest).join(first, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        roots = components(found.union(_alike(rest, texts, words)))
+    open_ = open_.join(main, "band").select("node", "root", F.col("main.root").alias("main"))
+    near = cut_lineage(open_.groupBy("main", "node").agg(F.first("root").alias("root"), F.count("*").alias("bands")))
+    if not near.isEmpty():
+        hubs = near.where("root = main").groupBy("main").agg(F.max(F.struct("bands", "node")).alias("best")).select("main", F.col("best.node").alias("hub"))
+        near = cut_lineage(near.join(hubs, "main").select("hub", "node", "root", "main"))
+        asked = cut_lineage(ordered(near.where("root <> main").select(F.col("node").alias("a"), F.col("hub").alias("b"))).join(first, ["a", "b"], "left_anti"))
+        found = cut_lineage(found.union(_alike(asked, texts, words)))
+        roots = components(found)
+        now = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        away = near.select("hub", "node").join(now("node"), "node", "left").join(now("hub"), "hub", "left")
+        away = away.select("hub", "node", (F.coalesce("node_root", "node") != F.coalesce("hub_root", "hub")).alias("out")).where("hub <> node")
+        few = away.groupBy("hub").agg(F.bool_or("out").alias("open")).where("open").select("hub")
+        away = cut_lineage(away.join(few, "hub"))
+        sets = _sets(cut_lineage(away.select("node").union(away.select("hub")).distinct()), texts, words)
+        rest = cut_lineage(_by_differences(away, sets).join(first, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            roots = components(found.union(_alike(rest, texts, words)))
     linked = cut_lineage(nodes.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root")))
     best = linked.groupBy("root").agg(F.min(F.struct("id", "node")).alias("best"))
     return linked.join(best, "root").select("node", F.col("best.node").alias("kept"))
