@@ -287,28 +287,43 @@ def near_links(unlike: DataFrame, radius: int) -> DataFrame:
         level += 1
 
 
+#: Edges of a task in a round of stars: a small graph isn't dealt to many tasks over and over.
+EDGES = 200_000
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root: the least node of each component, for the nodes of ``links`` (a, b)."""
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sums = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    before = edges.agg(*sums).first()
     for _ in range(most_rounds):
+        tasks = before[0] // EDGES + 1
         # Large star: every larger neighbour to the least of the neighbourhood.
-        around = both(edges)
+        around = both(edges.coalesce(tasks))
         least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: every smaller neighbour, and the node, to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = cut_lineage(small.distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        edges = cut_lineage(small.distinct().coalesce(tasks))
+        now = edges.agg(*sums).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         before = now
     raise RuntimeError("the components did not settle")
 
 
+def joined_components(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``roots`` (node, root) after more ``links`` (a, b): only their roots are joined anew."""
+    own = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    ends = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    fresh = cut_lineage(components(ends))
+    kept = roots.join(fresh.withColumnsRenamed({"node": "root", "root": "new"}), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    return cut_lineage(kept.union(fresh.join(roots, "node", "left_anti").select("node", "root")))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, fp (signed) and component_id of every row."""
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
@@ -429,7 +444,7 @@ def near_copies(docs: DataFrame, words: int = 5, radius: int = 3, key: str = "do
     first = cut_lineage(ordered(stars.union(same).union(far.select("ha", "hb"))))
     found = cut_lineage(_alike(first, texts, words))
 
-    roots = components(found)
+    roots = cut_lineage(components(found))
     open_ = shared.select("band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     counts = open_.groupBy("band", "root").agg(F.count("*").alias("c"))
     main = counts.groupBy("band").agg(F.max(F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
@@ -439,8 +454,7 @@ def near_copies(docs: DataFrame, words: int = 5, radius: int = 3, key: str = "do
         hubs = near.where("root = main").groupBy("main").agg(F.max(F.struct("bands", "node")).alias("best")).select("main", F.col("best.node").alias("hub"))
         near = cut_lineage(near.join(hubs, "main").select("hub", "node", "root", "main"))
         asked = cut_lineage(ordered(near.where("root <> main").select(F.col("node").alias("a"), F.col("hub").alias("b"))).join(first, ["a", "b"], "left_anti"))
-        found = cut_lineage(found.union(_alike(asked, texts, words)))
-        roots = components(found)
+        roots = joined_components(roots, _alike(asked, texts, words))
         now = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
         away = near.select("hub", "node").join(now("node"), "node", "left").join(now("hub"), "hub", "left")
         away = away.select("hub", "node", (F.coalesce("node_root", "node") != F.coalesce("hub_root", "hub")).alias("out")).where("hub <> node")
@@ -449,7 +463,7 @@ def near_copies(docs: DataFrame, words: int = 5, radius: int = 3, key: str = "do
         sets = _sets(cut_lineage(away.select("node").union(away.select("hub")).distinct()), texts, words)
         rest = cut_lineage(_by_differences(away, sets).join(first, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
-            roots = components(found.union(_alike(rest, texts, words)))
+            roots = joined_components(roots, _alike(rest, texts, words))
     linked = cut_lineage(nodes.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root")))
     best = linked.groupBy("root").agg(F.min(F.struct("id", "node")).alias("best"))
     return linked.join(best, "root").select("node", F.col("best.node").alias("kept"))
