@@ -1,3 +1,4 @@
+import random
 import math
 
 import pytest
@@ -72,8 +73,19 @@ def test_joins_guard_their_keys(spark):
     with pytest.raises(joins.KeyViolation, match="both sides"):
         joins.one_to_one(a, a, ["k"])
     assert joins.star(a, [a.selectExpr("k", "v AS w"), a.selectExpr("k + 1 AS k", "v AS u")], ["k"]).count() == 2
-    with pytest.raises(ValueError, match="targets"):
-        joins.nearest_of_few(a, a.selectExpr("k AS t"), F.lit(1.0), "k", "t", most=1)
+
+
+def test_nearest_on_earth_against_all_pairs(spark):
+    """Clusters, far points, both sides of 180 degrees and the poles."""
+    rng = random.Random(3)
+    at = lambda: (rng.choice([rng.uniform(-180, 180), rng.gauss(10, 0.1), 179.99, -179.99]), rng.choice([rng.uniform(-90, 90), rng.gauss(50, 0.1), 89.9]))
+    points, targets = [(i, *at()) for i in range(150)], [(i, *at()) for i in range(80)]
+    a, b = spark.createDataFrame(points, "k int, x double, y double"), spark.createDataFrame(targets, "t int, tx double, ty double")
+    way = F.round(geo.haversine(F.col("x"), F.col("y"), F.col("tx"), F.col("ty")), 4)
+    want = {r.k: (r.d.d, r.d.t) for r in a.crossJoin(b).groupBy("k").agg(F.min(F.struct(way.alias("d"), "t")).alias("d")).collect()}
+    got = {r.k: (r.distance, r.t) for r in joins.nearest_on_earth(a, b, way, "k", "t", ("x", "y"), ("tx", "ty")).collect()}
+    assert got == want
+    assert joins.nearest_on_earth(a, b.limit(0), way, "k", "t", ("x", "y"), ("tx", "ty")).collect() == []
 
 
 @pytest.mark.parametrize("width", [1, 3, 50])

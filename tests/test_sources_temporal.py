@@ -9,7 +9,13 @@ from waymark.operators import evidence, quality, temporal
 from waymark.sources import readers, sinks
 from waymark.streaming import ingest
 
-PLAN = {"metric": "surface", "unit": "index", "scenario": "sim_a", "baseline_at": "2030-01-01T00:00:00Z", "current_at": "2030-02-01T00:00:00Z", "ingested_at": "2030-02-02T00:00:00Z", "zones": [[20, 25, -12.0]], "source": "simulated_demo"}
+PLAN = {"metric": "surface", "unit": "index", "scenario_id": "demo_a", "baseline_at_utc": "2030-01-01T00:00:00Z", "current_at_utc": "2030-02-01T00:00:00Z", "ingested_at_utc": "2030-02-02T00:00:00Z"}
+PUBLISHED = {
+    "schema_version": "v9", "scenario_id": "demo_a", "simulation_only": True, "operational_use_allowed": False, "metric": {"name": "surface", "unit": "index", "higher_is_better": True},
+    "timestamps": {n: PLAN[n] for n in ("baseline_at_utc", "current_at_utc", "ingested_at_utc")}, "baseline_formula": {"intercept": 50.0, "multiplier": 13, "modulus": 11, "center": 5, "scale": 0.25},
+    "default_delta_pattern": [-2.0, 0.0, 2.0, 3.0], "demonstration_zones": [{"km_inicio_min": 20, "km_inicio_max": 24, "delta": -12.0}, {"km_inicio_min": 40, "km_inicio_max": 40, "delta": 5.0}, {"km_inicio_min": 41, "km_inicio_max": 41, "delta": -10.0}],
+    "uncertainty_half_width": {"baseline": 1.0, "current": 2.5}, "change_thresholds_abs": {"stable_max": 2.0, "minor_max": 5.0, "moderate_max": 10.0}, "provenance": {"fuente": "simulation:test", "quality_flag": "simulated", "notes": "none"},
+}
 
 
 def test_csv_is_typed_and_strict(spark, tmp_path):
@@ -52,16 +58,43 @@ def test_cells_cubes_and_ways(spark, tmp_path):
 
 
 def test_plan_is_checked():
-    good = {k: v for k, v in PLAN.items() if k != "zones"}
-    assert temporal.ChangePlan(**good).thresholds == (2.5, 5.0, 10.0)
-    for bad in ({"current_at": "2029-01-01T00:00:00Z"}, {"baseline_at": "2030-01-01"}, {"thresholds": (5.0, 5.0, 9.0)}, {"source": "observed"}, {"zones": [(0, 5, 1.0), (4, 6, 1.0)]}):
+    assert temporal.ChangePlan(**PLAN).thresholds == (2.0, 5.0, 10.0)
+    zones = lambda *z: {"demonstration_zones": list(z)}
+    for bad in ({"current_at_utc": "2029-01-01T00:00:00Z"}, {"baseline_at_utc": "2030-01-01"}, {"thresholds": (5.0, 5.0, 9.0)}, {"fuente": "observed"}, {"scenario_id": "real"}, zones((0, 5, 1.0), (5, 6, 1.0)), zones((120, 130, 1.0))):
         with pytest.raises(ValueError):
-            temporal.ChangePlan(**good | bad)
+            temporal.ChangePlan(**PLAN | bad)
+
+
+@pytest.mark.parametrize("change", [{"simulation_only": False}, {"operational_use_allowed": None}, {"more": 1}, {"metric": {"nam": "x"}}])
+def test_a_published_plan_must_be_marked_and_known(tmp_path, change):
+    (tmp_path / "plan.json").write_text(json.dumps(PUBLISHED | change))
+    with pytest.raises(readers.SourceError):
+        readers.load_plan(str(tmp_path / "plan.json"))
+
+
+def test_bounds_belong_to_the_lower_class_and_zones_hold_their_ends(spark, tmp_path):
+    (tmp_path / "plan.json").write_text(json.dumps(PUBLISHED))
+    plan = readers.load_plan(str(tmp_path / "plan.json"))
+    keys = spark.range(130).selectExpr("int(id) AS km_inicio", "int(id + 1) AS km_fin")
+    shots = temporal.snapshots(keys, plan)
+    events = temporal.change_events(shots, F.to_timestamp(F.lit(plan.baseline_at_utc)), F.to_timestamp(F.lit(plan.current_at_utc)), plan.thresholds)
+    assert temporal.run_violations(shots, events, plan).isEmpty()
+    got = {r.segment_id[4:7]: (r.delta_abs, r.change_direction, r.change_class) for r in events.collect()}
+    assert got["020"] == got["024"] == (-12.0, "decrease", "major") and got["025"] == (0.0, "stable", "stable")
+    assert got["040"] == (5.0, "increase", "minor") and got["041"] == (-10.0, "decrease", "moderate")
+    assert got["000"] == (-2.0, "stable", "stable") and got["002"] == (2.0, "stable", "stable") and got["003"] == (3.0, "increase", "minor")
+    one = temporal.published_events(events).where("segment_id = 'seg_040_041'").first()
+    assert one.change_event_id == "chg_demo_a_seg_040_041_surface" and one.baseline_snapshot_at_utc == PLAN["baseline_at_utc"]
+    assert (one.baseline_value, one.delta_abs, one.confidence, one.is_simulated, one.fuente, one.source_version) == ("49.500", "5.000", "0.0", "true", "simulation:test", "v9")
+    shown = temporal.published_snapshots(shots).where("segment_id = 'seg_040_041'").orderBy("observed_at_utc").collect()
+    assert [(r.metric_value, r.uncertainty_lower, r.uncertainty_upper) for r in shown] == [("49.500", "48.500", "50.500"), ("54.500", "52.000", "57.000")]
+    broken = temporal.run_violations(shots.limit(259).withColumn("is_simulated", F.lit(None).cast("boolean")), events.withColumn("confidence", F.lit(0.4)), plan)
+    assert {r.rule: r.n for r in broken.collect()} == {"snapshot_count": 1, "snapshot_not_simulated": 259, "event_with_confidence": 130}
 
 
 def test_command_line_writes_and_checks(spark, tmp_path):
     (tmp_path / "k.csv").write_text("km_inicio,km_fin\n" + "".join(f"{i},{i + 1}\n" for i in range(130)))
-    (tmp_path / "plan.json").write_text(json.dumps(PLAN))
+    (tmp_path / "plan.json").write_text(json.dumps(PUBLISHED))
     at = lambda name: str(tmp_path / name)
     words = ["graph", "--source", at("k.csv"), "--output", at("g.csv")]
     assert main([*words, "--check"]) == 1 and main(words) == 0 and main([*words, "--check"]) == 0
@@ -72,9 +105,9 @@ def test_command_line_writes_and_checks(spark, tmp_path):
 
 
 def test_a_zero_base_has_no_percentage_and_taint_spreads(spark):
-    rows = [("a", "m", "s", 1, 0.0, False), ("a", "m", "s", 2, 5.0, True), ("b", "m", "s", 1, 1.0, False)]
-    shots = spark.createDataFrame(rows, "segment_id string, metric_name string, simulation_scenario_id string, t int, metric_value double, is_simulated boolean").withColumn("observed_at_utc", F.timestamp_seconds("t"))
-    got = temporal.change_events(shots, F.timestamp_seconds(F.lit(1)), F.timestamp_seconds(F.lit(2)), (2.5, 5.0, 10.0)).collect()
+    rows = [("a", "m", "s", 1, 0.0, False), ("a", "m", "s", 2, 5.5, True), ("b", "m", "s", 1, 1.0, False)]
+    shots = spark.createDataFrame([(*r, "f", "v") for r in rows], "segment_id string, metric_name string, simulation_scenario_id string, t int, metric_value double, is_simulated boolean, fuente string, source_version string").withColumn("observed_at_utc", F.timestamp_seconds("t"))
+    got = temporal.change_events(shots, F.timestamp_seconds(F.lit(1)), F.timestamp_seconds(F.lit(2)), (2.0, 5.0, 10.0)).collect()
     assert [(r.segment_id, r.delta_pct, r.change_class, r.is_simulated) for r in got] == [("a", None, "moderate", True)]
 
 
@@ -111,7 +144,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_snapshots_stream_once_each(spark, tmp_path):
-    plan = temporal.ChangePlan(**{k: v for k, v in PLAN.items() if k != "zones"})
+    plan = temporal.ChangePlan(**PLAN)
     shots = temporal.snapshots(spark.range(5).selectExpr("int(id) AS km_inicio", "int(id + 1) AS km_fin"), plan)
     shots.union(shots).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(shots.schema).parquet(str(tmp_path / "in"))

@@ -7,8 +7,9 @@ import sys
 
 from pyspark.sql import functions as F
 
-from waymark.operators.graph import linear_neighbours
-from waymark.operators.temporal import change_events, snapshots
+from waymark.operators.graph import linear_neighbours, violations
+from waymark.operators.quality import fail_on
+from waymark.operators.temporal import change_events, published_events, published_snapshots, run_violations, snapshots
 from waymark.schemas import NEIGHBOURS
 from waymark.session import build_session
 from waymark.sources.readers import load_plan, load_segment_keys
@@ -23,20 +24,25 @@ def main(words: list[str] | None = None) -> int:
     for one in (graph, change):
         one.add_argument("--source", required=True)
         one.add_argument("--check", action="store_true")
+        one.add_argument("--segments", type=int, default=130)
     graph.add_argument("--output", required=True)
     change.add_argument("--config", required=True)
     change.add_argument("--snapshots-output", required=True)
     change.add_argument("--events-output", required=True)
     said = parser.parse_args(words)
     spark = build_session()
-    keys = load_segment_keys(spark, said.source)
+    keys = load_segment_keys(spark, said.source, said.segments)
     if said.task == "graph":
-        made = {said.output: render_csv(linear_neighbours(keys), NEIGHBOURS.names, ["km_inicio", "neighbor_km_inicio"])}
+        edges = linear_neighbours(keys)
+        fail_on(violations(edges, "segment_id", "neighbor_segment_id").where("n > 0"), "neighbour graph")
+        made = {said.output: render_csv(edges, NEIGHBOURS.names, ["km_inicio", "neighbor_km_inicio"])}
     else:
-        plan = load_plan(said.config)
+        plan = load_plan(said.config, said.segments)
         shots = snapshots(keys, plan)
-        events = change_events(shots, F.to_timestamp(F.lit(plan.baseline_at)), F.to_timestamp(F.lit(plan.current_at)), plan.thresholds)
-        made = {said.snapshots_output: render_csv(shots, shots.columns, ["km_inicio", "observed_at_utc"]), said.events_output: render_csv(events, events.columns, ["segment_id"])}
+        events = change_events(shots, F.to_timestamp(F.lit(plan.baseline_at_utc)), F.to_timestamp(F.lit(plan.current_at_utc)), plan.thresholds)
+        fail_on(run_violations(shots, events, plan), "change run")
+        shown, told = published_snapshots(shots), published_events(events)
+        made = {said.snapshots_output: render_csv(shown, shown.columns, ["segment_id", "observed_at_utc"]), said.events_output: render_csv(told, told.columns, ["segment_id"])}
     if said.check:
         return int(not all(is_current(text, path) for path, text in made.items()))
     for path, text in made.items():

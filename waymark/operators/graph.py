@@ -9,7 +9,7 @@ from waymark.functions.text import segment_id
 from waymark.session import cut_lineage
 
 
-def linear_neighbours(segments: DataFrame, source: str = "derived") -> DataFrame:
+def linear_neighbours(segments: DataFrame, source: str = "derived:v1_segment_order") -> DataFrame:
     """Both directions between segments that meet: nine columns, an equi join on the shared bound."""
     a = segments.select("km_inicio", "km_fin").distinct()
     b = a.select(F.col("km_inicio").alias("neighbor_km_inicio"), F.col("km_fin").alias("neighbor_km_fin"))
@@ -47,9 +47,9 @@ def reached(edges: DataFrame, start, most_rounds: int = 100_000) -> DataFrame:
         new = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(all_, "node", "left_anti")
         front = cut_lineage(new.withColumn("hops", F.lit(hop)))
         if front.isEmpty():
-            break
+            return all_
         all_ = cut_lineage(all_.union(front))
-    return all_
+    raise RuntimeError("the frontier did not end")
 
 
 def shortest_costs(edges: DataFrame, start, most_rounds: int = 100_000) -> DataFrame:

@@ -78,8 +78,8 @@ def flow_accumulation(directions: DataFrame, most_rounds: int = 10_000) -> DataF
         moved = now.join(further, ["to_row", "to_col"], "left").join(given, ["row", "col"], "left")
         now = cut_lineage(moved.select("row", "col", F.col("__r").alias("to_row"), F.col("__c").alias("to_col"), (F.col("acc") + F.coalesce("__more", F.lit(0))).alias("acc")))
         if now.where("to_row IS NOT NULL").isEmpty():
-            break
-    return now.select("row", "col", "acc")
+            return now.select("row", "col", "acc")
+    raise RuntimeError("the accumulation did not end: the directions have a cycle")
 
 
 def _flooded(group: pd.DataFrame) -> pd.DataFrame:
@@ -121,8 +121,8 @@ def fill_depressions(cells: DataFrame, block: int = 256, most_rounds: int = 10_0
         after = cut_lineage(dealt.groupBy("b").applyInPandas(_flooded, "row int, col int, value double, level double, moved boolean"))
         now = after.drop("moved")
         if after.where("moved").isEmpty():
-            break
-    return now.select("row", "col", F.col("level").alias("value"))
+            return now.select("row", "col", F.col("level").alias("value"))
+    raise RuntimeError("the levels did not settle")
 
 
 def streams(accumulation: DataFrame, directions: DataFrame, least: int) -> DataFrame:
@@ -147,8 +147,8 @@ def stream_lines(links: DataFrame, most_rounds: int = 10_000) -> DataFrame:
         after = cut_lineage(step.select("row", "col", "to_row", "to_col", "head", F.col("u_row").alias("p_row"), F.col("u_col").alias("p_col"), (F.col("seq") + F.col("u_seq")).alias("seq"), moved.alias("moved")))
         now = after.drop("moved")
         if after.where("moved").isEmpty():
-            break
-    return now.select(F.concat_ws("_", "p_row", "p_col").alias("line"), "seq", "row", "col", "to_row", "to_col")
+            return now.select(F.concat_ws("_", "p_row", "p_col").alias("line"), "seq", "row", "col", "to_row", "to_col")
+    raise RuntimeError("the lines did not end")
 
 
 def sampled(points: DataFrame, cells: DataFrame, x: Column, y: Column, x0: float, y0: float, size: float) -> DataFrame:

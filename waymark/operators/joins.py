@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
+from waymark.session import cut_lineage
 
 
 class KeyViolation(ValueError):
@@ -69,13 +70,43 @@ def nearest_within(points: DataFrame, targets: DataFrame, reach: float, distance
     return best.select(point_key, F.col(f"best.{target_key}").alias(target_key), F.col("best.distance").alias("distance"))
 
 
-def nearest_of_few(points: DataFrame, targets: DataFrame, distance: Column, point_key: str, target_key: str, most: int = 100_000) -> DataFrame:
-    """Each point's nearest target at whatever distance, ties to the smaller target. The targets' number is checked before they are broadcast."""
-    if targets.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} targets: use nearest_within with a reach")
-    pairs = points.join(F.broadcast(targets)).withColumn("distance", distance)
-    best = pairs.groupBy(point_key).agg(F.min(F.struct("distance", target_key)).alias("best"))
-    return best.select(point_key, F.col(f"best.{target_key}").alias(target_key), F.col("best.distance").alias("distance"))
+def nearest_on_earth(points: DataFrame, targets: DataFrame, distance: Column, point_key: str, target_key: str, here: tuple[str, str], there: tuple[str, str], most_rounds: int = 40) -> DataFrame:
+    """Each point's nearest target at whatever great-circle distance (metres), ties to the smaller target; any number of either.
+
+    ``here`` and ``there``: longitude and latitude in degrees. Points meet the targets of their own and the eight neighbouring
+    cells in an equi join. A best distance within the reach that these nine cells surely cover is final; the other points go on
+    with cells of twice the size, until the cells are wider than the earth. Cells don't go round at 180 degrees, so points whose
+    cells come near it are final in the last round only.
+    """
+    span = targets.agg(F.count("*").alias("n"), *(f(c).alias(f"{n}{k}") for k, c in enumerate(there) for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    if not span.n:
+        return points.where(F.lit(False)).select(point_key, F.lit(None).cast(targets.schema[target_key].dataType).alias(target_key), F.lit(0.0).alias("distance"))
+    size = max(1e-6, (max(span.hi0 - span.lo0, 1e-6) * max(span.hi1 - span.lo1, 1e-6) / span.n) ** 0.5)
+    open_, done = points, None
+    for _ in range(most_rounds):
+        cell = lambda c: F.floor(F.col(c) / size)
+        around = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        asked = open_.withColumn("__n", F.explode(F.array(*around))).withColumns({"__cx": cell(here[0]) + F.col("__n.i"), "__cy": cell(here[1]) + F.col("__n.j")}).drop("__n")
+        met = asked.join(targets.withColumns({"__cx": cell(there[0]), "__cy": cell(there[1])}), ["__cx", "__cy"]).withColumn("distance", distance)
+        best = met.groupBy(point_key).agg(F.min(F.struct("distance", target_key)).alias("best"))
+        # Beyond the cells a target is a cell's height away in latitude, or a cell's width in longitude: at least the way to that meridian.
+        wide = F.when(F.lit(size) < 90, F.asin(F.cos(F.radians(here[1])) * F.sin(F.radians(F.lit(min(size, 90.0)))))).otherwise(F.radians(F.lit(min(size, 90.0))) * 0)
+        reach = F.lit(geo.EARTH_M) * F.least(F.radians(F.lit(size)), wide)
+        tried = cut_lineage(open_.join(best, point_key, "left").withColumn("__final", F.lit(size > 720) | F.coalesce((F.col("best.distance") < reach - 0.001) & (F.abs(here[0]) + 2 * size < 180), F.lit(False))))
+        found = tried.where("__final AND best IS NOT NULL").select(point_key, F.col(f"best.{target_key}").alias(target_key), F.col("best.distance").alias("distance"))
+        done = found if done is None else done.union(found)
+        open_ = tried.where("NOT __final").drop("best", "__final")
+        if size > 720 or open_.isEmpty():
+            return done
+        size *= 2
+    raise RuntimeError("the cells did not grow wide enough")
+
+
+def nearest_edge(points: DataFrame, edges: DataFrame, reach: float, point_key: str, edge_key: str) -> DataFrame:
+    """Each point (px, py) with its nearest edge (ax, ay, bx, by) within ``reach``, the first of equally near ones, and its distance; null where none is: ``too_far`` says so."""
+    near = within_of_lines(points, edges, reach, point_key, edge_key)
+    best = near.groupBy(point_key).agg(F.min(F.struct("distance", edge_key)).alias("b"))
+    return points.select(point_key).join(best, point_key, "left").select(point_key, F.col(f"b.{edge_key}").alias(edge_key), F.col("b.distance").alias("distance"), F.col("b").isNull().alias("too_far"))
 
 
 def within_of_lines(points: DataFrame, edges: DataFrame, reach: float, point_key: str, line_key: str) -> DataFrame:
@@ -91,9 +122,9 @@ def within_of_lines(points: DataFrame, edges: DataFrame, reach: float, point_key
     return near.groupBy(point_key, line_key).agg(F.min("distance").alias("distance"))
 
 
-def lines_within(left: DataFrame, right: DataFrame, reach: float, left_key: str, right_key: str) -> DataFrame:
-    """Pairs of lines whose edges (ax, ay, bx, by) come within ``reach``: the buffered intersects join."""
-    cell = lambda c: F.floor(c / reach)
+def lines_within(left: DataFrame, right: DataFrame, reach: float, left_key: str, right_key: str, size: float | None = None) -> DataFrame:
+    """Pairs of lines whose edges (ax, ay, bx, by) come within ``reach``: the buffered intersects join. ``size``: of the cells that edges meet in, ``reach`` unless given."""
+    cell = lambda c: F.floor(c / (size or reach))
     spread = lambda lo, hi, by: F.explode(F.sequence(cell(F.least(lo, hi) - by), cell(F.greatest(lo, hi) + by)))
     deal = lambda e, by: e.withColumn("__cx", spread(F.col("ax"), F.col("bx"), by)).withColumn("__cy", spread(F.col("ay"), F.col("by"), by))
     ours = deal(left, reach).select(left_key, "__cx", "__cy", F.struct("ax", "ay", "bx", "by").alias("__a"))

@@ -64,9 +64,9 @@ def slope_summary(samples: DataFrame, segment: str, at: str, value: str, least_s
     return ends.join(steep, segment, "left").select(segment, "first", "last", net.alias("net"), F.when(F.col("way") > 0, 100 * net / F.col("way")).alias("net_pct"), "mean_abs_pct", "max_abs_pct", "n")
 
 
-def broken_order(anchors: DataFrame, x: str, y: str) -> DataFrame:
-    """Anchors that do not rise in both x and y above the one before them. (Anchors are few: one window.)"""
-    w = Window.orderBy(x)
+def broken_order(anchors: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """Anchors that do not rise in both x and y above the one before them, in each group of ``by``; without groups, for a line's few anchors."""
+    w = Window.partitionBy(*(by or [])).orderBy(x)
     steps = anchors.withColumns({"__dx": F.col(x) - F.lag(x).over(w), "__dy": F.col(y) - F.lag(y).over(w)})
     return steps.where("__dx <= 0 OR __dy <= 0").drop("__dx", "__dy")
 

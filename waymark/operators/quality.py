@@ -30,6 +30,11 @@ def summary(frame: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return counts.select(F.inline(F.array(*(F.struct(F.lit(name).alias("rule"), F.col(f"r{k}").alias("n")) for k, name in enumerate(rules)))))
 
 
+def row_count(frame: DataFrame, wanted: int, rule: str = "row_count") -> DataFrame:
+    """rule and n: by how many rows the table misses the wanted number."""
+    return frame.agg(F.lit(rule).alias("rule"), F.abs(F.count("*") - wanted).alias("n"))
+
+
 def finite(column: str) -> Column:
     c = F.col(column)
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
@@ -68,7 +73,9 @@ def fail_on(violations: DataFrame, name: str, shown: int = 5) -> None:
         raise GateFailure(f"{name}: {[r.asDict() for r in rows]}")
 
 
-def fingerprint(frame: DataFrame, keys: list[str]) -> str:
-    """SHA-256 over the rows' digests in key order; a few hundred rows at most."""
+def fingerprint(frame: DataFrame, keys: list[str], most: int = 100_000) -> str:
+    """SHA-256 over the rows' digests in key order, for published products. Refuses more than ``most`` rows."""
+    if frame.limit(most + 1).count() > most:
+        raise GateFailure(f"more than {most} rows")
     rows = frame.select(*keys, F.sha2(F.to_json(F.struct(*frame.columns)), 256).alias("__h")).orderBy(*keys)
     return rows.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(*keys, "__h"))), lambda r: r["__h"])), 256)).first()[0]

@@ -13,7 +13,8 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+#: Rows of a bucket; buckets at most.
+BUCKET, BUCKETS = 250_000, 512
 #: Values that one exact percentile aggregate may hold.
 HELD = 4_000_000
 
@@ -32,12 +33,30 @@ def _bucket(value: Column, bounds: list[float]) -> Column:
     return F.when(value.isNull(), F.lit(-1)).otherwise(half(0, len(bounds)))
 
 
-def with_global_rank(frame: DataFrame, value: str, out: str, descending: bool = True, peers: str | None = None, rows: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+def _bounds(frame: DataFrame, value: Column, buckets: int | None) -> list[float]:
+    """Sketched bounds of as many buckets as the table's rows ask for."""
+    buckets = buckets or min(BUCKETS, frame.count() // BUCKET + 1)
+    if buckets == 1:
+        return []
+    return sorted(set(frame.agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 10_000)).first()[0] or []))
+
+
+def with_rank_within(frame: DataFrame, by: list[str], value: str, out: str, buckets: int | None = None) -> DataFrame:
+    """``out``: min rank of ``value`` in each group of ``by`` (1 = highest; nulls last), where a group may be as large as the table."""
+    bounds = _bounds(frame, F.col(value).cast("double"), buckets)
+    dealt = frame.withColumn("__bucket", _bucket(F.col(value).cast("double"), bounds))
+    ahead = Window.partitionBy(*by).orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy(*by, "__bucket").count().withColumn("__before", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
+    inside = F.rank().over(Window.partitionBy(*by, "__bucket").orderBy(F.desc_nulls_last(value)))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "__bucket")]
+    met = dealt.withColumn(out, inside).alias("a").join(before.alias("b"), same)
+    return met.select(*(F.col(f"a.{c}") for c in frame.columns), (F.col(f"a.{out}") + F.col("b.__before")).cast("int").alias(out))
+
+
+def with_global_rank(frame: DataFrame, value: str, out: str, descending: bool = True, peers: str | None = None, rows: str | None = None, buckets: int | None = None) -> DataFrame:
     """``out``: min rank of ``value`` (1 = best; null values come last). ``peers``, ``rows``: also the number of equal values, and of all values."""
     column = F.col(value).cast("double")
-    probabilities = [k / buckets for k in range(1, buckets)]
-    found = frame.agg(F.percentile_approx(column, probabilities, 10_000)).first()[0] or []
-    bounds = sorted(set(found))
+    bounds = _bounds(frame, column, buckets)
     dealt = frame.withColumn("__bucket", _bucket(column, bounds))
     counts = {r[0]: r[1] for r in dealt.groupBy("__bucket").count().collect()}
     keys = sorted(counts, key=lambda k: (k < 0, -k if descending else k))

@@ -75,3 +75,10 @@ def top_capture(frame: DataFrame, score: str, flag: str, tops: list[int]) -> Dat
     ranked = with_global_rank(frame, score, "__rank")
     sums = ranked.agg(F.avg(flag).alias("base_rate"), *(F.avg(F.when(F.col("__rank") <= n, F.col(flag))).alias(f"t{n}") for n in tops))
     return sums.select(F.inline(F.array(*(F.struct(F.lit(n).alias("top"), F.col(f"t{n}").alias("capture"), F.col("base_rate")) for n in tops))))
+
+
+def class_capture(frame: DataFrame, by: str, flag: str) -> DataFrame:
+    """Share of flagged rows in each class, beside the base rate over all rows, in one pass over the table."""
+    sums = frame.groupBy(by).agg(F.sum(flag).alias("hits"), F.count(flag).alias("n"))
+    whole = sums.agg((F.sum("hits") / F.sum("n")).alias("base_rate"))
+    return sums.join(F.broadcast(whole)).select(by, (F.col("hits") / F.col("n")).alias("capture"), "base_rate")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +37,10 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp())
     return frame.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder of this name in the folder that all executors share."""
+    context = spark.sparkContext
+    cut_lineage(spark.range(1))  # sets the folder where it is unset, and refuses a cluster without one
+    return f"{context._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from dataclasses import fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,8 +77,17 @@ def select_ways(ways: DataFrame, tag: str, pattern: str, box: tuple[float, float
     return ways.where(F.col(tag).rlike(pattern) & inside & (F.size("points") >= 2))
 
 
-def load_plan(path: str) -> ChangePlan:
-    """A change plan from a JSON (or, with PyYAML, YAML) file; unknown names fail."""
+#: Where the settings of a published change run stand, and the plan's names for them.
+_SETTINGS = {
+    "metric": {"name": "metric", "unit": "unit", "higher_is_better": None},
+    "timestamps": {n: n for n in ("baseline_at_utc", "current_at_utc", "ingested_at_utc")},
+    "baseline_formula": {n: n for n in ("intercept", "multiplier", "modulus", "center", "scale")},
+    "provenance": {n: n for n in ("fuente", "quality_flag", "notes")},
+}
+
+
+def load_plan(path: str, segments: int = 130) -> ChangePlan:
+    """The change plan of a published JSON (or, with PyYAML, YAML) file. A run not marked as simulation only fails, and so do unknown names."""
     with open(path, encoding="utf-8") as file:
         if path.endswith((".yml", ".yaml")):
             import yaml
@@ -87,10 +95,26 @@ def load_plan(path: str) -> ChangePlan:
             said = yaml.safe_load(file)
         else:
             said = json.load(file)
-    if unknown := set(said) - {f.name for f in fields(ChangePlan)}:
-        raise SourceError(f"unknown settings: {sorted(unknown)}")
-    said |= {k: [tuple(z) for z in said[k]] for k in ("zones",) if k in said} | {k: tuple(said[k]) for k in ("half_widths", "thresholds") if k in said}
-    return ChangePlan(**said)
+    if said.pop("simulation_only", None) is not True or said.pop("operational_use_allowed", None) is not False:
+        raise SourceError("the run must say simulation_only = true and operational_use_allowed = false")
+    made = {n: said.pop(n) for n in ("scenario_id", "schema_version", "default_delta_pattern") if n in said}
+    try:
+        for part, names in _SETTINGS.items():
+            own = said.pop(part, {})
+            made |= {names[n]: v for n, v in own.items() if names[n]}
+        if "demonstration_zones" in said:
+            made["demonstration_zones"] = [(int(z["km_inicio_min"]), int(z["km_inicio_max"]), float(z["delta"])) for z in said.pop("demonstration_zones")]
+        if "uncertainty_half_width" in said:
+            made["uncertainty"] = tuple(float(said["uncertainty_half_width"][n]) for n in ("baseline", "current"))
+            said.pop("uncertainty_half_width")
+        if "change_thresholds_abs" in said:
+            made["thresholds"] = tuple(float(said["change_thresholds_abs"][n]) for n in ("stable_max", "minor_max", "moderate_max"))
+            said.pop("change_thresholds_abs")
+    except KeyError as name:
+        raise SourceError(f"unknown or missing setting: {name}") from None
+    if said:
+        raise SourceError(f"unknown settings: {sorted(said)}")
+    return ChangePlan(**made, segments=segments)
 
 
 def grid_index(value: Column, origin: float, step: float) -> Column:

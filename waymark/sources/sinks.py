@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_csv(frame: DataFrame, path: str, keys: list[str]) -> None:
-    """One ordered part with a header. For published products of bounded size; leave larger ones in parts."""
-    frame.coalesce(1).sortWithinPartitions(*keys).write.mode("overwrite").csv(path, header=True, emptyValue="")
+def write_csv(frame: DataFrame, path: str, keys: list[str], parts: int = 1) -> None:
+    """Ordered parts with a header each, in order one after the other."""
+    frame.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.mode("overwrite").csv(path, header=True, emptyValue="")
 
 
 def write_sorted(frame: DataFrame, path: str, keys: list[str], partitions: int) -> None:
@@ -65,9 +65,11 @@ def features(vertices: DataFrame, line: str = "line", seq: str = "seq", properti
     return lines.select(line, F.to_json(whole).alias("feature"))
 
 
-def feature_collection(lines: DataFrame, line: str = "line") -> str:
-    """The features as one collection, in order; for published products of bounded size."""
-    rows = lines.orderBy(line).collect()
+def feature_collection(lines: DataFrame, line: str = "line", most: int = 100_000) -> str:
+    """The features as one collection, in order. Refuses more than ``most``."""
+    rows = lines.orderBy(line).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} features: write them in parts")
     return '{"type":"FeatureCollection","features":[' + ",".join(r.feature for r in rows) + "]}\n"
 
 
