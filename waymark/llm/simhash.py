@@ -320,7 +320,7 @@ def joined_components(roots: DataFrame, links: DataFrame) -> DataFrame:
     own = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
     ends = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     fresh = cut_lineage(components(ends))
-    kept = roots.join(fresh.withColumnsRenamed({"node": "root", "root": "new"}), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    kept = roots.join(fresh.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
     return cut_lineage(kept.union(fresh.join(roots, "node", "left_anti").select("node", "root")))
 
 
