@@ -21,9 +21,6 @@ HELD = 4_000_000
 
 def _bucket(value: Column, bounds: list[float]) -> Column:
     """Number of bounds below the value, by halving (nulls go first)."""
-    if not bounds:
-        return F.lit(0)
-
     def half(a: int, b: int) -> Column:
         if a == b:
             return F.lit(a)
