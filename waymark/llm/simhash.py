@@ -372,7 +372,8 @@ def _by_differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     Let x add p shingles to the hub's n and lack r of them: its differences. With the similarity s = k / m (here 4 / 5),
     x and y are alike only if they share c differences with (k + m) c >= w(x) + w(y) - (m - k) n, where w = k p + m r;
     and w(x) > (m - k) n is what being unlike the hub means. So y must share differences with x, by more than w(y) / (k + m): if its
-    differences stand in the order of their rarity, one of the first (k + m)(|D| - i) >= w(y) + w(x) - (m - k) n. Those are
+    differences stand in the order of their rarity, one of the first (k + m)(|D| - i) >= w(y) + w(x) - (m - k) n. The same holds for
+    x and its own places, since both see their first shared difference with all others behind it. Those are
     what few others have, so that the pairs of a group of near copies are not walked to find that they are none.
     """
     k, m = SHARE
@@ -386,9 +387,10 @@ def _by_differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     order = Window.partitionBy("hub", "node").orderBy("often", "d")
     # Differences that nobody shares come first, and are not dealt out: only their number counts.
     shared = each.join(rare, ["hub", "d"]).withColumn("i", F.col("all") - F.count("*").over(Window.partitionBy("hub", "node")) + F.row_number().over(order) - 1)
-    theirs = shared.withColumn("slack", (k + m) * (F.col("all") - F.col("i")) - F.col("w")).where("slack > 0").select("hub", "d", F.col("node").alias("y"), "slack")
-    ours = shared.where("out").select("hub", "d", F.col("node").alias("x"), (F.col("w") - (m - k) * F.col("n")).alias("excess"))
-    met = ours.join(theirs, ["hub", "d"]).where("excess <= slack AND x <> y")
+    shared = shared.withColumn("slack", (k + m) * (F.col("all") - F.col("i")) - F.col("w")).withColumn("excess", F.col("w") - (m - k) * F.col("n"))
+    theirs = shared.where("slack > 0").select("hub", "d", F.col("node").alias("y"), "slack", F.col("excess").alias("need"))
+    ours = shared.where("out").select("hub", "d", F.col("node").alias("x"), "excess", F.col("slack").alias("own"))
+    met = ours.join(theirs, ["hub", "d"]).where("excess <= slack AND need <= own AND x <> y")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -448,10 +450,11 @@ def near_copies(docs: DataFrame, words: int = 5, radius: int = 3, key: str = "do
     open_ = shared.select("band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     counts = open_.groupBy("band", "root").agg(F.count("*").alias("c"))
     main = counts.groupBy("band").agg(F.max(F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    open_ = open_.join(main, "band").select("node", "root", F.col("main.root").alias("main"))
-    near = cut_lineage(open_.groupBy("main", "node").agg(F.first("root").alias("root"), F.count("*").alias("bands")))
+    open_ = open_.join(main, "band").select("node", "root", "main.c", F.col("main.root").alias("main"))
+    # How many of the main component a text meets in its bands: most for the text in the middle, that the others were made from.
+    near = cut_lineage(open_.groupBy("main", "node").agg(F.first("root").alias("root"), F.sum("c").alias("met")))
     if not near.isEmpty():
-        hubs = near.where("root = main").groupBy("main").agg(F.max(F.struct("bands", "node")).alias("best")).select("main", F.col("best.node").alias("hub"))
+        hubs = near.where("root = main").groupBy("main").agg(F.max(F.struct("met", "node")).alias("best")).select("main", F.col("best.node").alias("hub"))
         near = cut_lineage(near.join(hubs, "main").select("hub", "node", "root", "main"))
         asked = cut_lineage(ordered(near.where("root <> main").select(F.col("node").alias("a"), F.col("hub").alias("b"))).join(first, ["a", "b"], "left_anti"))
         roots = joined_components(roots, _alike(asked, texts, words))
