@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+from waymark.llm.byte_bpe import decoded, encoded, read_ranks
 from waymark.llm.common import table
 from waymark.llm.exact_topk import exact_top_k
 from waymark.llm.line_dedup import drop_frequent_lines
@@ -101,6 +102,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    found = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    text_of_ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return decoded(found, ranks).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text_of_ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_prefix_forest": op2_prefix_forest,
@@ -112,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
