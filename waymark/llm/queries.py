@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from waymark.llm.byte_bpe import decoded, encoded, read_ranks
 from waymark.llm.common import table
 from waymark.llm.exact_topk import exact_top_k
+from waymark.llm.filter_audit import audit_documents
 from waymark.llm.line_dedup import drop_frequent_lines
+from waymark.llm.merkle import tamper_test
 from waymark.llm.packing import pack_documents
 from waymark.llm.piece_sampling import sample_pieces
 from waymark.llm.prefix_forest import nearest
@@ -102,6 +104,60 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tamper_test(table(spark, sf_dir, "documents"))
+
+
+def _tree_sql(name: str, levels: int = 12) -> str:
+    """Common tables over {name}0 (grp, pos, digest, width): the nodes of each level, and {name}s of left and right siblings by level and node."""
+    same = "a.grp IS NOT DISTINCT FROM b.grp"
+    parts = [
+        f"{name}{k} AS (SELECT grp, pos // 8 AS pos, (width + 7) // 8 AS width, CASE WHEN width = 1 THEN min(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest FROM {name}{k - 1} GROUP BY grp, pos // 8, width)"
+        for k in range(1, levels + 1)
+    ]
+    near = " UNION ALL ".join(
+        f"SELECT {k} AS level, a.grp, a.pos, a.width > 1 AS joins, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r"
+        f" FROM {name}{k} a JOIN {name}{k} b ON {same} AND a.pos // 8 = b.pos // 8 GROUP BY a.grp, a.pos, a.width"
+        for k in range(levels)
+    )
+    return ",\n".join([*parts, f"{name}s AS ({near})"])
+
+
+def _climb_sql(name: str, start: str, levels: int = 12) -> str:
+    """Common tables {name}p{k} over {start}, which has grp, pos, proof and again: each level's siblings added to both."""
+    parts, last = [], start
+    for k in range(levels):
+        parts.append(
+            f"{name}p{k} AS (SELECT x.* REPLACE (x.proof || s.l || s.r AS proof, CASE WHEN s.joins THEN sha256(s.l || x.again || s.r) ELSE x.again END AS again, x.pos // 8 AS pos)"
+            f" FROM {last} x JOIN {name}s s ON s.level = {k} AND s.grp IS NOT DISTINCT FROM x.grp AND s.pos = x.pos)"
+        )
+        last = f"{name}p{k}"
+    return ",\n".join(parts)
+
+
+_FIELDS = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in ("doc_id", "source", "lang", "n_chars"))
+_TEXT = "CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || {} END"
+OP11_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, lang, sha256({_FIELDS} || {_TEXT.format("text")}) AS leaf,
+         sha256({_FIELDS} || {_TEXT.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS changed,
+         xor(4294967295, list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT),
+             lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, i: xor(v >> 1, 3988292384 * (v & 1))))) AS crc FROM documents),
+leaves AS (
+  SELECT doc_id, lang AS grp, leaf, CASE WHEN crc % 3 = 0 THEN changed ELSE leaf END AS again, '' AS proof,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS width FROM docs),
+g0 AS (SELECT grp, pos, leaf AS digest, width FROM leaves),
+{_tree_sql("g")},
+{_climb_sql("g", "leaves")},
+subs AS (SELECT grp AS lang, digest AS subroot, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS pos, count(*) OVER () AS width FROM g12),
+t0 AS (SELECT 0 AS grp, pos, subroot AS digest, width FROM subs),
+{_tree_sql("t")},
+climbed AS (SELECT x.doc_id, x.leaf, x.proof, x.again, s.subroot, 0 AS grp, s.pos FROM gp11 x JOIN subs s ON x.grp IS NOT DISTINCT FROM s.lang),
+{_climb_sql("t", "climbed")}
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, again AS folded_root, again = digest AS verified FROM tp11 CROSS JOIN (SELECT digest FROM t12)
+"""
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     found = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
@@ -109,6 +165,40 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded(found, ranks).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text_of_ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS txt,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+told AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         MAP {'A': len(words) < 50, 'B': 100 * len(list_distinct(words)) < 65 * len(words),
+              'C': 100 * (length(txt) - length(regexp_replace(txt, '[A-Z]', '', 'g'))) > 5 * length(txt),
+              'D': regexp_matches(txt, '[#$%&*|]'), 'E': coalesce(docs.doc_id > min(docs.doc_id) OVER (PARTITION BY txt), false)} AS f
+  FROM docs LEFT JOIN told ON docs.doc_id = told.doc_id),
+masks AS (SELECT part, good, toxic, f, count(*) AS n FROM failing GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest([1, 2, 3, 4, 5])::INTEGER AS step FROM orders),
+seen AS (
+  SELECT part, filter_order, step, filter_order[step] AS x, n, good, toxic, f[filter_order[step]] AS fails,
+         len(list_filter(string_split(left(filter_order, step - 1), ''), lambda y: y <> '' AND f[y])) AS before,
+         len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda y: f[y])) AS failed FROM masks, steps),
+counted AS (
+  SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (WHERE before = 0 AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE before = 0 AND fails), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE before > 0 AND fails), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE fails AND failed = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n * good) FILTER (WHERE before = 0 AND fails), 0)::BIGINT AS good_lost, coalesce(sum(n * toxic) FILTER (WHERE before = 0 AND fails), 0)::BIGINT AS toxic_lost
+  FROM seen GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM counted
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_prefix_forest": op2_prefix_forest,
@@ -120,9 +210,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op3_exact_topk": OP3_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
