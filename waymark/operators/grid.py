@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.geo import close_to
 from waymark.operators.joins import bilinear
+from waymark.operators.quantiles import summarised
 from waymark.session import cut_lineage
 
 #: Codes of the eight directions, clockwise from north, with their steps in rows and columns.
@@ -172,7 +173,8 @@ def reprojected(target: DataFrame, source: DataFrame, back, origin: tuple[float,
 def zonal(pairs: DataFrame, zone: str, value: str) -> DataFrame:
     """n, least, mean, most, range and exact 90th percentile of each zone's cells that have a value."""
     v = F.col(value)
-    return pairs.groupBy(zone).agg(F.count(v).alias("n"), F.min(v).alias("least"), F.avg(v).alias("mean"), F.max(v).alias("most"), (F.max(v) - F.min(v)).alias("relief"), F.percentile(v, 0.9).alias("p90"))
+    plain = [F.count(v).alias("n"), F.min(v).alias("least"), F.avg(v).alias("mean"), F.max(v).alias("most"), (F.max(v) - F.min(v)).alias("relief")]
+    return summarised(pairs, [zone], plain, [(v, {"p90": 0.9})])
 
 
 def complete(cells: DataFrame) -> DataFrame:

@@ -8,15 +8,13 @@ its own. Only the bounds and one count a bucket are ever gathered.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators.quantiles import HELD, grouped_quantiles
+
 #: Rows of a bucket; buckets at most.
 BUCKET, BUCKETS = 250_000, 512
-#: Values that one exact percentile aggregate may hold.
-HELD = 4_000_000
 
 
 def _bucket(value: Column, bounds: list[float]) -> Column:
@@ -72,46 +70,7 @@ def with_global_rank(frame: DataFrame, value: str, out: str, descending: bool =
 
 
 def exact_quantiles(frame: DataFrame, wanted: dict[str, list[float]], held: int = HELD) -> dict[str, list[float | None]]:
-    """Linear-interpolated quantiles of columns, nulls left out.
-
-    One aggregate where the table fits it. Beyond ``held`` values each wanted order
-    statistic is bracketed with the sketch, again and again over the rows inside
-    the bracket, until the bracket fits; the result is as exact.
-    """
-    if max(frame.agg(*(F.count(c).alias(c) for c in wanted)).first()) <= held:
-        row = frame.agg(*(F.percentile(F.col(c).cast("double"), ps).alias(c) for c, ps in wanted.items())).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(ps) for c, ps in wanted.items()}
-    return {c: [_one_quantile(frame.select(F.col(c).cast("double").alias("v")).where("v IS NOT NULL"), p, held) for p in ps] for c, ps in wanted.items()}
-
-
-def _one_quantile(values: DataFrame, p: float, held: int) -> float | None:
-    n = values.count()
-    if not n:
-        return None
-    at = p * (n - 1)
-    low, share = int(at), at - int(at)
-    a = _order_statistic(values, low, n, held)
-    return a if not share else a + (_order_statistic(values, low + 1, n, held) - a) * share
-
-
-def _order_statistic(values: DataFrame, k: int, n: int, held: int) -> float:
-    below, inside, m = 0, values, n
-    while m > held:
-        p = (k - below) / m
-        low, high = inside.agg(F.percentile_approx("v", [max(0.0, p - 1e-3), min(1.0, p + 1e-3)], 10_000)).first()[0]
-        left, equal, right = inside.agg(F.count_if(F.col("v") < low), F.count_if((F.col("v") >= low) & (F.col("v") <= high)), F.count_if(F.col("v") > high)).first()
-        if k - below < left:
-            inside, m = inside.where(F.col("v") < low), left
-        elif k - below >= left + equal:
-            inside, below, m = inside.where(F.col("v") > high), below + left + equal, right
-        elif low == high or equal == m:
-            counts = inside.where(F.col("v").between(low, high)).groupBy("v").count().orderBy("v")
-            sums = counts.limit(held).collect()  # few unlike values: a bracket that no longer shrinks is made of ties
-            ends, total = [], below + left
-            for r in sums:
-                total += r["count"]
-                ends.append(total)
-            return sums[bisect_left(ends, k + 1)]["v"]
-        else:
-            inside, below, m = inside.where(F.col("v").between(low, high)), below + left, equal
-    return inside.agg(F.percentile("v", (k - below) / max(1, m - 1))).first()[0]
+    """Linear-interpolated quantiles of whole columns, nulls left out; see ``quantiles`` for how their buffers stay bounded."""
+    named = {c: {f"q{i}_{k}": p for k, p in enumerate(ps)} for i, (c, ps) in enumerate(wanted.items())}
+    row = grouped_quantiles(frame, [], [(F.col(c), own) for c, own in named.items()], held).first()
+    return {c: [row[n] if row else None for n in own] for c, own in named.items()}

@@ -2,42 +2,43 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.operators.quantiles import summarised
 from waymark.operators.ranking import with_global_rank
 
 
 def level_summary(frame: DataFrame, by: str, value: str) -> DataFrame:
     """n, mean, median, least and most of ``value`` for each level, the null level too."""
     v = F.col(value)
-    return frame.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.min(v).alias("least"), F.max(v).alias("most"))
+    plain = [F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most")]
+    return summarised(frame, [by], plain, [(v, {"median": 0.5})]).select(by, "n", "mean", "median", "least", "most")
 
 
 def cohort_contrast(frame: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """For each (flag, value): n, mean and median with and without the flag, and the difference of the means."""
-    parts = []
-    for flag, value in pairs:
+    """For each (flag, value): n, mean and median with and without the flag, and the difference of the means; one pass for all."""
+    plain, wanted, rows = [], [], []
+    for i, (flag, value) in enumerate(pairs):
         on, off = (F.when(F.col(flag) == k, F.col(value)) for k in (1, 0))
-        parts.append(
-            frame.agg(
-                F.lit(value).alias("dimension"), F.count(on).alias("n_with"), F.count(off).alias("n_without"), F.avg(on).alias("mean_with"), F.avg(off).alias("mean_without"),
-                F.median(on).alias("median_with"), F.median(off).alias("median_without"), (F.avg(on) - F.avg(off)).alias("difference"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+        plain += [F.count(on).alias(f"n1_{i}"), F.count(off).alias(f"n0_{i}"), F.avg(on).alias(f"m1_{i}"), F.avg(off).alias(f"m0_{i}")]
+        wanted += [(on, {f"q1_{i}": 0.5}), (off, {f"q0_{i}": 0.5})]
+        told = {"n_with": "n1", "n_without": "n0", "mean_with": "m1", "mean_without": "m0", "median_with": "q1", "median_without": "q0"}
+        difference = (F.col(f"m1_{i}") - F.col(f"m0_{i}")).alias("difference")
+        rows.append(F.struct(F.lit(value).alias("dimension"), *(F.col(f"{c}_{i}").alias(name) for name, c in told.items()), difference))
+    return summarised(frame, [], plain, wanted).select(F.inline(F.array(*rows)))
 
 
 def describe_exact(frame: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, sample deviation, least, quartiles and most of each column."""
-    parts = []
-    for c in columns:
+    """count, mean, sample deviation, least, quartiles and most of each column; one pass for all columns, and one for the quartiles."""
+    plain, wanted, rows = [], [], []
+    for i, c in enumerate(columns):
         v = F.col(c).cast("double")
-        row = frame.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("least"), F.percentile(v, [0.25, 0.5, 0.75]).alias("q"), F.max(v).alias("most"))
-        parts.append(row.select(F.lit(c).alias("feature"), "n", "mean", "std", "least", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "most"))
-    return reduce(DataFrame.unionByName, parts)
+        told = {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "least": F.min(v), "most": F.max(v)}
+        plain += [x.alias(f"{name}_{i}") for name, x in told.items()]
+        wanted.append((v, {f"q25_{i}": 0.25, f"q50_{i}": 0.5, f"q75_{i}": 0.75}))
+        rows.append(F.struct(F.lit(c).alias("feature"), *(F.col(f"{name}_{i}").alias(name) for name in ("n", "mean", "std", "least", "q25", "q50", "q75", "most"))))
+    return summarised(frame, [], plain, wanted).select(F.inline(F.array(*rows)))
 
 
 def error_metrics(frame: DataFrame, model: str, truth: str) -> DataFrame:

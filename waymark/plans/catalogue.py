@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo, text
 from waymark.operators import evidence, graph, grid, index, joins, linear, quality, stats, temporal
+from waymark.operators.quantiles import summarised
 from waymark.operators.ranking import with_global_rank
 from waymark.session import cut_lineage
 
@@ -344,7 +345,8 @@ def fraction_over_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT l_returnflag, round(avg(sqrt(l_quantity * l_quantity + l_tax * l_tax)), 6) AS mean, round(quantile_cont(sqrt(l_quantity * l_quantity + l_tax * l_tax), 0.95), 6) AS p95 FROM lineitem GROUP BY 1")
 def vector_magnitude_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = temporal.magnitude(F.col("l_quantity"), F.col("l_tax"))
-    return _table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(_r(F.avg(size)).alias("mean"), _r(F.percentile(size, 0.95)).alias("p95"))
+    found = summarised(_table(spark, sf_dir, "lineitem"), ["l_returnflag"], [F.avg(size).alias("mean")], [(size, {"p95": 0.95})])
+    return _rounded(found, "mean", "p95")
 
 
 @_query("""WITH s AS (SELECT c_custkey AS e, k AS scenario, round(c_acctbal * (1 + k * 0.1) + c_custkey * (k % 3), 4) AS score FROM customer, (SELECT range AS k FROM range(9))),
