@@ -204,18 +204,26 @@ def first_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- intervals and evidence ---------------------------------------------------------------------------------------
 
-#: Made-up hazards with touching, nested, one-kilometre and outlying spans, and one unknown level.
-HAZARDS = [(0, 10, "flood", "hidrologico", "summer", "medio"), (10, 12, "snow", "climatico", "winter", "alto"), (11, 12, "rockfall", "topografico", "all", "alto_medio"), (12, 40, "wind", "climatico", "all", "medio"), (30, 35, "flood", "hidrologico", "summer", "alto"), (34, 60, "landslide", "geologico", "summer", "alto_medio"), (59, 60, "animals", "fauna", "all", "none"), (70, 95, "altitude", "altitudinal", "all", "alto"), (90, 140, "traffic", "operacional", "all", "medio"), (128, 135, "snow", "climatico", "winter", "alto")]
-_HAZARDS_SQL = "h(km_inicio, km_fin, peligro, categoria, estacionalidad, nivel) AS (VALUES " + ", ".join(map(str, HAZARDS)) + ")"
-_SEGMENTS_SQL = "s AS (SELECT range::INT AS km_inicio, (range + 1)::INT AS km_fin FROM range(130))"
+#: Hazards are orders: a span behind the customer's number, a category and level by the order's number (one of four levels is unknown).
+_HAZARDS_SQL = f"""h AS (
+  SELECT o_custkey AS km_inicio, o_custkey + 1 + o_orderkey % 4 AS km_fin, o_orderpriority AS peligro, {list(evidence.CATEGORIES)}[o_orderkey % 7 + 1] AS categoria,
+         o_orderstatus AS estacionalidad, ['medio', 'alto_medio', 'alto', 'unclear'][o_orderkey % 4 + 1] AS nivel FROM orders)"""
+_SEGMENTS_SQL = "s AS (SELECT c_custkey::INT AS km_inicio, (c_custkey + 1)::INT AS km_fin FROM customer)"
 
 
-def segments(spark: SparkSession, n: int = 130) -> DataFrame:
-    return spark.range(n).select(F.col("id").cast("int").alias("km_inicio"), (F.col("id") + 1).cast("int").alias("km_fin"))
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A kilometre for each customer."""
+    k = F.col("c_custkey")
+    return _table(spark, sf_dir, "customer").select(k.cast("int").alias("km_inicio"), (k + 1).cast("int").alias("km_fin"))
 
 
-def hazards(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(HAZARDS, "km_inicio int, km_fin int, peligro string, categoria string, estacionalidad string, nivel string")
+def hazards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one_of = lambda names, k: F.element_at(F.array(*map(F.lit, names)), k.cast("int") + 1)
+    key = F.col("o_orderkey")
+    return _table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("km_inicio"), (F.col("o_custkey") + 1 + key % 4).alias("km_fin"), F.col("o_orderpriority").alias("peligro"), one_of(evidence.CATEGORIES, key % 7).alias("categoria"),
+        F.col("o_orderstatus").alias("estacionalidad"), one_of([*evidence.LEVELS, "unclear"], key % 4).alias("nivel"),
+    )
 
 
 _SPANS_SQL = """WITH o AS (SELECT o_orderkey, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS a, date_diff('day', DATE '1992-01-01', max(l_shipdate)::DATE) + 1 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderdate),
@@ -254,56 +262,71 @@ SELECT a AS km_inicio, b AS km_fin, count(peligro)::INT AS n_peligros_campo, arg
   coalesce(string_agg(DISTINCT peligro, '|' ORDER BY peligro), '') AS peligros_campo, coalesce(string_agg(DISTINCT estacionalidad, '|' ORDER BY estacionalidad), '') AS estacionalidades_campo
 FROM j GROUP BY 1, 2""")
 def evidence_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.rollup(segments(spark), hazards(spark))
+    return evidence.rollup(segments(spark, sf_dir), hazards(spark, sf_dir))
 
 
 @_query(f"""WITH {_HAZARDS_SQL}, {_SEGMENTS_SQL}
 SELECT km_inicio, (EXISTS (SELECT 1 FROM h WHERE h.km_inicio < s.km_fin AND h.km_fin > s.km_inicio AND categoria IN ('hidrologico', 'climatico', 'topografico')))::INT AS evidencia_modelada FROM s""")
 def disjunctive_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rolled = evidence.rollup(segments(spark), hazards(spark))
+    rolled = evidence.rollup(segments(spark, sf_dir), hazards(spark, sf_dir))
     return rolled.select("km_inicio", evidence.any_flag(["campo_hidrologico", "campo_climatico", "campo_topografico"]).alias("evidencia_modelada"))
 
 
 # ---- temporal -----------------------------------------------------------------------------------------------------
 
 
-def _plan() -> temporal.ChangePlan:
+def _plan(n: int) -> temporal.ChangePlan:
     zones = [(20, 24, -12.0), (60, 65, 5.0), (70, 70, 10.0), (80, 82, -6.5), (129, 129, 2.5)]
-    return temporal.ChangePlan("surface", "index", "demo_a", "2030-01-01T00:00:00Z", "2030-02-01T00:00:00Z", "2030-02-02T00:00:00Z", demonstration_zones=zones, fuente="simulation:catalogue")
+    return temporal.ChangePlan("surface", "index", "demo_a", "2030-01-01T00:00:00Z", "2030-02-01T00:00:00Z", "2030-02-02T00:00:00Z", demonstration_zones=zones, fuente="simulation:catalogue", segments=n)
 
 
 # Zones hold both their ends; a threshold belongs to the class below it; up to the first one a change has no direction.
-_K_SQL = """k AS (SELECT range AS k, (70 + (range * 17 % 21 - 10) * 0.5)::DOUBLE AS base,
-  CASE WHEN range BETWEEN 20 AND 24 THEN -12.0 WHEN range BETWEEN 60 AND 65 THEN 5.0 WHEN range BETWEEN 70 AND 70 THEN 10.0 WHEN range BETWEEN 80 AND 82 THEN -6.5 WHEN range BETWEEN 129 AND 129 THEN 2.5
-       ELSE [-2.0, -1.0, 0.0, 1.0, 2.0][range % 5 + 1] END::DOUBLE AS delta FROM range(130))"""
+_K_SQL = """k AS (SELECT c_custkey AS k, c_acctbal, c_mktsegment, (70 + (c_custkey * 17 % 21 - 10) * 0.5)::DOUBLE AS base,
+  CASE WHEN c_custkey BETWEEN 20 AND 24 THEN -12.0 WHEN c_custkey BETWEEN 60 AND 65 THEN 5.0 WHEN c_custkey BETWEEN 70 AND 70 THEN 10.0 WHEN c_custkey BETWEEN 80 AND 82 THEN -6.5 WHEN c_custkey BETWEEN 129 AND 129 THEN 2.5
+       ELSE [-2.0, -1.0, 0.0, 1.0, 2.0][c_custkey % 5 + 1] END::DOUBLE AS delta FROM customer)"""
 _CLASS_SQL = "CASE WHEN abs(delta) <= 2 THEN 'stable' WHEN abs(delta) <= 5 THEN 'minor' WHEN abs(delta) <= 10 THEN 'moderate' ELSE 'major' END"
 _DIRECTION_SQL = "CASE WHEN abs(delta) <= 2 THEN 'stable' WHEN delta > 0 THEN 'increase' ELSE 'decrease' END"
 
 
-def _run(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    plan = _plan()
-    shots = temporal.snapshots(segments(spark), plan)
-    return shots, temporal.change_events(shots, F.to_timestamp(F.lit(plan.baseline_at_utc)), F.to_timestamp(F.lit(plan.current_at_utc)), plan.thresholds)
+def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, temporal.ChangePlan]:
+    """Snapshots and events over a kilometre for each customer, and the plan."""
+    line = segments(spark, sf_dir)
+    plan = _plan(line.count())
+    shots = temporal.snapshots(line, plan)
+    return shots, _events(shots, plan), plan
+
+
+def _events(shots: DataFrame, plan: temporal.ChangePlan) -> DataFrame:
+    return temporal.change_events(shots, F.to_timestamp(F.lit(plan.baseline_at_utc)), F.to_timestamp(F.lit(plan.current_at_utc)), plan.thresholds)
 
 
 @_query(f"""WITH {_K_SQL} SELECT format('chg_demo_a_seg_{{:03d}}_{{:03d}}_surface', k, k + 1) AS change_event_id, format('seg_{{:03d}}_{{:03d}}', k, k + 1) AS segment_id, '2030-01-01T00:00:00Z' AS baseline_snapshot_at_utc, '2030-02-01T00:00:00Z' AS current_snapshot_at_utc,
  'surface' AS metric_name, printf('%.3f', base) AS baseline_value, printf('%.3f', base + delta) AS current_value, printf('%.3f', delta) AS delta_abs, printf('%.6f', round(100 * delta / nullif(base, 0), 6)) AS delta_pct, {_DIRECTION_SQL} AS change_direction, {_CLASS_SQL} AS change_class,
  '0.0' AS confidence, 'true' AS is_simulated, 'demo_a' AS simulation_scenario_id, 'simulation:catalogue' AS fuente, 'v0.1' AS source_version FROM k""")
 def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temporal.published_events(_run(spark)[1])
+    return temporal.published_events(_run(spark, sf_dir)[1])
 
 
 @_query(f"""WITH {_K_SQL}, b AS (SELECT k, unnest([{{'at': '2030-01-01 00:00:00', 'v': base::DOUBLE, 'w': 2}}, {{'at': '2030-02-01 00:00:00', 'v': base + delta, 'w': 3}}]) AS x FROM k)
 SELECT format('seg_{{:03d}}_{{:03d}}', k, k + 1) AS segment_id, x.at AS observed, round(x.v, 6) AS metric_value, round(x.v - x.w, 6) AS uncertainty_lower, round(x.v + x.w, 6) AS uncertainty_upper FROM b""")
 def snapshots_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shots = temporal.latest(_run(spark)[0]).withColumn("observed", F.date_format("observed_at_utc", "yyyy-MM-dd HH:mm:ss"))
+    shots = temporal.latest(_run(spark, sf_dir)[0]).withColumn("observed", F.date_format("observed_at_utc", "yyyy-MM-dd HH:mm:ss"))
     return _rounded(shots.select("segment_id", "observed", "metric_value", "uncertainty_lower", "uncertainty_upper"), "metric_value", "uncertainty_lower", "uncertainty_upper")
 
 
-@_query("SELECT 'band_without_value' AS rule, 0::BIGINT AS n WHERE false")
+@_query("""WITH c AS (SELECT c_custkey % 50 = 0 AS lost, c_mktsegment = 'BUILDING' AS real, c_acctbal < 0 AS open FROM customer)
+SELECT * FROM (
+  SELECT 'snapshot_count' AS rule, count(*) FILTER (lost) AS n FROM c UNION ALL SELECT 'snapshot_not_simulated', coalesce(sum(2 - lost::INT) FILTER (real), 0)::BIGINT FROM c
+  UNION ALL SELECT 'band_without_value', coalesce(sum(2 - lost::INT) FILTER (open), 0)::BIGINT FROM c UNION ALL SELECT 'event_count', count(*) FILTER (lost) FROM c
+  UNION ALL SELECT 'event_not_simulated', count(*) FILTER (real AND NOT lost) FROM c) WHERE n > 0""")
 def change_run_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nothing keeps this run from being published: counts, marks, bands and confidences are right."""
-    return temporal.run_violations(*_run(spark), _plan())
+    """What keeps a damaged run from being published: baselines lost, snapshots marked as real, bands without their value."""
+    shots, _, plan = _run(spark, sf_dir)
+    named = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("km_inicio"), "c_acctbal", "c_mktsegment")
+    met = shots.join(named, "km_inicio").where(~((F.col("km_inicio") % 50 == 0) & (F.col("observed_at_utc") == F.to_timestamp(F.lit(plan.baseline_at_utc)))))
+    top = F.when(F.col("c_acctbal") < 0, F.col("metric_value") - 1).otherwise(F.col("uncertainty_upper"))
+    damaged = met.withColumns({"is_simulated": F.col("c_mktsegment") != "BUILDING", "uncertainty_upper": top}).select(*shots.columns)
+    return temporal.run_violations(damaged, _events(damaged, plan), plan)
 
 
 @_query("""WITH m AS (SELECT event_type, ts::DATE AS day, sum(value::DECIMAL(18,6))::DOUBLE AS v FROM events GROUP BY 1, 2),
@@ -364,7 +387,7 @@ def rank_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""WITH {_SEGMENTS_SQL} SELECT format('seg_{{:03d}}_{{:03d}}', a.km_inicio, a.km_fin) AS segment_id, a.km_inicio, a.km_fin, format('seg_{{:03d}}_{{:03d}}', b.km_inicio, b.km_fin) AS neighbor_segment_id, b.km_inicio AS neighbor_km_inicio, b.km_fin AS neighbor_km_fin, 1 AS distance_order, 1.0::DOUBLE AS weight, 'derived:v1_segment_order' AS fuente
 FROM s a JOIN s b ON abs(a.km_inicio - b.km_inicio) = 1""")
 def segment_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.linear_neighbours(segments(spark))
+    return graph.linear_neighbours(segments(spark, sf_dir))
 
 
 def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,15 +432,15 @@ def graph_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- linear referencing and geometry ------------------------------------------------------------------------------
 
-#: Made-up anchors, kilometre to way along the line.
-ANCHORS = [(0.0, 0.4), (10.0, 10.1), (42.5, 41.0), (90.0, 91.25), (130.0, 127.5)]
-_ANCHORS_SQL = "a(km, s) AS (VALUES " + ", ".join(f"({k}::DOUBLE, {s}::DOUBLE)" for k, s in ANCHORS) + "), b AS (SELECT km AS k0, s AS s0, lead(km) OVER (ORDER BY km) AS k1, lead(s) OVER (ORDER BY km) AS s1 FROM a)"
+_ANCHORS_SQL = "b AS (SELECT s_suppkey * 10.0 AS k0, s_acctbal AS s0, lead(s_suppkey * 10.0) OVER (ORDER BY s_suppkey) AS k1, lead(s_acctbal) OVER (ORDER BY s_suppkey) AS s1 FROM supplier)"
 
 
-@_query(f"WITH {_ANCHORS_SQL} SELECT range::INT AS km, round(s0 + (range - k0) * (s1 - s0) / (k1 - k0), 6) AS s FROM range(131) JOIN b ON range <= k1 AND (range > k0 OR (range = 0 AND k0 = 0))")
+@_query(f"WITH {_ANCHORS_SQL}, p AS (SELECT c_custkey, c_custkey * 0.5::DOUBLE AS km FROM customer) SELECT c_custkey, km, round((s0 + (km - k0) * (s1 - s0) / (k1 - k0))::DOUBLE, 6) AS s FROM p JOIN b ON km <= k1 AND (km > k0 OR (km = 0 AND k0 = 0))")
 def anchor_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = spark.range(131).select(F.col("id").cast("int").alias("km"))
-    return _rounded(joins.interpolate(points, spark.createDataFrame(ANCHORS, "k double, v double"), "km", "k", "v", "s", 10.0), "s").select("km", "s")
+    """Customers on a line of suppliers, one each ten kilometres."""
+    points = _table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 0.5).alias("km"))
+    anchors = _table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 10.0).alias("k"), F.col("s_acctbal").alias("v"))
+    return _rounded(joins.interpolate(points, anchors, "km", "k", "v", "s", 10.0), "s").select("c_custkey", "km", "s")
 
 
 @_query("""WITH w AS (SELECT user_id, event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS dv, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS da FROM events WHERE value IS NOT NULL)
@@ -484,21 +507,22 @@ def points_near_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- grid ---------------------------------------------------------------------------------------------------------
 
-_GRID_SQL = "c AS (SELECT (range // 40)::INT AS row, (range % 40)::INT AS col, ((range // 40) * (range // 40) * 0.3 + (range % 40) * 1.7 + (range * 31 % 17) * 0.4)::DOUBLE AS value FROM range(1200))"
+_GRID_SQL = "c AS (SELECT (p_partkey // 40)::INT AS row, (p_partkey % 40)::INT AS col, ((p_partkey // 40) * 7 + (p_partkey % 40) * 13 + p_size * 4)::DOUBLE / 10 AS value FROM part)"
 
 
-def _cells(spark: SparkSession) -> DataFrame:
-    r, c = F.floor(F.col("id") / 40), F.col("id") % 40
-    return spark.range(1200).select(r.cast("int").alias("row"), c.cast("int").alias("col"), (r * r * 0.3 + c * 1.7 + (F.col("id") * 31 % 17) * 0.4).alias("value"))
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cell for each part, 40 in a row: a slope with the parts' sizes on it."""
+    r, c = F.floor(F.col("p_partkey") / 40), F.col("p_partkey") % 40
+    return _table(spark, sf_dir, "part").select(r.cast("int").alias("row"), c.cast("int").alias("col"), ((r * 7 + c * 13 + F.col("p_size") * 4) / 10).alias("value"))
 
 
 @_query(f"""WITH {_GRID_SQL}, g AS (SELECT row, col,
  CASE WHEN col = 0 THEN (lead(value) OVER r - value) / 10 WHEN col = 39 THEN (value - lag(value) OVER r) / 10 ELSE (lead(value) OVER r - lag(value) OVER r) / 20 END AS gx,
- CASE WHEN row = 0 THEN (lead(value) OVER k - value) / 10 WHEN row = 29 THEN (value - lag(value) OVER k) / 10 ELSE (lead(value) OVER k - lag(value) OVER k) / 20 END AS gy
+ CASE WHEN row = 0 THEN (lead(value) OVER k - value) / 10 WHEN lead(value) OVER k IS NULL THEN (value - lag(value) OVER k) / 10 ELSE (lead(value) OVER k - lag(value) OVER k) / 20 END AS gy
  FROM c WINDOW r AS (PARTITION BY row ORDER BY col), k AS (PARTITION BY col ORDER BY row))
 SELECT row, col, round(sqrt(gx * gx + gy * gy) * 100, 6) AS slope FROM g""")
 def grid_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.slope_percent(_cells(spark), 10.0, 10.0).select("row", "col", _r("value").alias("slope"))
+    return grid.slope_percent(_cells(spark, sf_dir), 10.0, 10.0).select("row", "col", _r("value").alias("slope"))
 
 
 _D8_SQL = """m(code, dr, dc) AS (VALUES (64, -1, 0), (128, -1, 1), (1, 0, 1), (2, 1, 1), (4, 1, 0), (8, 1, -1), (16, 0, -1), (32, -1, -1)),
@@ -508,40 +532,48 @@ b AS (SELECT * FROM n WHERE drop > 0 QUALIFY row_number() OVER (PARTITION BY row
 
 @_query(f"WITH {_GRID_SQL}, {_D8_SQL} SELECT c.row, c.col, coalesce(code, 0) AS direction FROM c LEFT JOIN b USING (row, col)")
 def d8_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.d8_direction(_cells(spark)).select("row", "col", "direction")
+    return grid.d8_direction(_cells(spark, sf_dir)).select("row", "col", "direction")
 
 
 @_query(f"""WITH RECURSIVE {_GRID_SQL}, {_D8_SQL}, t AS (SELECT row AS r0, col AS c0, row, col FROM c UNION ALL SELECT r0, c0, to_row, to_col FROM t JOIN b USING (row, col))
 SELECT row, col, count(*) AS acc FROM t GROUP BY 1, 2""")
 def flow_accumulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.flow_accumulation(grid.d8_direction(_cells(spark)))
+    return grid.flow_accumulation(grid.d8_direction(_cells(spark, sf_dir)))
 
 
 @_query(f"""WITH RECURSIVE {_GRID_SQL}, {_D8_SQL}, t AS (SELECT row, col FROM c UNION ALL SELECT to_row, to_col FROM t JOIN b USING (row, col)), a AS (SELECT row, col, count(*) AS acc FROM t GROUP BY 1, 2 HAVING count(*) >= 5)
 SELECT b.row, b.col, b.to_row, b.to_col FROM b JOIN a USING (row, col) JOIN a d ON d.row = b.to_row AND d.col = b.to_col""")
 def stream_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ways = grid.d8_direction(_cells(spark))
+    ways = grid.d8_direction(_cells(spark, sf_dir))
     return grid.streams(grid.flow_accumulation(ways), ways, 5).select("row", "col", "to_row", "to_col")
 
 
-@_query(None)
+@_query(f"""WITH RECURSIVE {_GRID_SQL}, m(dr, dc) AS (SELECT a - 1, b - 1 FROM range(3) x(a), range(3) y(b) WHERE a <> 1 OR b <> 1),
+inner_ AS (SELECT c.row, c.col, count(*) = 8 AS inside FROM c, m JOIN c d ON d.row = c.row + dr AND d.col = c.col + dc GROUP BY 1, 2),
+t(row, col, level) USING KEY (row, col) AS (
+  SELECT c.row, c.col, CASE WHEN inside THEN 'infinity'::DOUBLE ELSE value END FROM c LEFT JOIN inner_ USING (row, col)
+  UNION SELECT row, col, min(level) FROM (
+    SELECT c.row, c.col, greatest(c.value, t.level) AS level FROM t, m JOIN c ON c.row = t.row + dr AND c.col = t.col + dc JOIN recurring.t r ON r.row = c.row AND r.col = c.col
+    WHERE greatest(c.value, t.level) < r.level) GROUP BY 1, 2)
+SELECT row, col, level AS value FROM t""")
 def fill_depressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.fill_depressions(_cells(spark))
+    return grid.fill_depressions(_cells(spark, sf_dir))
 
 
 @_query(f"WITH {_GRID_SQL} SELECT (row // 10)::INT AS zone, count(*) AS n, min(value) AS least, round(avg(value), 6) AS mean, max(value) AS most, round(max(value) - min(value), 6) AS relief, round(quantile_cont(value, 0.9), 6) AS p90 FROM (SELECT row, col, round(value, 6) AS value FROM c) GROUP BY 1")
 def zonal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zones = _cells(spark).select(F.floor(F.col("row") / 10).cast("int").alias("zone"), _r("value").alias("value"))
+    zones = _cells(spark, sf_dir).select(F.floor(F.col("row") / 10).cast("int").alias("zone"), _r("value").alias("value"))
     return _rounded(grid.zonal(zones, "zone", "value"), "mean", "relief", "p90")
 
 
-@_query(f"""WITH {_GRID_SQL}, p AS (SELECT range::INT AS id, (range * 7 % 280) / 10.0 AS i, (range * 11 % 380) / 10.0 AS j FROM range(200)),
+@_query(f"""WITH {_GRID_SQL}, p AS (SELECT c_custkey AS id, (c_custkey * 7 % 39) / 10.0 AS i, (c_custkey * 11 % 380) / 10.0 AS j FROM customer),
 q AS (SELECT id, i, j, floor(i)::INT AS i0, floor(j)::INT AS j0 FROM p),
 w AS (SELECT id, i0 + a AS row, j0 + b AS col, (CASE a WHEN 1 THEN i - i0 ELSE 1 - (i - i0) END) * (CASE b WHEN 1 THEN j - j0 ELSE 1 - (j - j0) END) AS w FROM q, (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(b))
 SELECT id, round(sum(w * value)::DOUBLE, 6) AS value FROM w JOIN c USING (row, col) GROUP BY 1""")
 def bilinear_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = spark.range(200).select(F.col("id").cast("int").alias("id"), (F.col("id") * 7 % 280 / 10.0).alias("i"), (F.col("id") * 11 % 380 / 10.0).alias("j"))
-    return _rounded(joins.bilinear(points, _cells(spark), F.col("i"), F.col("j"), "id", "value", "value"), "value")
+    k = F.col("c_custkey")
+    points = _table(spark, sf_dir, "customer").select(k.alias("id"), (k * 7 % 39 / 10.0).alias("i"), (k * 11 % 380 / 10.0).alias("j"))
+    return _rounded(joins.bilinear(points, _cells(spark, sf_dir), F.col("i"), F.col("j"), "id", "value", "value"), "value")
 
 
 # ---- quality, sets and texts --------------------------------------------------------------------------------------

@@ -24,12 +24,12 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_csv(spark, path, table.schema)
 
 
-@_query("SELECT range::INT AS km_inicio, (range + 1)::INT AS km_fin FROM range((SELECT count(*) FROM supplier))")
+@_query("SELECT s_suppkey::INT AS km_inicio, (s_suppkey + 1)::INT AS km_fin FROM supplier")
 def segment_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validated keys of a CSV: whole numbers, by one kilometre, none missing."""
-    n = _table(spark, sf_dir, "supplier").count()
-    path = scratch(spark, "keys")
-    sinks.write_csv(spark.range(n).select(F.col("id").cast("int").alias("km_inicio"), (F.col("id") + 1).cast("int").alias("km_fin")), path, ["km_inicio"])
+    """Validated keys of a CSV of the suppliers' numbers: whole, by one kilometre, none missing."""
+    keys, path = _table(spark, sf_dir, "supplier"), scratch(spark, "keys")
+    n = keys.count()
+    sinks.write_csv(keys.select(F.col("s_suppkey").cast("int").alias("km_inicio"), (F.col("s_suppkey") + 1).cast("int").alias("km_fin")), path, ["km_inicio"])
     return readers.load_segment_keys(spark, path, n)
 
 
@@ -191,13 +191,14 @@ def grid_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.complete(_cells(spark, sf_dir))
 
 
-@_query("SELECT i AS row, j AS col, round(3.0 + 2.0 * (i * 0.5 + 0.25) + 1.5 * (j * 0.5 + 0.25), 6) AS value FROM (SELECT range::INT AS i FROM range((SELECT count(*) // 50 FROM supplier))), (SELECT range::INT AS j FROM range(40))")
+@_query(f"""WITH {_PARTS_SQL}, t AS (SELECT row, col, value AS own, row * 0.5 + 0.25 AS i, col * 0.5 + 0.25 AS j FROM c),
+w AS (SELECT t.row, t.col, floor(i)::INT + a AS r, floor(j)::INT + b AS k, (CASE a WHEN 1 THEN i - floor(i) ELSE 1 - (i - floor(i)) END) * (CASE b WHEN 1 THEN j - floor(j) ELSE 1 - (j - floor(j)) END) AS w FROM t, range(2) x(a), range(2) y(b))
+SELECT w.row, w.col, CASE WHEN count(c.value) = 4 THEN round(sum(w * c.value)::DOUBLE, 6) END AS value FROM w LEFT JOIN c ON c.row = w.r AND c.col = w.k GROUP BY 1, 2""")
 def reproject_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A plane resampled to a grid of half the cell size in another frame: bilinear interpolation is exact on it."""
-    n = _table(spark, sf_dir, "supplier").count() // 50
-    source = spark.range((n + 3) * 24).select(F.floor(F.col("id") / 24).cast("int").alias("row"), (F.col("id") % 24).cast("int").alias("col")).withColumn("value", 3.0 + 2.0 * (F.col("row") - 1) + 1.5 * (F.col("col") - 1))
-    target = spark.range(n * 40).select(F.floor(F.col("id") / 40).cast("int").alias("row"), (F.col("id") % 40).cast("int").alias("col"))
-    moved = grid.reprojected(target, source, lambda x, y: (x + 7.0, y - 5.0), (0.0, 0.0), 0.5, (6.0, -4.0), (-1.0, 1.0))
+    """The parts' grid resampled to cells of half the size in a frame that lies elsewhere."""
+    cells = _cells(spark, sf_dir)
+    # the target's cell (0, 0) has its centre a quarter of a step right of and below the source's
+    moved = grid.reprojected(cells, cells, lambda x, y: (x + 7.0, y - 5.0), (0.0, 0.0), 0.5, (7.0, -5.0), (-1.0, 1.0))
     return _rounded(moved, "value")
 
 
@@ -217,11 +218,13 @@ def band_holds_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.summary(_table(spark, sf_dir, "lineitem"), {"band": F.col("l_discount").between(F.col("l_tax") - 0.05, F.col("l_tax") + 0.05)})
 
 
-@_query("SELECT 'row_count' AS rule, 0::BIGINT AS n UNION ALL SELECT 'row_count_off_by_two', 2")
+@_query("""SELECT 'orders_with_lines' AS rule, abs((SELECT count(DISTINCT l_orderkey) FROM lineitem) - (SELECT count(*) FROM orders)) AS n
+UNION ALL SELECT 'ten_orders_a_customer', abs((SELECT count(*) FROM orders) - 10 * (SELECT count(*) FROM customer WHERE c_acctbal > 0))""")
 def row_count_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders")
-    n = orders.count()
-    return quality.row_count(orders, n, "row_count").union(quality.row_count(orders, n + 2, "row_count_off_by_two"))
+    """By how many rows tables miss the numbers that other tables ask for."""
+    orders, items = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
+    wanted = _table(spark, sf_dir, "customer").where("c_acctbal > 0").count() * 10
+    return quality.row_count(items.select("l_orderkey").distinct(), orders.count(), "orders_with_lines").union(quality.row_count(orders, wanted, "ten_orders_a_customer"))
 
 
 @_query("SELECT row_number() OVER (ORDER BY n_regionkey DESC, n_name)::INT AS place, n_name FROM nation")
@@ -296,9 +299,18 @@ def table_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(digest).alias("digest"))
 
 
-@_query("SELECT 'extra' AS problem, 'c_name' AS name UNION ALL SELECT 'missing', 'c_phone'")
+@_query("""SELECT p_partkey, 'missing columns: [''p_comment'']' AS missing, 'columns that are there already: [''p_name'']' AS extra FROM part WHERE p_size > 25""")
 def column_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Required columns that aren't there, and new ones that are there already."""
-    have = _table(spark, sf_dir, "customer").columns
-    rows = [("missing", c) for c in ("c_custkey", "c_phone") if c not in have] + [("extra", c) for c in ("c_name", "c_score") if c in have]
-    return spark.createDataFrame(rows, T.StructType([T.StructField("problem", T.StringType()), T.StructField("name", T.StringType())]))
+    """What the column gates say of a table, beside its rows that they let through."""
+    parts = _table(spark, sf_dir, "part")
+
+    def said(gate, columns: list[str]) -> str:
+        try:
+            gate(parts, columns)
+        except quality.GateFailure as failure:
+            return str(failure)
+        return "fine"
+
+    passed = quality.forbid_columns(quality.require_columns(parts, ["p_partkey", "p_size"]), ["p_score"])
+    missing, extra = said(quality.require_columns, ["p_partkey", "p_comment"]), said(quality.forbid_columns, ["p_name", "p_score"])
+    return passed.where("p_size > 25").select("p_partkey", F.lit(missing).alias("missing"), F.lit(extra).alias("extra"))
