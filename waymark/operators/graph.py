@@ -52,6 +52,30 @@ def reached(edges: DataFrame, start, most_rounds: int = 100_000) -> DataFrame:
     raise RuntimeError("the frontier did not end")
 
 
+def components(edges: DataFrame, most_rounds: int = 1_000) -> DataFrame:
+    """node and root, the least node of its component, for the nodes of undirected edges (src, dst).
+
+    Stars, larger and smaller in turn: a node's larger neighbours, then its smaller ones, are tied to the least node around it. The rounds
+    grow with the logarithm of the longest way; the least node of a hub is found with map-side combine.
+    """
+    both = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a < b").distinct()
+    now = cut_lineage(both)
+    for _ in range(most_rounds):
+        ways = now.union(now.select("b", "a")).toDF("n", "m")
+        least = ways.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("root"))
+        large = ways.where("m > n").join(least, "n").select(F.col("root").alias("a"), F.col("m").alias("b"))
+        tied = cut_lineage(large.where("a < b").distinct())
+        # smaller star: each node's smaller neighbours and itself to the least of them
+        low = tied.groupBy("b").agg(F.min("a").alias("root"))
+        met = tied.join(low, "b")
+        after = cut_lineage(met.select(F.col("root").alias("x"), F.col("a").alias("y")).union(met.select("root", "b")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        same = after.count() == now.count() and after.join(now, ["a", "b"], "left_anti").isEmpty()
+        now = after
+        if same:
+            return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    raise RuntimeError("the components did not settle")
+
+
 def shortest_costs(edges: DataFrame, start, most_rounds: int = 100_000) -> DataFrame:
     """node, cost and previous node of the cheapest ways from ``start`` over (src, dst, w >= 0); unreachable nodes are not there.
 

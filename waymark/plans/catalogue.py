@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, text
-from waymark.operators import evidence, graph, grid, index, joins, linear, quality, stats, temporal
+from waymark.operators import evidence, flats, graph, grid, index, joins, linear, quality, stats, temporal
 from waymark.operators.quantiles import summarised
 from waymark.operators.ranking import with_global_rank
 from waymark.session import cut_lineage
@@ -548,18 +548,47 @@ def stream_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.streams(grid.flow_accumulation(ways), ways, 5).select("row", "col", "to_row", "to_col")
 
 
-@_query(f"""WITH RECURSIVE {_GRID_SQL}, m(dr, dc) AS (SELECT a - 1, b - 1 FROM range(3) x(a), range(3) y(b) WHERE a <> 1 OR b <> 1),
-inner_ AS (SELECT c.row, c.col, count(*) = 8 AS inside FROM c, m JOIN c d ON d.row = c.row + dr AND d.col = c.col + dc GROUP BY 1, 2),
+_MOVES_SQL = "m(dr, dc) AS (SELECT a - 1, b - 1 FROM range(3) x(a), range(3) y(b) WHERE a <> 1 OR b <> 1)"
+# c (row, col, value) to t (row, col, level), by relaxing until nothing falls
+_FILL_SQL = """inner_ AS (SELECT c.row, c.col, count(*) = 8 AS inside FROM c, m JOIN c d ON d.row = c.row + dr AND d.col = c.col + dc GROUP BY 1, 2),
 t(row, col, level) USING KEY (row, col) AS (
   SELECT c.row, c.col, CASE WHEN inside THEN 'infinity'::DOUBLE ELSE value END FROM c LEFT JOIN inner_ USING (row, col)
   UNION SELECT row, col, min(level) FROM (
     SELECT c.row, c.col, greatest(c.value, t.level) AS level FROM t, m JOIN c ON c.row = t.row + dr AND c.col = t.col + dc JOIN recurring.t r ON r.row = c.row AND r.col = c.col
-    WHERE greatest(c.value, t.level) < r.level) GROUP BY 1, 2)
-SELECT row, col, level AS value FROM t""")
+    WHERE greatest(c.value, t.level) < r.level) GROUP BY 1, 2)"""
+
+
+@_query(f"WITH RECURSIVE {_GRID_SQL}, {_MOVES_SQL}, {_FILL_SQL} SELECT row, col, level AS value FROM t")
 def fill_depressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.fill_depressions(_cells(spark, sf_dir))
 
 
+_TERRACES_SQL = "c AS (SELECT (p_partkey // 40)::INT AS row, (p_partkey % 40)::INT AS col, (p_size // 12 + p_partkey // 280)::DOUBLE AS value FROM part)"
+
+
+def _spread_sql(name: str, start: str, step: str) -> str:
+    """A recursive table (row, col, d): d of ``start`` (over k), lowered over level neighbours until nothing falls."""
+    return f"""{name}(row, col, d) USING KEY (row, col) AS (SELECT row, col, {start} FROM k
+  UNION SELECT row, col, min(d) FROM (SELECT e.to_row AS row, e.to_col AS col, x.d + {step} AS d FROM {name} x JOIN e ON e.row = x.row AND e.col = x.col JOIN recurring.{name} r ON r.row = e.to_row AND r.col = e.to_col WHERE x.d + {step} < r.d) GROUP BY 1, 2)"""
+
+
+@_query(f"""WITH RECURSIVE {_TERRACES_SQL}, {_MOVES_SQL}, {_FILL_SQL},
+n AS (SELECT t.row, t.col, t.level, d.row AS to_row, d.col AS to_col, d.level AS n_level FROM t, m JOIN t d ON d.row = t.row + dr AND d.col = t.col + dc),
+k AS (SELECT row, col, level, count(*) < 8 OR bool_or(n_level < level) AS drains, bool_or(n_level > level) AS high FROM n GROUP BY 1, 2, 3 HAVING bool_or(n_level = level)),
+e AS (SELECT row, col, to_row, to_col FROM n WHERE n_level = level),
+{_spread_sql("low", "CASE WHEN drains THEN 0 ELSE 1000000 END::BIGINT", "1")},
+{_spread_sql("away", "CASE WHEN high AND NOT drains THEN 0 ELSE 1000000 END::BIGINT", "1")},
+{_spread_sql("area", "(row * 40 + col)::BIGINT", "0")},
+w AS (SELECT row, col, low.d AS low, nullif(away.d, 1000000) AS away, area.d AS area FROM low JOIN away USING (row, col) JOIN area USING (row, col))
+SELECT row, col, level AS value, (2 * low + coalesce(max(away) OVER (PARTITION BY area) - away, 0))::BIGINT AS lift FROM w JOIN t USING (row, col)""")
+def flat_lifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terraces of the parts' sizes, filled, and the lift of each cell that is level with a neighbour; blocks of 16, so flats cross many."""
+    key = F.col("p_partkey")
+    value = (F.floor(F.col("p_size") / 12) + F.floor(key / 280)).cast("double")
+    cells = _table(spark, sf_dir, "part").select(F.floor(key / 40).cast("int").alias("row"), (key % 40).cast("int").alias("col"), value.alias("value"))
+    return flats.flat_lifts(grid.fill_depressions(cells, 16), 16).select("row", "col", "value", "lift")
+
+
 @_query(f"WITH {_GRID_SQL} SELECT (row // 10)::INT AS zone, count(*) AS n, min(value) AS least, round(avg(value), 6) AS mean, max(value) AS most, round(max(value) - min(value), 6) AS relief, round(quantile_cont(value, 0.9), 6) AS p90 FROM (SELECT row, col, round(value, 6) AS value FROM c) GROUP BY 1")
 def zonal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = _cells(spark, sf_dir).select(F.floor(F.col("row") / 10).cast("int").alias("zone"), _r("value").alias("value"))
