@@ -12,11 +12,10 @@ into pieces of the sequence length. Pieces go to sequences ("bins") in two steps
    what the last, unfilled bin of each group costs. No task ever holds more than a group.
    Full bins never move.
 
-Local search, over windows of all underfull bins of a group in the order of their
-fill: move one document, exchange one for one or two for one between two bins of
-a window, whenever that raises the sum of squared fills. Fuller bins grow, emptier
-ones shrink, until some are empty. The sum grows with each step, so the search
-ends: when neither the windows nor those halfway between them gain.
+Local search, among all underfull bins of a group: move one document, exchange one for one, two for one or
+one for two between two bins, whenever that raises the sum of squared fills. Offers of one piece and of two are
+indexed by their length, with the emptiest bin of each length, so a bin finds the step that fits it best without meeting the others.
+Fuller bins grow, emptier ones shrink, until some are empty. The sum grows with each step, so the search ends: when no bin finds a step.
 
 Null and empty texts are the end id alone. Repeated rows are packed as often as
 they stand there; ids keep their type, null ids stay null. An empty table gives an empty result.
@@ -25,6 +24,7 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import defaultdict
 
@@ -42,10 +42,6 @@ from waymark.llm.tokens import tokenizer
 
 #: Pieces packed at a time in a task.
 GROUP = 1 << 16
-#: Bins of a window of the local search; windows cover all underfull bins.
-SEARCHED = 96
-#: A bin is underfull below this share of its size.
-FULL = 0.995
 
 
 def best_fit(lengths: list[int], size: int) -> list[list[int]]:
@@ -71,78 +67,106 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def _step(low: list[int], high: list[int], lengths: list[int], room: int) -> bool:
-    """One gainful step from ``low``, the emptier bin, to ``high``, which has ``room``: True if there was one."""
-    own: dict[int, int] = {lengths[i]: i for i in low}
-    moves = [n for n in own if n <= room]
-    if moves:  # move one document
-        i = own[max(moves)]
-        low.remove(i)
-        high.append(i)
-        return True
-    best, gain = None, 0
-    theirs = {lengths[j]: j for j in high}
-    for m, j in theirs.items():  # one for one: the most that fits
-        for n, i in own.items():
-            if gain < n - m <= room:
-                best, gain = ((i,), j), n - m
-    if gain < room and len(low) > 1:  # two for one
-        sizes = sorted(own)
-        for m, j in theirs.items():
-            a, b = 0, len(sizes) - 1
-            while a < b:
-                more = sizes[a] + sizes[b] - m
-                if more > room:
-                    b -= 1
-                else:
-                    if more > gain:
-                        best, gain = ((own[sizes[a]], own[sizes[b]]), j), more
-                    a += 1
-    if not best:
-        return False
-    gone, j = best
-    for i in gone:
-        low.remove(i)
-        high.append(i)
-    high.remove(j)
-    low.append(j)
-    return True
-
-
-def _search(window: list[int], bins: list[list[int]], fill: list[int], changes: list[int], lengths: list[int], size: int) -> bool:
-    """Steps between the bins of one window, emptiest first: True if there was one."""
-    gained = False
-    for at, k in enumerate(window):
-        for other in reversed(window[at + 1 :]):
-            while 0 < fill[k] <= fill[other] < size and _step(bins[k], bins[other], lengths, size - fill[other]):
-                gained = True
-                for x in (k, other):
-                    fill[x] = sum(lengths[i] for i in bins[x])
-                    changes[x] += 1
-            if not fill[k]:
+class _Offers:
+    """Which bins can give one piece, or two, of a length together: a heap of bins by fill for each length, and the lengths that are there as bits."""
+
+    def __init__(self, size: int):
+        self.heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(size + 1)]
+        self.there = 0
+
+    def enter(self, totals, fill: int, k: int, version: int) -> None:
+        for n in totals:
+            heapq.heappush(self.heaps[n], (fill, k, version))
+            self.there |= 1 << n
+
+    def emptiest(self, n: int, but: int, version: list[int]) -> tuple[int, int] | None:
+        """Fill and number of the emptiest bin that offers ``n``, other than ``but``."""
+        heap, aside = self.heaps[n], None
+        while heap and (version[heap[0][1]] != heap[0][2] or heap[0][1] == but):
+            top = heapq.heappop(heap)
+            if version[top[1]] == top[2]:
+                aside = top
+        found = heap[0][:2] if heap else None
+        if aside:
+            heapq.heappush(heap, aside)
+        if not heap:
+            self.there &= ~(1 << n)
+        return found
+
+    def longest_first(self, above: int, most: int):
+        """Lengths that are there, from ``most`` down to ``above`` + 1."""
+        bits = (self.there >> (above + 1)) & ((1 << max(0, most - above)) - 1)
+        while bits:
+            top = bits.bit_length()
+            yield above + top
+            bits ^= 1 << (top - 1)
+
+
+def _pairs(own: dict[int, list[int]], size: int) -> dict[int, tuple[int, int]]:
+    """Two pieces for each sum of two lengths of a bin."""
+    lengths, out = sorted(own), {}
+    for x, a in enumerate(lengths):
+        if len(own[a]) > 1 and 2 * a <= size:
+            out[2 * a] = (own[a][0], own[a][1])
+        for b in lengths[x + 1 :]:
+            if a + b > size:
                 break
-    return gained
+            out[a + b] = (own[a][0], own[b][0])
+    return out
 
 
 def local_search(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
-    """The bins after swaps between underfull ones; empty ones are gone."""
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    changes, settled, at_half = [0] * len(bins), set(), 0
-    idle = 0
-    while idle < 2:  # windows of the fill order, then windows between them, until both gain nothing
-        loose = sorted((k for k in range(len(bins)) if 0 < fill[k] < size), key=lambda k: (fill[k], k))
-        gained = False
-        for start in range(-at_half, len(loose), SEARCHED):
-            window = loose[max(0, start) : start + SEARCHED]
-            state = hash(tuple((k, changes[k]) for k in window))
-            if state in settled:
-                continue
-            if _search(window, bins, fill, changes, lengths, size):
-                gained = True
-            else:
-                settled.add(state)
-        idle = 0 if gained else idle + 1
-        at_half = SEARCHED // 2 - at_half
+    """The bins after steps between underfull ones, any with any; empty ones are gone.
+
+    The emptiest bin asks first: where it finds nothing it stays a giver for the others. Of all steps that fit it, it takes one that fills it most: a piece moved in, one or
+    two pieces of another bin for one of its own, or one for two. A bin that gave may ask again. Each step raises the sum
+    of squared fills, and the search ends when no bin finds one.
+    """
+    fill, version = [sum(lengths[i] for i in b) for b in bins], [0] * len(bins)
+    ones: list[dict[int, tuple[int, ...]]] = [{} for _ in bins]
+    twos: list[dict[int, tuple[int, ...]]] = [{} for _ in bins]
+    single, double = _Offers(size), _Offers(size)
+
+    def enter(k: int) -> None:
+        version[k] += 1
+        own = defaultdict(list)
+        for i in bins[k]:
+            own[lengths[i]].append(i)
+        ones[k], twos[k] = {n: (x[0],) for n, x in own.items()}, _pairs(own, size)
+        if 0 < fill[k] < size:
+            single.enter(ones[k], fill[k], k, version[k])
+            double.enter(twos[k], fill[k], k, version[k])
+
+    def best_step(k: int) -> tuple[int, int, tuple[int, ...], tuple[int, ...]] | None:
+        """Gain, the other bin, what it gives and what it gets."""
+        room, best, gain = size - fill[k], None, 0
+        nothing: dict[int, tuple[int, ...]] = {0: ()}
+        for given, offers, offered in ((nothing | ones[k], single, ones), (nothing | ones[k], double, twos), (twos[k], single, ones)):
+            for m, gone in given.items():
+                for n in offers.longest_first(m + gain, m + room):
+                    there = offers.emptiest(n, k, version)
+                    if there and there[0] < fill[k] + n - m:  # the squares grow
+                        gain = n - m
+                        best = gain, there[1], offered[there[1]][n], gone
+                        break
+                if gain == room:
+                    return best
+        return best
+
+    for k in range(len(bins)):
+        enter(k)
+    asking = [(f, k) for k, f in enumerate(fill) if 0 < f < size]
+    heapq.heapify(asking)
+    while asking:
+        f, k = heapq.heappop(asking)
+        while fill[k] == f and 0 < fill[k] < size and (step := best_step(k)):
+            gain, other, come, gone = step
+            bins[k] = [i for i in bins[k] if i not in gone] + list(come)
+            bins[other] = [i for i in bins[other] if i not in come] + list(gone)
+            fill[k], fill[other], f = fill[k] + gain, fill[other] - gain, f + gain
+            enter(k)
+            enter(other)
+            heapq.heappush(asking, (fill[other], other))
     return [b for b in bins if b]
 
 
@@ -216,7 +240,7 @@ def pack_documents(docs: DataFrame, model_path: str, size: int = 2048, end_id: i
     id_type = read.schema["doc_id"].dataType
     schema = f"doc_id {id_type.simpleString()}, {_PIECES}, {_PLACES}"
     now = cut_lineage(read.mapInArrow(first_packed, schema))
-    loose = F.col("fill") < int(FULL * size)
+    loose = F.col("fill") < size
     done, turn, before = [], 0, None
     while True:
         done.append(now.where(~loose))
