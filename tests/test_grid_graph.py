@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import graph, grid
+from waymark.operators import graph, grid, routing
 
 
 def cells_of(spark, rows):
@@ -111,12 +111,15 @@ def test_paths_on_a_lattice(spark):
                 heapq.heappush(queue, (at + w, m))
     costs = graph.shortest_costs(edges, 0)
     assert {r.node: r.cost for r in costs.collect()} == pytest.approx(best)
-    way = graph.path(costs, 22)
-    assert way[0] == 0 and way[-1] == 22 and graph.path(costs, 78) == []
-    assert sum(dict(ways[a])[b] for a, b in zip(way, way[1:], strict=False)) == pytest.approx(best[22])
-    legs = graph.route(edges, [0, 2, 22])
-    assert legs[0] == 0 and legs[-1] == 22 and 2 in legs and len(set(zip(legs, legs[1:], strict=False))) == len(legs) - 1
-    assert graph.route(edges, [0, 78]) == []
+    asked = spark.createDataFrame([(0, 0, 2), (1, 2, 22), (2, 0, 78)], "leg int, start long, end long")
+    legs = {}
+    for r in routing.routed(edges, asked).orderBy("leg", "seq").collect():
+        legs.setdefault(r.leg, []).append(r.node)
+    assert set(legs) == {0, 1} and legs[0][0] == 0 and legs[0][-1] == 2 and legs[1][0] == 2 and legs[1][-1] == 22
+    line = [r.node for r in routing.joined_route(edges, asked.where("leg < 2")).orderBy("leg", "seq").collect()]
+    assert line == legs[0] + legs[1][1:] and sum(dict(ways[a])[b] for a, b in zip(line, line[1:], strict=False)) >= best[22]
+    with pytest.raises(routing.NoRoute, match="2"):
+        routing.joined_route(edges, asked)
     assert {r.node: r.hops for r in graph.reached(edges, 0).collect()}[22] == 4
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions.text import segment_id
+from waymark.operators import routing
 from waymark.session import cut_lineage
 
 
@@ -76,47 +77,11 @@ def components(edges: DataFrame, most_rounds: int = 1_000) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def shortest_costs(edges: DataFrame, start, most_rounds: int = 100_000) -> DataFrame:
-    """node, cost and previous node of the cheapest ways from ``start`` over (src, dst, w >= 0); unreachable nodes are not there.
-
-    Relaxes only the frontier of nodes that got cheaper in the last round. Equal costs go to the smaller previous node.
-    """
+def shortest_costs(edges: DataFrame, start) -> DataFrame:
+    """node, cost and previous node of the cheapest ways from ``start`` over (src, dst, w >= 0); unreachable nodes are not there. See ``routing``."""
     kind = edges.schema["src"].dataType
-    now = cut_lineage(edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(kind).alias("prev")))
-    front = now.select("node", "cost")
-    for _ in range(most_rounds):
-        offers = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("prev"))
-        both = now.withColumn("old", F.lit(True)).union(offers.withColumn("old", F.lit(False)))
-        best = both.groupBy("node").agg(F.min(F.struct("cost", (~F.col("old")).alias("new"), "prev")).alias("b"))
-        after = cut_lineage(best.select("node", "b.cost", "b.prev", F.col("b.new").alias("new")))
-        front = after.where("new").select("node", "cost")
-        now = after.select("node", "cost", "prev")
-        if front.isEmpty():
-            return now
-    raise RuntimeError("the costs did not settle")
-
-
-def path(costs: DataFrame, end) -> list:
-    """The nodes from the start to ``end``; empty if it was not reached. The way is followed over a few rows, one lookup a node."""
-    way, at = [], end
-    while at is not None:
-        row = costs.where(F.col("node") == F.lit(at)).first()
-        if row is None:
-            return []
-        way.append(at)
-        at = row.prev
-    return way[::-1]
-
-
-def route(edges: DataFrame, stops: list) -> list:
-    """The legs between consecutive stops in one list, joints once; empty if a leg has no way."""
-    whole: list = []
-    for a, b in zip(stops, stops[1:], strict=False):
-        leg = path(shortest_costs(edges, a), b)
-        if not leg:
-            return []
-        whole += leg[1:] if whole else leg
-    return whole
+    leg = edges.sparkSession.range(1).select(F.lit(0).alias("leg"), F.lit(start).cast(kind).alias("start"), F.lit(None).cast(kind).alias("end"))
+    return cut_lineage(routing.costs(edges, leg)).drop("leg")
 
 
 def split_at(edges: DataFrame, snaps: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, text
-from waymark.operators import evidence, flats, graph, grid, index, joins, linear, quality, stats, temporal
+from waymark.operators import evidence, flats, graph, grid, index, joins, linear, quality, routing, stats, temporal
 from waymark.operators.quantiles import summarised
 from waymark.operators.ranking import with_global_rank
 from waymark.session import cut_lineage
@@ -417,6 +417,30 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.shortest_costs(_trade(spark, sf_dir), 0).select("node", _r("cost", 4).alias("cost"))
 
 
+# Each part is tied to the parts of half and of a third of its number; weights are sizes, so costs are whole.
+_ROADS_SQL = """g AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, min(w)::DOUBLE AS w FROM (SELECT p_partkey AS a, p_partkey // 2 AS b, p_size AS w FROM part UNION ALL SELECT p_partkey, p_partkey // 3, p_size FROM part) WHERE a <> b GROUP BY 1, 2),
+e AS (SELECT src, dst, w FROM g UNION ALL SELECT dst, src, w FROM g),
+legs AS (SELECT s_suppkey AS leg, s_suppkey * 7 + 3 AS start, s_suppkey * 11 + 20 AS end_ FROM supplier WHERE s_suppkey % 5 = 0)"""
+
+
+@_query(f"""WITH RECURSIVE {_ROADS_SQL},
+t(leg, node, cost) USING KEY (leg, node) AS (
+  SELECT leg, p_partkey, CASE WHEN p_partkey = start THEN 0 ELSE 1e9 END::DOUBLE FROM legs, part
+  UNION SELECT leg, node, min(cost) FROM (SELECT t.leg, e.dst AS node, t.cost + w AS cost FROM t JOIN e ON e.src = t.node JOIN recurring.t r ON r.leg = t.leg AND r.node = e.dst WHERE t.cost + w < r.cost) GROUP BY 1, 2),
+p AS (SELECT a.leg, a.node, min(b.node) AS prev FROM t a JOIN e ON e.dst = a.node JOIN t b ON b.leg = a.leg AND b.node = e.src AND b.cost + w = a.cost GROUP BY 1, 2),
+way AS (SELECT leg, end_ AS node, 0 AS back FROM legs UNION ALL SELECT way.leg, p.prev, back + 1 FROM way JOIN legs USING (leg) JOIN p ON p.leg = way.leg AND p.node = way.node WHERE way.node <> start)
+SELECT leg, max(back) OVER (PARTITION BY leg) - back AS seq, node, cost FROM way JOIN t USING (leg, node)""")
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest ways of many legs in one run, as ordered rows."""
+    parts, key = _table(spark, sf_dir, "part"), F.col("p_partkey")
+    ties = F.explode(F.array(F.floor(key / 2), F.floor(key / 3)))
+    pairs = parts.select(key.alias("a"), ties.alias("b"), F.col("p_size").alias("w"))
+    edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(pairs.select("b", "a", "w"))
+    k = F.col("s_suppkey")
+    legs = _table(spark, sf_dir, "supplier").where(k % 5 == 0).select(k.alias("leg"), (k * 7 + 3).alias("start"), (k * 11 + 20).alias("end"))
+    return routing.routed(edges, legs)
+
+
 @_query(f"""WITH RECURSIVE {_TRADE_SQL}, t AS (SELECT 0 AS node, 0 AS hops UNION SELECT dst, hops + 1 FROM t JOIN g ON node = src WHERE hops < 25)
 SELECT node, min(hops) AS hops FROM t GROUP BY 1""")
 def bfs_connected(spark: SparkSession, sf_dir: str) -> DataFrame:
