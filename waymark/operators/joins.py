@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
+from waymark.operators.ordered import next_match, sliced, with_next
 from waymark.session import cut_lineage
 
 
@@ -133,18 +134,24 @@ def lines_within(left: DataFrame, right: DataFrame, reach: float, left_key: str,
     return ours.join(theirs, ["__cx", "__cy"]).where(geo.segments_distance(*sides) <= reach).select(left_key, right_key).distinct()
 
 
-def interpolate(points: DataFrame, anchors: DataFrame, at: str, x: str, y: str, out: str, width: float) -> DataFrame:
-    """Piecewise linear y at ``at`` between consecutive anchors; in a shared end the first bracket holds. Points outside are left out.
+class OutOfBounds(ValueError):
+    """A point lies outside of the anchors."""
 
-    Brackets are dealt to bins of ``width``, so this is an equi join. The anchors' order is one window without a partition: they are few.
+
+def interpolate(points: DataFrame, anchors: DataFrame, at: str, x: str, y: str, out: str, outside: str = "drop") -> DataFrame:
+    """Piecewise linear y at ``at`` between consecutive anchors; in a shared end the first bracket holds.
+
+    Points outside are left out, or fail with ``outside="fail"``. Anchors of any number: brackets and points meet in the order of the line.
     """
-    w = Window.orderBy(x)
-    brackets = anchors.select(F.col(x).alias("__x0"), F.col(y).alias("__y0"), F.lead(x).over(w).alias("__x1"), F.lead(y).over(w).alias("__y1")).where("__x1 > __x0")
-    bins = brackets.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("__x0") / width), F.floor(F.col("__x1") / width))))
-    met = points.withColumn("__bin", F.floor(F.col(at) / width)).join(bins, "__bin").where(F.col(at).between(F.col("__x0"), F.col("__x1")))
-    first = met.where((F.col(at) > F.col("__x0")) | (F.col("__x0") == F.lit(anchors.agg(F.min(x)).first()[0])))
-    value = F.col("__y0") + (F.col(at) - F.col("__x0")) * (F.col("__y1") - F.col("__y0")) / (F.col("__x1") - F.col("__x0"))
-    return first.withColumn(out, value).drop("__bin", "__x0", "__y0", "__x1", "__y1")
+    own = anchors.where(F.col(x).isNotNull()).select(F.lit(0).alias("__one"), F.col(x).cast("double").alias("x0"), F.col(y).alias("y0"))
+    brackets = with_next(sliced(own, "__one", "x0"), "__one", "x0", ["x0", "y0"], "__n").where("__n.x0 > x0")
+    brackets = brackets.select("__one", "x0", "y0", F.col("__n.x0").alias("x1"), F.col("__n.y0").alias("y1"))
+    met = next_match(points.withColumn("__one", F.lit(0)), brackets, "__one", F.col(at), F.col("x1"), "__b").drop("__one")
+    inside = F.coalesce(F.col(at) >= F.col("__b.x0"), F.lit(False))
+    if outside == "fail" and (rows := met.where(~inside).select(at).limit(3).collect()):
+        raise OutOfBounds(f"outside of the anchors: {[r[0] for r in rows]}")
+    value = F.col("__b.y0") + (F.col(at) - F.col("__b.x0")) * (F.col("__b.y1") - F.col("__b.y0")) / (F.col("__b.x1") - F.col("__b.x0"))
+    return met.where(inside).withColumn(out, value).drop("__b")
 
 
 def bilinear(points: DataFrame, grid: DataFrame, i: Column, j: Column, key: str, value: str, out: str) -> DataFrame:

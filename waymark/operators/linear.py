@@ -5,35 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators.ordered import next_match, sliced, with_next, with_previous, with_running_sum
+
 
 def without_repeats(vertices: DataFrame, line: str = "line", seq: str = "seq") -> DataFrame:
     """Vertices equal to the one before them go."""
-    w = Window.partitionBy(line).orderBy(seq)
-    same = F.lag("x").over(w).eqNullSafe(F.col("x")) & F.lag("y").over(w).eqNullSafe(F.col("y")) & (F.row_number().over(w) > 1)
-    return vertices.withColumn("__same", same).where(~F.col("__same")).drop("__same")
+    rows = with_previous(sliced(vertices, line, seq), line, seq, ["x", "y"], "__p")
+    same = F.col("__p").isNotNull() & F.col("__p.x").eqNullSafe(F.col("x")) & F.col("__p.y").eqNullSafe(F.col("y"))
+    return rows.where(~same).select(*vertices.columns)
 
 
 def edges(vertices: DataFrame, line: str = "line", seq: str = "seq") -> DataFrame:
     """line, seq, ax, ay, bx, by and length of consecutive vertices; edges without length go."""
-    w = Window.partitionBy(line).orderBy(seq)
-    pairs = vertices.select(line, seq, F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("x").over(w).alias("bx"), F.lead("y").over(w).alias("by"))
+    rows = with_next(sliced(vertices.select(line, seq, "x", "y"), line, seq), line, seq, ["x", "y"], "__n")
+    pairs = rows.select(line, seq, F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("__n.x").alias("bx"), F.col("__n.y").alias("by"))
     return pairs.where("bx IS NOT NULL AND NOT (ax = bx AND ay = by)").withColumn("length", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
 
 
 def measured(pieces: DataFrame, line: str = "line", seq: str = "seq") -> DataFrame:
     """Edges with s0 and s1, the way along the line to their ends."""
-    w = Window.partitionBy(line).orderBy(seq)
-    return pieces.withColumn("s1", F.sum("length").over(w)).withColumn("s0", F.col("s1") - F.col("length"))
+    rows = with_running_sum(sliced(pieces, line, seq), line, seq, "length", "s1")
+    return rows.select(*pieces.columns, "s1", (F.col("s1") - F.col("length")).alias("s0"))
 
 
 def points_at(pieces: DataFrame, wanted: DataFrame, line: str = "line", s: str = "s") -> DataFrame:
-    """``wanted`` (line, s, ...) with x, y at that way along the line, clamped to its ends."""
+    """``wanted`` (line, s, ...) with x, y at that way along the line, clamped to its ends; lines without edges have no rows.
+
+    Each place meets the one edge that ends at it or behind it, found in the order of the line: no pairs of places and edges.
+    """
     ends = pieces.groupBy(line).agg(F.max("s1").alias("__whole"))
-    asked = wanted.join(ends, line).withColumn("__s", F.least(F.greatest(F.col(s), F.lit(0.0)), F.col("__whole")))
-    met = asked.join(pieces.select(line, "ax", "ay", "bx", "by", "s0", "s1"), line).where("__s <= s1 AND (__s > s0 OR (s0 = 0 AND __s = 0))")
-    t = (F.col("__s") - F.col("s0")) / (F.col("s1") - F.col("s0"))
-    put = met.withColumns({"x": F.col("ax") + t * (F.col("bx") - F.col("ax")), "y": F.col("ay") + t * (F.col("by") - F.col("ay"))})
-    return put.drop("ax", "ay", "bx", "by", "s0", "s1", "__s", "__whole")
+    asked = wanted.drop("x", "y").join(ends, line).withColumn("__s", F.least(F.greatest(F.col(s), F.lit(0.0)), F.col("__whole")))
+    there = pieces.select(line, "ax", "ay", "bx", "by", "s0", "s1")
+    met = next_match(asked, there, line, F.col("__s"), F.col("s1"), "__e")
+    t = (F.col("__s") - F.col("__e.s0")) / (F.col("__e.s1") - F.col("__e.s0"))
+    put = {c: F.col(f"__e.a{c}") + t * (F.col(f"__e.b{c}") - F.col(f"__e.a{c}")) for c in ("x", "y")}
+    return met.where("__e IS NOT NULL").withColumns(put).drop("__e", "__s", "__whole")
 
 
 def midpoints(pieces: DataFrame, line: str = "line") -> DataFrame:

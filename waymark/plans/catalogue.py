@@ -464,7 +464,7 @@ def anchor_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers on a line of suppliers, one each ten kilometres."""
     points = _table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 0.5).alias("km"))
     anchors = _table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 10.0).alias("k"), F.col("s_acctbal").alias("v"))
-    return _rounded(joins.interpolate(points, anchors, "km", "k", "v", "s", 10.0), "s").select("c_custkey", "km", "s")
+    return _rounded(joins.interpolate(points, anchors, "km", "k", "v", "s"), "s").select("c_custkey", "km", "s")
 
 
 @_query("""WITH w AS (SELECT user_id, event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS dv, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS da FROM events WHERE value IS NOT NULL)
