@@ -143,10 +143,38 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got and all(batch[k] == n for k, n in got.items())
 
 
-def test_snapshots_stream_once_each(spark, tmp_path):
-    plan = temporal.ChangePlan(**PLAN)
-    shots = temporal.snapshots(spark.range(5).selectExpr("int(id) AS km_inicio", "int(id + 1) AS km_fin"), plan)
-    shots.union(shots).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(shots.schema).parquet(str(tmp_path / "in"))
-    ingest.append(ingest.once_each(stream), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+def test_corrections_stream_as_the_batch_has_them(spark, tmp_path):
+    """Corrections, repeated and late ones, over several stops: at each the stream's result is the batch's."""
+    shots = temporal.snapshots(spark.range(5).selectExpr("int(id) AS km_inicio", "int(id + 1) AS km_fin"), temporal.ChangePlan(**PLAN))
+    shots = shots.withColumn("simulation_scenario_id", F.when(F.col("km_inicio") > 0, F.col("simulation_scenario_id"))).cache()
+
+    def fixed(days, value, keys):
+        moved = shots.where(F.col("km_inicio").isin(keys))
+        return moved.withColumns({"ingested_at_utc": F.col("ingested_at_utc") + F.expr(f"INTERVAL {days} DAYS"), "metric_value": F.col("metric_value") + value})
+
+    late = fixed(2, 20.0, [0, 1])
+    stops = [shots.union(shots), fixed(1, 10.0, [0, 1, 2, 3, 4]).union(fixed(3, 30.0, [0])), late.union(shots).union(fixed(1, 10.0, [3])), fixed(3, 31.0, [0]).union(fixed(3, 32.0, [0])), shots]
+    folder, out, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
+    counts = []
+    for stop in stops:
+        stop.coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(shots.schema).parquet(folder)
+        ingest.keep(ingest.corrections(stream), out, mark).awaitTermination(120)
+        batch = temporal.latest(spark.read.schema(shots.schema).parquet(folder))
+        assert sorted(map(repr, ingest.current(spark, out).collect())) == sorted(map(repr, batch.collect()))
+        counts.append(ingest.versions(spark, out).count())
+    assert counts[0] == 10 and counts[1] == 22 and counts[2] == 24 and counts[-1] == counts[-2]
+    told = ingest.versions(spark, out).where("change = 'correction'")
+    assert told.count() == counts[-1] - 10 and told.where("replaces IS NULL OR replaces > ingested_at_utc").isEmpty()
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    shots = temporal.snapshots(spark.range(3).selectExpr("int(id) AS km_inicio", "int(id + 1) AS km_fin"), temporal.ChangePlan(**PLAN))
+    folder, out, mark = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "mark")
+    shots.coalesce(1).write.parquet(folder)
+    for again in (False, True):
+        if again:  # as if the driver was lost between writing and committing
+            for name in ("0", ".0.crc"):
+                (tmp_path / "mark" / "commits" / name).unlink(missing_ok=True)
+        ingest.keep(ingest.corrections(spark.readStream.schema(shots.schema).parquet(folder)), out, mark).awaitTermination(120)
+        assert ingest.versions(spark, out).count() == 6

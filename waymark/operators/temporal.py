@@ -116,11 +116,20 @@ def snapshots(segments: DataFrame, plan: ChangePlan) -> DataFrame:
     return segments.select(segment_id(k, F.col("km_fin")).alias("segment_id"), "km_inicio", "km_fin", F.inline(rows)).withColumns(constants)
 
 
+#: What names a snapshot; its versions differ in when they were ingested.
+LOGICAL_KEY = ("segment_id", "metric_name", "observed_at_utc", "fuente", "source_version", "simulation_scenario_id")
+
+
+def version_text(shots: DataFrame) -> Column:
+    """A digest of a whole row, which orders versions that were ingested at the same time."""
+    return F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(shots.columns)))), 256)
+
+
 def latest(shots: DataFrame) -> DataFrame:
-    """The last ingested version of each logical key."""
-    keys = ["segment_id", "metric_name", "observed_at_utc", "fuente", "source_version", "simulation_scenario_id"]
-    w = Window.partitionBy(*keys).orderBy(F.desc("ingested_at_utc"))
-    return shots.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The last ingested version of each logical key: an aggregate, so a key with very many versions is combined before the shuffle."""
+    row = F.struct(*(F.col(f"`{c}`") for c in shots.columns))
+    best = shots.groupBy(*(F.col(c).alias(f"k{i}") for i, c in enumerate(LOGICAL_KEY))).agg(F.max_by(row, F.struct("ingested_at_utc", version_text(shots))).alias("row"))
+    return best.select("row.*")
 
 
 def change_events(shots: DataFrame, baseline_at: Column, current_at: Column, thresholds: tuple[float, float, float]) -> DataFrame:
