@@ -4,8 +4,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.functions import geo
-from waymark.operators import joins, linear
+from waymark.functions import geo, text
+from waymark.operators import index, joins, linear
 
 
 def one(spark, *columns):
@@ -104,3 +104,27 @@ def test_lines_and_points_within(spark):
     other = edges.withColumnRenamed("line", "other")
     assert joins.lines_within(edges, other, 4.9, "line", "other").count() == 2
     assert joins.lines_within(edges, other, 5.0, "line", "other").count() == 4
+
+
+def test_a_point_off_the_line_stops_the_run(spark):
+    edges = spark.createDataFrame([("e", 0.0, 0.0, 10.0, 0.0), ("f", 0.0, 5.0, 10.0, 5.0)], "edge string, ax double, ay double, bx double, by double")
+    points = spark.createDataFrame([(1, 3.0, 1.0), (2, 4.0, 2.5), (3, 4.0, 90.0)], "k int, px double, py double")
+    told = {r.k: (r.edge, r.distance, r.too_far) for r in joins.nearest_edge(points, edges, 3.0, "k", "edge").collect()}
+    assert told == {1: ("e", 1.0, False), 2: ("e", 2.5, False), 3: (None, None, True)}
+    assert {r.k: r.edge for r in joins.snapped(points.where("k < 3"), edges, 3.0, "k", "edge").collect()} == {1: "e", 2: "e"}
+    with pytest.raises(joins.TooFar, match="3"):
+        joins.snapped(points, edges, 3.0, "k", "edge")
+
+
+def test_segment_names_refuse_other_spans(spark):
+    rows = spark.createDataFrame([(0, 1), (129, 130), (1000, 1001), (None, 3)], "a int, b int").select(text.segment_id(F.col("a"), F.col("b")).alias("n"))
+    assert [r.n for r in rows.collect()] == ["seg_000_001", "seg_129_130", "seg_1000_1001", None]
+    for a, b in ((-1, 0), (3, 5), (4, 4)):
+        with pytest.raises(Exception, match="not one kilometre"):
+            spark.createDataFrame([(a, b)], "a int, b int").select(text.segment_id(F.col("a"), F.col("b"))).collect()
+
+
+def test_unknown_percentiles_are_no_drivers(spark):
+    rows = [(1, 3.0, 9.0, 5.0), (2, None, 4.0, None), (3, None, None, None), (4, float("nan"), 1.0, 1.0)]
+    found = spark.createDataFrame(rows, "k int, a double, b double, c double").select("k", index.top_drivers(["a", "b", "c"]).alias("d")).collect()
+    assert {r.k: [(d.name, d.value) for d in r.d] for r in found} == {1: [("b", 9.0), ("c", 5.0)], 2: [("b", 4.0)], 3: [], 4: [("c", 1.0), ("b", 1.0)]}

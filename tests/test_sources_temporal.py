@@ -27,7 +27,7 @@ def test_csv_is_typed_and_strict(spark, tmp_path):
         readers.read_csv(spark, str(tmp_path / "bad.csv"), schemas.HAZARDS).collect()
 
 
-@pytest.mark.parametrize("body,said", [("a,b\n1,2\n", "missing"), ("km_inicio,km_fin\n0.5,1\n", "whole"), ("km_inicio,km_fin\n2,1\n", "ordered"), ("km_inicio,km_fin\n0,1\n2,3\n", "by one")])
+@pytest.mark.parametrize("body,said", [("a,b\n1,2\n", "missing"), ("km_inicio,km_fin\n0.5,1\n", "whole"), ("km_inicio,km_fin\n2,1\n", "ordered"), ("km_inicio,km_fin\n0,1\n2,3\n", "by one"), ("km_inicio,km_fin\n1,2\n0,1\n", "row 2: 1, 2"), ("km_inicio,km_fin\n0,1\n1,x\n", "row 3: 1, x"), ("km_inicio,km_fin\n0,1\n", "by one")])
 def test_segment_keys_are_checked(spark, tmp_path, body, said):
     (tmp_path / "k.csv").write_text(body)
     with pytest.raises(readers.SourceError, match=said):

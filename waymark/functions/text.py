@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def segment_id(start: Column, end: Column) -> Column:
-    return F.format_string("seg_%03d_%03d", start.cast("int"), end.cast("int"))
+    """The name of one kilometre from 0 on; null for nulls. Negative starts and other spans fail."""
+    wrong = F.raise_error(F.concat(F.lit("not one kilometre from 0 on: "), start.cast("string"), F.lit(" to "), end.cast("string"))).cast("string")
+    named = F.format_string("seg_%03d_%03d", start.cast("int"), end.cast("int"))
+    return F.when(start.isNotNull() & end.isNotNull(), F.when((start >= 0) & (end == start + 1), named).otherwise(wrong))
 
 
 def km_label(start: Column, end: Column) -> Column:

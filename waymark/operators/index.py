@@ -72,5 +72,6 @@ def dominant(columns: list[str]) -> Column:
 
 
 def top_drivers(columns: list[str], n: int = 2) -> Column:
-    """The ``n`` largest columns as structs (value, name), larger names first on ties."""
-    return F.slice(F.reverse(F.array_sort(F.array(*(F.struct(F.col(c).alias("value"), F.lit(c).alias("name")) for c in columns)))), 1, n)
+    """The ``n`` largest columns as structs (value, name), larger names first on ties; nulls and NaN are no drivers, so there may be fewer."""
+    known = F.filter(F.array(*(F.struct(F.col(c).cast("double").alias("value"), F.lit(c).alias("name")) for c in columns)), lambda d: d["value"].isNotNull() & ~F.isnan(d["value"]))
+    return F.slice(F.reverse(F.array_sort(known)), 1, n)

@@ -103,13 +103,30 @@ def nearest_on_earth(points: DataFrame, targets: DataFrame, distance: Column, po
     raise RuntimeError("the cells did not grow wide enough")
 
 
-def nearest_edge(points: DataFrame, edges: DataFrame, reach: float, point_key: str, edge_key: str) -> DataFrame:
-    """Each point (px, py) with its nearest edge (ax, ay, bx, by) within ``reach``, the first of equally near ones, and its distance; null where none is: ``too_far`` says so."""
-    near = within_of_lines(points, edges, reach, point_key, edge_key)
+class TooFar(ValueError):
+    """Points have no edge within the reach."""
+
+
+def nearest_edge(points: DataFrame, edges: DataFrame, reach: float, point_key: str, edge_key: str, places: int | None = None) -> DataFrame:
+    """Each point (px, py) with its nearest edge (ax, ay, bx, by) within ``reach``, the first of equally near ones, and its distance; null where none is: ``too_far`` says so.
+
+    ``places``: distances are rounded to so many decimals before they are compared.
+    """
+    near = within_of_lines(points, edges, reach + (10.0**-places if places is not None else 0.0), point_key, edge_key)
+    if places is not None:
+        near = near.withColumn("distance", F.round("distance", places)).where(F.col("distance") <= reach)
     best = near.groupBy(point_key).agg(F.min(F.struct("distance", edge_key)).alias("b"))
     return points.select(point_key).join(best, point_key, "left").select(point_key, F.col(f"b.{edge_key}").alias(edge_key), F.col("b.distance").alias("distance"), F.col("b").isNull().alias("too_far"))
 
 
+def snapped(points: DataFrame, edges: DataFrame, reach: float, point_key: str, edge_key: str, shown: int = 5) -> DataFrame:
+    """As ``nearest_edge``, for runs that may not go on with a point off the line: fails and names the first such points."""
+    found = cut_lineage(nearest_edge(points, edges, reach, point_key, edge_key))
+    if rows := found.where("too_far").select(point_key).orderBy(point_key).limit(shown).collect():
+        raise TooFar(f"no edge within {reach}: {[r[0] for r in rows]}")
+    return found.drop("too_far")
+
+
 def within_of_lines(points: DataFrame, edges: DataFrame, reach: float, point_key: str, line_key: str) -> DataFrame:
     """Pairs of points (px, py) and lines with an edge (ax, ay, bx, by) within ``reach``, with the least distance.
 

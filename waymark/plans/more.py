@@ -53,9 +53,8 @@ def geojson_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as GeoJSON features, one to a file's line, and their vertices read back."""
     path = scratch(spark, "geojson")
     sinks.features(_lines(spark, sf_dir)).select("feature").write.text(path)
-    shape = "struct<properties: struct<line: bigint>, geometry: struct<coordinates: array<array<double>>>>"
-    read = spark.read.text(path).select(F.from_json("value", shape).alias("f"))
-    return read.select(F.col("f.properties.line").alias("line"), F.posexplode("f.geometry.coordinates").alias("seq", "p")).select("line", "seq", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    read = readers.read_lines(spark, path, by_line=True)
+    return read.select(F.get_json_object("properties", "$.line").cast("long").alias("line"), "seq", "x", "y")
 
 
 # ---- geometry ------------------------------------------------------------------------------------------------------
@@ -65,9 +64,7 @@ def geojson_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_edge_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of the nearest edges within the cap; points beyond it are marked, for the run to stop on."""
     edges = linear.edges(_lines(spark, sf_dir)).withColumnRenamed("seq", "edge")
-    near = joins.within_of_lines(_points(spark, sf_dir), edges, 0.26, "c_custkey", "edge")
-    near = _rounded(near, "distance").where("distance <= 0.25").groupBy("c_custkey").agg(F.min(F.struct("distance", "edge")).alias("b"))
-    return _points(spark, sf_dir).select("c_custkey").join(near, "c_custkey", "left").select("c_custkey", F.col("b.edge").alias("edge"), F.col("b.distance").alias("distance"), F.col("b").isNull().alias("too_far"))
+    return joins.nearest_edge(_points(spark, sf_dir), edges, 0.25, "c_custkey", "edge", places=6)
 
 
 @_query(f"""WITH {_POINTS_SQL}, {_ASKED_SQL}, {_EDGES_SQL}, {_WAY_SQL}, n AS (SELECT c_custkey, round(sqrt((v.x - p.x) ** 2 + (v.y - p.y) ** 2), 6) AS d FROM p, v)

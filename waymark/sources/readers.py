@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,28 +27,45 @@ def read_control_points(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, CONTROL_POINTS).withColumn("confianza", clean_code(F.col("confianza")))
 
 
+def with_row_numbers(frame: DataFrame, out: str, first: int = 0) -> DataFrame:
+    """``frame``, straight from files, with the rows' numbers in the order of the files' names and their rows: places inside a split, and offsets from a count of each split."""
+    split = ("__file", "__start")
+    at = frame.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")).withColumn("__at", F.monotonically_increasing_id())
+    counts = at.groupBy(*split).agg(F.count("*").alias("__n"), F.min("__at").alias("__from"))
+    ahead = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    offsets = counts.select(*split, (F.coalesce(F.sum("__n").over(ahead), F.lit(0)) - F.col("__from")).alias("__offset"))
+    return at.join(offsets, [*split]).select(*frame.columns, (F.col("__at") + F.col("__offset") + first).alias(out))
+
+
 def load_segment_keys(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
-    """km_inicio and km_fin as whole numbers, start below end, every key once (``expected``: 0..n-1 by one kilometre)."""
+    """km_inicio and km_fin as whole numbers, start below end; ``expected``: the file must have exactly 0..n-1 by one kilometre, in this order.
+
+    What is wrong is named with its row in the file, the header being row 1.
+    """
     raw = spark.read.csv(path, header=True)
     if missing := {"km_inicio", "km_fin"} - set(raw.columns):
         raise SourceError(f"missing columns: {sorted(missing)}")
     number = lambda c: F.expr(f"try_cast({c} AS double)")
-    bad = raw.where(~F.coalesce((number("km_inicio") == F.floor(number("km_inicio"))) & (number("km_fin") == F.floor(number("km_fin"))) & (number("km_inicio") < number("km_fin")), F.lit(False)))
-    if rows := bad.select("km_inicio", "km_fin").limit(3).collect():
-        raise SourceError(f"not whole or not ordered: {[tuple(r) for r in rows]}")
+    rows = with_row_numbers(raw, "row", 2).select("km_inicio", "km_fin", "row")
+    whole = F.coalesce((number("km_inicio") == F.floor(number("km_inicio"))) & (number("km_fin") == F.floor(number("km_fin"))) & (number("km_inicio") < number("km_fin")), F.lit(False))
+    if bad := rows.where(~whole).orderBy("row").limit(3).collect():
+        raise SourceError(f"not whole or not ordered: {[f'row {r.row}: {r.km_inicio}, {r.km_fin}' for r in bad]}")
     keys = raw.select(number("km_inicio").cast("int").alias("km_inicio"), number("km_fin").cast("int").alias("km_fin"))
     if expected is not None:
-        want = spark.range(expected).select(F.col("id").cast("int").alias("km_inicio"), (F.col("id") + 1).cast("int").alias("km_fin"))
-        if not (keys.exceptAll(want).isEmpty() and want.exceptAll(keys).isEmpty()):
-            raise SourceError(f"the keys are not 0..{expected} by one")
+        wrong = rows.where((number("km_inicio") != F.col("row") - 2) | (number("km_fin") != F.col("row") - 1)).orderBy("row").limit(3).collect()
+        if wrong or keys.count() != expected:
+            raise SourceError(f"the keys are not 0..{expected} by one in order: {[f'row {r.row}: {r.km_inicio}, {r.km_fin}' for r in wrong]}")
     return keys
 
 
-def read_lines(spark: SparkSession, path: str, crs: str = "EPSG:4326") -> DataFrame:
-    """Vertices of the LineStrings of a GeoJSON Feature or FeatureCollection: line, seq, x, y, properties (as JSON) and crs."""
+def read_lines(spark: SparkSession, path: str, crs: str = "EPSG:4326", by_line: bool = False) -> DataFrame:
+    """Vertices of the LineStrings of a GeoJSON Feature or FeatureCollection: line, seq, x, y, properties (as JSON) and crs.
+
+    ``by_line``: a Feature on each line of the files, which are then split between tasks; ``line`` is 0 there, properties tell lines apart.
+    """
     feature = "struct<type: string, geometry: struct<type: string, coordinates: array<array<double>>>, properties: string>"
     schema = f"type string, geometry struct<type: string, coordinates: array<array<double>>>, properties string, features array<{feature}>"
-    read = spark.read.schema(schema).json(path, multiLine=True)
+    read = spark.read.schema(schema).json(path, multiLine=not by_line)
     one = F.struct("type", "geometry", "properties")
     features = read.select(F.posexplode(F.coalesce("features", F.array(one))).alias("line", "f")).where("f.geometry.type = 'LineString'")
     vertices = features.select("line", F.posexplode("f.geometry.coordinates").alias("seq", "p"), F.col("f.properties").alias("properties"))
