@@ -10,7 +10,7 @@ from waymark.functions import geo, text
 from waymark.operators import graph, grid, joins, linear, quality, stats
 from waymark.plans.catalogue import _places, _query, _r, _rounded, _table
 from waymark.session import scratch
-from waymark.sources import readers, sinks
+from waymark.sources import geotiff, readers, sinks
 
 # ---- sources and sinks: written to the shared folder and read back ------------------------------------------------
 
@@ -165,6 +165,15 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select(F.floor(k / 100).cast("int").alias("row"), (k % 100).cast("int").alias("col"), F.col("p_retailprice").alias("value"))
 
 
+@_query(f"WITH {_PARTS_SQL} SELECT row, col, value, 10.0 * col + 1005.0::DOUBLE AS x, 4995.0::DOUBLE - 10.0 * row AS y FROM c WHERE row >= 1 AND row < 3 AND col >= 20 AND col < 90")
+def geotiff_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts' grid as a tiled GeoTIFF, and a window of it read back with the places of its cells."""
+    path = f"{scratch(spark, 'raster')}/parts.tif"
+    cells = _cells(spark, sf_dir)
+    geotiff.write(cells, path, cells.agg(F.max("row")).first()[0] + 1, 100, origin=(1000.0, 5000.0), step=(10.0, 10.0), dtype="f8", tile=16)
+    return geotiff.read(spark, path, (1, 3, 20, 90)).where("value IS NOT NULL").select("row", "col", "value", "x", "y")
+
+
 @_query(f"WITH {_PARTS_SQL} SELECT row, col, CASE WHEN col < 60 THEN value ELSE value + 1000 END AS value FROM c")
 def mosaic_first_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two tiles that overlap: the first one wins where it has a value."""
