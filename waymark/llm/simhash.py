@@ -381,12 +381,15 @@ def _by_differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     around = members.join(own, "node").join(own.select(F.col("node").alias("hub"), F.col("own").alias("theirs")), "hub")
     around = around.select("hub", "node", "out", F.size("theirs").alias("n"), F.array_except("own", "theirs").alias("more"), F.array_except("theirs", "own").alias("less"))
     around = around.withColumn("w", k * F.size("more") + m * F.size("less")).withColumn("all", F.size("more") + F.size("less"))
-    # A shingle is added or lacking, as the hub has it or not: its hash alone tells which.
-    each = cut_lineage(around.select("hub", "node", "out", "n", "w", "all", F.explode(F.concat("more", "less")).alias("d")))
+    # A shingle is added or lacking, as the hub has it or not: its hash alone tells which. Arrays are written, not a row for each
+    # difference, and what holds for a whole member is joined to the differences that others share.
+    around = cut_lineage(around.select("hub", "node", "out", "n", "w", "all", F.concat("more", "less").alias("ds")))
+    each = around.select("hub", "node", "out", F.explode("ds").alias("d"))
     rare = each.groupBy("hub", "d").agg(F.count("*").alias("often"), F.bool_or("out").alias("asked")).where("often > 1 AND asked")
     order = Window.partitionBy("hub", "node").orderBy("often", "d")
     # Differences that nobody shares come first, and are not dealt out: only their number counts.
-    shared = each.join(rare, ["hub", "d"]).withColumn("i", F.col("all") - F.count("*").over(Window.partitionBy("hub", "node")) + F.row_number().over(order) - 1)
+    whole = around.select("hub", "node", "n", "w", "all")
+    shared = each.join(rare, ["hub", "d"]).join(whole, ["hub", "node"]).withColumn("i", F.col("all") - F.count("*").over(Window.partitionBy("hub", "node")) + F.row_number().over(order) - 1)
     shared = shared.withColumn("slack", (k + m) * (F.col("all") - F.col("i")) - F.col("w")).withColumn("excess", F.col("w") - (m - k) * F.col("n"))
     theirs = shared.where("slack > 0").select("hub", "d", F.col("node").alias("y"), "slack", F.col("excess").alias("need"))
     ours = shared.where("out").select("hub", "d", F.col("node").alias("x"), "excess", F.col("slack").alias("own"))
