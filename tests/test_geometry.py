@@ -128,3 +128,38 @@ def test_unknown_percentiles_are_no_drivers(spark):
     rows = [(1, 3.0, 9.0, 5.0), (2, None, 4.0, None), (3, None, None, None), (4, float("nan"), 1.0, 1.0)]
     found = spark.createDataFrame(rows, "k int, a double, b double, c double").select("k", index.top_drivers(["a", "b", "c"]).alias("d")).collect()
     assert {r.k: [(d.name, d.value) for d in r.d] for r in found} == {1: [("b", 9.0), ("c", 5.0)], 2: [("b", 4.0)], 3: [], 4: [("c", 1.0), ("b", 1.0)]}
+
+
+def test_long_edges_meet_what_they_pass(spark):
+    """Edges of many cells, at every slope, against all pairs: points and other edges within the reach."""
+    rng = random.Random(12)
+    edge = lambda k, size: (k, *(rng.uniform(-size, size) for _ in range(2)), *(rng.choice([0.0, rng.uniform(-size, size)]) for _ in range(2)))
+    edges = [edge(k, 50) for k in range(40)] + [(90, -40.0, 3.0, 40.0, 3.0), (91, 7.0, -30.0, 7.0, 30.0), (92, 1.0, 1.0, 1.0, 1.0)]
+    points = [(k, rng.uniform(-50, 50), rng.uniform(-50, 50)) for k in range(150)]
+
+    def distance(px, py, ax, ay, bx, by):
+        dx, dy = bx - ax, by - ay
+        t = min(1, max(0, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))) if dx or dy else 0
+        return math.hypot(px - ax - t * dx, py - ay - t * dy)
+
+    there = spark.createDataFrame(edges, "line int, ax double, ay double, bx double, by double")
+    found = joins.within_of_lines(spark.createDataFrame(points, "k int, px double, py double"), there, 1.5, "k", "line")
+    assert {(r.k, r.line) for r in found.collect()} == {(k, e[0]) for k, x, y in points for e in edges if distance(x, y, *e[1:]) <= 1.5}
+
+    def apart(a, b):
+        cross = lambda o, p, q: (p[0] - o[0]) * (q[1] - o[1]) - (p[1] - o[1]) * (q[0] - o[0])
+        p, q, r, s = a[:2], a[2:], b[:2], b[2:]
+        if cross(p, q, r) * cross(p, q, s) < 0 and cross(r, s, p) * cross(r, s, q) < 0:
+            return 0.0
+        return min(distance(*p, *b), distance(*q, *b), distance(*r, *a), distance(*s, *a))
+
+    pairs = joins.lines_within(there, there.withColumnRenamed("line", "other"), 0.7, "line", "other", 2.0)
+    assert {(r.line, r.other) for r in pairs.collect()} == {(a[0], b[0]) for a in edges for b in edges if apart(a[1:], b[1:]) <= 0.7}
+    cells = joins._along(there.where("line = 90"), 0.5, 1.0)
+    assert cells.count() < 2 * 3 * 85
+
+
+def test_intervals_in_a_fine_unit_take_few_bins(spark):
+    wide = spark.createDataFrame([(k, k * 10**9, k * 10**9 + 5 * 10**8) for k in range(20)], "k int, a long, b long")
+    other = wide.select(F.col("k").alias("m"), (F.col("a") + 10**8).alias("c"), (F.col("b") + 10**9).alias("d"))
+    assert joins.overlap_binned(wide, other, ("a", "b"), ("c", "d")).count() == 39

@@ -47,8 +47,14 @@ def overlap_theta(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tupl
     return left.join(right, (F.col(b[0]) < F.col(a[1])) & (F.col(b[1]) > F.col(a[0])))
 
 
-def overlap_binned(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], width: int = 1) -> DataFrame:
-    """The same pairs through an equi join on bins of ``width``: each pair is kept in the first bin that both share."""
+def overlap_binned(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], width: float | None = None) -> DataFrame:
+    """The same pairs through an equi join on bins of ``width``: each pair is kept in the first bin that both share.
+
+    Without ``width`` it is the longer side's mean span, so intervals take two bins on average, whatever their unit.
+    """
+    if width is None:
+        spans = (f.agg(F.avg(F.when(F.col(hi) > F.col(lo), F.col(hi) - F.col(lo)))).first()[0] for f, (lo, hi) in ((left, a), (right, b)))
+        width = float(max((x for x in spans if x), default=1.0))
     bins = lambda lo, hi: F.when(F.col(hi) > F.col(lo), F.sequence(F.floor(F.col(lo) / width), F.ceil(F.col(hi) / width) - 1))
     ours, theirs = left.withColumn("__bin", F.explode(bins(*a))), right.withColumn("__bin", F.explode(bins(*b)))
     both = ours.join(theirs, "__bin").where((F.col(b[0]) < F.col(a[1])) & (F.col(b[1]) > F.col(a[0])))
@@ -127,26 +133,35 @@ def snapped(points: DataFrame, edges: DataFrame, reach: float, point_key: str, e
     return found.drop("too_far")
 
 
+def _along(edges: DataFrame, reach: float, size: float) -> DataFrame:
+    """``edges`` (ax, ay, bx, by) with the cells of ``size`` (__cx, __cy) that a strip of ``reach`` around each passes: in each row of cells, only those beside its part in that row."""
+    reach = reach + size * 1e-9
+    cell = lambda c: F.floor(c / size)
+    ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
+    rows = edges.withColumn("__cy", F.explode(F.sequence(cell(F.least(ay, by) - reach), cell(F.greatest(ay, by) + reach))))
+    ends = [(y - ay) / F.nullif(by - ay, F.lit(0.0)) for y in (F.col("__cy") * size - reach, (F.col("__cy") + 1) * size + reach)]
+    inside = lambda t: F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    first, last = inside(F.coalesce(F.least(*ends), F.lit(0.0))), inside(F.coalesce(F.greatest(*ends), F.lit(1.0)))
+    x0, x1 = ax + first * (bx - ax), ax + last * (bx - ax)
+    return rows.withColumn("__cx", F.explode(F.sequence(cell(F.least(x0, x1) - reach), cell(F.greatest(x0, x1) + reach))))
+
+
 def within_of_lines(points: DataFrame, edges: DataFrame, reach: float, point_key: str, line_key: str) -> DataFrame:
     """Pairs of points (px, py) and lines with an edge (ax, ay, bx, by) within ``reach``, with the least distance.
 
-    An edge goes to each cell of size ``reach`` that its widened box touches, a point to its own.
+    An edge goes to the cells of size ``reach`` that it passes within ``reach``, a point to its own.
     """
     cell = lambda c: F.floor(c / reach)
-    spread = lambda lo, hi: F.explode(F.sequence(cell(F.least(lo, hi) - reach), cell(F.greatest(lo, hi) + reach)))
-    dealt = edges.withColumn("__cx", spread(F.col("ax"), F.col("bx"))).withColumn("__cy", spread(F.col("ay"), F.col("by")))
-    near = points.withColumns({"__cx": cell(F.col("px")), "__cy": cell(F.col("py"))}).join(dealt, ["__cx", "__cy"])
+    near = points.withColumns({"__cx": cell(F.col("px")), "__cy": cell(F.col("py"))}).join(_along(edges, reach, reach), ["__cx", "__cy"])
     near = near.withColumn("distance", geo.point_segment_distance(*(F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")))).where(F.col("distance") <= reach)
     return near.groupBy(point_key, line_key).agg(F.min("distance").alias("distance"))
 
 
 def lines_within(left: DataFrame, right: DataFrame, reach: float, left_key: str, right_key: str, size: float | None = None) -> DataFrame:
     """Pairs of lines whose edges (ax, ay, bx, by) come within ``reach``: the buffered intersects join. ``size``: of the cells that edges meet in, ``reach`` unless given."""
-    cell = lambda c: F.floor(c / (size or reach))
-    spread = lambda lo, hi, by: F.explode(F.sequence(cell(F.least(lo, hi) - by), cell(F.greatest(lo, hi) + by)))
-    deal = lambda e, by: e.withColumn("__cx", spread(F.col("ax"), F.col("bx"), by)).withColumn("__cy", spread(F.col("ay"), F.col("by"), by))
-    ours = deal(left, reach).select(left_key, "__cx", "__cy", F.struct("ax", "ay", "bx", "by").alias("__a"))
-    theirs = deal(right, 0.0).select(right_key, "__cx", "__cy", F.struct("ax", "ay", "bx", "by").alias("__b"))
+    size = size or reach
+    ours = _along(left, reach, size).select(left_key, "__cx", "__cy", F.struct("ax", "ay", "bx", "by").alias("__a"))
+    theirs = _along(right, 0.0, size).select(right_key, "__cx", "__cy", F.struct("ax", "ay", "bx", "by").alias("__b"))
     sides = [tuple(F.col(f"{s}.{c}") for c in ("ax", "ay", "bx", "by")) for s in ("__a", "__b")]
     return ours.join(theirs, ["__cx", "__cy"]).where(geo.segments_distance(*sides) <= reach).select(left_key, right_key).distinct()
 

@@ -155,12 +155,14 @@ def _as_published(frame: DataFrame, columns: dict[str, int | None]) -> DataFrame
 
 
 def published_snapshots(shots: DataFrame) -> DataFrame:
-    names = "segment_id km_inicio km_fin observed_at_utc ingested_at_utc metric_name metric_value unit evidence_type fuente source_version uncertainty_lower uncertainty_upper quality_flag is_simulated simulation_scenario_id notes".split()
+    # fixed values: the published header
+    names = ("segment_id", "km_inicio", "km_fin", "observed_at_utc", "ingested_at_utc", "metric_name", "metric_value", "unit", "evidence_type", "fuente", "source_version", "uncertainty_lower", "uncertainty_upper", "quality_flag", "is_simulated", "simulation_scenario_id", "notes")
     return _as_published(shots, {n: 3 if n in ("metric_value", "uncertainty_lower", "uncertainty_upper") else None for n in names})
 
 
 def published_events(events: DataFrame) -> DataFrame:
-    names = "change_event_id segment_id baseline_snapshot_at_utc current_snapshot_at_utc metric_name baseline_value current_value delta_abs delta_pct change_direction change_class confidence is_simulated simulation_scenario_id fuente source_version".split()
+    # fixed values: the published header
+    names = ("change_event_id", "segment_id", "baseline_snapshot_at_utc", "current_snapshot_at_utc", "metric_name", "baseline_value", "current_value", "delta_abs", "delta_pct", "change_direction", "change_class", "confidence", "is_simulated", "simulation_scenario_id", "fuente", "source_version")
     return _as_published(events, {n: {"delta_pct": 6, "confidence": 1}.get(n, 3 if n in ("baseline_value", "current_value", "delta_abs") else None) for n in names})
 
 

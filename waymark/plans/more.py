@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.functions import geo, text
-from waymark.operators import graph, grid, joins, linear, quality, stats
+from waymark.operators import graph, grid, joins, linear, quality, stats, temporal
 from waymark.plans.catalogue import _places, _query, _r, _rounded, _table
 from waymark.session import scratch
-from waymark.sources import geotiff, readers, sinks
+from waymark.sources import geotiff, readers, sinks, zarr
 
 # ---- sources and sinks: written to the shared folder and read back ------------------------------------------------
 
@@ -104,12 +104,12 @@ def corridor_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _points(spark, sf_dir).select("c_custkey").join(near, "c_custkey", "left_semi")
 
 
-@_query(f"""WITH {_POINTS_SQL}, {_EDGES_SQL}, f AS (SELECT line, ax, ay, ax + dx AS bx, ay + dy AS by FROM e WHERE abs(dx) <= 4 AND abs(dy) <= 4),
+@_query(f"""WITH {_POINTS_SQL}, {_EDGES_SQL}, f AS (SELECT line, ax, ay, ax + dx AS bx, ay + dy AS by FROM e),
 s AS (SELECT a.line AS a_line, b.line AS b_line, (b.ax - a.ax) AS rx, (b.ay - a.ay) AS ry, a.bx - a.ax AS ux, a.by - a.ay AS uy, b.bx - b.ax AS vx, b.by - b.ay AS vy FROM f a JOIN f b ON a.line < b.line)
 SELECT DISTINCT a_line, b_line FROM (SELECT a_line, b_line, (ux * ry - uy * rx) * (ux * (ry + vy) - uy * (rx + vx)) AS p, (vx * -ry - vy * -rx) * (vx * (uy - ry) - vy * (ux - rx)) AS q FROM s) WHERE p < 0 AND q < 0""")
 def lines_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of lines whose edges cross: the intersects join at a buffer of nothing."""
-    edges = linear.edges(_lines(spark, sf_dir)).where("abs(bx - ax) <= 4 AND abs(by - ay) <= 4").select("line", "ax", "ay", "bx", "by")
+    edges = linear.edges(_lines(spark, sf_dir)).select("line", "ax", "ay", "bx", "by")
     side = lambda e, c: e.withColumnRenamed("line", c)
     ours, theirs = side(edges, "a_line"), side(edges, "b_line")
     return joins.lines_within(ours, theirs, 1e-9, "a_line", "b_line", 1.0).where("a_line < b_line")
@@ -165,6 +165,19 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select(F.floor(k / 100).cast("int").alias("row"), (k % 100).cast("int").alias("col"), F.col("p_retailprice").alias("value"))
 
 
+@_query("""WITH h AS (SELECT (user_id % 4)::DOUBLE AS latitude, (user_id % 6)::DOUBLE / 4 AS longitude, date_trunc('hour', ts) AS ts, sum(value::DECIMAL(18,6))::DOUBLE AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2, 3)
+SELECT latitude, longitude, strftime(ts::DATE, '%Y-%m-%d') AS day, round(min(value), 6) AS least, round(max(value), 6) AS most, round(sum(value), 4) AS total, count(*) AS n FROM h WHERE latitude BETWEEN 1 AND 2 GROUP BY 1, 2, 3""")
+def cube_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by hour as a chunked cube, and the days of a box of it: chunks outside are not opened."""
+    hours = _table(spark, sf_dir, "events").where("value IS NOT NULL").select((F.col("user_id") % 4).cast("double").alias("latitude"), ((F.col("user_id") % 6) / 4).alias("longitude"), F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts"), F.col("value").cast("decimal(18,6)").alias("v"))
+    cells = hours.groupBy("latitude", "longitude", "ts").agg(F.lit("value").alias("variable"), F.sum("v").cast("double").alias("value"))
+    path = scratch(spark, "cube")
+    zarr.write(cells, path, (240, 2, 3))
+    box = zarr.read(spark, path, ["value"], lat=(1.0, 2.0)).where("value IS NOT NULL")
+    days = temporal.daily(box, ["latitude", "longitude"], "ts", "value")
+    return _rounded(days, "least", "most").select("latitude", "longitude", F.date_format("day", "yyyy-MM-dd").alias("day"), "least", "most", _r("total", 4).alias("total"), "n")
+
+
 @_query(f"WITH {_PARTS_SQL} SELECT row, col, value, 10.0 * col + 1005.0::DOUBLE AS x, 4995.0::DOUBLE - 10.0 * row AS y FROM c WHERE row >= 1 AND row < 3 AND col >= 20 AND col < 90")
 def geotiff_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts' grid as a tiled GeoTIFF, and a window of it read back with the places of its cells."""

@@ -5,21 +5,89 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-_KINDS = {"int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "date": T.DateType(), "timestamp": T.TimestampType()}
-
-
-def _schema(spec: str) -> T.StructType:
-    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in map(str.split, spec.split(", "))])
-
-
-SEGMENTS = _schema("km_inicio int, km_fin int, s_inicio_km double, s_fin_km double, longitud_traza_km double, factor_local double, metodo_calibracion string")
-CONTROL_POINTS = _schema("progresiva_km double, lat double, lon double, confianza string, fuente string, fecha_relevamiento date, observacion string")
-REFERENCE_ELEVATIONS = _schema("lat double, lon double, elevacion_m double, toponimo string, fuente string, fecha string")
-HAZARDS = _schema("km_inicio int, km_fin int, peligro string, categoria string, estacionalidad string, nivel string, fuente string")
-SPEEDS = _schema("progresiva_km double, velocidad_max_kmh int, lat double, lon double, fuente string, observacion string")
-NEIGHBOURS = _schema("segment_id string, km_inicio int, km_fin int, neighbor_segment_id string, neighbor_km_inicio int, neighbor_km_fin int, distance_order int, weight double, fuente string")
-CELLS = _schema("row int, col int, value double")
-CUBE = _schema("latitude double, longitude double, ts timestamp, variable string, value double")
+#: The published tables' columns.
+SEGMENTS = T.StructType(
+    [
+        T.StructField("km_inicio", T.IntegerType()),
+        T.StructField("km_fin", T.IntegerType()),
+        T.StructField("s_inicio_km", T.DoubleType()),
+        T.StructField("s_fin_km", T.DoubleType()),
+        T.StructField("longitud_traza_km", T.DoubleType()),
+        T.StructField("factor_local", T.DoubleType()),
+        T.StructField("metodo_calibracion", T.StringType()),
+    ]
+)
+CONTROL_POINTS = T.StructType(
+    [
+        T.StructField("progresiva_km", T.DoubleType()),
+        T.StructField("lat", T.DoubleType()),
+        T.StructField("lon", T.DoubleType()),
+        T.StructField("confianza", T.StringType()),
+        T.StructField("fuente", T.StringType()),
+        T.StructField("fecha_relevamiento", T.DateType()),
+        T.StructField("observacion", T.StringType()),
+    ]
+)
+REFERENCE_ELEVATIONS = T.StructType(
+    [
+        T.StructField("lat", T.DoubleType()),
+        T.StructField("lon", T.DoubleType()),
+        T.StructField("elevacion_m", T.DoubleType()),
+        T.StructField("toponimo", T.StringType()),
+        T.StructField("fuente", T.StringType()),
+        T.StructField("fecha", T.StringType()),
+    ]
+)
+HAZARDS = T.StructType(
+    [
+        T.StructField("km_inicio", T.IntegerType()),
+        T.StructField("km_fin", T.IntegerType()),
+        T.StructField("peligro", T.StringType()),
+        T.StructField("categoria", T.StringType()),
+        T.StructField("estacionalidad", T.StringType()),
+        T.StructField("nivel", T.StringType()),
+        T.StructField("fuente", T.StringType()),
+    ]
+)
+SPEEDS = T.StructType(
+    [
+        T.StructField("progresiva_km", T.DoubleType()),
+        T.StructField("velocidad_max_kmh", T.IntegerType()),
+        T.StructField("lat", T.DoubleType()),
+        T.StructField("lon", T.DoubleType()),
+        T.StructField("fuente", T.StringType()),
+        T.StructField("observacion", T.StringType()),
+    ]
+)
+NEIGHBOURS = T.StructType(
+    [
+        T.StructField("segment_id", T.StringType()),
+        T.StructField("km_inicio", T.IntegerType()),
+        T.StructField("km_fin", T.IntegerType()),
+        T.StructField("neighbor_segment_id", T.StringType()),
+        T.StructField("neighbor_km_inicio", T.IntegerType()),
+        T.StructField("neighbor_km_fin", T.IntegerType()),
+        T.StructField("distance_order", T.IntegerType()),
+        T.StructField("weight", T.DoubleType()),
+        T.StructField("fuente", T.StringType()),
+    ]
+)
+CELLS = T.StructType(
+    [
+        T.StructField("row", T.IntegerType()),
+        T.StructField("col", T.IntegerType()),
+        T.StructField("value", T.DoubleType()),
+    ]
+)
+CUBE = T.StructType(
+    [
+        T.StructField("latitude", T.DoubleType()),
+        T.StructField("longitude", T.DoubleType()),
+        T.StructField("ts", T.TimestampType()),
+        T.StructField("variable", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+    ]
+)
 
 #: Ordered levels and classes, and the kinds of evidence.
 LEVELS = ("medio", "alto_medio", "alto")
