@@ -82,9 +82,9 @@ def test_some_leaves_asked_for(spark):
     leaves = frame.select(F.col("lang").alias("grp"), F.col("doc_id").alias("key"), F.sha2("text", 256).alias("leaf"))
     manifest = build(leaves)
     whole = {(r.tree, r.pos): r for r in prove(manifest).collect()}
-    asked = spark.createDataFrame([(0, 0), (0, 233), (2, 17), (2, 17), (9, 9)], "tree long, pos long")
+    asked = spark.createDataFrame([(0, 0), (1, 233), (2, 17), (2, 17), (9, 9), (0, 233)], "tree long, pos long")
     some = prove(manifest, asked).withColumn("again", folded(F.col("leaf"), F.col("path"))).withColumn("proof", proof_digest(F.col("path"))).collect()
-    assert {(r.tree, r.pos) for r in some} == {(0, 0), (0, 233), (2, 17)} and len(some) == 3
+    assert {(r.tree, r.pos) for r in some} == {(0, 0), (1, 233), (2, 17)} and len(some) == 3
     assert all(r.again == manifest.root and r.path == whole[r.tree, r.pos].path for r in some)
 
 
