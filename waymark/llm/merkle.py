@@ -43,7 +43,6 @@ def _joined(digests: Column) -> Column:
 
 def numbered(leaves: DataFrame) -> DataFrame:
     """``leaves`` (grp, key, leaf, ...) with tree (the group's number in order), pos (the row's number in its group) and width (the group's rows)."""
-    leaves = cut_lineage(leaves)  # dealing by ranges reads them twice, once for the bounds
     keys = [F.asc_nulls_first("grp"), F.asc_nulls_first("key"), F.asc("leaf"), F.asc("tie")]
     # equal rows may stand in any order, so a tie of their own lets a large group of them fall apart
     dealt = leaves.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("tie")
