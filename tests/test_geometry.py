@@ -97,6 +97,15 @@ def test_overlap_is_half_open_whatever_the_bins(spark, width):
     assert sorted(map(tuple, binned)) == sorted(want)
 
 
+@pytest.mark.parametrize("width", [1, 3, 50])
+def test_empty_intervals_meet_those_around_them(spark, width):
+    a = spark.createDataFrame([(0, 1), (1, 4), (4, 4), (3, 9), (6, 5), (None, 2)], "a int, b int")
+    h = a.toDF("c", "d")
+    binned = joins.overlap_binned(a, h, ("a", "b"), ("c", "d"), width, empty=True).collect()
+    plain = joins.overlap_theta(a, h, ("a", "b"), ("c", "d")).collect()
+    assert (4, 4, 3, 9) in map(tuple, plain) and sorted(map(tuple, binned)) == sorted(map(tuple, plain))
+
+
 def test_lines_and_points_within(spark):
     edges = spark.createDataFrame([("x", 0.0, 0.0, 10.0, 0.0), ("y", 0.0, 5.0, 10.0, 5.0)], "line string, ax double, ay double, bx double, by double")
     points = spark.createDataFrame([(1, 2.0, 1.0), (2, 2.0, 2.5), (3, 20.0, 0.0)], "p int, px double, py double")

@@ -47,15 +47,20 @@ def overlap_theta(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tupl
     return left.join(right, (F.col(b[0]) < F.col(a[1])) & (F.col(b[1]) > F.col(a[0])))
 
 
-def overlap_binned(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], width: float | None = None) -> DataFrame:
+def overlap_binned(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tuple[str, str], width: float | None = None, empty: bool = False) -> DataFrame:
     """The same pairs through an equi join on bins of ``width``: each pair is kept in the first bin that both share.
 
+    Intervals without length have no pairs, or with ``empty`` those that the plain condition gives them: with the intervals that hold their place inside.
     Without ``width`` it is the longer side's mean span, so intervals take two bins on average, whatever their unit.
     """
     if width is None:
         spans = (f.agg(F.avg(F.when(F.col(hi) > F.col(lo), F.col(hi) - F.col(lo)))).first()[0] for f, (lo, hi) in ((left, a), (right, b)))
         width = float(max((x for x in spans if x), default=1.0))
-    bins = lambda lo, hi: F.when(F.col(hi) > F.col(lo), F.sequence(F.floor(F.col(lo) / width), F.ceil(F.col(hi) / width) - 1))
+
+    def bins(lo: str, hi: str) -> Column:
+        long = F.when(F.col(hi) > F.col(lo), F.sequence(F.floor(F.col(lo) / width), F.ceil(F.col(hi) / width) - 1))
+        return long.otherwise(F.array(F.floor(F.col(lo) / width))) if empty else long
+
     ours, theirs = left.withColumn("__bin", F.explode(bins(*a))), right.withColumn("__bin", F.explode(bins(*b)))
     both = ours.join(theirs, "__bin").where((F.col(b[0]) < F.col(a[1])) & (F.col(b[1]) > F.col(a[0])))
     return both.where(F.col("__bin") == F.floor(F.greatest(F.col(a[0]), F.col(b[0])) / width)).drop("__bin")
