@@ -105,3 +105,12 @@ def test_interpolation_over_many_anchors(spark, many_slices):
     with pytest.raises(joins.OutOfBounds, match="20000"):
         joins.interpolate(asked.where("at > 0"), there, "at", "k", "v", "out", outside="fail")
     assert joins.interpolate(asked, there.limit(0), "at", "k", "v", "out").collect() == []
+
+
+def test_no_frame_runs_to_the_end_of_a_slice(spark):
+    """Spark goes over such a frame again for each row: a slice would cost the square of its rows."""
+    asked = spark.range(50).select(F.lit(0).alias("line"), F.col("id").alias("k"))
+    there = spark.range(0, 50, 5).select(F.lit(0).alias("line"), F.col("id").alias("m"))
+    met = ordered.next_match(asked, there, "line", F.col("k"), F.col("m"), "e")
+    assert "unboundedfollowing" not in met._jdf.queryExecution().analyzed().toString().lower()
+    assert {r.k: r.e.m if r.e else None for r in met.collect()} == {k: -(-k // 5) * 5 if k <= 45 else None for k in range(50)}

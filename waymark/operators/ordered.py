@@ -22,7 +22,7 @@ def sliced(frame: DataFrame, line: str, *places: str, parts: int | None = None)
     return cut_lineage(dealt.sortWithinPartitions(*keys).withColumn(SLICE, F.spark_partition_id()))
 
 
-def _inside(line: str, *places: str):
+def _inside(line: str, *places: str | Column):
     return Window.partitionBy(line, SLICE).orderBy(*places)
 
 
@@ -69,10 +69,11 @@ def next_match(asked: DataFrame, there: DataFrame, line: str, at: Column, ends:
     both = asked.select(F.col(line).alias("__l"), at.cast("double").alias("__at"), F.lit(0).alias("__kind"), mine.alias("__mine"), F.lit(None).cast(there.select(theirs.alias("x")).schema["x"].dataType).alias("__theirs"))
     rows = both.unionByName(there.select(F.col(line).alias("__l"), ends.cast("double").alias("__at"), F.lit(1).alias("__kind"), theirs.alias("__theirs")), allowMissingColumns=True)
     rows = sliced(rows, "__l", "__at", "__kind", parts=parts)
-    ahead = _inside("__l", "__at", "__kind").rowsBetween(0, Window.unboundedFollowing)
+    # from a slice's end towards its start: frames that grow with the rows are one pass, frames up to the end would be one for each row
+    ahead = _inside("__l", F.desc("__at"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, 0)
     first = rows.where("__kind = 1").groupBy("__l", SLICE).agg(F.min_by("__theirs", "__at").alias("__first"))
     every = rows.select("__l", SLICE).distinct().join(first.withColumnsRenamed({"__l": "__k", SLICE: "__s"}), F.col("__l").eqNullSafe(F.col("__k")) & (F.col(SLICE) == F.col("__s")), "left").drop("__k", "__s")
-    later = Window.partitionBy("__l").orderBy(SLICE).rowsBetween(1, Window.unboundedFollowing)
-    behind = every.withColumn("__behind", F.first("__first", ignorenulls=True).over(later)).drop("__first")
-    found = _joined(rows.withColumn("__inner", F.first("__theirs", ignorenulls=True).over(ahead)), behind, "__l").where("__kind = 0")
+    later = Window.partitionBy("__l").orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+    behind = every.withColumn("__behind", F.last("__first", ignorenulls=True).over(later)).drop("__first")
+    found = _joined(rows.withColumn("__inner", F.last("__theirs", ignorenulls=True).over(ahead)), behind, "__l").where("__kind = 0")
     return found.select("__mine.*", F.coalesce("__inner", "__behind").alias(out))
