@@ -66,16 +66,27 @@ def overlap_binned(left: DataFrame, right: DataFrame, a: tuple[str, str], b: tup
     return both.where(F.col("__bin") == F.floor(F.greatest(F.col(a[0]), F.col(b[0])) / width)).drop("__bin")
 
 
+def _least_alike(targets: DataFrame, key: str, kept: int = 1) -> DataFrame:
+    """Of targets that are alike in all but their key, those with the ``kept`` least keys: none of the others is ever the nearest of a point."""
+    alike = Window.partitionBy(*(f"`{c}`" for c in targets.columns if c != key)).orderBy(key)
+    return targets.where(F.col(key).isNotNull()).distinct().withColumn("__k", F.row_number().over(alike)).where(F.col("__k") <= kept).drop("__k")
+
+
+def _nine_cells(targets: DataFrame, size: float, at: tuple[Column, Column]) -> DataFrame:
+    """``targets`` in their own and the eight neighbouring cells (__cx, __cy) of ``size``."""
+    around = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    spread = targets.withColumns({"__x": F.floor(at[0] / size), "__y": F.floor(at[1] / size), "__n": F.explode(F.array(*around))})
+    return spread.withColumns({"__cx": F.col("__x") + F.col("__n.i"), "__cy": F.col("__y") + F.col("__n.j")}).drop("__n", "__x", "__y")
+
+
 def nearest_within(points: DataFrame, targets: DataFrame, reach: float, distance: Column, point_key: str, target_key: str, own: Column, cells: tuple[Column, Column], others: tuple[Column, Column], strict: bool = False) -> DataFrame:
     """Each point's nearest target within ``reach``: point_key, target_key and distance, ties to the smaller target.
 
     ``cells`` and ``others`` are both sides' planar coordinates; points meet the targets of their
     own and the eight neighbouring cells of size ``reach`` in an equi join. ``own``: pairs to leave out.
     """
-    cell = lambda c: F.floor(c / reach)
-    around = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    asked = points.withColumn("__n", F.explode(F.array(*around))).withColumns({"__cx": cell(cells[0]) + F.col("__n.i"), "__cy": cell(cells[1]) + F.col("__n.j")}).drop("__n")
-    there = targets.withColumns({"__cx": cell(others[0]), "__cy": cell(others[1])})
+    there = _nine_cells(_least_alike(targets, target_key, 2), reach, others)
+    asked = points.withColumns({"__cx": F.floor(cells[0] / reach), "__cy": F.floor(cells[1] / reach)})
     near = asked.join(there, ["__cx", "__cy"]).where(~own).withColumn("distance", distance)
     near = near.where(F.col("distance") <= reach if not strict else (F.col("distance") > 0) & (F.col("distance") <= reach))
     best = near.groupBy(point_key).agg(F.min(F.struct("distance", target_key)).alias("best"))
