@@ -99,7 +99,7 @@ def nearest_on_earth(points: DataFrame, targets: DataFrame, distance: Column, po
     ``here`` and ``there``: longitude and latitude in degrees. Points meet the targets of their own and the eight neighbouring
     cells in an equi join. A best distance within the reach that these nine cells surely cover is final; the other points go on
     with cells of twice the size, until the cells are wider than the earth. Cells don't go round at 180 degrees, so points whose
-    cells come near it are final in the last round only.
+    cells come near it are final in the last round only. Targets alike in all but their key meet as the one with the least key.
     """
     span = targets.agg(F.count("*").alias("n"), *(f(c).alias(f"{n}{k}") for k, c in enumerate(there) for n, f in (("lo", F.min), ("hi", F.max)))).first()
     if not span.n:
@@ -107,10 +107,8 @@ def nearest_on_earth(points: DataFrame, targets: DataFrame, distance: Column, po
     size = max(1e-6, (max(span.hi0 - span.lo0, 1e-6) * max(span.hi1 - span.lo1, 1e-6) / span.n) ** 0.5)
     open_, done = points, None
     for _ in range(most_rounds):
-        cell = lambda c: F.floor(F.col(c) / size)
-        around = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-        asked = open_.withColumn("__n", F.explode(F.array(*around))).withColumns({"__cx": cell(here[0]) + F.col("__n.i"), "__cy": cell(here[1]) + F.col("__n.j")}).drop("__n")
-        met = asked.join(targets.withColumns({"__cx": cell(there[0]), "__cy": cell(there[1])}), ["__cx", "__cy"]).withColumn("distance", distance)
+        asked = open_.withColumns({"__cx": F.floor(F.col(here[0]) / size), "__cy": F.floor(F.col(here[1]) / size)})
+        met = asked.join(_nine_cells(targets, size, (F.col(there[0]), F.col(there[1]))), ["__cx", "__cy"]).withColumn("distance", distance)
         best = met.groupBy(point_key).agg(F.min(F.struct("distance", target_key)).alias("best"))
         # Beyond the cells a target is a cell's height away in latitude, or a cell's width in longitude: at least the way to that meridian.
         wide = F.when(F.lit(size) < 90, F.asin(F.cos(F.radians(here[1])) * F.sin(F.radians(F.lit(min(size, 90.0)))))).otherwise(F.radians(F.lit(min(size, 90.0))) * 0)
