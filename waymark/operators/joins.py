@@ -163,12 +163,38 @@ def _along(edges: DataFrame, reach: float, size: float) -> DataFrame:
 def within_of_lines(points: DataFrame, edges: DataFrame, reach: float, point_key: str, line_key: str) -> DataFrame:
     """Pairs of points (px, py) and lines with an edge (ax, ay, bx, by) within ``reach``, with the least distance.
 
+def alike_lines(edges: DataFrame, line_key: str) -> tuple[DataFrame, DataFrame]:
+    """The unlike edges (ax, ay, bx, by) of the first line of all that have the same edges, and all lines with that one: line_key and __like.
+
+    Lines are told apart by the number of their unlike edges and two sums of 64-bit hashes of them, so no task holds a line.
+    """
+    ends = ["ax", "ay", "bx", "by"]
+    unlike = cut_lineage(edges.select(line_key, *ends).distinct())
+    sums = [F.sum(F.xxhash64(F.lit(k), *ends).cast("decimal(20,0)")).alias(f"h{k}") for k in (0, 1)]
+    shape = unlike.groupBy(line_key).agg(F.count("*").alias("n"), *sums)
+    firsts = shape.groupBy("n", "h0", "h1").agg(F.min(line_key).alias("__like"))
+    lines = cut_lineage(shape.join(firsts, ["n", "h0", "h1"]).select(line_key, "__like"))
+    return unlike.join(lines.where(F.col(line_key).eqNullSafe(F.col("__like"))).select(line_key), line_key, "left_semi"), lines
+
+
+def _members(pairs: DataFrame, lines: DataFrame, line_key: str) -> DataFrame:
+    """``pairs`` of a first line with all lines that are like it."""
+    named = lines.withColumnsRenamed({line_key: "__one", "__like": "__first"})
+    met = pairs.join(named, F.col(line_key) == F.col("__first"))
+    return met.select(*(F.col("__one").alias(c) if c == line_key else F.col(f"`{c}`") for c in pairs.columns))
+
+
     An edge goes to the cells of size ``reach`` that it passes within ``reach``, a point to its own.
     """
     cell = lambda c: F.floor(c / reach)
     near = points.withColumns({"__cx": cell(F.col("px")), "__cy": cell(F.col("py"))}).join(_along(edges, reach, reach), ["__cx", "__cy"])
     near = near.withColumn("distance", geo.point_segment_distance(*(F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")))).where(F.col("distance") <= reach)
     return near.groupBy(point_key, line_key).agg(F.min("distance").alias("distance"))
+    firsts, lines = alike_lines(edges, line_key)
+    return _members(_near_lines(points, firsts, reach, point_key, line_key), lines, line_key)
+
+
+def _near_lines(points: DataFrame, edges: DataFrame, reach: float, point_key: str, line_key: str) -> DataFrame:
 
 
 def lines_within(left: DataFrame, right: DataFrame, reach: float, left_key: str, right_key: str, size: float | None = None) -> DataFrame:
