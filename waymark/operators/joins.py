@@ -132,7 +132,8 @@ def nearest_edge(points: DataFrame, edges: DataFrame, reach: float, point_key: s
 
     ``places``: distances are rounded to so many decimals before they are compared.
     """
-    near = within_of_lines(points, edges, reach + (10.0**-places if places is not None else 0.0), point_key, edge_key)
+    firsts, _ = alike_lines(edges, edge_key)  # of edges that are alike the first one wins
+    near = _near_lines(points, firsts, reach + (10.0**-places if places is not None else 0.0), point_key, edge_key)
     if places is not None:
         near = near.withColumn("distance", F.round("distance", places)).where(F.col("distance") <= reach)
     best = near.groupBy(point_key).agg(F.min(F.struct("distance", edge_key)).alias("b"))
