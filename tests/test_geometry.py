@@ -172,3 +172,34 @@ def test_intervals_in_a_fine_unit_take_few_bins(spark):
     wide = spark.createDataFrame([(k, k * 10**9, k * 10**9 + 5 * 10**8) for k in range(20)], "k int, a long, b long")
     other = wide.select(F.col("k").alias("m"), (F.col("a") + 10**8).alias("c"), (F.col("b") + 10**9).alias("d"))
     assert joins.overlap_binned(wide, other, ("a", "b"), ("c", "d")).count() == 39
+
+
+def test_lines_that_only_touch_do_not_cross(spark):
+    """Lines that meet in an end or run in one another are none; copies of a line cross what it crosses, and each other where it crosses itself."""
+    rows = [(1, 0.0, 0.0, 4.0, 4.0), (2, 0.0, 4.0, 4.0, 0.0), (3, 4.0, 4.0, 8.0, 4.0), (4, 1.0, 1.0, 3.0, 3.0), (5, 0.0, 4.0, 4.0, 0.0)]
+    loop = [(0.0, 9.0, 4.0, 9.0), (4.0, 9.0, 4.0, 11.0), (4.0, 11.0, 2.0, 8.0)]
+    edges = spark.createDataFrame([*rows, *((k, *e) for k in (7, 8) for e in loop)], "line int, ax double, ay double, bx double, by double")
+    assert sorted(map(tuple, joins.lines_crossing(edges, "line", 1.0).collect())) == [(1, 2), (1, 5), (2, 4), (4, 5), (7, 8)]
+
+
+def test_lines_that_are_alike_meet_points_once(spark):
+    edges = spark.range(200).select((F.col("id") + 1).alias("line"), F.lit(0.0).alias("ax"), (F.col("id") % 2 * 1.0).alias("ay"), F.lit(9.0).alias("bx"), (F.col("id") % 2 * 1.0).alias("by"))
+    firsts, lines = joins.alike_lines(edges.union(edges), "line")
+    assert sorted(r.line for r in firsts.collect()) == [1, 2]
+    assert {(r.line, r["__like"]) for r in lines.collect()} == {(k, 2 - k % 2) for k in range(1, 201)}
+    points = spark.createDataFrame([(1, 3.0, 0.25), (2, 5.0, 7.0)], "p int, px double, py double")
+    near = joins.within_of_lines(points, edges, 0.5, "p", "line").collect()
+    assert sorted(map(tuple, near)) == [(1, k, 0.25) for k in range(1, 201, 2)]
+    assert joins.nearest_edge(points, edges, 0.5, "p", "line").where("p = 1").first().line == 1
+
+
+def test_targets_at_one_place_are_no_hot_cell(spark):
+    there = spark.range(300).select(F.col("id").alias("t"), (F.col("id") % 3 * 1.0).alias("tx"), F.lit(0.0).alias("ty"))
+    assert sorted(map(tuple, joins._least_alike(there.union(there), "t", 2).select("t").collect())) == [(0,), (1,), (2,), (3,), (4,), (5,)]
+    points = there.toDF("p", "x", "y")
+    way = F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))
+    asked = (points, there, 1.0, way, "p", "t")
+    at = ((F.col("x"), F.col("y")), (F.col("tx"), F.col("ty")))
+    assert {r.p: r.t for r in joins.nearest_within(*asked, F.col("p") == F.col("t"), *at).collect()} == {p: p % 3 if p > 2 else p + 3 for p in range(300)}
+    strict = {r.p: (r.t, r.distance) for r in joins.nearest_within(*asked, F.col("p") == F.col("t"), *at, strict=True).collect()}
+    assert strict == {p: ((1, 0, 1)[p % 3], 1.0) for p in range(300)}

@@ -39,6 +39,13 @@ def point_segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: C
     return F.hypot(px - (ax + t * (bx - ax)), py - (ay + t * (by - ay)))
 
 
+def segments_cross(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """Whether two segments (x1, y1, x2, y2) cross at a place inside both: each has its ends on either side of the other."""
+    rx, ry = b[0] - a[0], b[1] - a[1]
+    ux, uy, vx, vy = a[2] - a[0], a[3] - a[1], b[2] - b[0], b[3] - b[1]
+    return ((ux * ry - uy * rx) * (ux * (ry + vy) - uy * (rx + vx)) < 0) & ((vx * -ry - vy * -rx) * (vx * (uy - ry) - vy * (ux - rx)) < 0)
+
+
 def segments_distance(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """Distance of two segments (x1, y1, x2, y2): zero if they cross, else the least end-to-segment distance."""
 

@@ -83,7 +83,8 @@ def nearest_within(points: DataFrame, targets: DataFrame, reach: float, distance
     """Each point's nearest target within ``reach``: point_key, target_key and distance, ties to the smaller target.
 
     ``cells`` and ``others`` are both sides' planar coordinates; points meet the targets of their
-    own and the eight neighbouring cells of size ``reach`` in an equi join. ``own``: pairs to leave out.
+    own and the eight neighbouring cells of size ``reach`` in an equi join. ``own``: pairs to leave out, for each point those with one target key at most.
+    Of targets that are alike in all but their key only the two least take part, so a place with many targets is no hot cell.
     """
     there = _nine_cells(_least_alike(targets, target_key, 2), reach, others)
     asked = points.withColumns({"__cx": F.floor(cells[0] / reach), "__cy": F.floor(cells[1] / reach)})
@@ -101,6 +102,7 @@ def nearest_on_earth(points: DataFrame, targets: DataFrame, distance: Column, po
     with cells of twice the size, until the cells are wider than the earth. Cells don't go round at 180 degrees, so points whose
     cells come near it are final in the last round only. Targets alike in all but their key meet as the one with the least key.
     """
+    targets = cut_lineage(_least_alike(targets, target_key))
     span = targets.agg(F.count("*").alias("n"), *(f(c).alias(f"{n}{k}") for k, c in enumerate(there) for n, f in (("lo", F.min), ("hi", F.max)))).first()
     if not span.n:
         return points.where(F.lit(False)).select(point_key, F.lit(None).cast(targets.schema[target_key].dataType).alias(target_key), F.lit(0.0).alias("distance"))
@@ -161,9 +163,6 @@ def _along(edges: DataFrame, reach: float, size: float) -> DataFrame:
     return rows.withColumn("__cx", F.explode(F.sequence(cell(F.least(x0, x1) - reach), cell(F.greatest(x0, x1) + reach))))
 
 
-def within_of_lines(points: DataFrame, edges: DataFrame, reach: float, point_key: str, line_key: str) -> DataFrame:
-    """Pairs of points (px, py) and lines with an edge (ax, ay, bx, by) within ``reach``, with the least distance.
-
 def alike_lines(edges: DataFrame, line_key: str) -> tuple[DataFrame, DataFrame]:
     """The unlike edges (ax, ay, bx, by) of the first line of all that have the same edges, and all lines with that one: line_key and __like.
 
@@ -185,17 +184,21 @@ def _members(pairs: DataFrame, lines: DataFrame, line_key: str) -> DataFrame:
     return met.select(*(F.col("__one").alias(c) if c == line_key else F.col(f"`{c}`") for c in pairs.columns))
 
 
-    An edge goes to the cells of size ``reach`` that it passes within ``reach``, a point to its own.
+def within_of_lines(points: DataFrame, edges: DataFrame, reach: float, point_key: str, line_key: str) -> DataFrame:
+    """Pairs of points (px, py) and lines with an edge (ax, ay, bx, by) within ``reach``, with the least distance.
+
+    An edge goes to the cells of size ``reach`` that it passes within ``reach``, a point to its own. Of lines that have the same edges the first
+    one meets the points, and the others get its pairs.
     """
-    cell = lambda c: F.floor(c / reach)
-    near = points.withColumns({"__cx": cell(F.col("px")), "__cy": cell(F.col("py"))}).join(_along(edges, reach, reach), ["__cx", "__cy"])
-    near = near.withColumn("distance", geo.point_segment_distance(*(F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")))).where(F.col("distance") <= reach)
-    return near.groupBy(point_key, line_key).agg(F.min("distance").alias("distance"))
     firsts, lines = alike_lines(edges, line_key)
     return _members(_near_lines(points, firsts, reach, point_key, line_key), lines, line_key)
 
 
 def _near_lines(points: DataFrame, edges: DataFrame, reach: float, point_key: str, line_key: str) -> DataFrame:
+    cell = lambda c: F.floor(c / reach)
+    near = points.withColumns({"__cx": cell(F.col("px")), "__cy": cell(F.col("py"))}).join(_along(edges, reach, reach), ["__cx", "__cy"])
+    near = near.withColumn("distance", geo.point_segment_distance(*(F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")))).where(F.col("distance") <= reach)
+    return near.groupBy(point_key, line_key).agg(F.min("distance").alias("distance"))
 
 
 def lines_within(left: DataFrame, right: DataFrame, reach: float, left_key: str, right_key: str, size: float | None = None) -> DataFrame:
@@ -207,6 +210,18 @@ def lines_within(left: DataFrame, right: DataFrame, reach: float, left_key: str,
     return ours.join(theirs, ["__cx", "__cy"]).where(geo.segments_distance(*sides) <= reach).select(left_key, right_key).distinct()
 
 
+def lines_crossing(edges: DataFrame, line_key: str, size: float) -> DataFrame:
+    """low and high: pairs of lines with edges (ax, ay, bx, by) that cross inside both; edges that only touch do not. ``size``: of the cells that edges meet in."""
+    firsts, lines = alike_lines(edges, line_key)
+    there = _along(firsts, 0.0, size)
+    side = lambda name, e: there.select("__cx", "__cy", F.col(line_key).alias(name), F.struct("ax", "ay", "bx", "by").alias(e))
+    met = side("low", "a").join(side("high", "b"), ["__cx", "__cy"])
+    pairs = met.where(geo.segments_cross(*(tuple(F.col(f"{e}.{c}") for c in ("ax", "ay", "bx", "by")) for e in ("a", "b")))).select("low", "high").distinct()
+    named = lambda name: lines.select(F.col(line_key).alias(name), "__like")
+    whole = _members(_members(pairs, named("low"), "low"), named("high"), "high")
+    return whole.where("low < high")
+
+
 class OutOfBounds(ValueError):
     """A point lies outside of the anchors."""
 
