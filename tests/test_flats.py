@@ -118,3 +118,30 @@ def test_components(spark):
         root[b] = a
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
     assert got == {x: find(x) for p in pairs for x in p if p[0] != p[1] or x in got}
+
+
+def test_filling_joins_no_cells(spark, monkeypatch):
+    """Blocks see their edge cells themselves: joins of cells were sent from the driver. Holes and several blocks, against the edge by hand."""
+    monkeypatch.setattr(grid, "_neighbours", None)
+    value = {(r, c): float((r * 7 + c * 11) % 10) for r in range(9) for c in range(9) if (r, c) != (4, 4)}
+    rows = [(r, c, v) for (r, c), v in value.items()] + [(4, 4, None)]
+    level = {p: v if any((p[0] + a, p[1] + b) not in value for a in (-1, 0, 1) for b in (-1, 0, 1)) else float("inf") for p, v in value.items()}
+    for _ in range(100):
+        level = {p: min(level[p], *(max(value[p], level[q]) for a in (-1, 0, 1) for b in (-1, 0, 1) if (q := (p[0] + a, p[1] + b)) in level)) for p in level}
+    for block in (3, 256):
+        found = grid.fill_depressions(spark.createDataFrame(rows, "row int, col int, value double"), block)
+        assert {(r.row, r.col): r.value for r in found.collect()} == level
+
+
+def test_flats_send_no_table_of_areas_from_the_driver(spark, monkeypatch):
+    """No join of areas is one that the driver broadcasts, however small Spark thinks the side is."""
+    plans, cut = [], flats.cut_lineage
+
+    def watched(frame):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return cut(frame)
+
+    monkeypatch.setattr(flats, "cut_lineage", watched)
+    cells = spark.range(400).selectExpr("int(id div 20) AS row", "int(id % 20) AS col", "double(id div 100) AS value")
+    assert flats.flat_lifts(cells, 5).count() == 400
+    assert not any("BroadcastHashJoin" in p for p in plans)

@@ -83,6 +83,15 @@ def flow_accumulation(directions: DataFrame, most_rounds: int = 10_000) -> DataF
     raise RuntimeError("the accumulation did not end: the directions have a cycle")
 
 
+def _edged(group: pd.DataFrame) -> pd.DataFrame:
+    """One block's cells with their first level: their value beside no data, else the greatest."""
+    r, c = (group["row"] - group["row"].min() + 1).to_numpy(), (group["col"] - group["col"].min() + 1).to_numpy()
+    there = np.zeros((r.max() + 2, c.max() + 2), bool)
+    there[r, c] = True
+    inner = np.all([there[r + dr, c + dc] for dr, dc in DIRECTIONS.values()], axis=0)
+    return group.assign(level=np.where(inner, np.inf, group["value"]))[group["mine"]][["row", "col", "value", "level"]]
+
+
 def _flooded(group: pd.DataFrame) -> pd.DataFrame:
     """One block: the lowest levels that its edge cells and the cells around it allow, by a priority flood."""
     rows, cols = group["row"].to_numpy(), group["col"].to_numpy()
@@ -110,16 +119,16 @@ def fill_depressions(cells: DataFrame, block: int = 256, most_rounds: int = 10_0
     """The lowest surface, nowhere below the given one, from which every cell drains to the edge (cells beside no data are edge).
 
     Blocks of cells, each with the cells around it, are flooded on their own, again until no level moves: a task holds one
-    block, and the rounds follow the number of blocks that water crosses, not that of cells.
+    block, and the rounds follow the number of blocks that water crosses, not that of cells. Blocks see by themselves which cells are
+    edge, so no table of cells is joined, or sent from the driver to the tasks.
     """
     valid = cells.where("value IS NOT NULL").select("row", "col", F.col("value").cast("double").alias("value"))
-    inner = _neighbours(cells).groupBy("row", "col").count().where("count = 8").select("row", "col", F.lit(True).alias("inner"))
-    now = cut_lineage(valid.join(inner, ["row", "col"], "left").select("row", "col", "value", F.when(F.col("inner"), F.lit(float("inf"))).otherwise(F.col("value")).alias("level")))
     spots = F.array_distinct(F.array(*(F.struct(F.floor((F.col("row") + r) / block).alias("r"), F.floor((F.col("col") + c) / block).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1))))
     own = (F.col("b.r") == F.floor(F.col("row") / block)) & (F.col("b.c") == F.floor(F.col("col") / block))
+    dealt = lambda frame: frame.withColumn("b", F.explode(spots)).withColumn("mine", own).groupBy("b")
+    now = cut_lineage(dealt(valid).applyInPandas(_edged, "row int, col int, value double, level double"))
     for _ in range(most_rounds):
-        dealt = now.withColumn("b", F.explode(spots)).withColumn("mine", own)
-        after = cut_lineage(dealt.groupBy("b").applyInPandas(_flooded, "row int, col int, value double, level double, moved boolean"))
+        after = cut_lineage(dealt(now).applyInPandas(_flooded, "row int, col int, value double, level double, moved boolean"))
         now = after.drop("moved")
         if after.where("moved").isEmpty():
             return now.select("row", "col", F.col("level").alias("value"))
