@@ -67,3 +67,15 @@ def test_summaries_keep_their_columns(spark):
     assert sorted(map(tuple, level_summary(frame, "g", "v").collect()), key=str) == [("a", 2, 3.0, 3.0, 2.0, 4.0), (None, 1, 9.0, 9.0, 9.0, 9.0)]
     assert [tuple(r) for r in cohort_contrast(frame, [("f", "v")]).collect()] == [("v", 2, 1, 5.5, 4.0, 5.5, 4.0, 1.5)]
     assert [r.q50 for r in describe_exact(frame, ["v", "f"]).collect()] == [4.0, 1.0]
+
+
+def test_few_unlike_values_are_counted(spark, monkeypatch):
+    """A large group of few unlike values never goes through the brackets, and no join brings its rows to the task of its key."""
+    monkeypatch.setattr(quantiles, "_ranked", None)
+    frame = spark.range(60_000).select((F.col("id") % 3).alias("g"), (F.hash("id") % 40).cast("double").alias("v"))
+    found = grouped_quantiles(frame, ["g"], [(F.col("v"), {f"q{k}": p for k, p in enumerate(PS)})], 1_000)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = frame.collect()
+    for r in found.collect():
+        own = [x.v for x in rows if x.g == r.g]
+        assert [r[f"q{k}"] for k in range(len(PS))] == pytest.approx(np.quantile(own, PS).tolist(), rel=1e-12)

@@ -5,6 +5,9 @@ more than ``held`` values each wanted order statistic is bracketed: a sketch of
 combine) gives a narrow interval around the wanted rank, one pass counts the rows below each interval, and only the rows inside
 stay for the next round, until an interval holds at most ``held`` unlike values or is a single one. A round keeps less than one
 row in a hundred of a group for each rank, so a trillion rows take four rounds. No task holds more than a sketch or ``held`` values of a group at once.
+A large group that a sketch gives at most half of ``held`` unlike values is counted by value first, with map-side combine, and its ranks are read off the counts.
+
+Tables with a row for each large group are sent to the tasks: a join by so few keys would bring all rows of a group to one task.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ def _bracketed(rows: DataFrame, targets: DataFrame) -> DataFrame:
     low, high = (F.floor(at) - MARGIN).cast("int"), (F.ceil(at) + MARGIN).cast("int")
     lo = F.when(low > 0, F.get("q", low)).otherwise(float("-inf"))
     hi = F.when(high < STEPS, F.get("q", high)).otherwise(float("nan"))  # NaN is the greatest value
-    met = targets.alias("t").join(grid.alias("g"), _same("t", "g", ["key", "slot"]))
+    met = targets.alias("t").join(F.broadcast(grid.alias("g")), _same("t", "g", ["key", "slot"]))
     found = met.select("t.key", "t.slot", F.struct(lo.alias("lo"), hi.alias("hi"), "rank", "r").alias("x"))
     return cut_lineage(found.groupBy("key", "slot").agg(F.sort_array(F.collect_list("x")).alias("b")))
 
@@ -44,7 +47,7 @@ def _ranked(rows: DataFrame, targets: DataFrame, held: int) -> DataFrame:
     done = []
     while True:
         brackets = _bracketed(rows, targets)
-        met = rows.alias("t").join(brackets.alias("g"), _same("t", "g", ["key", "slot"])).select("t.key", "t.slot", "v", "b")
+        met = rows.alias("t").join(F.broadcast(brackets.alias("g")), _same("t", "g", ["key", "slot"])).select("t.key", "t.slot", "v", "b")
         # intervals are in order of lo: a row is below those at the end of the list
         above = F.size(F.filter("b", lambda x: x["lo"] > F.col("v")))
         passed = met.groupBy("key", "slot", above.alias("above")).count()
@@ -60,7 +63,7 @@ def _ranked(rows: DataFrame, targets: DataFrame, held: int) -> DataFrame:
         if not told.where("unlike IS NULL OR rank < 0 OR rank >= n").isEmpty():
             raise RuntimeError("a sketch missed a rank: raise MARGIN or ACCURACY")
         few = told.where(F.col("unlike") <= held).select("key", "slot", "rank")
-        small = sizes.alias("t").join(few.alias("g"), _same("t", "g", ["key", "slot"])).select("t.*", "rank")
+        small = sizes.alias("t").join(F.broadcast(few.alias("g")), _same("t", "g", ["key", "slot"])).select("t.*", "rank")
         upto = F.sum("n").over(Window.partitionBy("key", "slot").orderBy("v"))
         done.append(small.withColumn("upto", upto).where("upto > rank AND upto - n <= rank").select("key", F.col("slot").alias("r"), "v"))
         more = told.where(F.col("unlike") > held)
@@ -70,7 +73,15 @@ def _ranked(rows: DataFrame, targets: DataFrame, held: int) -> DataFrame:
                 whole = whole.union(part)
             return whole
         targets = more.select("key", "slot", "rank", F.col("slot").alias("r"))
-        rows = rows.alias("t").join(targets.alias("g"), _same("t", "g", ["key", "slot"]), "left_semi")
+        rows = rows.alias("t").join(F.broadcast(targets.alias("g")), _same("t", "g", ["key", "slot"]), "left_semi")
+
+
+def _counted(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """As ``_ranked``, for rows (key, v) of groups of few unlike values and targets (key, rank, r): the values are counted, and only the counts are sorted."""
+    upto = F.sum("n").over(Window.partitionBy("key").orderBy("v"))
+    sizes = rows.groupBy("key", "v").agg(F.count("*").alias("n")).withColumn("upto", upto)
+    met = sizes.alias("t").join(F.broadcast(targets.alias("g")), _same("t", "g", ["key"]))
+    return met.where("upto > rank AND upto - n <= rank").select("t.key", "r", "v")
 
 
 def _spread(share: list[float], row: DataFrame) -> DataFrame:
@@ -88,15 +99,18 @@ def grouped_quantiles(frame: DataFrame, by: list[str], wanted: list[tuple[Column
     cells = F.inline(F.array(*(F.struct(F.lit(i).alias("c"), column.cast("double").alias("v")) for i, (column, _) in enumerate(wanted))))
     group = F.struct(*(F.col(f"`{c}`").alias(f"g{k}") for k, c in enumerate(by)), F.lit(0).alias("g"))
     values = frame.select(group.alias("group"), cells).where("v IS NOT NULL").select(F.struct("group", "c").alias("key"), "v")
-    counts = cut_lineage(values.groupBy("key").agg(F.count("*").alias("n")))
+    counts = cut_lineage(values.groupBy("key").agg(F.count("*").alias("n"), F.approx_count_distinct("v").alias("unlike")))
     large = counts.where(F.col("n") > held)
     if large.isEmpty():
         found = values.groupBy("key").agg(F.percentile("v", shares).alias("q"))
     else:
-        met = values.alias("t").join(large.alias("g"), _same("t", "g", ["key"]), "left_anti")
-        many = values.alias("t").join(large.alias("g"), _same("t", "g", ["key"]), "left_semi").withColumn("slot", F.lit(-1).cast("long"))
-        ranked = _ranked(many, _spread(shares, large), held).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("m"))
-        whole = ranked.alias("t").join(large.alias("g"), _same("t", "g", ["key"])).select("t.key", "m", "n")
+        of = lambda groups, how: values.alias("t").join(F.broadcast(groups.alias("g")), _same("t", "g", ["key"]), how)
+        met, few, many = of(large, "left_anti"), large.where(F.col("unlike") * 2 <= held), large.where(F.col("unlike") * 2 > held)
+        ranked = _counted(of(few, "left_semi"), _spread(shares, few))
+        if not many.isEmpty():
+            ranked = ranked.union(_ranked(of(many, "left_semi").withColumn("slot", F.lit(-1).cast("long")), _spread(shares, many), held))
+        ranked = ranked.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("m"))
+        whole = ranked.alias("t").join(F.broadcast(large.alias("g")), _same("t", "g", ["key"])).select("t.key", "m", "n")
 
         def between(p: float) -> Column:
             at = (F.col("n") - 1) * p
