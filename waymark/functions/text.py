@@ -14,7 +14,8 @@ def segment_id(start: Column, end: Column) -> Column:
 
 
 def km_label(start: Column, end: Column) -> Column:
-    return F.format_string("km %d–%d", start.cast("int"), end.cast("int"))
+    """Null for nulls."""
+    return F.when(start.isNotNull() & end.isNotNull(), F.format_string("km %d–%d", start.cast("int"), end.cast("int")))
 
 
 def title(slug: Column) -> Column:
@@ -32,7 +33,14 @@ def clean_code(value: Column) -> Column:
 
 
 def fixed(value: Column, places: int) -> Column:
-    return F.format_string(f"%.{places}f", value)
+    """Null for null; the sign of a negative zero stays."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{places}f", value))
+
+
+def rounded(value: Column, places: int) -> Column:
+    """A double scaled, rounded half away from zero and scaled back. Unlike Spark's round this takes the double as it is, not its decimal text, and keeps the sign of what becomes zero."""
+    near = F.round(F.abs(value * 10.0**places)) / 10.0**places
+    return F.when(value.cast("string").startswith("-"), -near).otherwise(near)
 
 
 def joined_set(value: Column, mark: str = "|") -> Column:
