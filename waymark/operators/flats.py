@@ -111,14 +111,14 @@ def flat_lifts(filled: DataFrame, block: int = 256, most_rounds: int = 10_000) -
     flat = "row int, col int, value double, drains boolean, high boolean, label long"
     own = cut_lineage(_dealt(kinds, block).groupBy("b").applyInPandas(_labelled, flat))
 
-    # areas meet across rims: only cells on a rim are asked
+    # areas meet across rims: only cells on a rim are asked. Tables of areas grow with the grid, so no join may send one from the driver.
     place = lambda c: F.col(c) - F.floor(F.col(c) / block) * block
     rim = own.where(place("row").isin(0, block - 1) | place("col").isin(0, block - 1)).select("row", "col", "value", "label")
     steps = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in _STEPS[:4]))  # the other four are the same pairs
     asked = rim.withColumn("s", F.explode(steps)).select((F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"), "value", F.col("label").alias("src"))
-    edges = asked.join(rim.withColumnRenamed("label", "dst"), ["row", "col", "value"]).where("src <> dst").select("src", "dst").distinct()
+    edges = asked.join(rim.withColumnRenamed("label", "dst").hint("merge"), ["row", "col", "value"]).where("src <> dst").select("src", "dst").distinct()
     roots = components(edges)
-    named = own.join(roots.withColumnRenamed("node", "label"), "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+    named = own.join(roots.withColumnRenamed("node", "label").hint("merge"), "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
 
     far = F.lit(float("inf"))
     now = cut_lineage(named.select("row", "col", "value", "drains", "label", F.when(F.col("drains"), 0.0).otherwise(far).alias("low"), F.when(F.col("high") & ~F.col("drains"), 0.0).otherwise(far).alias("away")))
@@ -132,7 +132,7 @@ def flat_lifts(filled: DataFrame, block: int = 256, most_rounds: int = 10_000) -
     finite = lambda c: F.when(F.col(c) < far, F.col(c))
     most = now.groupBy("label").agg(F.max(finite("away")).alias("most"))
     lift = 2 * finite("low") + F.coalesce(F.col("most") - finite("away"), F.lit(0.0))
-    return cut_lineage(now.join(most, "label").select("row", "col", "value", "drains", "label", lift.cast("long").alias("lift")))
+    return cut_lineage(now.join(most.hint("merge"), "label").select("row", "col", "value", "drains", "label", lift.cast("long").alias("lift")))
 
 
 def resolved(filled: DataFrame, step: float = 1e-5, block: int = 256) -> DataFrame:

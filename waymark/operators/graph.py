@@ -64,13 +64,13 @@ def components(edges: DataFrame, most_rounds: int = 1_000) -> DataFrame:
     for _ in range(most_rounds):
         ways = now.union(now.select("b", "a")).toDF("n", "m")
         least = ways.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("root"))
-        large = ways.where("m > n").join(least, "n").select(F.col("root").alias("a"), F.col("m").alias("b"))
+        large = ways.where("m > n").join(least.hint("merge"), "n").select(F.col("root").alias("a"), F.col("m").alias("b"))
         tied = cut_lineage(large.where("a < b").distinct())
         # smaller star: each node's smaller neighbours and itself to the least of them
         low = tied.groupBy("b").agg(F.min("a").alias("root"))
-        met = tied.join(low, "b")
+        met = tied.join(low.hint("merge"), "b")
         after = cut_lineage(met.select(F.col("root").alias("x"), F.col("a").alias("y")).union(met.select("root", "b")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        same = after.count() == now.count() and after.join(now, ["a", "b"], "left_anti").isEmpty()
+        same = after.count() == now.count() and after.join(now.hint("merge"), ["a", "b"], "left_anti").isEmpty()
         now = after
         if same:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
