@@ -138,8 +138,9 @@ def test_flats_send_no_table_of_areas_from_the_driver(spark, monkeypatch):
     plans, cut = [], flats.cut_lineage
 
     def watched(frame):
-        plans.append(frame._jdf.queryExecution().executedPlan().toString())
-        return cut(frame)
+        done = cut(frame)
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())  # as it was run, not as it was begun
+        return done
 
     monkeypatch.setattr(flats, "cut_lineage", watched)
     cells = spark.range(400).selectExpr("int(id div 20) AS row", "int(id % 20) AS col", "double(id div 100) AS value")
