@@ -58,6 +58,16 @@ def test_fold_gives_the_heap_s_ids(spark, ranks):
     assert [r.k for r in found if list(r.v) != own.encode_ordinary(r.k)] == []
 
 
+def test_words_outside_the_dictionary_are_folded_too(spark, ranks):
+    """No Python in the plan; words at the bounds of both folds, repeated and in several chunks, against the library."""
+    own = library(ranks)
+    words = ["".join("abtheingxß日"[(k * k + j * (k + 3)) % 11] for j in range(n)) for k, n in enumerate([*range(1, 12), *range(28, 64), 120])]
+    texts = [*words, *(w * 7 for w in words[::6]), " ".join(words * 2), "= " * 5_000 + " ".join(words[:20]), "9" * 61 + " " + "9" * 60, None]
+    found = encoded(spark.createDataFrame([(t,) for t in texts], "text string"), ranks, public_tokenizers.PATTERN, frequent=1)
+    assert "Python" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.text for r in found.collect() if list(r.ids) != own.encode_ordinary(r.text or "")] == []
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=40) | st.text("abt hein", max_size=60))
 def test_heap(text):

@@ -1,23 +1,24 @@
 """Byte-level BPE: higher-order functions fold ranked merges over the bytes of distinct words, by a literal rank map.
 
 A text is the sequence of its words, the matches of the vocabulary's pattern. The frequent words of a bounded sample of the
-documents are folded once each, and their ids become a dictionary of bounded size. An Arrow function looks up the unlike words of each
-batch in it; what the sample holds changes the time and never the ids, since words that the dictionary lacks get the same merges there
-with a heap, and each worker keeps the last ones it has met. (The fold would give the same, but an interpreted fold takes
-some 100 microseconds a word, and most unlike words are rare.) So documents are encoded in one pass and never shuffled.
+documents are folded once each, and their ids become a dictionary of bounded size, a literal too. A text looks its words up there,
+folds its other distinct words the same way, ``CHUNK`` words at a time, and joins the ids. What the sample holds changes the time and
+never the ids. All of this is one projection: documents are encoded in one pass and never shuffled.
 
 The rank map is bounded by the vocabulary: one row, an array of small maps, where the hash of a key says which map holds it,
 since Spark searches a map from end to end. The fold takes all pieces that stand in a word, by rank and then from left to right,
-over a number whose bits are the places where the word is still cut: a piece joins two parts if it begins and ends at cuts and has one cut
-inside. That is what the library does, which joins the pair of least rank again and again, wherever each piece of the vocabulary
+over the places where the word is still cut: a piece joins two parts if it begins and ends at cuts and has one cut
+inside. Cuts are the bits of a number, or the bytes of a binary value in words of more than ``BITS`` bytes. That is what the library
+does, which joins the pair of least rank again and again, wherever each piece of the vocabulary
 comes about from parts of lesser ranks: merges then happen in the order of ranks, and a piece that didn't fit in its
-turn never fits later. ``in_order`` proves it for every piece of the vocabulary; one that isn't in order gets no dictionary.
+turn never fits later. ``in_order`` proves it for every piece of the vocabulary; one that isn't in order can't be folded by
+rank, and its words are merged by a heap in an Arrow function.
 
 Decoding looks up each id's bytes in a literal array and joins them: the bytes of every text come back.
 
 Null texts count as empty: no ids, no bytes. Repeated rows and ids stay as they
 are, other columns too, whatever their names; an empty table gives an empty
-result. A row is held whole in its task, with its words and ids; a word of any length takes m log m steps.
+result. A row is held whole in its task, with its words and ids; a merge in a word of more than ``BITS`` bytes copies a byte for each of its bytes.
 """
 
 from __future__ import annotations
@@ -34,17 +35,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import cut_lineage
+from waymark.llm.common import cut_lineage, free_name
 from waymark.llm.token_counts import parts_by_bytes
 from waymark.llm.tokens import _Kept
 
-#: Documents of the sample, words of the dictionary at most, and the bytes of its longest ones: 2^17 words of
-#: 40 bytes are 5 MB. A word's cuts are the bits of a long, so SHORT is 60 at most.
-SAMPLE, FREQUENT, SHORT = 20_000, 1 << 17, 40
-#: Words of an Arrow batch that are looked up together.
+#: Documents of the sample, words of the dictionary at most, and the bytes of its longest ones: 2^18 words of 40 bytes are 10 MB.
+SAMPLE, FREQUENT, SHORT = 40_000, 1 << 18, 40
+#: Bytes of a word whose cuts are the bits of a long.
+BITS = 60
+#: Words of a text that are encoded together.
+CHUNK = 1 << 12
+#: Words of an Arrow batch that a heap merges together.
 PART = 1 << 17
-#: Slots of the rank map.
-SLOTS = 1 << 16
+#: Slots of the rank map and of the dictionary, a power of two.
+SLOTS = 1 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -62,60 +66,106 @@ def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"piece": list(ranks), "rank": list(ranks.values())}), "piece binary, rank int")
 
 
-def _slot(key: Column, slots: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def _rank_shelves(spark: SparkSession, ranks: dict[bytes, int]) -> _Shelves:
+    return _Shelves(rank_table(spark, ranks).select(F.col("piece").alias("k"), F.col("rank").alias("v")), "shelf_of_ranks")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _slot(key: Column) -> Column:
+    return F.xxhash64(key).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
 
 
 class _Shelves:
     """A look-up over ``pairs`` (k, v), a bounded table with each k once.
 
-    Subqueries may not be written inside a lambda, so each use is a column of its own that ``beside`` puts below the
-    projection with the lambdas. A column with one use, on a table without other expressions, is merged into it: no row carries the shelves.
+    Subqueries may not be written inside a lambda, so ``beside`` puts the shelves below the projection with the lambdas, as a column
+    with one use, which is merged into it: no row carries the shelves.
     """
 
-    def __init__(self, pairs: DataFrame, slots: int):
-        entries = f"array<struct<k:{pairs.schema['k'].dataType.simpleString()},v:{pairs.schema['v'].dataType.simpleString()}>>"
-        full = pairs.groupBy(_slot(F.col("k"), slots).alias("slot")).agg(F.collect_list(F.struct("k", "v")).alias("m"))
-        every = pairs.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot")).join(full, "slot", "left")
-        held = every.select("slot", F.coalesce("m", F.array().cast(entries)).alias("m"))
-        self.one = held.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "m"))), lambda x: F.map_from_entries(x["m"])).alias("shelf"))
-        self.slots, self.used = slots, []
+    def __init__(self, pairs: DataFrame, name: str):
+        full = pairs.groupBy(_slot(F.col("k")).alias("slot")).agg(F.collect_list(F.struct("k", "v")).alias("m"))
+        every = pairs.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(full, "slot", "left")
+        self.one = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "m"))), lambda x: F.map_from_entries(x["m"])).alias("shelf"))
+        self.name = name
 
-    def __call__(self, key: Column) -> Column:
-        """The value of ``key``; null if it isn't there."""
-        self.used.append(f"shelf_{len(self.used)}")
-        return F.try_element_at(F.element_at(F.col(self.used[-1]), _slot(key, self.slots) + 1), key)
+    def used(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+        """``body`` of a function that gives the value of a key; null if it isn't there."""
+        return _let(F.col(self.name), lambda shelf: body(lambda key: F.try_element_at(shelf[_slot(key)], key)))
 
     def beside(self, frame: DataFrame) -> DataFrame:
-        return frame.withColumns({name: self.one.scalar() for name in self.used})
+        return frame.withColumn(self.name, self.one.scalar())
+
+
+def _parted(at: Column, word: Column, rank: Callable[[Column], Column]) -> Column:
+    """The ids of the parts between the places ``at``."""
+    return _let(at, lambda x: F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: rank(F.substring(word, a + 1, b - a))))
+
+
+def _standing(word: Column, n: Column, rank: Callable[[Column], Column], longest: int, merge: Callable[[Column, Column, Column], Column]) -> Column:
+    """``merge`` (rank, begin, end) of all pieces of two bytes or more that stand in the word, in order."""
+
+    def beginning(a: Column) -> Column:
+        parts = F.transform(F.sequence(a + 2, F.least(n, a + longest)), lambda b: F.substring(word, a + 1, b - a))
+        return F.transform(parts, lambda part, i: merge(rank(part), a, a + 2 + i))
+
+    return F.sort_array(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), n - 2), beginning))))
+
+
+#: By 64 times a merge's begin plus its end: the bits of both, and the bits between them.
+_ENDS = [1 << a | 1 << b if b <= BITS and a < b else 0 for a in range(64) for b in range(64)]
+_INNER = [(1 << b) - (1 << a + 1) if b <= BITS and a < b else 0 for a in range(64) for b in range(64)]
 
 
 def _folded(word: Column, rank: Callable[[Column], Column], longest: int) -> Column:
-    """The ids of one word, a binary column of ``SHORT`` bytes at most."""
-    one, n = F.lit(1).cast("long"), F.octet_length(word)
-    part = lambda a, b: F.substring(word, a + 1, b - a)
+    """The ids of one word, a binary column of 2 to ``BITS`` bytes."""
+    n, one = F.octet_length(word), F.lit(1).cast("long")
+    ends, inner = (F.lit(",".join(map(str, x))) for x in (_ENDS, _INNER))
+    ends, inner = (F.split(x, ",").cast("array<long>") for x in (ends, inner))
     bit = lambda i: F.call_function("shiftleft", one, i)
-
-    def merges(a: Column) -> Column:
-        """The pieces that begin at byte a, as rank, begin and end in one number."""
-        ends = F.sequence(a + 2, F.least(n, a + longest))
-        return F.transform(ends, lambda b: rank(part(a, b)).cast("long") * 4096 + a * 64 + b)
+    found = _standing(word, n, rank, longest, lambda r, a, b: r.cast("long") * 4096 + (a * 64 + b))
 
     def apply(cuts: Column, merge: Column) -> Column:
         """The merge joins two parts if both its ends are cuts and one cut lies between them."""
-        a, b = F.call_function("shiftright", merge, F.lit(6)).bitwiseAND(63).cast("int"), merge.bitwiseAND(63).cast("int")
-        inner = bit(b) - bit(a + 1)
-        ends = bit(a).bitwiseOR(bit(b))
-        joins = (cuts.bitwiseAND(ends) == ends) & (F.bit_count(cuts.bitwiseAND(inner)) == 1)
-        return F.when(joins, cuts.bitwiseAND(F.bitwise_not(inner))).otherwise(cuts)
+        at = merge.bitwiseAND(F.lit(4095)).cast("int")
+        joins = (F.bitwise_not(cuts).bitwiseAND(ends[at]) == 0) & (F.bit_count(cuts.bitwiseAND(inner[at])) == 1)
+        return F.when(joins, cuts.bitwiseAND(F.bitwise_not(inner[at]))).otherwise(cuts)
 
     def pieces(cuts: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), n), lambda i: cuts.bitwiseAND(bit(i)) != 0)
-        return F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda a, i: rank(part(a, F.element_at(at, i + 2))))
+        return _parted(F.filter(F.sequence(F.lit(0), n), lambda i: cuts.bitwiseAND(bit(i)) != 0), word, rank)
 
-    found = F.array_compact(F.flatten(F.transform(F.slice(F.sequence(F.lit(0), n), F.lit(1), n - 1), merges)))
-    whole = bit(n) + bit(n) - one
-    return F.when(n == 1, F.array(rank(word))).otherwise(F.aggregate(F.sort_array(found), whole, apply, pieces))
+    return F.aggregate(found, bit(n) + bit(n) - one, apply, pieces)
+
+
+def _folded_long(word: Column, rank: Callable[[Column], Column], longest: int) -> Column:
+    """The ids of one word of any length: cuts are bytes, 1 or 0 as texts."""
+    n = F.octet_length(word)
+    part = lambda cuts, a, b: F.substring(cuts, a + 1, b - a).cast("string")
+    text = lambda x, k: F.call_function("repeat", F.lit(x), k)
+    merge = lambda r, a, b: F.when(r.isNotNull(), F.struct(r.alias("r"), a.alias("a"), b.alias("b")))
+
+    def apply(cuts: Column, m: Column) -> Column:
+        a, b = m["a"], m["b"]
+        joins = (part(cuts, a, a + 1) == "1") & (part(cuts, b, b + 1) == "1") & (F.octet_length(F.replace(part(cuts, a + 1, b), F.lit("0"), F.lit(""))) == 1)
+        return F.when(joins, F.overlay(cuts, text("0", b - a - 1).cast("binary"), a + 2)).otherwise(cuts)
+
+    def pieces(cuts: Column) -> Column:
+        return _parted(F.filter(F.sequence(F.lit(0), n), lambda i: part(cuts, i, i + 1) == "1"), word, rank)
+
+    return F.aggregate(_standing(word, n, rank, longest, lambda r, a, b: _let(r, lambda x: merge(x, a, b))), text("1", n + 1).cast("binary"), apply, pieces)
+
+
+def _ids(word: Column, rank: Callable[[Column], Column], longest: int) -> Column:
+    """The ids of one word. A word that is a piece itself is not merged; every byte is one."""
+
+    def merged(w: Column) -> Column:
+        folded = F.when(F.octet_length(w) <= BITS, _folded(w, rank, longest)).otherwise(_folded_long(w, rank, longest))
+        return _let(rank(w), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded))
+
+    return _let(word.cast("binary"), merged)
 
 
 def heap_merged(word: bytes, ranks: dict[bytes, int], last: list | None = None) -> list[int]:
@@ -160,28 +210,23 @@ def dictionary(frame: DataFrame, ranks: dict[bytes, int], pattern: str, text: st
     share = min(1.0, sample / max(1, frame.count()))
     counted = frame.select(F.col(f"`{text}`").alias("k")).sample(share, 0).select(F.explode(_words(F.col("k"), pattern)).alias("k")).groupBy("k").count()
     top = counted.where(F.octet_length("k") <= SHORT).orderBy(F.desc("count"), "k").limit(frequent)
-    top = top.select("k", F.col("k").cast("binary").alias("w")).repartition(4 * spark.sparkContext.defaultParallelism, "k")
-    rank = _Shelves(rank_table(spark, ranks).select(F.col("piece").alias("k"), F.col("rank").alias("v")), SLOTS)
-    folded = _folded(F.col("w"), rank, max(map(len, ranks)))
-    # a word that is a piece itself is not merged
-    alone = F.transform(F.array(F.array_compact(F.array(rank(F.col("w"))))), lambda x: F.when(F.size(x) > 0, x).otherwise(folded))
-    return rank.beside(top).select("k", alone[0].alias("v"))
+    top = top.repartition(4 * spark.sparkContext.defaultParallelism, "k")
+    ranked, longest = _rank_shelves(spark, ranks), max(map(len, ranks))
+    return ranked.beside(top).select("k", ranked.used(lambda rank: _ids(F.col("k"), rank, longest)).alias("v"))
 
 
 _kept: dict[str, _Kept] = {}
 
 
-def _worker(name: str, ranks: dict[bytes, int], words: pa.Array, ids: pa.Array) -> _Kept:
-    """The worker's look-up of words: the dictionary, then what it has met, then the heap. Ids are little-endian numbers of 32 bits."""
+def _worker(name: str, ranks: dict[bytes, int]) -> _Kept:
+    """The worker's heap, with the words it has met. Ids are little-endian numbers of 32 bits."""
     if name not in _kept:
-        whole, bounds = ids.values.to_numpy().astype("<u4").tobytes(), (ids.offsets.to_numpy() * 4).tolist()
-        held = {w: whole[a:b] for w, a, b in zip(words.to_pylist(), bounds, bounds[1:], strict=False)}
 
         def merge(word: str) -> bytes:
             w = word.encode()
             return array("I", [ranks[w]] if w in ranks else heap_merged(w, ranks)).tobytes()
 
-        _kept[name] = _Kept(lambda batch: [x if (x := held.get(w)) is not None else merge(w) for w in batch])
+        _kept[name] = _Kept(lambda batch: [merge(w) for w in batch])
     return _kept[name]
 
 
@@ -195,16 +240,43 @@ def _gathered(values: list[bytes], codes: np.ndarray, bounds: np.ndarray) -> pa.
     return pa.ListArray.from_arrays(pa.array(where[bounds].astype(np.int32)), pa.array(ids))
 
 
+def _encoded_words(words: Column, known: Callable[[Column], Column], rank: Callable[[Column], Column], longest: int) -> Column:
+    """The ids of a list of words: those that are ``known`` are looked up, the other distinct ones folded."""
+
+    def joined(part: Column, found: Column) -> Column:
+        rest = F.array_distinct(F.filter(part, lambda w, i: found[i].isNull()))
+        entries = F.transform(rest, lambda w: F.struct(w.alias("k"), _ids(w, rank, longest).alias("v")))
+        return _let(F.map_from_entries(entries), lambda own: F.flatten(F.zip_with(part, found, lambda w, x: F.coalesce(x, F.try_element_at(own, w)))))
+
+    def chunk(part: Column) -> Column:
+        return _let(F.transform(part, known), lambda found: joined(part, found))
+
+    def chunks(every: Column) -> Column:
+        last = F.floor(F.greatest(F.size(every) - 1, F.lit(0)) / CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(every, i * CHUNK + 1, F.lit(CHUNK)))
+
+    return F.flatten(F.transform(_let(words, chunks), chunk))
+
+
 def encoded(frame: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids", sample: int = SAMPLE, frequent: int = FREQUENT) -> DataFrame:
     """``frame`` with the token ids of ``text`` in ``out``, an array of int."""
-    held = pa.table({"k": pa.array([], pa.string()), "v": pa.array([], pa.list_(pa.int32()))})
-    if in_order(ranks):
-        held = cut_lineage(dictionary(frame, ranks, pattern, text, sample, frequent)).toArrow()
-    known, ids_of, name = held["k"].combine_chunks(), held["v"].combine_chunks(), uuid.uuid4().hex
+    words = _words(F.coalesce(F.col(f"`{text}`"), F.lit("")), pattern)
+    if not in_order(ranks):
+        return frame.withColumn(out, _heaped(ranks)(words))
+    ranked, longest = _rank_shelves(frame.sparkSession, ranks), max(map(len, ranks))
+    ranked.name = free_name(ranked.name, frame.columns)
+    held = _Shelves(cut_lineage(dictionary(frame, ranks, pattern, text, sample, frequent)), free_name("shelf_of_words", frame.columns))
+    ids = ranked.used(lambda rank: held.used(lambda known: _encoded_words(words, known, rank, longest)))
+    return held.beside(ranked.beside(frame)).withColumn(out, ids).drop(ranked.name, held.name)
+
+
+def _heaped(ranks: dict[bytes, int]) -> Callable[[Column], Column]:
+    """The ids of lists of words, by a heap."""
+    name = uuid.uuid4().hex
 
     @F.arrow_udf("array<int>")
     def looked_up(lists: pa.Array) -> pa.Array:
-        kept, done = _worker(name, ranks, known, ids_of), []
+        kept, done = _worker(name, ranks), []
         for a, b in parts_by_bytes(np.diff(lists.offsets.to_numpy()).tolist(), PART):
             part = lists.slice(a, b - a)
             coded, bounds = part.flatten().dictionary_encode(), part.offsets.to_numpy()
@@ -214,8 +286,7 @@ def encoded(frame: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
         pa.default_memory_pool().release_unused()
         return whole
 
-    words = _words(F.coalesce(F.col(f"`{text}`"), F.lit("")), pattern)
-    return frame.withColumn(out, looked_up(words))
+    return looked_up
 
 
 def decoded(frame: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
