@@ -130,3 +130,22 @@ def test_the_hub_is_the_text_in_the_middle(spark, monkeypatch):
     middle = spark.createDataFrame(rows[:1], "id long, text string").select(simhash.word_key("text")).first()[0]
     assert middle in hubs
     assert pairs <= 0.05 * len(rows) * (len(rows) - 1) / 2  # 1 043 of 31 375 when this was written: cuts are shared
+
+
+def test_no_join_is_broadcast_from_the_driver(spark, monkeypatch):
+    """Near copies join dozens of tables; relations of them, each made in the driver, took it beyond its memory."""
+    plans, cut = [], simhash.cut_lineage
+
+    def watched(frame):
+        done = cut(frame)
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())  # as it was run, not as it was begun
+        return done
+
+    monkeypatch.setattr(simhash, "cut_lineage", watched)
+    monkeypatch.setattr(simhash, "BROADCAST", 0)  # the one table that is broadcast, of a bounded size
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(w if rng.random() > 0.03 else f"x{rng.randrange(9)}" for w in words)) for i in range(30)]
+    assert kept(spark, rows) == brute(rows)
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not any("BroadcastHashJoin" in p for p in plans)

@@ -265,6 +265,11 @@ def links_of_trees(shards: DataFrame, radius: int) -> DataFrame:
     return shards.select("which", "shard", "fp").mapInArrow(mapped, "a long, b long")
 
 
+def _met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by sorting. Small sides would be broadcast else, and each relation is built in the driver: a run has dozens of them."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def near_links(unlike: DataFrame, radius: int) -> DataFrame:
     """a, b: links between the fingerprints fp of ``unlike`` that hold each component together."""
     pairs = len(_masks(radius, 0))
@@ -277,13 +282,13 @@ def near_links(unlike: DataFrame, radius: int) -> DataFrame:
         many = cut_lineage(keyed.groupBy("which", "shard").agg(F.count("*").alias("n")).where(F.col("n") > 1))
         full = many.where(F.col("n") > TREE) if level + 1 < LEVELS else many.limit(0)
         deeper = not full.isEmpty()
-        jobs = keyed.join(many.where(F.col("n") <= TREE) if deeper else many, ["which", "shard"]).select("which", "shard", "fp")
+        jobs = _met(keyed, many.where(F.col("n") <= TREE) if deeper else many, ["which", "shard"]).select("which", "shard", "fp")
         found = links_of_trees(jobs.repartition("which", "shard").sortWithinPartitions("which", "shard", "fp"), radius)
         links = found if links is None else links.union(found)
         if not deeper:
             return links.distinct()
         # Members that agree in the fixed bits of one full shard, each once: they are dealt by what else they agree in.
-        dealt = cut_lineage(keyed.join(full.select("which", "shard"), ["which", "shard"]).select("fp", F.col("which").alias("was"), F.lit(level + 1).alias("level")))
+        dealt = cut_lineage(_met(keyed, full.select("which", "shard"), ["which", "shard"]).select("fp", F.col("which").alias("was"), F.lit(level + 1).alias("level")))
         level += 1
 
 
@@ -302,10 +307,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Large star: every larger neighbour to the least of the neighbourhood.
         around = both(edges.coalesce(tasks))
         least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = around.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _met(around, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: every smaller neighbour, and the node, to the least of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = _met(large, least, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         edges = cut_lineage(small.distinct().coalesce(tasks))
         now = edges.agg(*sums).first()
@@ -318,10 +323,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 def joined_components(roots: DataFrame, links: DataFrame) -> DataFrame:
     """The components ``roots`` (node, root) after more ``links`` (a, b): only their roots are joined anew."""
     own = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-    ends = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    ends = _met(_met(links, own("a"), "a", "left"), own("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     fresh = cut_lineage(components(ends))
-    kept = roots.join(fresh.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-    return cut_lineage(kept.union(fresh.join(roots, "node", "left_anti").select("node", "root")))
+    kept = _met(roots, fresh.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    return cut_lineage(kept.union(_met(fresh, roots, "node", "left_anti").select("node", "root")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -352,9 +357,10 @@ def _sets(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 sets = [np.unique(_hashed(shingles(t, words))).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "own"])
 
-    few = F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes  # so that other texts are not dealt out
+    few = nodes.count() <= BROADCAST  # so that other texts are not dealt out
     first = Window.partitionBy("node").orderBy("text")
-    asked = texts.join(few, "node", "left_semi").withColumn("__at", F.row_number().over(first)).where("__at = 1").select("node", "text")
+    met = texts.join(F.broadcast(nodes), "node", "left_semi") if few else _met(texts, nodes, "node", "left_semi")
+    asked = met.withColumn("__at", F.row_number().over(first)).where("__at = 1").select("node", "text")
     return cut_lineage(asked.mapInArrow(mapped, "node long, own array<long>"))
 
 
@@ -362,7 +368,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """The ``pairs`` (a, b) of nodes whose sets of shingles have a similarity of ``SHARE`` or more."""
     sets = _sets(cut_lineage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), texts, words)
     side = lambda c: sets.select(F.col("node").alias(c), F.col("own").alias(f"{c}s"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("as", "bs")))
+    both = _met(_met(pairs, side("a"), "a"), side("b"), "b").withColumn("common", F.size(F.array_intersect("as", "bs")))
     return both.where(F.col("common") * SHARE[1] >= (F.size("as") + F.size("bs") - F.col("common")) * SHARE[0]).select("a", "b")
 
 
@@ -378,7 +384,7 @@ def _by_differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     """
     k, m = SHARE
     own = sets.select("node", "own")
-    around = members.join(own, "node").join(own.select(F.col("node").alias("hub"), F.col("own").alias("theirs")), "hub")
+    around = _met(_met(members, own, "node"), own.select(F.col("node").alias("hub"), F.col("own").alias("theirs")), "hub")
     around = around.select("hub", "node", "out", F.size("theirs").alias("n"), F.array_except("own", "theirs").alias("more"), F.array_except("theirs", "own").alias("less"))
     around = around.withColumn("w", k * F.size("more") + m * F.size("less")).withColumn("all", F.size("more") + F.size("less"))
     # A shingle is added or lacking, as the hub has it or not: its hash alone tells which. Arrays are written, not a row for each
@@ -389,11 +395,11 @@ def _by_differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     order = Window.partitionBy("hub", "node").orderBy("often", "d")
     # Differences that nobody shares come first, and are not dealt out: only their number counts.
     whole = around.select("hub", "node", "n", "w", "all")
-    shared = each.join(rare, ["hub", "d"]).join(whole, ["hub", "node"]).withColumn("i", F.col("all") - F.count("*").over(Window.partitionBy("hub", "node")) + F.row_number().over(order) - 1)
+    shared = _met(_met(each, rare, ["hub", "d"]), whole, ["hub", "node"]).withColumn("i", F.col("all") - F.count("*").over(Window.partitionBy("hub", "node")) + F.row_number().over(order) - 1)
     shared = shared.withColumn("slack", (k + m) * (F.col("all") - F.col("i")) - F.col("w")).withColumn("excess", F.col("w") - (m - k) * F.col("n"))
     theirs = shared.where("slack > 0").select("hub", "d", F.col("node").alias("y"), "slack", F.col("excess").alias("need"))
     ours = shared.where("out").select("hub", "d", F.col("node").alias("x"), "excess", F.col("slack").alias("own"))
-    met = ours.join(theirs, ["hub", "d"]).where("excess <= slack AND need <= own AND x <> y")
+    met = _met(ours, theirs, ["hub", "d"]).where("excess <= slack AND need <= own AND x <> y")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -435,44 +441,44 @@ def near_copies(docs: DataFrame, words: int = 5, radius: int = 3, key: str = "do
     texts = source.select("node", "text")
 
     heads = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("many")))
-    same = nodes.select("node", "fp").join(heads.where("many > 1"), "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    same = _met(nodes.select("node", "fp"), heads.where("many > 1"), "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     far = near_links(heads.select("fp"), radius)
     ends = heads.select("fp", "head")
-    far = far.join(ends.withColumnsRenamed({"fp": "a", "head": "ha"}), "a").join(ends.withColumnsRenamed({"fp": "b", "head": "hb"}), "b")
+    far = _met(_met(far, ends.withColumnsRenamed({"fp": "a", "head": "ha"}), "a"), ends.withColumnsRenamed({"fp": "b", "head": "hb"}), "b")
 
     # Dealt out once: the counts and the join find each band's rows together.
     banded = nodes.select("node", "n", F.explode("keys").alias("band")).repartition("band")
     shared = banded.groupBy("band").agg(F.count("*").alias("many"), F.min(F.struct(F.xxhash64("band", "node"), "node", "n")).alias("head")).where("many > 1")
-    shared = cut_lineage(banded.join(shared, "band").select("band", "node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("m")))
+    shared = cut_lineage(_met(banded, shared, "band").select("band", "node", "n", F.col("head.node").alias("head"), F.col("head.n").alias("m")))
     stars = shared.where((F.col("node") != F.col("head")) & _fits(F.col("n"), F.col("m"))).select(F.col("node").alias("a"), F.col("head").alias("b"))
     ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     first = cut_lineage(ordered(stars.union(same).union(far.select("ha", "hb"))))
     found = cut_lineage(_alike(first, texts, words))
 
     roots = cut_lineage(components(found))
-    open_ = shared.select("band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = _met(shared.select("band", "node", "n"), roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     counts = open_.groupBy("band", "root").agg(F.count("*").alias("c"))
     main = counts.groupBy("band").agg(F.max(F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    open_ = open_.join(main, "band").select("node", "root", "main.c", F.col("main.root").alias("main"))
+    open_ = _met(open_, main, "band").select("node", "root", "main.c", F.col("main.root").alias("main"))
     # How many of the main component a text meets in its bands: most for the text in the middle, that the others were made from.
     near = cut_lineage(open_.groupBy("main", "node").agg(F.first("root").alias("root"), F.sum("c").alias("met")))
     if not near.isEmpty():
         hubs = near.where("root = main").groupBy("main").agg(F.max(F.struct("met", "node")).alias("best")).select("main", F.col("best.node").alias("hub"))
-        near = cut_lineage(near.join(hubs, "main").select("hub", "node", "root", "main"))
-        asked = cut_lineage(ordered(near.where("root <> main").select(F.col("node").alias("a"), F.col("hub").alias("b"))).join(first, ["a", "b"], "left_anti"))
+        near = cut_lineage(_met(near, hubs, "main").select("hub", "node", "root", "main"))
+        asked = cut_lineage(_met(ordered(near.where("root <> main").select(F.col("node").alias("a"), F.col("hub").alias("b"))), first, ["a", "b"], "left_anti"))
         roots = joined_components(roots, _alike(asked, texts, words))
         now = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-        away = near.select("hub", "node").join(now("node"), "node", "left").join(now("hub"), "hub", "left")
+        away = _met(_met(near.select("hub", "node"), now("node"), "node", "left"), now("hub"), "hub", "left")
         away = away.select("hub", "node", (F.coalesce("node_root", "node") != F.coalesce("hub_root", "hub")).alias("out")).where("hub <> node")
         few = away.groupBy("hub").agg(F.bool_or("out").alias("open")).where("open").select("hub")
-        away = cut_lineage(away.join(few, "hub"))
+        away = cut_lineage(_met(away, few, "hub"))
         sets = _sets(cut_lineage(away.select("node").union(away.select("hub")).distinct()), texts, words)
-        rest = cut_lineage(_by_differences(away, sets).join(first, ["a", "b"], "left_anti"))
+        rest = cut_lineage(_met(_by_differences(away, sets), first, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             roots = joined_components(roots, _alike(rest, texts, words))
-    linked = cut_lineage(nodes.select("id", "node").join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root")))
+    linked = cut_lineage(_met(nodes.select("id", "node"), roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root")))
     best = linked.groupBy("root").agg(F.min(F.struct("id", "node")).alias("best"))
-    return linked.join(best, "root").select("node", F.col("best.node").alias("kept"))
+    return _met(linked, best, "root").select("node", F.col("best.node").alias("kept"))
 
 
 def hexed(column):
