@@ -68,6 +68,18 @@ def test_words_outside_the_dictionary_are_folded_too(spark, ranks):
     assert [r.text for r in found.collect() if list(r.ids) != own.encode_ordinary(r.text or "")] == []
 
 
+def test_parts_are_looked_up_only_as_far_as_pieces_reach(spark, ranks):
+    """No piece is longer than the reach of its head, and a word's parts are not all looked up."""
+    reach, size = byte_bpe._reach(ranks), byte_bpe.HEAD
+    pieces = byte_bpe.rank_table(spark, ranks).where(F.octet_length("piece") >= size)
+    assert pieces.count() > 10_000
+    assert pieces.where(F.octet_length("piece") > reach(F.substring("piece", 1, size))).isEmpty()
+    word = F.col("k").cast("binary")
+    parts = byte_bpe._standing(word, F.octet_length(word), lambda part: F.lit(1), reach, lambda r, a, b: a * 64 + b)
+    row = spark.createDataFrame([(" ofreedenedothernt" * 3,)], "k string").select(F.size(parts).alias("n")).first()
+    assert 53 < row.n < 0.4 * sum(min(54 - a, max(map(len, ranks))) - 1 for a in range(53))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=40) | st.text("abt hein", max_size=60))
 def test_heap(text):

@@ -6,7 +6,8 @@ folds its other distinct words the same way, ``CHUNK`` words at a time, and join
 never the ids. All of this is one projection: documents are encoded in one pass and never shuffled.
 
 The rank map is bounded by the vocabulary: one row, an array of small maps, where the hash of a key says which map holds it,
-since Spark searches a map from end to end. The fold takes all pieces that stand in a word, by rank and then from left to right,
+since Spark searches a map from end to end. A word's parts are looked up only as far as a piece with their first bytes may
+reach, by another literal array. The fold takes all pieces that stand in a word, by rank and then from left to right,
 over the places where the word is still cut: a piece joins two parts if it begins and ends at cuts and has one cut
 inside. Cuts are the bits of a number, or the bytes of a binary value in words of more than ``BITS`` bytes. That is what the library
 does, which joins the pair of least rank again and again, wherever each piece of the vocabulary
@@ -32,6 +33,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,8 @@ CHUNK = 1 << 12
 PART = 1 << 17
 #: Slots of the rank map and of the dictionary, a power of two.
 SLOTS = 1 << 19
+#: First bytes of a piece, by which the longest such piece is looked up, and the slots of that.
+HEAD, HEADS = 4, 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -100,16 +104,30 @@ class _Shelves:
         return frame.withColumn(self.name, self.one.scalar())
 
 
+def _reach(ranks: dict[bytes, int]) -> Callable[[Column], Column]:
+    """A function of the next ``HEAD`` bytes of a word: the bytes of the longest piece that may begin there, ``HEAD`` - 1 at least.
+
+    Pieces lie by the hash of their head; heads that share a slot share the longer reach, which costs look-ups and loses none.
+    """
+    longest = [HEAD - 1] * HEADS
+    for piece in ranks:
+        if len(piece) >= HEAD:
+            at = xxhash.xxh64_intdigest(piece[:HEAD], 42) % HEADS  # as Spark's xxhash64 has it
+            longest[at] = max(longest[at], len(piece))
+    slots = F.split(F.lit(",".join(map(str, longest))), ",").cast("array<int>")
+    return lambda head: slots[F.xxhash64(head).bitwiseAND(F.lit(HEADS - 1)).cast("int")]
+
+
 def _parted(at: Column, word: Column, rank: Callable[[Column], Column]) -> Column:
     """The ids of the parts between the places ``at``."""
     return _let(at, lambda x: F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: rank(F.substring(word, a + 1, b - a))))
 
 
-def _standing(word: Column, n: Column, rank: Callable[[Column], Column], longest: int, merge: Callable[[Column, Column, Column], Column]) -> Column:
+def _standing(word: Column, n: Column, rank: Callable[[Column], Column], reach: Callable[[Column], Column], merge: Callable[[Column, Column, Column], Column]) -> Column:
     """``merge`` (rank, begin, end) of all pieces of two bytes or more that stand in the word, in order."""
 
     def beginning(a: Column) -> Column:
-        parts = F.transform(F.sequence(a + 2, F.least(n, a + longest)), lambda b: F.substring(word, a + 1, b - a))
+        parts = F.transform(F.sequence(a + 2, F.least(n, a + reach(F.substring(word, a + 1, HEAD)))), lambda b: F.substring(word, a + 1, b - a))
         return F.transform(parts, lambda part, i: merge(rank(part), a, a + 2 + i))
 
     return F.sort_array(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), n - 2), beginning))))
@@ -120,13 +138,13 @@ _ENDS = [1 << a | 1 << b if b <= BITS and a < b else 0 for a in range(64) for b
 _INNER = [(1 << b) - (1 << a + 1) if b <= BITS and a < b else 0 for a in range(64) for b in range(64)]
 
 
-def _folded(word: Column, rank: Callable[[Column], Column], longest: int) -> Column:
+def _folded(word: Column, rank: Callable[[Column], Column], reach: Callable[[Column], Column]) -> Column:
     """The ids of one word, a binary column of 2 to ``BITS`` bytes."""
     n, one = F.octet_length(word), F.lit(1).cast("long")
     ends, inner = (F.lit(",".join(map(str, x))) for x in (_ENDS, _INNER))
     ends, inner = (F.split(x, ",").cast("array<long>") for x in (ends, inner))
     bit = lambda i: F.call_function("shiftleft", one, i)
-    found = _standing(word, n, rank, longest, lambda r, a, b: r.cast("long") * 4096 + (a * 64 + b))
+    found = _standing(word, n, rank, reach, lambda r, a, b: r.cast("long") * 4096 + (a * 64 + b))
 
     def apply(cuts: Column, merge: Column) -> Column:
         """The merge joins two parts if both its ends are cuts and one cut lies between them."""
@@ -140,7 +158,7 @@ def _folded(word: Column, rank: Callable[[Column], Column], longest: int) -> Col
     return F.aggregate(found, bit(n) + bit(n) - one, apply, pieces)
 
 
-def _folded_long(word: Column, rank: Callable[[Column], Column], longest: int) -> Column:
+def _folded_long(word: Column, rank: Callable[[Column], Column], reach: Callable[[Column], Column]) -> Column:
     """The ids of one word of any length: cuts are bytes, 1 or 0 as texts."""
     n = F.octet_length(word)
     part = lambda cuts, a, b: F.substring(cuts, a + 1, b - a).cast("string")
@@ -155,14 +173,14 @@ def _folded_long(word: Column, rank: Callable[[Column], Column], longest: int) -
     def pieces(cuts: Column) -> Column:
         return _parted(F.filter(F.sequence(F.lit(0), n), lambda i: part(cuts, i, i + 1) == "1"), word, rank)
 
-    return F.aggregate(_standing(word, n, rank, longest, lambda r, a, b: _let(r, lambda x: merge(x, a, b))), text("1", n + 1).cast("binary"), apply, pieces)
+    return F.aggregate(_standing(word, n, rank, reach, lambda r, a, b: _let(r, lambda x: merge(x, a, b))), text("1", n + 1).cast("binary"), apply, pieces)
 
 
-def _ids(word: Column, rank: Callable[[Column], Column], longest: int) -> Column:
+def _ids(word: Column, rank: Callable[[Column], Column], reach: Callable[[Column], Column]) -> Column:
     """The ids of one word. A word that is a piece itself is not merged; every byte is one."""
 
     def merged(w: Column) -> Column:
-        folded = F.when(F.octet_length(w) <= BITS, _folded(w, rank, longest)).otherwise(_folded_long(w, rank, longest))
+        folded = F.when(F.octet_length(w) <= BITS, _folded(w, rank, reach)).otherwise(_folded_long(w, rank, reach))
         return _let(rank(w), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded))
 
     return _let(word.cast("binary"), merged)
@@ -211,8 +229,8 @@ def dictionary(frame: DataFrame, ranks: dict[bytes, int], pattern: str, text: st
     counted = frame.select(F.col(f"`{text}`").alias("k")).sample(share, 0).select(F.explode(_words(F.col("k"), pattern)).alias("k")).groupBy("k").count()
     top = counted.where(F.octet_length("k") <= SHORT).orderBy(F.desc("count"), "k").limit(frequent)
     top = top.repartition(4 * spark.sparkContext.defaultParallelism, "k")
-    ranked, longest = _rank_shelves(spark, ranks), max(map(len, ranks))
-    return ranked.beside(top).select("k", ranked.used(lambda rank: _ids(F.col("k"), rank, longest)).alias("v"))
+    ranked, reach = _rank_shelves(spark, ranks), _reach(ranks)
+    return ranked.beside(top).select("k", ranked.used(lambda rank: _ids(F.col("k"), rank, reach)).alias("v"))
 
 
 _kept: dict[str, _Kept] = {}
@@ -240,12 +258,12 @@ def _gathered(values: list[bytes], codes: np.ndarray, bounds: np.ndarray) -> pa.
     return pa.ListArray.from_arrays(pa.array(where[bounds].astype(np.int32)), pa.array(ids))
 
 
-def _encoded_words(words: Column, known: Callable[[Column], Column], rank: Callable[[Column], Column], longest: int) -> Column:
+def _encoded_words(words: Column, known: Callable[[Column], Column], rank: Callable[[Column], Column], reach: Callable[[Column], Column]) -> Column:
     """The ids of a list of words: those that are ``known`` are looked up, the other distinct ones folded."""
 
     def joined(part: Column, found: Column) -> Column:
         rest = F.array_distinct(F.filter(part, lambda w, i: found[i].isNull()))
-        entries = F.transform(rest, lambda w: F.struct(w.alias("k"), _ids(w, rank, longest).alias("v")))
+        entries = F.transform(rest, lambda w: F.struct(w.alias("k"), _ids(w, rank, reach).alias("v")))
         return _let(F.map_from_entries(entries), lambda own: F.flatten(F.zip_with(part, found, lambda w, x: F.coalesce(x, F.try_element_at(own, w)))))
 
     def chunk(part: Column) -> Column:
@@ -263,10 +281,10 @@ def encoded(frame: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
     words = _words(F.coalesce(F.col(f"`{text}`"), F.lit("")), pattern)
     if not in_order(ranks):
         return frame.withColumn(out, _heaped(ranks)(words))
-    ranked, longest = _rank_shelves(frame.sparkSession, ranks), max(map(len, ranks))
+    ranked, reach = _rank_shelves(frame.sparkSession, ranks), _reach(ranks)
     ranked.name = free_name(ranked.name, frame.columns)
     held = _Shelves(cut_lineage(dictionary(frame, ranks, pattern, text, sample, frequent)), free_name("shelf_of_words", frame.columns))
-    ids = ranked.used(lambda rank: held.used(lambda known: _encoded_words(words, known, rank, longest)))
+    ids = ranked.used(lambda rank: held.used(lambda known: _encoded_words(words, known, rank, reach)))
     return held.beside(ranked.beside(frame)).withColumn(out, ids).drop(ranked.name, held.name)
 
 
